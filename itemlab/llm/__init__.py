@@ -3,8 +3,9 @@
 
 def queries() -> dict:
     from .minhash import op1_minhash
+    from .ppm import op6_language_id
 
-    return {"op1_minhash": op1_minhash}
+    return {"op1_minhash": op1_minhash, "op6_language_id": op6_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
