@@ -2,10 +2,11 @@
 
 
 def queries() -> dict:
+    from .bpe import op8_bpe
     from .minhash import op1_minhash
     from .ppm import op6_language_id
 
-    return {"op1_minhash": op1_minhash, "op6_language_id": op6_language_id}
+    return {"op1_minhash": op1_minhash, "op6_language_id": op6_language_id, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
