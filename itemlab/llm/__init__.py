@@ -3,10 +3,16 @@
 
 def queries() -> dict:
     from .bpe import op8_bpe
+    from .html_text import op10_html_text
     from .minhash import op1_minhash
     from .ppm import op6_language_id
 
-    return {"op1_minhash": op1_minhash, "op6_language_id": op6_language_id, "op8_bpe": op8_bpe}
+    return {
+        "op1_minhash": op1_minhash,
+        "op6_language_id": op6_language_id,
+        "op8_bpe": op8_bpe,
+        "op10_html_text": op10_html_text,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
