@@ -6,11 +6,13 @@ def queries() -> dict:
     from .html_text import op10_html_text
     from .minhash import op1_minhash
     from .ppm import op6_language_id
+    from .repetition import op9_repetition
 
     return {
         "op1_minhash": op1_minhash,
         "op6_language_id": op6_language_id,
         "op8_bpe": op8_bpe,
+        "op9_repetition": op9_repetition,
         "op10_html_text": op10_html_text,
     }
 
