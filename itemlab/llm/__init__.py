@@ -7,9 +7,11 @@ def queries() -> dict:
     from .minhash import op1_minhash
     from .ppm import op6_language_id
     from .repetition import op9_repetition
+    from .warc import op2_warc
 
     return {
         "op1_minhash": op1_minhash,
+        "op2_warc": op2_warc,
         "op6_language_id": op6_language_id,
         "op8_bpe": op8_bpe,
         "op9_repetition": op9_repetition,
