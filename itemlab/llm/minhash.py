@@ -27,6 +27,8 @@ MISS = 1e-6
 SLACK = 5.5
 #: Members of a group that meet in one task; larger groups are compared block against block.
 BLOCK = 1024
+#: Rows of candidates' ids (32 bytes each) that are broadcast to the texts at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
@@ -255,7 +257,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
 
     groups = connected_components(alike, "minhash-candidates")
     groups = _blocks(groups.select(F.col("component").alias("g"), F.col("node").alias("rep")), "g")
-    texts = groups.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("g", "i", "j", "rep", "text")
+    groups = stored(groups, "minhash-groups")
+    if groups.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        groups = F.broadcast(groups)
+    texts = docs.withColumnRenamed("doc_id", "rep").join(groups, "rep").select("g", "i", "j", "rep", "text")
     links = _meet(texts, "g", _confirm(n, percent))
     reached = connected_components(links, "minhash-links").withColumnRenamed("node", "rep")
 
