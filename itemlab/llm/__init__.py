@@ -4,6 +4,7 @@
 def queries() -> dict:
     from .bpe import op8_bpe
     from .html_text import op10_html_text
+    from .katz import op4_katz
     from .minhash import op1_minhash
     from .ppm import op6_language_id
     from .repetition import op9_repetition
@@ -12,6 +13,7 @@ def queries() -> dict:
     return {
         "op1_minhash": op1_minhash,
         "op2_warc": op2_warc,
+        "op4_katz": op4_katz,
         "op6_language_id": op6_language_id,
         "op8_bpe": op8_bpe,
         "op9_repetition": op9_repetition,
