@@ -3,6 +3,7 @@
 
 def queries() -> dict:
     from .bpe import op8_bpe
+    from .decontaminate import op7_decontamination
     from .html_text import op10_html_text
     from .katz import op4_katz
     from .minhash import op1_minhash
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op2_warc": op2_warc,
         "op4_katz": op4_katz,
         "op6_language_id": op6_language_id,
+        "op7_decontamination": op7_decontamination,
         "op8_bpe": op8_bpe,
         "op9_repetition": op9_repetition,
         "op10_html_text": op10_html_text,
