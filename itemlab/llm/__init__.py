@@ -7,6 +7,7 @@ def queries() -> dict:
     from .html_text import op10_html_text
     from .katz import op4_katz
     from .minhash import op1_minhash
+    from .pii import op5_surrogates
     from .ppm import op6_language_id
     from .repetition import op9_repetition
     from .warc import op2_warc
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op1_minhash": op1_minhash,
         "op2_warc": op2_warc,
         "op4_katz": op4_katz,
+        "op5_surrogates": op5_surrogates,
         "op6_language_id": op6_language_id,
         "op7_decontamination": op7_decontamination,
         "op8_bpe": op8_bpe,
