@@ -10,11 +10,13 @@ def queries() -> dict:
     from .pii import op5_surrogates
     from .ppm import op6_language_id
     from .repetition import op9_repetition
+    from .token_counts import op3_token_counts
     from .warc import op2_warc
 
     return {
         "op1_minhash": op1_minhash,
         "op2_warc": op2_warc,
+        "op3_token_counts": op3_token_counts,
         "op4_katz": op4_katz,
         "op5_surrogates": op5_surrogates,
         "op6_language_id": op6_language_id,
