@@ -13,6 +13,8 @@ it occurs, no range is larger for a frequent one.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,7 +25,7 @@ from .common import hash_words, mix, runs, stored, table, words_of
 from .ppm import crc_mod
 
 #: Tokens of a block, and n-grams asked for in a range, about.
-BLOCK = 2_000_000
+BLOCK = 700_000
 #: Counts up to this are discounted.
 K = 5
 #: Part of an event that every context keeps for unseen words, so that its discount is never nothing.
@@ -34,28 +36,38 @@ _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 WORDS, PAIRS = 1, 2
 
 _BLOCKS = (
-    "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, tokens binary, n_words long"
+    "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, tokens binary, n_words long, n_tokens long"
 )
 _ASKED = "kind int, bucket int, block long, keys binary, counts binary, flags binary"
 _ANSWERED = _ASKED + ", of_counts array<long>, total long, distinct long"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """The bytes of integers, all lowest ones first: small numbers become runs of zeros that compress."""
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of integers, all lowest ones first: the high ones of small numbers become runs of zeros."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
-def unpack(raw: bytes, dtype) -> np.ndarray:
+def from_planes(raw: bytes, dtype) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers most of which are small."""
+    return zlib.compress(planes(values), 1)
+
+
+def unpack(raw: bytes, dtype) -> np.ndarray:
+    return from_planes(zlib.decompress(raw), dtype)
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted hashes, as differences; only their high bytes could be compressed, which Spark does."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpack(raw, np.uint64), dtype=np.uint64)
+    return np.cumsum(from_planes(raw, np.uint64), dtype=np.uint64)
 
 
 def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -68,12 +80,15 @@ def _blocks(batches):
     ids, held, sizes, hashes, n, seq = [], [], [], [], 0, 0
 
     def block():
-        words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+        words, tokens, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
         return pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId() << 32 | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
              pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())),
-             pa.array([pack_sorted(words)], pa.binary()), pa.array([pack(tokens.astype(np.int32))], pa.binary()),
-             pa.array([len(words)], pa.int64())],
+             pa.array([words[order].tobytes()], pa.binary()), pa.array([pack(number[tokens])], pa.binary()),
+             pa.array([len(words)], pa.int64()), pa.array([len(tokens)], pa.int64())],
             [c.split()[0] for c in _BLOCKS.split(", ")],
         )
 
@@ -96,7 +111,8 @@ class Block:
     def __init__(self, row: dict):
         self.number, self.ids = row["block"], row["doc_ids"]
         self.held, self.sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
-        self.words, self.tokens = unpack_sorted(row["words"]), unpack(row["tokens"], np.int32)
+        self.words, number = np.unique(np.frombuffer(row["words"], np.uint64), return_inverse=True)
+        self.tokens = number.astype(np.int32)[unpack(row["tokens"], np.int32)]
         self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train = ~self.held[self.doc]
         first = np.cumsum(self.sizes) - self.sizes
@@ -118,7 +134,7 @@ class Block:
             for k in range(buckets[kind]):
                 part = slice(edges[k], edges[k + 1])
                 if edges[k] < edges[k + 1]:
-                    yield (kind, k, self.number, pack_sorted(keys[part]), pack(counts[part]), flags[part].tobytes())
+                    yield (kind, k, self.number, pack_sorted(keys[part]), pack(counts[part]), pack(flags[part]))
 
 
 def _ask(buckets: dict[int, int]):
@@ -152,7 +168,7 @@ def _answer(batches):
         total = np.bincount(at, own, len(keys)).astype(np.int64)
         kind, bucket = rows[0]["kind"], rows[0]["bucket"]
         if kind == WORDS:
-            flags = np.bincount(at, np.frombuffer(b"".join(r["flags"] for r in rows), np.uint8), len(keys)) > 0
+            flags = np.bincount(at, np.concatenate([unpack(r["flags"], np.uint8) for r in rows]), len(keys)) > 0
             flags = flags[at]
         else:
             seen = np.flatnonzero(own)
@@ -165,7 +181,7 @@ def _answer(batches):
         begin = 0
         for r, k in zip(rows, asked, strict=True):
             part = slice(begin, begin + len(k))
-            out.append((kind, bucket, r["block"], None, pack(total[at[part]]), flags[part].tobytes(), None, None, None))
+            out.append((kind, bucket, r["block"], None, pack(total[at[part]]), pack(flags[part]), None, None, None))
             begin += len(k)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
@@ -210,20 +226,20 @@ class Model:
 
 _SCORED = (
     "part int, doc long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double,"
-    " h long, mass double, lower double, n long"
+    " h long, mass float, lower float, n long"
 )
 
 
 def _score(model: Model):
     """Parts of a block's result.
 
-    0: a document, its score still without the backoff weights; 1: what a context's pairs that this
-    block is the first to hold take of the probability, and of that of their words; 2: how often a
-    document needs a context's weight.
+    0: a document, its score still without the backoff weights; 1: what is taken off the counts of a
+    context's pairs, of those that this block is the first to hold, the probability of their words,
+    and the context's count; 2: how often a document needs a context's weight.
     """
     names = [c.split()[0] for c in _SCORED.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(),
-             pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+             pa.int64(), pa.float32(), pa.float32(), pa.int64()]
 
     def batch(size: int, /, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -238,7 +254,7 @@ def _score(model: Model):
             for kind in (WORDS, PAIRS):
                 own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])
                 counts[kind] = np.concatenate([unpack(r["counts"], np.int64) for r in own])
-                flags[kind] = np.frombuffer(b"".join(r["flags"] for r in own), bool)
+                flags[kind] = np.concatenate([unpack(r["flags"], bool) for r in own])
             del rows, group
             of_word, of_pair = counts[WORDS], counts[PAIRS]
             lower = model.word(of_word)
@@ -264,9 +280,11 @@ def _score(model: Model):
             one = one[flags[PAIRS]]
             one = one[wanted[b.before[one]]]
             at, back = np.unique(b.before[one], return_inverse=True)
-            mass = np.bincount(back, p[one], len(at))
-            taken = np.bincount(back, lower[b.tokens[one]], len(at))
-            yield batch(len(at), part=np.ones(len(at), np.int32), h=contexts[at], mass=mass, lower=taken)
+            off = (1 - model.of_pairs[np.minimum(c[one], K + 1)]) * c[one]
+            yield batch(
+                len(at), part=np.ones(len(at), np.int32), h=contexts[at], n=of_context[at],
+                mass=np.bincount(back, off, len(at)), lower=np.bincount(back, lower[b.tokens[one]], len(at)),
+            )
 
             # Nothing is known of a context that training doesn't have: its weight is 1.
             off = np.flatnonzero(~seen & (of_context[b.before] > 0))
@@ -289,7 +307,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held"))
     blocks = stored(docs.mapInArrow(_blocks, _BLOCKS), "katz-blocks")
-    size = blocks.agg(F.sum("n_words"), F.sum(F.octet_length("tokens") / 4)).first()
+    size = blocks.agg(F.sum("n_words"), F.sum("n_tokens")).first()
     buckets = {WORDS: 1 + int((size[0] or 0) // BLOCK), PAIRS: 1 + int((size[1] or 0) // BLOCK)}
     asked = blocks.mapInArrow(_ask(buckets), _ASKED)
     asked = asked.repartition(buckets[WORDS] + buckets[PAIRS], "kind", "bucket")
@@ -308,8 +326,9 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     both = both.repartition("block").sortWithinPartitions("block", "kind", "bucket")
     scored = stored(both.mapInArrow(_score(model), _SCORED), "katz-scores", partition_by="part")
 
-    left = F.greatest(1 - F.col("mass"), F.lit(1e-300)) / F.greatest(1 - F.col("lower"), F.lit(1e-300))
-    weights = scored.where("part = 1").groupBy("h").agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower"))
+    left = (RESERVE + F.col("mass")) / (F.col("n") + RESERVE) / F.greatest(1 - F.col("lower"), F.lit(1e-300))
+    weights = scored.where("part = 1").groupBy("h")
+    weights = weights.agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower"), F.max("n").alias("n"))
     weights = weights.select("h", F.log10(left).alias("weight"))
     backed = scored.where("part = 2").select("doc", "h", "n").join(weights, "h")
     backed = backed.groupBy("doc").agg(F.sum(F.col("n") * F.col("weight")).alias("backed"))

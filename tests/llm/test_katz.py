@@ -61,7 +61,7 @@ def test_against_dictionaries(spark, monkeypatch, block):
     key = lambda r: (str(r[0]), r[2], r[6])
     for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert g[:5] == w[:5]
-        assert g[5:] == pytest.approx(w[5:], rel=1e-9)
+        assert g[5:] == pytest.approx(w[5:], rel=1e-6)
 
 
 def test_probabilities_add_up():
