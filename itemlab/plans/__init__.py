@@ -1,4 +1,6 @@
 """Queries over the driver tables and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import content, exam, records
+
+QUERIES = {**exam.QUERIES, **content.QUERIES, **records.QUERIES}
+ORACLE_SQL = {**exam.ORACLE_SQL, **content.ORACLE_SQL, **records.ORACLE_SQL}
