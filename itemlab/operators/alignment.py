@@ -105,3 +105,30 @@ def validation(
         rounded(F.col("mean"), 2).alias("avg_score"), "attempts", F.array_join(issues, ",").alias("issues"),
         F.when(F.size(issues) > 0, "warning").otherwise("ok").alias("status"),
     )
+
+
+def validate_one(facts: DataFrame, questions: DataFrame, topics: DataFrame, question_id: int, c: Coefficients = DEFAULT) -> DataFrame:
+    """validation of a single question; the filter comes before the figures."""
+    of = F.col("question_id") == question_id
+    return validation(facts.where(of), questions.where(of), topics, None, c)
+
+
+#: Words of medication in a question (fixed values, Russian).
+MEDICATION = r"(?iU)\b(препарат|лекарств|доз|мг|таблет|инъекц)"
+
+
+def rubric_compliance(questions: DataFrame, rubrics: DataFrame) -> DataFrame:
+    """Questions (``question_id, question_text, rubric_id``) against their rubrics (``rubric_id, title, criteria_text``).
+
+    overlap counts the rubric's lines whose first twenty characters are in the question.
+    """
+    rows = questions.join(F.broadcast(rubrics), "rubric_id")
+    text = F.lower(F.coalesce("question_text", F.lit("")))
+    lines = F.filter(F.transform(F.split("criteria_text", r"\R+"), lambda x: F.trim(x)), lambda x: x != "")
+    overlap = F.size(F.filter(lines, lambda x: text.contains(F.lower(F.substring(x, 1, 20)))))
+    issues = F.array(
+        F.when(F.length("question_text") <= 40, "SHORT_TEXT"),
+        F.when(text.rlike(MEDICATION), "MENTIONS_MEDICATION"),
+        F.when(overlap == 0, "NO_CRITERIA_IN_TEXT"),
+    )
+    return rows.select("question_id", F.col("title").alias("rubric_title"), overlap.alias("overlap"), F.array_join(F.array_compact(issues), ",").alias("issues"))

@@ -291,3 +291,50 @@ def search_index_refresh(t: Tables):
 )
 def link_list(t: Tables):
     return dashboards.link_list(t.facts(), t.questions(), t.topics())
+
+
+@query(
+    """SELECT p_partkey AS question_id, p_type AS rubric_title, CASE WHEN contains(lower(p_name || ' ' || p_type), 'ring') THEN 1 ELSE 0 END
+  + CASE WHEN contains(lower(p_name || ' ' || p_type), 'eco') THEN 1 ELSE 0 END AS overlap,
+  concat_ws(',', 'SHORT_TEXT', CASE WHEN NOT contains(lower(p_name || ' ' || p_type), 'ring') AND NOT contains(lower(p_name || ' ' || p_type), 'eco') THEN 'NO_CRITERIA_IN_TEXT' END) AS issues
+FROM part"""
+)
+def rubric_compliance(t: Tables):
+    part = t.read("part")
+    questions = part.select(
+        F.col("p_partkey").alias("question_id"), F.concat_ws(" ", "p_name", "p_type").alias("question_text"), F.col("p_type").alias("rubric_id")
+    )
+    rubrics = part.select(F.col("p_type").alias("rubric_id"), F.col("p_type").alias("title"), F.lit("Ring\n\n eco ").alias("criteria_text")).distinct()
+    return aligned.rubric_compliance(questions, rubrics)
+
+
+@query(
+    """SELECT p_brand AS discipline, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS position, p_name || chr(10) || p_type AS text FROM part"""
+)
+def question_texts(t: Tables):
+    """Each brand's parts as a text of numbered questions, parsed back."""
+    from pyspark.sql import Window
+
+    from ..functions.parsing import numbered_questions
+
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    rows = t.read("part").select("p_brand", n.alias("n"), F.concat(n.cast("string"), F.lit(". "), "p_name", F.lit("\n"), "p_type").alias("x"))
+    rows = rows.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]), "\n\n").alias("text"))
+    rows = rows.select(F.col("p_brand").alias("discipline"), F.posexplode(numbered_questions(F.col("text"))))
+    return rows.select("discipline", (F.col("pos") + 1).alias("position"), F.col("col").alias("text"))
+
+
+@query(
+    """SELECT p_brand AS discipline, upper(substr(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g'), 1, 6)) || '_T' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS code,
+  'topic of ' || p_name || ' ' || p_partkey AS title FROM part"""
+)
+def syllabus_topics(t: Tables):
+    """Each brand's parts as a course plan, its topics parsed back."""
+    from ..functions.parsing import syllabus_topics as parsed
+
+    line = F.concat(F.lit("1.\n12 30\nмоodle moodle\n"), F.lit("topic of "), "p_name", F.lit(" "), F.col("p_partkey").cast("string"))
+    rows = t.read("part").select("p_brand", "p_partkey", line.alias("x")).groupBy(F.col("p_brand").alias("discipline"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "x"))), lambda s: s["x"]), "\n")
+    rows = rows.agg(F.concat(F.lit("Course\nТематический план\n"), text, F.lit("\nВсего: 9")).alias("text"))
+    topics = parsed(rows, "text", "discipline").select("discipline", F.explode("topics").alias("t"))
+    return topics.select("discipline", "t.code", "t.title")
