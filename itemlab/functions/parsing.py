@@ -42,7 +42,10 @@ def lines_of(text: str | None) -> list[str]:
 
 def _distinct(texts: list[str]) -> list[str]:
     """The first of texts that are equal but for case."""
-    return list({t.lower(): t for t in reversed(texts)}.values())[::-1]
+    first: dict[str, str] = {}
+    for t in texts:
+        first.setdefault(t.lower(), t)
+    return list(first.values())
 
 
 def _first(lines: list[str], test, begin: int = 0) -> int:
@@ -95,7 +98,7 @@ def find_topics(text: str | None) -> list[str]:
     lines = lines[_first(lines, lambda x: re.search(PLAN, x)) + 1 :]
     stops = [k for k, x in enumerate(lines) if re.match(TOPIC_NUMBER, x) or re.match(PLAN_END, x)]
     titles: list[str] = []
-    for at, end in zip(stops, [*stops[1:], len(lines)], strict=True):
+    for at, end in zip(stops, [*stops[1:], len(lines)], strict=False):
         if not re.match(TOPIC_NUMBER, lines[at]):
             if len(titles) >= 3:
                 break
