@@ -38,20 +38,19 @@ def preview(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
-def tfidf(docs: DataFrame, mode: str = "corpus") -> DataFrame:
-    """``id, token, weight`` of unit length from ``id, tokens``.
+def tfidf(docs: DataFrame) -> DataFrame:
+    """``id, token, weight, df`` from ``id, tokens``: vectors of unit length, and the documents with each token.
 
-    mode corpus: idf = ln((1 + N) / (1 + df)) + 1 over all docs. Weights of documents without tokens
-    have no rows.
+    idf = ln((1 + N) / (1 + df)) + 1 over all docs. Documents without tokens have no rows.
     """
     counts = docs.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n"))
     df = counts.groupBy("token").agg(F.count("*").alias("df"))
     df = df.crossJoin(F.broadcast(n))  # one row
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    rows = counts.join(df.select("token", idf.alias("idf")), "token").withColumn("w", F.col("tf") * F.col("idf"))
+    rows = counts.join(df.select("token", "df", idf.alias("idf")), "token").withColumn("w", F.col("tf") * F.col("idf"))
     norms = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norms, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"))
+    return rows.join(norms, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"), "df")
 
 
 def normalised(text: str | None) -> str:

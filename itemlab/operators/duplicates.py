@@ -23,8 +23,8 @@ def text_classes(texts: DataFrame) -> DataFrame:
 def similar_texts(texts: DataFrame, threshold: float = DEFAULT.duplicate) -> tuple[DataFrame, DataFrame]:
     """Pairs ``id_a, id_b, similarity`` of classes with a tf-idf cosine above threshold, and ``id, class_id``.
 
-    A pair must share a token among the heaviest that make up all but threshold squared of the squared
-    length of either: the others alone can't reach the threshold. Only these tokens are joined.
+    With tokens in one order for all, the rarest first, what is left of a vector behind its prefix is
+    shorter than the threshold. A pair above it so shares a token of both prefixes; only these are joined.
     """
     from pyspark.sql import Window
 
@@ -32,7 +32,7 @@ def similar_texts(texts: DataFrame, threshold: float = DEFAULT.duplicate) -> tup
     heads = classes.where(F.col("id") == F.col("class_id")).select("id")
     docs = texts.join(heads, "id").select("id", tokens(F.col("text"), 2, STOP_WORDS).alias("tokens"))
     weights = tfidf(docs)
-    order = Window.partitionBy("id").orderBy(F.desc("weight"), "token").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order), F.lit(0.0))
     prefix = weights.withColumn("before", before).where(1 - F.col("before") >= threshold * threshold - 1e-9)
     a, b = prefix.select(F.col("id").alias("id_a"), "token"), prefix.select(F.col("id").alias("id_b"), "token")
