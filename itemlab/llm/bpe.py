@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import resident, small_batches, table
 
 #: Folder of the public vocabulary files; a parameter of the operator.
 TOKENIZERS = "/opt/tokenizers"
-#: Words of which a Python worker remembers the encoding; it forgets all of them beyond that.
-REMEMBERED = 150_000
+#: Words of which a Python worker remembers the encoding, twice: beyond that it forgets the older half.
+REMEMBERED = 70_000
 _END = 256  # added to the last byte of a word
 #: Characters on which this Python's tables and the tokenizer's agree; texts with others are split by it.
 _COMMON = regex.compile("[\x00-՗ -⁰]*+")
@@ -119,6 +119,7 @@ class WordBpe:
         self.alone: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self._pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
@@ -181,28 +182,40 @@ class WordBpe:
         """Ids of one word's bytes."""
         follow, link, token = self.automaton.next, self.automaton.link, self.automaton.token
         ends, length, compatible = self.automaton.ends, self.automaton.length, self.compatible
+        known = self.pairs.get
         n = len(raw)
-        last, state, matched = [0] * (n + 1), 0, 0  # states of the last tokens; length of the text matched
+        last, lengths = [-1] * (n + 1), [0] * (n + 1)  # of each prefix the last token and its length
+        state = matched = 0  # the automaton's state, and the length of the text that it stands for
         for i, symbol in enumerate(raw, 1):
             if i == n:
                 symbol += _END
-            while symbol not in follow[state] and state:
+            to = follow[state].get(symbol)
+            while to is None and state:
                 state = link[state]
                 matched = length[state]
-            if symbol in follow[state]:
-                state = follow[state][symbol]
+                to = follow[state].get(symbol)
+            if to is not None:
+                state = to
                 matched += 1
             at = ends[state] if matched == length[state] else ends[link[state]]
             while at:
-                before = last[i - length[at]]
-                if before and compatible(token[before], token[at]) or i == length[at] and self.stands_alone(token[at]):
-                    last[i] = at
+                size, t = length[at], token[at]
+                if size == i:
+                    fits = self.stands_alone(t)
+                elif (before := last[i - size]) >= 0:
+                    fits = known(before << 20 | t)
+                    if fits is None:
+                        fits = compatible(before, t)
+                else:
+                    fits = False
+                if fits:
+                    last[i], lengths[i] = t, size
                     break
                 at = ends[link[at]]
         out, i = [], n
         while i > 0:
-            out.append(token[last[i]])
-            i -= length[last[i]]
+            out.append(last[i])
+            i -= lengths[i]
         return out[::-1]
 
     def encode(self, text: str) -> tuple[bytes, str]:
@@ -234,19 +247,17 @@ class WordBpe:
         return [bytes(map(self.byte_of.__getitem__, w)).decode("utf-8", "surrogateescape") for w in words]
 
     def _learn(self, word: str) -> tuple[bytes, str]:
-        known = self.words.get(word)
+        """The encoding of a word that isn't among the recent ones; words seen again stay among them."""
+        known = self.words.get(word) or self.older.get(word)
         if known is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
             ids = self.encode_word(word.encode("utf-8", "surrogateescape"))
             known = np.array(ids, "<u4").tobytes(), " ".join(map(self.text_of.__getitem__, ids))
-            self.words[word] = known
+        if len(self.words) >= REMEMBERED:
+            self.words, self.older = {}, self.words
+        self.words[word] = known
         return known
 
 
-_encoders: dict[str, WordBpe] = {}
-
-
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, decoded`` of each row's whole text with the tokenizer file at path.
 
@@ -257,13 +268,11 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
     with open(path, encoding="utf-8") as f:
         source = f.read()
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(source)  # one vocabulary file, a few MB
 
     def run(batches):
-        if path not in _encoders:
-            _encoders.clear()
-            _encoders[path] = WordBpe(shipped.value)
-        encoder = _encoders[path]
+        encoder = resident(f"bpe {path}", lambda: WordBpe(shipped.value))
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
