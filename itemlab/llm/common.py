@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -78,6 +81,37 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+_resident: dict = {}
+
+
+def resident(key: str, build):
+    """What build() gives for a key, kept in this Python worker until another key is asked for.
+
+    A worker serves tasks of many stages, so it holds one model or vocabulary at a time, and gives
+    the memory of the last one back before it takes that of the next.
+    """
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _resident[key] = build()
+    return _resident[key]
+
+
+#: Rows and bytes of a batch of rows that Spark hands to Python, at most: texts are large rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batches for Python to what keeps a worker's memory small, if they are larger."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_ngrams, hash_words, table
+from .common import hash_ngrams, hash_words, resident, small_batches, table
 
 #: Words of a seed; items of fewer words aren't looked for.
 SEED = 3
@@ -133,9 +133,6 @@ class Items:
         return out
 
 
-_items: dict[str, Items] = {}
-
-
 def _document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
     """Documents with each seed; as many numbers as the block of items has seeds come to the driver."""
     shipped = docs.sparkSession.sparkContext.broadcast(items.seeds)
@@ -165,6 +162,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     which is held against all documents.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     benchmark = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_CHARS))
@@ -179,10 +177,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         name, shipped = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
 
         def run(texts: pa.Array, name=name, shipped=shipped) -> pa.Array:
-            if name not in _items:
-                _items.clear()
-                _items[name] = shipped.value
-            found = [_items[name].matches(t, threshold) for t in texts.to_pylist()]
+            own = resident(name, lambda: shipped.value)
+            found = [own.matches(t, threshold) for t in texts.to_pylist()]
             kind = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])
             return pa.array(found, pa.list_(kind))
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, runs, stored, table, words_of
+from .common import hash_words, mix, runs, small_batches, stored, table, words_of
 from .ppm import crc_mod
 
 #: Tokens of a block, and n-grams asked for in a range, about.
@@ -305,6 +305,7 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     rows every token has probability 1. Repeated rows count and are scored each time; a null doc_id
     is kept; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held"))
     blocks = stored(docs.mapInArrow(_blocks, _BLOCKS), "katz-blocks")
     size = blocks.agg(F.sum("n_words"), F.sum("n_tokens")).first()

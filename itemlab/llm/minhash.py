@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_ngrams, hash_words, mix, runs, stored, table, words_of
+from .common import hash_ngrams, hash_words, mix, resident, runs, small_batches, stored, table, words_of
 from .components import connected_components
 
 #: Signature values in a band; even, as a permutation gives two.
@@ -66,6 +66,7 @@ def _sign(n: int, bands: int):
     salt = np.arange(bands, dtype=np.uint64) << np.uint64(48)
 
     def run(batches):
+        resident("minhash", lambda: None)
         for batch in batches:
             sizes, prints, keys, sigs = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -235,6 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
       takes no part in linking: component_id null, kept true.
     * Other columns of docs are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     threshold = percent / 100
     bands = n_bands(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import resident, small_batches, stored, table
 
 #: Key of the surrogates; a secret of the caller in production.
 KEY = b"surrogate-key"
@@ -288,7 +288,6 @@ def redrawn(found: DataFrame, key: bytes) -> DataFrame:
     return settled.select("kind", "canon", "attempt")
 
 
-_attempts: dict[str, dict] = {}
 _RESULT = "struct<text: string, n: long, kinds: map<string, long>>"
 
 
@@ -299,6 +298,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     is an entity of the documents. Null and empty texts, and texts without personal data, stay as they
     are. Repeated rows are treated alike; other columns stay, but for those two, which are replaced.
     """
+    small_batches(docs.sparkSession)
     exceptions = stored(redrawn(inventory(docs), key), "pii-attempts")
     name, shipped, own = uuid.uuid4().hex, None, F.lit(None).cast("map<string, int>")
     if exceptions.count() <= BROADCAST_ROWS:
@@ -309,10 +309,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         docs, own = _joined(docs, exceptions), F.col("__attempts")
 
     def kernel(texts: pa.Array, maps: pa.Array) -> pa.Array:
-        if name not in _attempts:
-            _attempts.clear()
-            _attempts[name] = shipped.value if shipped else {}
-        known, out = _attempts[name], []
+        known, out = resident(name, lambda: shipped.value if shipped else {}), []
         for text, extra in zip(texts.to_pylist(), maps.to_pylist(), strict=True):
             if text is None:
                 out.append({"text": None, "n": 0, "kinds": []})

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import has_letter, table
+from .common import has_letter, resident, small_batches, table
 
 #: Bytes of the longest context.
 ORDER = 3
@@ -132,15 +132,13 @@ def training_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
 
 def fit(labelled: DataFrame, order: int = ORDER) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Counts by language, on the driver; their size is bounded by the sample's bounds."""
+    small_batches(labelled.sparkSession)
     rows = training_counts(labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()), order).toArrow()
     langs = rows.column("lang").to_numpy(zero_copy_only=False)
     codes, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
     return {str(x): (codes[langs == x], n[langs == x]) for x in sorted(set(langs.tolist()))}
 
 
-_models: dict[str, Model] = {}
-
-
 def predict(docs: DataFrame, counts: dict, order: int = ORDER) -> DataFrame:
     """Adds ``lang_pred, score, bits_per_byte`` to docs, which has ``text``; the text is read whole.
 
@@ -149,6 +147,7 @@ def predict(docs: DataFrame, counts: dict, order: int = ORDER) -> DataFrame:
     nothing was learned, is ``und`` with score 0 and bits_per_byte null.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     if not counts:
         return docs.withColumns(
             {"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")}
@@ -157,10 +156,7 @@ def predict(docs: DataFrame, counts: dict, order: int = ORDER) -> DataFrame:
     shipped = spark.sparkContext.broadcast((list(counts), list(counts.values())))
 
     def run(texts: pa.Array) -> pa.Array:
-        if name not in _models:
-            _models.clear()
-            _models[name] = Model(*shipped.value, order)
-        model = _models[name]
+        model = resident(name, lambda: Model(*shipped.value, order))
         raw = [x.encode("utf-8", "surrogatepass") if x else b"" for x in texts.to_pylist()]
         bits = model.code_lengths(raw)
         best = bits.argmin(1)

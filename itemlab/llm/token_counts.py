@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZERS
-from .common import table
+from .common import resident, table
 
 #: How byte-level BPE of this vocabulary cuts a text before merging (a fixed value of the tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -90,9 +90,6 @@ def load(source: bytes):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
-_encoders: dict[str, tuple] = {}
-
-
 def count_tokens(docs: DataFrame, fields: list[str], sectioned: list[str], path: str, rule: str = "start") -> DataFrame:
     """The columns of SCHEMA: a row for each section of each field of each row of docs (``doc_id`` and the fields).
 
@@ -108,10 +105,7 @@ def count_tokens(docs: DataFrame, fields: list[str], sectioned: list[str], path:
     split = [f in sectioned for f in fields]
 
     def run(batches):
-        if path not in _encoders:
-            _encoders.clear()
-            _encoders[path] = load(shipped.value)
-        encoder, sizes = _encoders[path]
+        encoder, sizes = resident(f"tokens {path}", lambda: load(shipped.value))
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
