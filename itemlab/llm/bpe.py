@@ -25,11 +25,30 @@ from .common import resident, small_batches, table
 TOKENIZERS = "/opt/tokenizers"
 #: Words of which a Python worker remembers the encoding, twice: beyond that it forgets the older half.
 REMEMBERED = 70_000
+#: Pairs of tokens of which a Python worker remembers whether they are compatible.
+PAIRS = 200_000
+#: Characters that are split into words at once; longer texts are cut before a blank.
+PIECE = 1 << 15
 _END = 256  # added to the last byte of a word
 #: Characters on which this Python's tables and the tokenizer's agree; texts with others are split by it.
 _COMMON = regex.compile("[\x00-՗ -⁰]*+")
 
 
+def pieces(text: str):
+    """The text in pieces of about PIECE characters, each but the first beginning with a blank.
+
+    No word spans a blank, and no character composes with one, so pieces are split as the whole is.
+    """
+    begin = 0
+    while len(text) - begin > PIECE:
+        end = text.find(" ", begin + PIECE)
+        if end < 0:
+            break
+        yield text[begin:end]
+        begin = end
+    yield text[begin:] if begin else text
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -149,7 +168,7 @@ class WordBpe:
                 a, limit = parts[a][1], of_a
             else:  # a pair of the same rank further left goes first, too
                 b, limit = parts[b][0], of_b + 1
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[key] = result
         return result
@@ -224,12 +243,14 @@ class WordBpe:
         for k, part in enumerate(self._specials.split(text) if "<|" in text else [text]):
             if k % 2:
                 found.append((np.uint32(self.special[part]).astype("<u4").tobytes(), part))
-            elif part:
-                words = self._split(part)
+                continue
+            for piece in pieces(part):
+                words = self._split(piece)
                 values = list(map(self.words.get, words))
                 if None in values:
                     values = [v or self._learn(w) for v, w in zip(values, words, strict=True)]
-                found += values
+                if values:
+                    found.append((b"".join([v[0] for v in values]), " ".join([v[1] for v in values])))
         return b"".join([v[0] for v in found]), " ".join([v[1] for v in found])
 
     def _split(self, text: str) -> list[str]:
