@@ -168,7 +168,8 @@ def predict(docs: DataFrame, counts: dict, order: int = ORDER) -> DataFrame:
             ["lang", "score", "bits"],
         )
 
-    kernel = F.arrow_udf(run, "struct<lang: string, score: double, bits: double>")
+    # Else a filter on the result would be pushed below it with a second call.
+    kernel = F.arrow_udf(run, "struct<lang: string, score: double, bits: double>").asNondeterministic()
     letter = has_letter(F.col("text"))
     out = docs.withColumn("__ppm", kernel(F.when(letter, F.col("text"))))
     return out.withColumns(
