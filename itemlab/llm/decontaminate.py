@@ -182,7 +182,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             kind = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])
             return pa.array(found, pa.list_(kind))
 
-        out = out.withColumn("matches", F.concat("matches", F.arrow_udf(_one(run), _MATCHES)("text")))
+        # Else a filter on the matches would be pushed below them with a second call.
+        out = out.withColumn("matches", F.concat("matches", F.arrow_udf(_one(run), _MATCHES).asNondeterministic()("text")))
     return out
 
 
