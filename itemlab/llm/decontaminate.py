@@ -1,8 +1,8 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in training documents: n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of the test items are counted over all documents. The rare ones of each item seed
-windows of the documents, and local alignment of a window's words with the item's scores copies,
-edited ones too.
+The n-grams of the test items seed windows of the documents, and local alignment of a window's
+words with the item's scores copies, edited ones too. No seed is dropped for being in many
+documents: what survives in an edited copy that many share is frequent, and may be all there is.
 """
 
 from __future__ import annotations
@@ -20,10 +20,6 @@ from .common import hash_ngrams, hash_words, resident, small_batches, table
 
 #: Words of a seed; items of fewer words aren't looked for.
 SEED = 3
-#: A seed is rare that is in at most so many documents, ...
-RARE = 20
-#: ... or in at most so many times those of the item's median seed, which a copied item's seeds all are.
-RARE_FACTOR = 4
 #: Scores of the alignment of words; the best alignment of an item with itself has MATCH for each word.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the best score from which a passage counts as a copy.
@@ -84,16 +80,6 @@ class Items:
         self.place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else own.astype(np.int64)
         self.seeds = np.unique(own)
 
-    def keep_rare(self, documents: dict[int, int]) -> None:
-        """Drops the seeds that are frequent, given the number of documents with each."""
-        df = np.array([documents.get(int(g), 0) for g in self.gram.view(np.int64)], np.int64)
-        keep = np.zeros(len(df), bool)
-        for item in range(len(self.ids)):
-            mine = self.item == item
-            keep[mine] = df[mine] <= max(RARE, RARE_FACTOR * float(np.median(df[mine])))
-        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
-        self.seeds = np.unique(self.gram)
-
     def found(self, grams: np.ndarray) -> np.ndarray:
         """Positions of the n-grams that are seeds."""
         if not len(self.seeds):
@@ -133,25 +119,6 @@ class Items:
         return out
 
 
-def _document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
-    """Documents with each seed; as many numbers as the block of items has seeds come to the driver."""
-    shipped = docs.sparkSession.sparkContext.broadcast(items.seeds)
-
-    def run(batches):
-        seeds = shipped.value
-        for batch in batches:
-            total = np.zeros(len(seeds), np.int64)
-            for text in batch.column(0).to_pylist():
-                grams = hash_ngrams(tokens(text), SEED)
-                at = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
-                total[np.unique(at[seeds[at] == grams])] += 1
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds[some].view(np.int64)), pa.array(total[some])], ["seed", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r.seed: r.n for r in counts.collect()}
-
-
 def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``matches`` to docs (``text``): the items of benchmark (``item_id, text``) copied in the whole text.
 
@@ -173,7 +140,6 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         items = Items([r.item_id for r in rows], [r.text for r in rows])
         if not len(items.seeds):
             continue
-        items.keep_rare(_document_counts(docs, items))
         name, shipped = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
 
         def run(texts: pa.Array, name=name, shipped=shipped) -> pa.Array:

@@ -85,3 +85,18 @@ def test_empty_tables(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(items, "item_id long, text string")
     assert dc.contaminated(df.limit(0), bench).count() == 0
     assert dc.contaminated(df, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("copies", [21, 3000])
+@pytest.mark.parametrize("intact", [0, 100])
+def test_shared_edited_copies(spark, copies, intact):
+    """One edited copy that many documents share: fewer than half of its item's seeds are left, all of them frequent."""
+    rng = random.Random(5)
+    item = words(rng, 50, "q")
+    edited = [f"e{k}" if k % 5 == 4 else w for k, w in enumerate(item)]
+    around = lambda k: " ".join(words(rng, 8, f"d{k}x"))
+    docs = [(k, f"{around(k)} {' '.join(edited if k < copies else item)} {around(k)}") for k in range(copies + intact)]
+    docs += [(9000 + k, around(k)) for k in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dc.contaminated(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(copies + intact))
