@@ -79,6 +79,20 @@ class Items:
         self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
         self.place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else own.astype(np.int64)
         self.seeds = np.unique(own)
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        flat = np.concatenate(self.words) if self.words else own
+        self.vocabulary, self.entry = np.unique(flat, return_inverse=True)  # of each word of each item
+
+    def in_common(self, words: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """How many words of each of these items are among words, repeated ones each time: no alignment matches more."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        there = np.zeros(len(self.vocabulary), bool)
+        there[at[self.vocabulary[at] == words]] = True
+        length = self.length[items]
+        begin = np.cumsum(length) - length
+        places = np.repeat(self.first[items] - begin, length) + np.arange(length.sum())
+        return np.add.reduceat(there[self.entry[places]], begin, dtype=np.int64)
 
     def found(self, grams: np.ndarray) -> np.ndarray:
         """Positions of the n-grams that are seeds."""
@@ -98,6 +112,11 @@ class Items:
         times = high - low
         entry = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         item, begin = self.item[entry], np.repeat(hits, times) - self.place[entry]
+        some, which = np.unique(item, return_inverse=True)
+        enough = self.in_common(words, some) / self.length[some] >= threshold
+        item, begin = item[enough[which]], begin[enough[which]]
+        if not len(item):
+            return []
         order = np.lexsort((begin, item))
         item, begin = item[order], begin[order]
         out = []
@@ -108,8 +127,8 @@ class Items:
             for window in np.split(starts, np.flatnonzero(np.diff(starts) > 2 * margin) + 1):
                 first = max(0, int(window[0]) - margin)
                 a = words[first : int(window[-1]) + len(b) + margin]
-                if MATCH * len(np.intersect1d(a, b)) * 2 < threshold * MATCH * len(b):
-                    continue  # too few words in common, even if each were in the item twice
+                if np.isin(b, a).sum() / len(b) < threshold:
+                    continue  # too few words in common, even if all of them matched
                 score, i, j = align(a, b)
                 if score > best[0]:
                     best = score, first + i, first + j

@@ -100,3 +100,25 @@ def test_shared_edited_copies(spark, copies, intact):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = dc.contaminated(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == list(range(copies + intact))
+
+
+def test_items_of_few_words():
+    """Items that repeat their words: digit strings, tables, refrains."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("0123456789") for _ in range(100)), "la la la di da " * 12, "yes no " * 20, " ".join(words(rng, 30))]
+    items = dc.Items(list(range(4)), texts)
+    for k, text in enumerate(texts):
+        match = next(m for m in items.matches(f"before this {text} and after", 0.5) if m["item_id"] == k)
+        n = len(dc.tokens(text))
+        assert (match["score"], match["first_word"], match["last_word"]) == (1.0, 2, n + 1)
+
+
+def test_bound_holds():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(map(str, rng.integers(0, 9, rng.integers(3, 25)))) for _ in range(50)]
+    items = dc.Items(list(range(50)), texts)
+    for _ in range(20):
+        a = dc.tokens(" ".join(map(str, rng.integers(0, 12, 15))))
+        most = items.in_common(a, np.arange(50))
+        assert most.tolist() == [int(np.isin(b, a).sum()) for b in items.words]
+        assert all(dc.align(a, b)[0] <= dc.MATCH * m for b, m in zip(items.words, most, strict=True))
