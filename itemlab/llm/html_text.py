@@ -2,8 +2,9 @@
 
 The standard library's parser streams a page's events into blocks of text, the lines of the method.
 Each has a ratio of its characters outside links to its tags; the ratios along the page are smoothed
-by a Gaussian and split by a threshold into content and the rest. The element that holds the content
-gives the text, without the parts in it that their tags or names mark as something else.
+by a Gaussian and split by a threshold into content and the rest. The text is all content, with the
+short blocks between and the title before it, and the whole of the element that holds most of it and
+of the articles, without the parts that their tags or names mark as something else.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from .common import table
 
 #: Standard deviation of the smoothing, in blocks.
 SIGMA = 1.0
-#: Share of the content's characters that an element must hold to be taken for the place of all.
+#: Share of the content's characters that an element must hold to be taken for the place of all, and kept whole.
 MOST = 0.75
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,6 +29,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span"
     " strike strong sub sup time tt u var".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are a part of a text, with other parts beside them, rather than the place of all.
+PARTS = HEADINGS | frozenset("p li ul ol dl blockquote pre figure".split())
 #: Elements that are never part of a text.
 NEVER = frozenset(
     "script style noscript template head title nav footer aside form button select option textarea iframe object embed"
@@ -201,15 +205,36 @@ def main_text(html: str | None) -> str:
     else:
         children: dict[int, list[int]] = {}
         for k in range(1, len(page.parent)):
-            if page.kind[k] not in INLINE and page.kind[k] not in ("p", "li", "h1", "h2", "h3"):
+            if page.kind[k] not in INLINE and page.kind[k] not in PARTS:
                 children.setdefault(page.parent[k], []).append(k)
         while more := [k for k in children.get(best, ()) if inside[k] >= MOST * inside[0] and inside[k]]:
             best = more[0]
-    chosen = []
-    for (text, _, linked, node), n in zip(page.blocks, size, strict=True):
-        if within(page, node, best) and (named or 2 * linked < n):
-            chosen.append(text)
-    return "\n\n".join(chosen)
+    whole = [k == best or page.kind[k] == "article" and not page.out[k] and inside[k] > 0 for k in range(len(page.parent))]
+    for k in range(1, len(whole)):
+        whole[k] = whole[k] or whole[page.parent[k]]
+    keep = np.array([whole[node] for _, _, _, node in page.blocks])
+    prose = 2 * (size - plain) < size
+    keep = keep & (prose | bool(named)) | content & prose
+    for begin, end in gaps(keep):
+        if begin and end < len(keep):
+            keep[begin:end] = prose[begin:end]
+        elif end < len(keep):  # the title, and what is between it and the text
+            titles = [k for k in range(end) if prose[k] and heading(page, page.blocks[k][3])]
+            if titles:
+                keep[titles[0] : end] = prose[titles[0] : end]
+    return "\n\n".join(text for (text, _, _, _), kept in zip(page.blocks, keep, strict=True) if kept)
+
+
+def gaps(keep: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of the runs of blocks that aren't kept."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def heading(page: Page, node: int) -> bool:
+    while page.kind[node] in INLINE:
+        node = page.parent[node]
+    return page.kind[node] in HEADINGS
 
 
 def within(page: Page, node: int, above: int) -> bool:

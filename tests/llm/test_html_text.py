@@ -72,3 +72,20 @@ def test_rows(spark):
     got = sorted((tuple(r) for r in html_text.extract_text(df).collect()), key=str)
     assert got == [(1, None, "", 0), (1, None, "", 0), (None, "u", "x", 1)]
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+P = f"<p>{LONG}</p>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<div><h1>Title</h1><p>The lead of it.</p><div class=body>{P * 4}</div></div>", ["Title", "The lead of it.", *[LONG.strip()] * 4]),
+    (f"<body><div>Slogan</div><div class=c><p>Intro</p><ul>{f'<li>{LONG}</li>' * 9}</ul><p>Outro</p></div><p>Print</p></body>",
+     ["Intro", *[LONG.strip()] * 9, "Outro"]),
+    (f"<div><div>{P * 8}</div><p>By us</p><p>Go <a href=/1>to another page</a></p><div>{P}</div></div>",
+     [*[LONG.strip()] * 8, "By us", LONG.strip()]),
+    (f"<article><h1>A</h1>{P}</article><article><h1>B</h1>{P}</article>", ["A", LONG.strip(), "B", LONG.strip()]),
+    (f"<main><h1>Title</h1><p>The lead of it.</p><article>{P * 5}</article></main>", ["Title", "The lead of it.", *[LONG.strip()] * 5]),
+    (f"{MENU}<div><h1>Title</h1>{P * 3}</div><article>{P}</article>", ["Title", *[LONG.strip()] * 4]),
+])
+def test_content_outside_the_place_of_most(page, want):
+    assert main_text(page).split("\n\n") == want
