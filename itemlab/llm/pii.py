@@ -24,6 +24,8 @@ from .common import resident, small_batches, stored, table
 KEY = b"surrogate-key"
 #: Entities of which the attempts are broadcast at most; beyond that they are joined to the documents.
 BROADCAST_ROWS = 500_000
+#: Characters before a number in which a word for cards makes it one, though its check digit is wrong.
+CARD_REACH = 64
 #: From this attempt on a surrogate is longer than its form, so that small ranges can't run out.
 WIDEN = 12
 
@@ -58,7 +60,7 @@ _NUMBER = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\w)"
     r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w.-])[3-6](?:\d{12,18}|\d{3}(?:[ -]\d{4}){3}|\d{3}[ -]\d{6}[ -]\d{5})(?![\w]|[.-]\d))"
+    r"|(?P<card>(?<![\w.-])[2-6](?:\d{12,18}|\d{3}(?:[ -]\d{4}){3}|\d{3}[ -]\d{6}[ -]\d{5})(?![\w]|[.-]\d))"
 )
 _SECRET = re.compile(
     r"(?P<aws>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))"
@@ -68,12 +70,20 @@ _SECRET = re.compile(
     re.S,
 )
 _HINT = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|PRIVATE KEY|(?i:passw|pwd|token|secret|api[_-]?key|access[_-]?key)")
+#: First digits of card numbers: Mastercard's second range, and those of American Express, Diners, JCB, Visa, Mastercard, Maestro, Discover.
+_BRAND = re.compile(r"222[1-9]|22[3-9]|2[3-6]|27[01]|2720|[3-6]")
+_CARD_WORD = re.compile(r"(?i:\b(?:(?:credit|debit|kredit|bank)?(?:card|karte|carte|tarjeta)s?n?|visa|mastercard|amex|maestro)\b)")
 _PERSON = re.compile(
     rf"\b(?P<title>{'|'.join(_TITLE)})\b\.?[ ](?P<titled>{_CAPITAL}(?:[ ]{_CAPITAL})?)"
     rf"|\b(?P<given>{'|'.join(_GENDER)})[ ](?P<family>{_CAPITAL})"
 )
 
 
+def card(digits: str, text: str, begin: int) -> bool:
+    """Whether digits are a card's number: a known brand's, and a valid one or one that a word for cards announces."""
+    return bool(_BRAND.match(digits)) and (luhn(digits) == 0 or bool(_CARD_WORD.search(text, max(0, begin - CARD_REACH), begin)))
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """Begin, end, type and canonical form of the personal data of a text, in order and disjoint."""
     if not text:
@@ -92,6 +102,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "phone" and sum(map(str.isdigit, raw)) > 15:
                 continue
+            if kind == "card" and not card(re.sub(r"\D", "", raw), text, m.start()):
+                continue
             canon = raw if kind == "ip" else re.sub(r"[^0-9A-Za-z]", "", raw)
             found.append((m.start(), m.end(), kind, canon.lower() if kind == "mac" else canon))
     for m in _PERSON.finditer(text):
@@ -177,7 +189,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind == "mac":
         return canon[:1] + "".join("0123456789abcdef"[draw.below(16)] for _ in canon[1:])
     if kind == "card":
-        body = draw.alike(canon, 1)
+        body = draw.alike(canon, 4 if canon[0] == "2" else 1)  # the brand stays
         if luhn(canon) == 0:
             body = next(body[:-1] + str(d) for d in range(10) if luhn(body[:-1] + str(d)) == 0)
         elif luhn(body) == 0:
