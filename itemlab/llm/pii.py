@@ -8,6 +8,7 @@ attempts are sent to the texts.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import ipaddress
@@ -73,6 +74,7 @@ _HINT = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|PRIVATE KEY|(?i:passw|pw
 #: First digits of card numbers: Mastercard's second range, and those of American Express, Diners, JCB, Visa, Mastercard, Maestro, Discover.
 _BRAND = re.compile(r"222[1-9]|22[3-9]|2[3-6]|27[01]|2720|[3-6]")
 _CARD_WORD = re.compile(r"(?i:\b(?:(?:credit|debit|kredit|bank)?(?:card|karte|carte|tarjeta)s?n?|visa|mastercard|amex|maestro)\b)")
+_WORD = re.compile(r"\w")
 _PERSON = re.compile(
     rf"\b(?P<title>{'|'.join(_TITLE)})\b\.?[ ](?P<titled>{_CAPITAL}(?:[ ]{_CAPITAL})?)"
     rf"|\b(?P<given>{'|'.join(_GENDER)})[ ](?P<family>{_CAPITAL})"
@@ -105,6 +107,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             if kind == "card" and not card(re.sub(r"\D", "", raw), text, m.start()):
                 continue
             canon = raw if kind == "ip" else re.sub(r"[^0-9A-Za-z]", "", raw)
+            if kind == "phone" and raw.startswith("+1") and len(canon) == 11:
+                canon = canon[1:]  # the national number, as it is written without the country
             found.append((m.start(), m.end(), kind, canon.lower() if kind == "mac" else canon))
     for m in _PERSON.finditer(text):
         if m["given"]:
@@ -118,7 +122,42 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     for x in found:
         if not out or x[0] >= out[-1][1]:
             out.append(x)
-    return out
+    return resolved(text, out) if any(kind.startswith("name:") for _, _, kind, _ in out) else out
+
+
+def resolved(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """found with each mention of a person under the full name, and with the bare repeats of the names' parts.
+
+    A title and family name is the last full name of that gender and family before it, or the first after
+    it; a bare given or family name after a name is the last one before it that has it.
+    """
+    full: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    for begin, _, kind, canon in found:
+        if kind.startswith("name:") and " " in canon:
+            full.setdefault((kind, canon.split(" ", 1)[1]), []).append((begin, canon))
+    out, parts = [], {}
+    for begin, end, kind, canon in found:
+        if kind.startswith("name:"):
+            if same := full.get((kind, canon)):
+                canon = same[max(0, bisect.bisect(same, (begin,)) - 1)][1]
+            for part in canon.split(" ", 1):
+                parts.setdefault(part, []).append((begin, kind, canon))
+        out.append((begin, end, kind, canon))
+    bare, begins = [], [x[0] for x in out]
+    for part, named in parts.items():
+        at = text.find(part, named[0][0])
+        while at >= 0:
+            end = at + len(part)
+            k = bisect.bisect(begins, at) - 1
+            free = (k < 0 or out[k][1] <= at) and (k + 1 == len(out) or end <= begins[k + 1])
+            if free and not _WORD.match(text[at - 1 : at]) and not _WORD.match(text[end : end + 1]):
+                bare.append((at, end, *named[bisect.bisect(named, (at,)) - 1][1:]))
+            at = text.find(part, end)
+    taken = []
+    for x in sorted(bare, key=lambda x: (x[0], -x[1])):  # parts may overlap, as Weber and Weber-Ortega
+        if not taken or x[0] >= taken[-1][1]:
+            taken.append(x)
+    return sorted(out + taken)
 
 
 class Draw:
@@ -209,7 +248,9 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         return canon[:2] + (_iban_check(canon[:2], rest) if valid else draw.alike(canon[2:4])) + rest + extra
     if kind.startswith("name:"):
         _, gender, script = kind.split(":")
-        given, families = NAMES[gender, script], FAMILIES[script]
+        own = canon.split(" ", 1)  # not to be drawn: parts of a name are replaced by themselves, too
+        given = [x for x in NAMES[gender, script] if x != own[0]]
+        families = [x for x in FAMILIES[script] if own[-1] not in (x, x + "а")]
         family = families[draw.below(len(families))]
         if attempt >= 3:  # lists are short: a second family name, then more
             family += "".join("-" + families[draw.below(len(families))] for _ in range(1 + (attempt - 3) // 3))
@@ -228,7 +269,11 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
 
 def dressed(kind: str, surface: str, canon: str, new: str) -> str:
     """The surrogate in the form of the surface: its separators and its case."""
+    if kind.startswith("name:") and " " in canon and surface != canon:  # a mention by a part of the name
+        return new.split(" ", 1)[0 if surface == canon.split(" ", 1)[0] else 1]
     if kind in ("phone", "card", "ssn", "iban", "mac"):
+        if kind == "phone" and surface.startswith("+1") and sum(map(str.isdigit, surface)) == len(canon) + 1:
+            new = "1" + new
         letters, out = iter(new), []
         for c in surface:
             out.append(next(letters, "") if c.isalnum() else c)

@@ -111,3 +111,22 @@ def test_numbers_that_are_no_cards_stay():
         new = pii.replace(f"paid by {number}.", b"k", {})[0]
         assert number not in new and [k for _, k in kinds(new)] == ["card"]
     assert kinds("my card number is 4041894974608796") == [("4041894974608796", "card")]
+
+
+def test_mentions_of_one_person():
+    text = "Anna Miller came. Ms Miller said that Miller's and Anna Miller's friend Peter Miller, or Mr Miller, left. Anna stayed; Annabel too."
+    new = pii.replace(text, b"k", {})[0]
+    anna, peter = (pii.surrogate(b"k", f"name:{g}:latin", n, 0).split(" ") for g, n in (("f", "Anna Miller"), ("m", "Peter Miller")))
+    assert new == (f"{' '.join(anna)} came. Ms {anna[1]} said that {anna[1]}'s and {' '.join(anna)}'s friend {' '.join(peter)}, or Mr {peter[1]},"
+                   f" left. {anna[0]} stayed; Annabel too.")
+    assert "Anna" != anna[0] and "Miller" not in new
+    assert pii.replace("Ms Miller is Anna Miller.", b"k", {})[0] == f"Ms {anna[1]} is {' '.join(anna)}."
+    titled = pii.surrogate(b"k", "name:m:latin", "Brook", 0)
+    assert pii.replace("Mr Brook, then Brook", b"k", {})[0] == f"Mr {titled}, then {titled}"
+
+
+def test_phones_of_one_number():
+    digits = lambda s: re.sub(r"\D", "", s)
+    new = pii.replace("+1 (988) 555-2485 or (988) 555-2485 or 988-555-2485", b"k", {})[0].split(" or ")
+    assert digits(new[0]) == "1" + digits(new[1]) and digits(new[1]) == digits(new[2]) != "9885552485"
+    assert new[0].startswith("+1 (")
