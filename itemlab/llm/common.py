@@ -53,10 +53,13 @@ def hash_ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (a local session, as in tests) a temporary one is set.
+    Where a local session names none (as in tests) a temporary one is set; a cluster's must name one,
+    as each machine would write its own.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(place)
         place = spark.sparkContext.getCheckpointDir()
@@ -69,18 +72,71 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{re.sub(r'[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of a block; the user's own comes back after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+#: Rows and bytes of a batch of rows that Spark hands to Python, at most: texts are large rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def _smaller(spark: SparkSession) -> dict[str, str]:
+    out = {}
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(str(spark.conf.get(key)).rstrip("b")) <= most:
+            out[key] = str(most)
+    return out
+
+
+def stored(df: DataFrame, name: str, partition_by: str | None = None, path: str | None = None) -> DataFrame:
     """The rows of df, written once as Parquet in the shared folder and read again.
 
     Cuts the lineage: what is computed once isn't computed anew for each use, nor after the loss
-    of an executor, and every use sees the same rows.
+    of an executor, and every use sees the same rows. The shuffles that led to it are given back.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path, partitionBy=partition_by)
+    path = path or scratch_path(spark, name)
+    with contextlib.ExitStack() as during:
+        for key, value in {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **_smaller(spark)}.items():
+            during.enter_context(setting(spark, key, value))
+        df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Tables that one operator stores for itself; those not dropped before go at the end of the block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def store(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        self.paths[name] = scratch_path(self.spark, name)
+        return stored(df, name, partition_by, self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            removed(self.spark, self.paths.pop(name))
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.paths)
+
+
 _resident: dict = {}
 
 
@@ -99,17 +155,14 @@ def resident(key: str, build):
     return _resident[key]
 
 
-#: Rows and bytes of a batch of rows that Spark hands to Python, at most: texts are large rows.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's batches for Python to what keeps a worker's memory small, if they are larger."""
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = int(str(spark.conf.get(key)).rstrip("b"))
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
+    """Lowers the session's batches for Python to what keeps a worker's memory small, if they are larger.
+
+    For queries and pipelines, which own their session. Operators leave it as it is; what they store
+    themselves they write with small batches.
+    """
+    for key, value in _smaller(spark).items():
+        spark.conf.set(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

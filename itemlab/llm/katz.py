@@ -1,14 +1,18 @@
 """Language-model scores by Katz backoff over words.
 
-P(w | h) = d(c) c(h, w) / (c(h) + RESERVE) where the pair was seen in training, else a(h) P(w), and
-P(w) is d(c) c(w) / N, or what that leaves for all unseen words together. The discounts d are
-Good-Turing's; the weights a(h) share exactly what the seen pairs leave among the unseen words, so
-that the probabilities after every h add up to one.
-
-Texts are gathered into blocks of a few million tokens. A block asks for the counts of its distinct
-words and pairs, packed by ranges of their hashes; a range is counted by one task, which writes its
-part of the n-gram tables and answers every block. As blocks ask once for an n-gram, however often
-it occurs, no range is larger for a frequent one.
+An n-gram of order k is a word after k - 1 others; texts begin with marks and end with an end, which
+is a word. P_k(w | h) = d(c) c(h, w) / (c(h) + RESERVE) where training has the n-gram, else
+a(h) P_{k-1}(w | h') with h' one word shorter, down to P_1(w), which is d(c) c(w) / N or what that
+leaves for all unseen words together. The discounts d are Good-Turing's, of each order. The weights
+a(h) share exactly what the seen n-grams leave among the unseen words, so that the probabilities
+after every h add up to one; after an h that training doesn't have, the weight is 1.
+
+Texts are gathered into blocks of about a million tokens. Order by order, a block asks for the counts
+of its distinct n-grams, packed by ranges of their hashes; a range is counted by one task, which
+writes its part of the n-gram table and answers the blocks. With the counts, blocks send what their
+n-grams take from each context, to ranges of contexts, whose weights are stored and sent back in the
+same way. As blocks ask once for an n-gram, however often it occurs, no range is larger for a
+frequent one; only cells that aren't empty are sent, so messages never outnumber the n-grams.
 """
 
 from __future__ import annotations
@@ -21,11 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, runs, small_batches, stored, table, words_of
+from .common import Scratch, hash_words, mix, runs, small_batches, stored, table, words_of
 from .ppm import crc_mod
 
+#: Words of the longest n-grams.
+ORDER = 3
 #: Tokens of a block, and n-grams asked for in a range, about.
-BLOCK = 700_000
+BLOCK = 1_000_000
+#: Tasks of an exchange, at most; beyond that a task counts several ranges, one after another.
+TASKS = 50_000
 #: Counts up to this are discounted.
 K = 5
 #: Part of an event that every context keeps for unseen words, so that its discount is never nothing.
@@ -33,17 +41,33 @@ RESERVE = 0.1
 _END = np.uint64(0x5851F42D4C957F2D)
 _BEGIN = np.uint64(0x14057B7EF767814F)
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
-WORDS, PAIRS = 1, 2
 
 _BLOCKS = (
     "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, tokens binary, n_words long, n_tokens long"
 )
-_ASKED = "kind int, bucket int, block long, keys binary, counts binary, flags binary"
+_ASKED = "bucket int, block long, keys binary, counts binary, flags binary"
 _ANSWERED = _ASKED + ", of_counts array<long>, total long, distinct long"
+_STATES = (
+    "part int, block long, bucket int, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>,"
+    " base array<double>, score array<double>, keys binary, counts binary, mass binary, lower binary, flags binary,"
+    " docs binary, places binary"
+)
+_WEIGHTS = "part int, block long, bucket int, keys binary, weights binary"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_TYPES = {
+    "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<boolean>": pa.list_(pa.bool_()),
+    "array<double>": pa.list_(pa.float64()),
+}
+
+
+def batch_of(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _TYPES[t]) for n, t in zip(names, kinds, strict=True)], names)
 
 
 def planes(values: np.ndarray) -> bytes:
-    """The bytes of integers, all lowest ones first: the high ones of small numbers become runs of zeros."""
+    """The bytes of numbers, all lowest ones first: the high ones of small numbers become runs of zeros."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
@@ -53,7 +77,7 @@ def from_planes(raw: bytes, dtype) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers most of which are small."""
+    """Numbers most of which are small, or of few different values."""
     return zlib.compress(planes(values), 1)
 
 
@@ -70,10 +94,13 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(from_planes(raw, np.uint64), dtype=np.uint64)
 
 
-def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where in sorted keys each of so many equal ranges of 64-bit numbers begins, and the end."""
-    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
+def cells(keys: np.ndarray, buckets: int):
+    """Of sorted keys, each of so many equal ranges of 64-bit numbers that has any: its number, and a slice."""
+    if len(keys):
+        bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(bucket[begin]), slice(begin, end)
 
 
 def _blocks(batches):
@@ -84,13 +111,10 @@ def _blocks(batches):
         order = np.argsort(-counts, kind="stable")  # frequent words get small numbers
         number = np.empty(len(order), np.int32)
         number[order] = np.arange(len(order))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId() << 32 | seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-             pa.array([held], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())),
-             pa.array([words[order].tobytes()], pa.binary()), pa.array([pack(number[tokens])], pa.binary()),
-             pa.array([len(words)], pa.int64()), pa.array([len(tokens)], pa.int64())],
-            [c.split()[0] for c in _BLOCKS.split(", ")],
-        )
+        return batch_of(_BLOCKS, [{
+            "block": TaskContext.get().partitionId() << 32 | seq, "doc_ids": ids, "held": held, "sizes": sizes,
+            "words": words[order].tobytes(), "tokens": pack(number[tokens]), "n_words": len(words), "n_tokens": len(tokens),
+        }])
 
     for batch in batches:
         rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
@@ -106,84 +130,78 @@ def _blocks(batches):
 
 
 class Block:
-    """Tokens of some documents, with their distinct words and pairs in the order of their hashes."""
+    """Tokens of some documents, and the hashes of the n-grams that end with them."""
 
     def __init__(self, row: dict):
-        self.number, self.ids = row["block"], row["doc_ids"]
-        self.held, self.sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
-        self.words, number = np.unique(np.frombuffer(row["words"], np.uint64), return_inverse=True)
-        self.tokens = number.astype(np.int32)[unpack(row["tokens"], np.int32)]
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.train = ~self.held[self.doc]
-        first = np.cumsum(self.sizes) - self.sizes
-        self.before = np.concatenate([[0], self.tokens[:-1]]).astype(np.int64)
-        self.before[first] = len(self.words)  # the place of the beginning of a text
-        h = np.append(self.words, _BEGIN)[self.before]
-        self.pairs, self.pair = np.unique(mix(h * _MULTIPLIER ^ self.words[self.tokens]), return_inverse=True)
-
-    def questions(self, buckets: dict[int, int]):
-        """What the block asks for: its words with flags for the contexts of held-out tokens, and its pairs."""
-        wanted = np.zeros(len(self.words) + 1, np.uint8)
-        wanted[self.before[~self.train]] = 1
-        for kind, keys, of_token, flags in (
-            (WORDS, self.words, self.tokens, wanted[:-1]),
-            (PAIRS, self.pairs, self.pair, np.zeros(len(self.pairs), np.uint8)),
-        ):
-            counts = np.bincount(of_token[self.train], minlength=len(keys)).astype(np.uint32)
-            edges = bucket_edges(keys, buckets[kind])
-            for k in range(buckets[kind]):
-                part = slice(edges[k], edges[k + 1])
-                if edges[k] < edges[k + 1]:
-                    yield (kind, k, self.number, pack_sorted(keys[part]), pack(counts[part]), pack(flags[part]))
-
-
-def _ask(buckets: dict[int, int]):
-    names = [c.split()[0] for c in _ASKED.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-
+        self.number, self.ids, self.held = row["block"], row["doc_ids"], row["held"]
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)[unpack(row["tokens"], np.int32)]
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.train = ~np.array(self.held, bool)[self.doc]
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def orders(self, order: int):
+        """For each order: hashes of the tokens' contexts (None for words) and of their n-grams."""
+        grams = self.words
+        yield None, grams
+        for _ in range(1, order):
+            contexts = np.concatenate([grams[:1], grams[:-1]])
+            contexts[self.first] = _BEGIN
+            grams = mix(contexts * _MULTIPLIER ^ self.words)
+            yield contexts, grams
+
+    def questions(self, k: int, buckets: int):
+        """What the block asks for: its distinct n-grams of order k, with their counts in training."""
+        grams = list(self.orders(k))[-1][1]
+        keys, at = np.unique(grams, return_inverse=True)
+        counts = np.bincount(at[self.train], minlength=len(keys)).astype(np.uint32)
+        wanted = np.zeros(len(keys), np.uint8)  # as a context of a held-out token
+        follow = np.ones(len(grams), bool)
+        follow[np.cumsum(self.sizes) - 1] = False
+        wanted[at[follow & ~self.train]] = 1
+        for bucket, part in cells(keys, buckets):
+            yield {"bucket": bucket, "block": self.number, "keys": pack_sorted(keys[part]), "counts": pack(counts[part]),
+                   "flags": pack(wanted[part])}
+
+
+def _ask(k: int, buckets: int):
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                rows = list(Block(batch.slice(k, 1).to_pylist()[0]).questions(buckets))
+            for at in range(batch.num_rows):
+                rows = list(Block(batch.slice(at, 1).to_pylist()[0]).questions(k, buckets))
                 for begin in range(0, len(rows), 64):
-                    columns = zip(*rows[begin : begin + 64], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                    yield batch_of(_ASKED, rows[begin : begin + 64])
 
     return run
 
 
-def _answer(batches):
-    """Counts a range of n-grams: a row of the n-gram table (block null), and an answer to each block.
+#: Bits of an answer's flags: this block is the first of those that have the n-gram in training; some block wants it as a context.
+FIRST, WANTED = 1, 2
 
-    Flags of words: some block wants it as a context. Flags of pairs: this block is the first of those
-    that saw it in training.
-    """
-    names = [c.split()[0] for c in _ANSWERED.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.int64(), pa.int64()]
-    for group in runs(batches, ["kind", "bucket"]):
+
+def _answer(batches):
+    """Counts a range of n-grams: a row of the n-gram table (block null), and an answer to each block."""
+    for group in runs(batches, ["bucket"]):
         rows = group.to_pylist()
         asked = [unpack_sorted(r["keys"]) for r in rows]
         keys, at = np.unique(np.concatenate(asked), return_inverse=True)
         own = np.concatenate([unpack(r["counts"], np.uint32) for r in rows])
         total = np.bincount(at, own, len(keys)).astype(np.int64)
-        kind, bucket = rows[0]["kind"], rows[0]["bucket"]
-        if kind == WORDS:
-            flags = np.bincount(at, np.concatenate([unpack(r["flags"], np.uint8) for r in rows]), len(keys)) > 0
-            flags = flags[at]
-        else:
-            seen = np.flatnonzero(own)
-            flags = np.zeros(len(own), bool)
-            flags[seen[np.unique(at[seen], return_index=True)[1]]] = True
+        wanted = np.bincount(at, np.concatenate([unpack(r["flags"], np.uint8) for r in rows]), len(keys)) > 0
+        flags = np.where(wanted[at], WANTED, 0).astype(np.uint8)
+        seen = np.flatnonzero(own)
+        flags[seen[np.unique(at[seen], return_index=True)[1]]] |= FIRST
         known = total > 0
-        of_counts = np.bincount(total[total <= K + 1], minlength=K + 2).tolist()
-        out = [(kind, bucket, None, pack_sorted(keys[known]), pack(total[known]), None, of_counts, int(total.sum()),
-                int(known.sum()))]
+        yield batch_of(_ANSWERED, [{
+            "bucket": rows[0]["bucket"], "keys": pack_sorted(keys[known]), "counts": pack(total[known]),
+            "of_counts": np.bincount(total[total <= K + 1], minlength=K + 2).tolist(), "total": int(total.sum()),
+            "distinct": int(known.sum()),
+        }])
         begin = 0
         for r, k in zip(rows, asked, strict=True):
             part = slice(begin, begin + len(k))
-            out.append((kind, bucket, r["block"], None, pack(total[at[part]]), pack(flags[part]), None, None, None))
+            yield batch_of(_ANSWERED, [{"bucket": r["bucket"], "block": r["block"], "counts": pack(total[at[part]]), "flags": pack(flags[part])}])
             begin += len(k)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 def discounts(of_counts: list[int], k: int = K) -> np.ndarray:
@@ -208,142 +226,212 @@ def discounts(of_counts: list[int], k: int = K) -> np.ndarray:
 
 
 class Model:
-    """Of all words: N, V, discounts of words and pairs, the probability left for unseen words."""
+    """Of the whole of training: tokens, distinct words, texts, discounts of each order, what is left for unseen words."""
 
-    def __init__(self, total: int, distinct: int, words: list[int], pairs: list[int]):
-        self.total, self.distinct = total, distinct
-        self.of_words, self.of_pairs = discounts(words), discounts(pairs)
+    def __init__(self, total: int, distinct: int, texts: int, of_counts: list[list[int]]):
+        self.total, self.distinct, self.texts = total, distinct, texts
+        self.d = [discounts(n) for n in of_counts]
         r = np.arange(K + 2)
-        self.unseen = float((np.array(words) * r * (1 - self.of_words))[: K + 1].sum()) / total if total else 1.0
+        self.unseen = float((np.array(of_counts[0]) * r * (1 - self.d[0]))[: K + 1].sum()) / total if total else 1.0
 
-    def word(self, c: np.ndarray) -> np.ndarray:
-        p = self.of_words[np.minimum(c, K + 1)] * c / max(1, self.total)
-        return np.where(c > 0, p, self.unseen)
+    def kept(self, k: int, c: np.ndarray) -> np.ndarray:
+        """The discounted counts of n-grams of order k."""
+        return self.d[k - 1][np.minimum(c, K + 1)] * c
+
+    def seen(self, k: int, c: np.ndarray, of_context) -> np.ndarray:
+        """P of n-grams of order k that training has, by their counts and those of their contexts."""
+        return self.kept(k, c) / (of_context + RESERVE if k > 1 else max(1, self.total))
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
-
-_SCORED = (
-    "part int, doc long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double,"
-    " h long, mass float, lower float, n long"
-)
+    def weight(self, mass: np.ndarray, lower: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """a(h), from what is taken off its n-grams, the sum of the shorter ones' P, and its count."""
+        return (RESERVE + mass) / (count + RESERVE) / np.maximum(1 - lower, 1e-300)
 
 
-def _score(model: Model):
-    """Parts of a block's result.
+def _states(model: Model, order: int, buckets: int):
+    """Part 0 of a block's result: its documents, scored but for the weights, and in parts 2, 3, ... what these orders need.
 
-    0: a document, its score still without the backoff weights; 1: what is taken off the counts of a
-    context's pairs, of those that this block is the first to hold, the probability of their words,
-    and the context's count; 2: how often a document needs a context's weight.
+    Part k has, for ranges of contexts of order k, the keys of those that held-out tokens want:
+    mass and lower are what the block's n-grams (those it is the first to have) add to what is taken
+    off the context's n-grams and to the sum of the shorter ones' probabilities; flags say which
+    contexts the block's own tokens back off from. docs and places say which document does, and at
+    which of the flagged keys of the block.
     """
-    names = [c.split()[0] for c in _SCORED.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(),
-             pa.int64(), pa.float32(), pa.float32(), pa.int64()]
-
-    def batch(size: int, /, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in zip(names, kinds, strict=True)], names
-        )
 
     def run(batches):
         for group in runs(batches, ["block"]):
             rows = group.to_pylist()
-            b = Block(next(r for r in rows if r["kind"] == 0))
-            counts, flags = {}, {}
-            for kind in (WORDS, PAIRS):
-                own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["bucket"])
-                counts[kind] = np.concatenate([unpack(r["counts"], np.int64) for r in own])
-                flags[kind] = np.concatenate([unpack(r["flags"], bool) for r in own])
-            del rows, group
-            of_word, of_pair = counts[WORDS], counts[PAIRS]
-            lower = model.word(of_word)
-            end = int(np.searchsorted(b.words, _END))
-            of_context = np.append(of_word, of_word[end])  # every text has a beginning and an end
-            wanted = np.append(flags[WORDS], True)
-            contexts = np.append(b.words, _BEGIN).view(np.int64)
-            number = (b.number << 20) + np.arange(len(b.ids))
-
-            c = of_pair[b.pair]
-            seen = c > 0
-            p = model.of_pairs[np.minimum(c, K + 1)] * c / (of_context[b.before] + RESERVE)
-            log = np.log10(np.where(seen, p, lower[b.tokens]))
+            b = Block(next(r for r in rows if r["part"] == 0))
             n = len(b.ids)
-            known = of_word[b.tokens] > 0
-            yield batch(
-                n, part=np.zeros(n, np.int32), doc=number, doc_id=b.ids, held_out=b.held, n_tokens=b.sizes,
-                n_known=np.bincount(b.doc, known, n).astype(np.int64),
-                base_score=np.bincount(b.doc, model.base(of_word[b.tokens]), n), score=np.bincount(b.doc, log, n),
-            )
-
-            one = np.unique(b.pair, return_index=True)[1]  # a token of each pair
-            one = one[flags[PAIRS]]
-            one = one[wanted[b.before[one]]]
-            at, back = np.unique(b.before[one], return_inverse=True)
-            off = (1 - model.of_pairs[np.minimum(c[one], K + 1)]) * c[one]
-            yield batch(
-                len(at), part=np.ones(len(at), np.int32), h=contexts[at], n=of_context[at],
-                mass=np.bincount(back, off, len(at)), lower=np.bincount(back, lower[b.tokens[one]], len(at)),
-            )
-
-            # Nothing is known of a context that training doesn't have: its weight is 1.
-            off = np.flatnonzero(~seen & (of_context[b.before] > 0))
-            ids, times = np.unique(b.doc[off] * len(contexts) + b.before[off], return_counts=True)
-            yield batch(
-                len(ids), part=np.full(len(ids), 2, np.int32), doc=number[ids // len(contexts)],
-                h=contexts[ids % len(contexts)], n=times,
-            )
+            todo = np.ones(len(b.words), bool)  # tokens whose n-grams of higher orders weren't seen
+            out, steps = [], list(b.orders(order))
+            below, places = None, {}
+            counts: list[np.ndarray] = []
+            wanted: list[np.ndarray] = []
+            firsts: list[np.ndarray] = []
+            for k in range(1, order + 1):
+                keys, at = np.unique(steps[k - 1][1], return_inverse=True)
+                own = sorted((r for r in rows if r["part"] == k), key=lambda r: r["bucket"])
+                c = np.concatenate([unpack(r["counts"], np.int64) for r in own])
+                flags = np.concatenate([unpack(r["flags"], np.uint8) for r in own])
+                counts.append(c[at])
+                wanted.append(flags[at] & WANTED > 0)
+                one = np.zeros(len(keys), np.int64)
+                one[at[::-1]] = np.arange(len(at))[::-1]  # the first token of each n-gram
+                firsts.append(one[flags & FIRST > 0])
+            del rows, group
+
+            def before(values, at_begin):
+                moved = np.concatenate([values[:1], values[:-1]])
+                moved[b.first] = at_begin
+                return moved
+
+            log = np.zeros(len(b.words))
+            for k in range(order, 0, -1):
+                c = counts[k - 1]
+                of_context = before(counts[k - 2], model.texts) if k > 1 else None
+                hit = todo & (c > 0)
+                log[hit] = np.log10(model.seen(k, c[hit], of_context[hit] if k > 1 else None))
+                todo &= c == 0
+                if k == 1:
+                    log[todo] = np.log10(model.unseen)
+                    break
+                contexts = steps[k - 1][0]
+                back = np.flatnonzero(todo & (of_context > 0))
+                one = firsts[k - 1]
+                one = one[before(wanted[k - 2], True)[one]]
+                keys, at = np.unique(np.concatenate([contexts[one], contexts[back]]), return_inverse=True)
+                taken, of_back = at[: len(one)], at[len(one) :]
+                mass = np.bincount(taken, c[one] - model.kept(k, c[one]), len(keys))
+                shorter = before(counts[k - 3], model.texts)[one] if k > 2 else None
+                lower = np.bincount(taken, model.seen(k - 1, counts[k - 2][one], shorter), len(keys))
+                count = np.zeros(len(keys), np.int64)
+                count[taken], count[of_back] = of_context[one], of_context[back]
+                mine = np.zeros(len(keys), np.uint8)
+                mine[of_back] = 1
+                place = np.cumsum(mine) - 1
+                yield batch_of(_STATES, [{"part": k + order, "block": b.number, "docs": pack(b.doc[back]),
+                                          "places": pack(place[of_back].astype(np.int32))}])
+                rows = [
+                    {"part": k, "block": b.number, "bucket": bucket, "keys": pack_sorted(keys[p]), "counts": pack(count[p]),
+                     "mass": pack(mass[p]), "lower": pack(lower[p]), "flags": pack(mine[p])}
+                    for bucket, p in cells(keys, buckets)
+                ]
+                for begin in range(0, len(rows), 64):
+                    yield batch_of(_STATES, rows[begin : begin + 64])
+            yield batch_of(_STATES, [{
+                "part": 0, "block": b.number, "doc_ids": b.ids, "held": b.held, "n_tokens": b.sizes.tolist(),
+                "n_known": np.bincount(b.doc, counts[0] > 0, n).astype(np.int64).tolist(),
+                "base": np.bincount(b.doc, model.base(counts[0]), n).tolist(), "score": np.bincount(b.doc, log, n).tolist(),
+            }])
+
+    return run
+
+
+def _weigh(model: Model):
+    """The weights of a range of contexts: a row of their table (block null), and those each block asked for."""
+
+    def run(batches):
+        for group in runs(batches, ["part", "bucket"]):
+            rows = group.to_pylist()
+            asked = [unpack_sorted(r["keys"]) for r in rows]
+            keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+            mass, lower = (np.bincount(at, np.concatenate([unpack(r[c], np.float64) for r in rows]), len(keys)) for c in ("mass", "lower"))
+            count = np.zeros(len(keys), np.int64)
+            count[at] = np.concatenate([unpack(r["counts"], np.int64) for r in rows])
+            weights = model.weight(mass, lower, count)
+            part, bucket = rows[0]["part"], rows[0]["bucket"]
+            yield batch_of(_WEIGHTS, [{"part": part, "bucket": bucket, "keys": pack_sorted(keys), "weights": pack(weights)}])
+            begin = 0
+            for r, k in zip(rows, asked, strict=True):
+                own = weights[at[begin : begin + len(k)]][unpack(r["flags"], np.uint8) > 0]
+                begin += len(k)
+                if len(own):
+                    yield batch_of(_WEIGHTS, [{"part": part, "bucket": bucket, "block": r["block"], "weights": pack(own)}])
+
+    return run
+
+
+def _finish(order: int):
+    """Adds the weights to the scores of a block's documents."""
+    fields = [c.split() for c in _SCORED.split(", ")]
+
+    def run(batches):
+        for group in runs(batches, ["block"]):
+            rows = group.to_pylist()
+            docs = next(r for r in rows if r["part"] == 0)
+            score = np.array(docs["score"])
+            for k in range(2, order + 1):
+                back = next(r for r in rows if r["part"] == k + order)
+                own = sorted((r for r in rows if r["part"] == k), key=lambda r: r["bucket"])
+                if own:
+                    logs = np.log10(np.concatenate([unpack(r["weights"], np.float64) for r in own]))
+                    score += np.bincount(unpack(back["docs"], np.int32), logs[unpack(back["places"], np.int32)], len(score))
+            columns = docs["doc_ids"], docs["held"], docs["n_tokens"], docs["n_known"], docs["base"], score
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields]
+            )
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, order: int = ORDER, model_path: str | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of docs (``doc_id, text``).
 
-    The model learns from the rows for which held_out is false and scores all. A null or empty text
-    is one token, the end. Words that training doesn't have share one probability. Without training
-    rows every token has probability 1. Repeated rows count and are scored each time; a null doc_id
-    is kept; other columns are ignored.
+    The model, of n-grams of up to order words, learns from the rows for which held_out is false and
+    scores all. A null or empty text is one token, the end. Words that training doesn't have share one
+    probability. Without training rows every token has probability 1. Repeated rows count and are
+    scored each time; a null doc_id is kept; other columns are ignored. The tables of the n-grams
+    (``ngrams-1``, ..., packed by ranges of their hashes) and of the weights stay in the folder
+    model_path if there is one, else they go with the rest.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held"))
-    blocks = stored(docs.mapInArrow(_blocks, _BLOCKS), "katz-blocks")
-    size = blocks.agg(F.sum("n_words"), F.sum("n_tokens")).first()
-    buckets = {WORDS: 1 + int((size[0] or 0) // BLOCK), PAIRS: 1 + int((size[1] or 0) // BLOCK)}
-    asked = blocks.mapInArrow(_ask(buckets), _ASKED)
-    asked = asked.repartition(buckets[WORDS] + buckets[PAIRS], "kind", "bucket")
-    asked = asked.sortWithinPartitions("kind", "bucket", "block")
-    answered = stored(asked.mapInArrow(_answer, _ANSWERED), "katz-ngrams", partition_by="kind")
-
-    n_grams = answered.where(F.col("block").isNull()).groupBy("kind")
-    sums = [F.sum(F.col("of_counts")[k]).alias(f"n{k}") for k in range(K + 2)]
-    stats = {r.kind: r for r in n_grams.agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct"), *sums).collect()}
-    of = {kind: [stats[kind][f"n{k}"] if kind in stats else 0 for k in range(K + 2)] for kind in (WORDS, PAIRS)}
-    total, distinct = (stats[WORDS][c] if WORDS in stats else 0 for c in ("total", "distinct"))
-    model = Model(total, distinct, of[WORDS], of[PAIRS])
-
-    answers = answered.where(F.col("block").isNotNull()).select("block", "kind", "bucket", "counts", "flags")
-    both = blocks.withColumn("kind", F.lit(0)).unionByName(answers, allowMissingColumns=True)
-    both = both.repartition("block").sortWithinPartitions("block", "kind", "bucket")
-    scored = stored(both.mapInArrow(_score(model), _SCORED), "katz-scores", partition_by="part")
-
-    left = (RESERVE + F.col("mass")) / (F.col("n") + RESERVE) / F.greatest(1 - F.col("lower"), F.lit(1e-300))
-    weights = scored.where("part = 1").groupBy("h")
-    weights = weights.agg(F.sum("mass").alias("mass"), F.sum("lower").alias("lower"), F.max("n").alias("n"))
-    weights = weights.select("h", F.log10(left).alias("weight"))
-    backed = scored.where("part = 2").select("doc", "h", "n").join(weights, "h")
-    backed = backed.groupBy("doc").agg(F.sum(F.col("n") * F.col("weight")).alias("backed"))
-    out = scored.where("part = 0").join(backed, "doc", "left")
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(total).cast("long").alias("train_tokens"),
-        "base_score",
-        (F.col("score") + F.coalesce("backed", F.lit(0.0))).alias("score"),
+    with Scratch(spark) as scratch:
+        blocks = scratch.store(docs.mapInArrow(_blocks, _BLOCKS), "katz-blocks")
+        size = blocks.agg(F.sum("n_words"), F.sum("n_tokens")).first()
+        buckets = [1 + int((n or 0) // BLOCK) for n in (size[0], *[size[1]] * (order - 1))]
+        answers, of_counts, totals = [], [], []
+        for k in range(1, order + 1):
+            asked = blocks.mapInArrow(_ask(k, buckets[k - 1]), _ASKED).repartition(min(buckets[k - 1], TASKS), "bucket")
+            answered = asked.sortWithinPartitions("bucket", "block").mapInArrow(_answer, _ANSWERED)
+            answered = answered.withColumn("of", F.when(F.col("block").isNull(), "table").otherwise("answers"))
+            answered = scratch.store(answered, f"katz-ngrams-{k}", partition_by="of")
+            n_grams = answered.where("of = 'table'")
+            if model_path:
+                n_grams.select("bucket", "keys", "counts").write.parquet(f"{model_path}/ngrams-{k}")
+            sums = [F.sum(F.col("of_counts")[r]) for r in range(K + 2)]
+            total, distinct, *n = (x or 0 for x in n_grams.agg(F.sum("total"), F.sum("distinct"), *sums).first())
+            totals.append((total, distinct)), of_counts.append(n)
+            answers.append(answered.where("of = 'answers'").select(F.lit(k).alias("part"), "block", "bucket", "counts", "flags"))
+        texts = docs.where(~F.col("held")).count()
+        model = Model(*totals[0], texts, of_counts)
+
+        both = blocks.withColumn("part", F.lit(0))
+        for own in answers:
+            both = both.unionByName(own, allowMissingColumns=True)
+        both = both.repartition("block").sortWithinPartitions("block", "part", "bucket")
+        states = scratch.store(both.mapInArrow(_states(model, order, buckets[-1]), _STATES), "katz-states")
+        scratch.drop("katz-blocks", *(f"katz-ngrams-{k}" for k in range(1, order + 1)))
+
+        of_contexts = F.col("part").between(2, order)
+        asked = states.where(of_contexts).select("part", "bucket", "block", "keys", "counts", "mass", "lower", "flags")
+        asked = asked.repartition(min(buckets[-1] * max(1, order - 1), TASKS), "part", "bucket")
+        asked = asked.sortWithinPartitions("part", "bucket", "block")
+        weights = scratch.store(asked.mapInArrow(_weigh(model), _WEIGHTS), "katz-weights")
+        if model_path:
+            weights.where(F.col("block").isNull()).drop("block").write.parquet(f"{model_path}/weights")
+        own = weights.where(F.col("block").isNotNull()).select("part", "block", "bucket", "weights")
+        rest = states.where(~of_contexts).select("part", "block", "doc_ids", "held", "n_tokens", "n_known", "base", "score", "docs", "places")
+        rest = rest.unionByName(own, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "part", "bucket")
+        scored = stored(rest.mapInArrow(_finish(order), _SCORED), "katz-scores")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(totals[0][0]).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return score_documents(table(spark, sf_dir, "documents"), crc_mod(10) == 0)
