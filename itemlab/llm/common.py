@@ -129,9 +129,10 @@ class Scratch:
         self.paths[name] = scratch_path(self.spark, name)
         return stored(df, name, partition_by, self.paths[name])
 
-    def drop(self, *names: str) -> None:
+    def drop(self, *names: str, part: str | None = None) -> None:
+        """Removes tables, or one partition of them."""
         for name in names:
-            removed(self.spark, self.paths.pop(name))
+            removed(self.spark, f"{self.paths[name]}/{part}" if part else self.paths.pop(name))
 
     def __exit__(self, *_) -> None:
         self.drop(*self.paths)

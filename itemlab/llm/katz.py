@@ -49,8 +49,8 @@ _ASKED = "bucket int, block long, keys binary, counts binary, flags binary"
 _ANSWERED = _ASKED + ", of_counts array<long>, total long, distinct long"
 _STATES = (
     "part int, block long, bucket int, doc_ids array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>,"
-    " base array<double>, score array<double>, keys binary, counts binary, mass binary, lower binary, flags binary,"
-    " docs binary, places binary"
+    " base array<double>, score array<double>, keys binary, counts binary, shorter binary, mass binary, lower binary,"
+    " flags binary, docs binary, places binary"
 )
 _WEIGHTS = "part int, block long, bucket int, keys binary, weights binary"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -245,9 +245,13 @@ class Model:
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
-    def weight(self, mass: np.ndarray, lower: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """a(h), from what is taken off its n-grams, the sum of the shorter ones' P, and its count."""
-        return (RESERVE + mass) / (count + RESERVE) / np.maximum(1 - lower, 1e-300)
+    def weight(self, k: int, mass: np.ndarray, lower: np.ndarray, count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """a(h) of contexts of order k, from what is taken off their n-grams, and what the shorter ones of these keep.
+
+        count and shorter are the counts of h and of h without its first word.
+        """
+        whole = shorter + RESERVE if k > 2 else float(max(1, self.total))
+        return (RESERVE + mass) / (count + RESERVE) * (whole / np.maximum(whole - lower, 1e-300))
 
 
 def _states(model: Model, order: int, buckets: int):
@@ -255,9 +259,9 @@ def _states(model: Model, order: int, buckets: int):
 
     Part k has, for ranges of contexts of order k, the keys of those that held-out tokens want:
     mass and lower are what the block's n-grams (those it is the first to have) add to what is taken
-    off the context's n-grams and to the sum of the shorter ones' probabilities; flags say which
-    contexts the block's own tokens back off from. docs and places say which document does, and at
-    which of the flagged keys of the block.
+    off the context's n-grams and to what the shorter ones of these keep; counts and shorter are those
+    of the context and of the shorter one; flags say which contexts the block's own tokens back off
+    from. Parts order + 2, order + 3, ...: which document does, and at which of the flagged keys.
     """
 
     def run(batches):
@@ -305,10 +309,12 @@ def _states(model: Model, order: int, buckets: int):
                 keys, at = np.unique(np.concatenate([contexts[one], contexts[back]]), return_inverse=True)
                 taken, of_back = at[: len(one)], at[len(one) :]
                 mass = np.bincount(taken, c[one] - model.kept(k, c[one]), len(keys))
-                shorter = before(counts[k - 3], model.texts)[one] if k > 2 else None
-                lower = np.bincount(taken, model.seen(k - 1, counts[k - 2][one], shorter), len(keys))
-                count = np.zeros(len(keys), np.int64)
+                lower = np.bincount(taken, model.kept(k - 1, counts[k - 2][one]), len(keys))
+                count, shorter = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
                 count[taken], count[of_back] = of_context[one], of_context[back]
+                if k > 2:
+                    of_shorter = before(counts[k - 3], model.texts)
+                    shorter[taken], shorter[of_back] = of_shorter[one], of_shorter[back]
                 mine = np.zeros(len(keys), np.uint8)
                 mine[of_back] = 1
                 place = np.cumsum(mine) - 1
@@ -316,7 +322,7 @@ def _states(model: Model, order: int, buckets: int):
                                           "places": pack(place[of_back].astype(np.int32))}])
                 rows = [
                     {"part": k, "block": b.number, "bucket": bucket, "keys": pack_sorted(keys[p]), "counts": pack(count[p]),
-                     "mass": pack(mass[p]), "lower": pack(lower[p]), "flags": pack(mine[p])}
+                     "shorter": pack(shorter[p]), "mass": pack(mass[p]), "lower": pack(lower[p]), "flags": pack(mine[p])}
                     for bucket, p in cells(keys, buckets)
                 ]
                 for begin in range(0, len(rows), 64):
@@ -339,10 +345,11 @@ def _weigh(model: Model):
             asked = [unpack_sorted(r["keys"]) for r in rows]
             keys, at = np.unique(np.concatenate(asked), return_inverse=True)
             mass, lower = (np.bincount(at, np.concatenate([unpack(r[c], np.float64) for r in rows]), len(keys)) for c in ("mass", "lower"))
-            count = np.zeros(len(keys), np.int64)
+            count, shorter = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
             count[at] = np.concatenate([unpack(r["counts"], np.int64) for r in rows])
-            weights = model.weight(mass, lower, count)
+            shorter[at] = np.concatenate([unpack(r["shorter"], np.int64) for r in rows])
             part, bucket = rows[0]["part"], rows[0]["bucket"]
+            weights = model.weight(part, mass, lower, count, shorter)
             yield batch_of(_WEIGHTS, [{"part": part, "bucket": bucket, "keys": pack_sorted(keys), "weights": pack(weights)}])
             begin = 0
             for r, k in zip(rows, asked, strict=True):
@@ -400,11 +407,12 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, model_path: s
             answered = answered.withColumn("of", F.when(F.col("block").isNull(), "table").otherwise("answers"))
             answered = scratch.store(answered, f"katz-ngrams-{k}", partition_by="of")
             n_grams = answered.where("of = 'table'")
-            if model_path:
-                n_grams.select("bucket", "keys", "counts").write.parquet(f"{model_path}/ngrams-{k}")
             sums = [F.sum(F.col("of_counts")[r]) for r in range(K + 2)]
             total, distinct, *n = (x or 0 for x in n_grams.agg(F.sum("total"), F.sum("distinct"), *sums).first())
             totals.append((total, distinct)), of_counts.append(n)
+            if model_path:
+                n_grams.select("bucket", "keys", "counts").write.parquet(f"{model_path}/ngrams-{k}")
+            scratch.drop(f"katz-ngrams-{k}", part="of=table")  # each block has its answers
             answers.append(answered.where("of = 'answers'").select(F.lit(k).alias("part"), "block", "bucket", "counts", "flags"))
         texts = docs.where(~F.col("held")).count()
         model = Model(*totals[0], texts, of_counts)
@@ -417,7 +425,7 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, model_path: s
         scratch.drop("katz-blocks", *(f"katz-ngrams-{k}" for k in range(1, order + 1)))
 
         of_contexts = F.col("part").between(2, order)
-        asked = states.where(of_contexts).select("part", "bucket", "block", "keys", "counts", "mass", "lower", "flags")
+        asked = states.where(of_contexts).select("part", "bucket", "block", "keys", "counts", "shorter", "mass", "lower", "flags")
         asked = asked.repartition(min(buckets[-1] * max(1, order - 1), TASKS), "part", "bucket")
         asked = asked.sortWithinPartitions("part", "bucket", "block")
         weights = scratch.store(asked.mapInArrow(_weigh(model), _WEIGHTS), "katz-weights")
