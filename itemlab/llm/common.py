@@ -96,7 +96,7 @@ def _smaller(spark: SparkSession) -> dict[str, str]:
     return out
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: str | list[str] | None = None, path: str | None = None) -> DataFrame:
     """The rows of df, written once as Parquet in the shared folder and read again.
 
     Cuts the lineage: what is computed once isn't computed anew for each use, nor after the loss
@@ -125,7 +125,7 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
-    def store(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def store(self, df: DataFrame, name: str, partition_by: str | list[str] | None = None) -> DataFrame:
         self.paths[name] = scratch_path(self.spark, name)
         return stored(df, name, partition_by, self.paths[name])
 

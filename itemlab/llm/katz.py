@@ -18,6 +18,7 @@ frequent one; only cells that aren't empty are sent, so messages never outnumber
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from .ppm import crc_mod
 ORDER = 3
 #: Tokens of a block, and n-grams asked for in a range, about.
 BLOCK = 1_000_000
+#: Parts in which n-grams are exchanged and blocks are scored, one after another, so that a part's shuffle is gone before the next.
+PARTS = 2
 #: Tasks of an exchange, at most; beyond that a task counts several ranges, one after another.
 TASKS = 50_000
 #: Counts up to this are discounted.
@@ -94,10 +97,15 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(from_planes(raw, np.uint64), dtype=np.uint64)
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Which of so many equal ranges of 64-bit numbers keys are in."""
+    return (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
 def cells(keys: np.ndarray, buckets: int):
     """Of sorted keys, each of so many equal ranges of 64-bit numbers that has any: its number, and a slice."""
     if len(keys):
-        bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        bucket = bucket_of(keys, buckets)
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
         for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
             yield int(bucket[begin]), slice(begin, end)
@@ -150,25 +158,27 @@ class Block:
             grams = mix(contexts * _MULTIPLIER ^ self.words)
             yield contexts, grams
 
-    def questions(self, k: int, buckets: int):
-        """What the block asks for: its distinct n-grams of order k, with their counts in training."""
+    def questions(self, k: int, buckets: int, part: int, parts: int):
+        """What the block asks for in a part: its distinct n-grams of order k, with their counts in training."""
         grams = list(self.orders(k))[-1][1]
-        keys, at = np.unique(grams, return_inverse=True)
-        counts = np.bincount(at[self.train], minlength=len(keys)).astype(np.uint32)
-        wanted = np.zeros(len(keys), np.uint8)  # as a context of a held-out token
+        chosen = slice(None) if parts == 1 else bucket_of(grams, buckets) % np.uint64(parts) == part
+        train = self.train[chosen]
         follow = np.ones(len(grams), bool)
         follow[np.cumsum(self.sizes) - 1] = False
-        wanted[at[follow & ~self.train]] = 1
-        for bucket, part in cells(keys, buckets):
-            yield {"bucket": bucket, "block": self.number, "keys": pack_sorted(keys[part]), "counts": pack(counts[part]),
-                   "flags": pack(wanted[part])}
+        keys, at = np.unique(grams[chosen], return_inverse=True)
+        counts = np.bincount(at[train], minlength=len(keys)).astype(np.uint32)
+        wanted = np.zeros(len(keys), np.uint8)  # as a context of a held-out token
+        wanted[at[follow[chosen] & ~train]] = 1
+        for bucket, p in cells(keys, buckets):
+            yield {"bucket": bucket, "block": self.number, "keys": pack_sorted(keys[p]), "counts": pack(counts[p]),
+                   "flags": pack(wanted[p])}
 
 
-def _ask(k: int, buckets: int):
+def _ask(k: int, buckets: int, part: int, parts: int):
     def run(batches):
         for batch in batches:
             for at in range(batch.num_rows):
-                rows = list(Block(batch.slice(at, 1).to_pylist()[0]).questions(k, buckets))
+                rows = list(Block(batch.slice(at, 1).to_pylist()[0]).questions(k, buckets, part, parts))
                 for begin in range(0, len(rows), 64):
                     yield batch_of(_ASKED, rows[begin : begin + 64])
 
@@ -396,33 +406,44 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, model_path: s
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held"))
+    half = F.pmod(F.xxhash64("block"), F.lit(PARTS)).alias("half")
     with Scratch(spark) as scratch:
-        blocks = scratch.store(docs.mapInArrow(_blocks, _BLOCKS), "katz-blocks")
+        blocks = scratch.store(docs.mapInArrow(_blocks, _BLOCKS).select("*", half), "katz-blocks", "half")
         size = blocks.agg(F.sum("n_words"), F.sum("n_tokens")).first()
         buckets = [1 + int((n or 0) // BLOCK) for n in (size[0], *[size[1]] * (order - 1))]
         answers, of_counts, totals = [], [], []
         for k in range(1, order + 1):
-            asked = blocks.mapInArrow(_ask(k, buckets[k - 1]), _ASKED).repartition(min(buckets[k - 1], TASKS), "bucket")
-            answered = asked.sortWithinPartitions("bucket", "block").mapInArrow(_answer, _ANSWERED)
-            answered = answered.withColumn("of", F.when(F.col("block").isNull(), "table").otherwise("answers"))
-            answered = scratch.store(answered, f"katz-ngrams-{k}", partition_by="of")
-            n_grams = answered.where("of = 'table'")
-            sums = [F.sum(F.col("of_counts")[r]) for r in range(K + 2)]
-            total, distinct, *n = (x or 0 for x in n_grams.agg(F.sum("total"), F.sum("distinct"), *sums).first())
+            parts = min(PARTS, buckets[k - 1]) if k > 1 else 1
+            stats = []
+            for part in range(parts):
+                asked = blocks.mapInArrow(_ask(k, buckets[k - 1], part, parts), _ASKED)
+                asked = asked.repartition(min(-(-buckets[k - 1] // parts), TASKS), "bucket").sortWithinPartitions("bucket", "block")
+                answered = asked.mapInArrow(_answer, _ANSWERED).select("*", half, F.when(F.col("block").isNull(), "table").otherwise("answers").alias("of"))
+                name = f"katz-ngrams-{k}-{part}"
+                answered = scratch.store(answered, name, ["of", "half"])
+                n_grams = answered.where("of = 'table'")
+                sums = [F.sum(F.col("of_counts")[r]) for r in range(K + 2)]
+                stats.append([x or 0 for x in n_grams.agg(F.sum("total"), F.sum("distinct"), *sums).first()])
+                if model_path:
+                    n_grams.select("bucket", "keys", "counts").write.mode("append").parquet(f"{model_path}/ngrams-{k}")
+                scratch.drop(name, part="of=table")  # each block has its answers
+                answers.append((name, answered.where("of = 'answers'").select(F.lit(k).alias("part"), "block", "bucket", "counts", "flags", "half")))
+            total, distinct, *n = (sum(x) for x in zip(*stats, strict=True))
             totals.append((total, distinct)), of_counts.append(n)
-            if model_path:
-                n_grams.select("bucket", "keys", "counts").write.parquet(f"{model_path}/ngrams-{k}")
-            scratch.drop(f"katz-ngrams-{k}", part="of=table")  # each block has its answers
-            answers.append(answered.where("of = 'answers'").select(F.lit(k).alias("part"), "block", "bucket", "counts", "flags"))
         texts = docs.where(~F.col("held")).count()
         model = Model(*totals[0], texts, of_counts)
 
-        both = blocks.withColumn("part", F.lit(0))
-        for own in answers:
-            both = both.unionByName(own, allowMissingColumns=True)
-        both = both.repartition("block").sortWithinPartitions("block", "part", "bucket")
-        states = scratch.store(both.mapInArrow(_states(model, order, buckets[-1]), _STATES), "katz-states")
-        scratch.drop("katz-blocks", *(f"katz-ngrams-{k}" for k in range(1, order + 1)))
+        states = []
+        for part in range(PARTS):
+            both = blocks.withColumn("part", F.lit(0))
+            for _, own in answers:
+                both = both.unionByName(own, allowMissingColumns=True)
+            both = both.where(F.col("half") == part).drop("half").repartition("block").sortWithinPartitions("block", "part", "bucket")
+            states.append(scratch.store(both.mapInArrow(_states(model, order, buckets[-1]), _STATES), f"katz-states-{part}"))
+            scratch.drop("katz-blocks", part=f"half={part}")
+            for name, _ in answers:
+                scratch.drop(name, part=f"of=answers/half={part}")
+        states = reduce(DataFrame.union, states)
 
         of_contexts = F.col("part").between(2, order)
         asked = states.where(of_contexts).select("part", "bucket", "block", "keys", "counts", "shorter", "mass", "lower", "flags")

@@ -66,8 +66,7 @@ def held_out(d):
     return zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0
 
 
-@pytest.mark.parametrize("block", [50, 2_000_000])
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
+@pytest.mark.parametrize("block, order", [(50, 2), (50, 3), (2_000_000, 1), (2_000_000, 4)])
 def test_against_dictionaries(spark, monkeypatch, block, order):
     monkeypatch.setattr(katz, "BLOCK", block)
     rows = corpus()
