@@ -2,9 +2,10 @@
 
 The standard library's parser streams a page's events into blocks of text, the lines of the method.
 Each has a ratio of its characters outside links to its tags; the ratios along the page are smoothed
-by a Gaussian and split by a threshold into content and the rest. The text is all content, with the
-short blocks between and the title before it, and the whole of the element that holds most of it and
-of the articles, without the parts that their tags or names mark as something else.
+by a Gaussian and split by a threshold into content and the rest. Blocks above it are the text, with
+the short ones between them and the title before; an article, or the element that holds most of it,
+is taken whole if most of its characters are above. Tags and names of elements only take away: what
+they mark as something else is part of the lines, but never of the text.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from .common import table
 
 #: Standard deviation of the smoothing, in blocks.
 SIGMA = 1.0
-#: Share of the content's characters that an element must hold to be taken for the place of all, and kept whole.
+#: Share of the content's characters that an element must hold to be taken for the place of all.
 MOST = 0.75
+#: Share of the upper cluster's mean from which a ratio's logarithm counts with it, on pages of almost nothing but text.
+NEAR = 2 / 3
+#: Share of such an element's characters that must be content for it to be kept whole.
+WHOLE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -32,11 +37,12 @@ INLINE = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are a part of a text, with other parts beside them, rather than the place of all.
 PARTS = HEADINGS | frozenset("p li ul ol dl blockquote pre figure".split())
-#: Elements that are never part of a text.
-NEVER = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea iframe object embed"
-    " svg math canvas audio video dialog menu".split()
+#: Elements that nobody sees as text.
+UNSEEN = frozenset(
+    "script style noscript template head title select option textarea iframe object embed svg math canvas audio video".split()
 )
+#: Elements that are never part of a text.
+NEVER = frozenset("nav footer aside form button dialog menu".split())
 #: Names in class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies"
@@ -47,27 +53,35 @@ MARKS = frozenset(
 )
 #: Names that do so outside the article only, where they may hold its title.
 OUTER = frozenset("header masthead topbar".split())
-#: Words before such a name by which it says something about its neighbours.
-NOT_ITSELF = frozenset("with has no without hide show open is".split())
-_NAME = re.compile(r"[a-z0-9]+")
+#: Words beside such a name that leave its meaning: ``site-footer``, but not ``share-price`` or ``no-sidebar``.
+PLAIN = frozenset(
+    "site page post posts article articles entry blog main global top bottom left right upper lower first last primary secondary sticky"
+    " fixed bar box block container wrapper wrap inner outer area section slot unit panel list item items link links button buttons"
+    " form text body content title heading group row col column module component area thread count icons media us me".split()
+)
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 def marked(attrs, names: frozenset = MARKS) -> bool:
+    """Whether a whole name of class, id or role is of these names, with plain words beside them at most."""
     for key, value in attrs:
         if key in ("class", "id", "role") and value:
-            for name in value.lower().split():
-                parts = _NAME.findall(name)
-                if parts and parts[0] not in NOT_ITSELF and (parts[0] in names or parts[-1] in names):
+            for name in value.split():
+                parts = [x.lower() for x in _NAME.findall(name)]
+                if any(x in names for x in parts) and all(x in names or x in MARKS or x in PLAIN for x in parts):
                     return True
     return False
 
 
 class Page(HTMLParser):
-    """Blocks of a page: ``text``, number of tags, characters in links, the element they are in."""
+    """Blocks of a page: ``text``, number of tags, characters in links, the element they are in.
+
+    An element is out (1) if its text is none of the page's main text, or unseen (2) if it makes no blocks.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.kind, self.out = [-1], ["html"], [False]  # of each element that was opened
+        self.parent, self.kind, self.out = [-1], ["html"], [0]  # of each element that was opened
         self.stack = [0]
         self.blocks: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
@@ -93,13 +107,17 @@ class Page(HTMLParser):
             self.flush()
             self.imply(tag)
         above = self.stack[-1]
-        out = self.out[above] or tag in NEVER
-        if not out and tag not in ("html", "body", "article", "main"):
-            out = bool(attrs) and marked(attrs)
-            if not out and (tag == "header" or attrs and marked(attrs, OUTER)):
-                out = not any(self.kind[k] in ("article", "main") for k in self.stack)
-        elif not out and tag == "article":  # reader comments are often articles, too
-            out = marked(attrs, frozenset(("comment", "comments", "reply", "teaser", "related")))
+        out = self.out[above]
+        if tag in UNSEEN:
+            out = 2
+        elif not out and tag not in ("html", "body", "main"):
+            if tag == "article":  # reader comments are often articles, too
+                away = bool(attrs) and marked(attrs, frozenset(("comment", "comments", "reply", "teaser", "related")))
+            else:
+                away = tag in NEVER or bool(attrs) and marked(attrs)
+                if not away and (tag == "header" or attrs and marked(attrs, OUTER)):
+                    away = not any(self.kind[k] in ("article", "main") for k in self.stack)
+            out = (2 if tag in INLINE else 1) if away else 0
         if out and not self.out[above] and tag in INLINE and self.parts:
             self.parts.append(" ")
         if tag == "a":
@@ -137,7 +155,7 @@ class Page(HTMLParser):
         return None
 
     def handle_data(self, data):
-        if self.out[self.stack[-1]]:
+        if self.out[self.stack[-1]] == 2:
             return
         self.parts.append(data)
         if self.links:
@@ -181,21 +199,23 @@ def main_text(html: str | None) -> str:
         return ""
     size = np.array([len(t) for t, _, _, _ in page.blocks])
     plain = size - np.array([linked for _, _, linked, _ in page.blocks])
-    ratio = smoothed(plain / np.array([max(1, tags) for _, tags, _, _ in page.blocks]))
-    content = ratio >= min(split_threshold(ratio), float(ratio.std()) or 0.0)
-    if not plain[content].any():
-        content = plain > 0
+    ratio = smoothed(np.log1p(plain / np.array([max(1, tags) for _, tags, _, _ in page.blocks])))
+    own = np.array([not page.out[node] for _, _, _, node in page.blocks])
+    if not own.any():
+        return ""
+    upper = ratio[ratio >= split_threshold(ratio)].mean()
+    content = own & (ratio >= min(split_threshold(ratio), split_threshold(ratio[own]), NEAR * upper))
     weight = np.where(content, plain, 0)
 
     inside = np.zeros(len(page.parent))  # content characters in each element
     total = np.zeros(len(page.parent))
-    for (_, _, _, node), w, n in zip(page.blocks, weight, plain, strict=True):
+    for (_, _, _, node), w, n in zip(page.blocks, weight, np.where(own, plain, 0), strict=True):
         inside[node] += w
         total[node] += n
     for node in range(len(page.parent) - 1, 0, -1):  # parents come before their children
         inside[page.parent[node]] += inside[node]
         total[page.parent[node]] += total[node]
-    named = [k for k in range(len(page.parent)) if page.kind[k] in ("article", "main") and not page.out[k] and total[k]]
+    named = [k for k in range(len(page.parent)) if page.kind[k] in ("article", "main") and not page.out[k] and inside[k]]
     best = 0
     if named:
         best = max(named, key=lambda k: (inside[k], total[k]))
@@ -209,12 +229,15 @@ def main_text(html: str | None) -> str:
                 children.setdefault(page.parent[k], []).append(k)
         while more := [k for k in children.get(best, ()) if inside[k] >= MOST * inside[0] and inside[k]]:
             best = more[0]
-    whole = [k == best or page.kind[k] == "article" and not page.out[k] and inside[k] > 0 for k in range(len(page.parent))]
+    whole = [
+        (k == best or page.kind[k] == "article" and not page.out[k]) and inside[k] >= WHOLE * total[k] and inside[k] > 0
+        for k in range(len(page.parent))
+    ]
     for k in range(1, len(whole)):
         whole[k] = whole[k] or whole[page.parent[k]]
     keep = np.array([whole[node] for _, _, _, node in page.blocks])
-    prose = 2 * (size - plain) < size
-    keep = keep & (prose | bool(named)) | content & prose
+    prose = own & (2 * (size - plain) < size)
+    keep = own & keep & (prose | bool(named)) | content & prose
     for begin, end in gaps(keep):
         if begin and end < len(keep):
             keep[begin:end] = prose[begin:end]

@@ -89,3 +89,33 @@ P = f"<p>{LONG}</p>"
 ])
 def test_content_outside_the_place_of_most(page, want):
     assert main_text(page).split("\n\n") == want
+
+
+@pytest.mark.parametrize("name", ["share-price", "search-results", "ad-hoc", "no-sidebar", "with-comments", "adverb", "headline"])
+def test_names_that_only_resemble_boilerplate(name):
+    assert main_text(f'<article><h1>Title</h1>{P}<p class="{name}">Some more.</p>{P}</article>').split("\n\n") == [
+        "Title", LONG.strip(), "Some more.", LONG.strip()]
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot-1", "site-footer", "cookie_notice", "relatedPosts", "post-comments", "x newsletter-signup"])
+def test_names_of_boilerplate(name):
+    assert main_text(f'<article>{P}<div class="{name}"><p>{LONG * 3}</p></div>{P}</article>').split("\n\n") == [LONG.strip()] * 2
+
+
+def test_the_ratios_decide(monkeypatch):
+    """Random ratios give other texts, and blocks that they put below the threshold aren't returned."""
+    page = f"<body><div>{''.join(f'<p><i>a</i> <b>b</b> <i>{k}</i></p>' for k in range(9))}</div><div>{P * 4}</div></body>"
+    assert main_text(page).split("\n\n") == [LONG.strip()] * 4
+    pages = [r for r in open_pages()]
+    right = [main_text(p) for p in pages]
+    random = np.random.default_rng(1)
+    monkeypatch.setattr(html_text, "smoothed", lambda values, sigma=1: random.random(len(values)))
+    assert sum(main_text(p) != r for p, r in zip(pages, right, strict=True)) > len(pages) // 5
+    monkeypatch.setattr(html_text, "smoothed", lambda values, sigma=1: -np.arange(len(values), dtype=float))
+    assert LONG.strip() not in main_text(page)
+
+
+def open_pages():
+    import pyarrow.parquet as pq
+
+    return pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
