@@ -170,6 +170,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def valid(name: str) -> F.Column:
+    """A column of text in which what isn't UTF-8 has become replacement characters, as Python needs it."""
+    return F.make_valid_utf8(F.col(name).cast("string")).alias(name)
+
+
 def has_letter(column) -> F.Column:
     return F.coalesce(column.rlike(r"\p{L}"), F.lit(False))
 

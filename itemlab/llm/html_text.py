@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table, valid
 
 #: Standard deviation of the smoothing, in blocks.
 SIGMA = 1.0
@@ -283,10 +283,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
                     [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
                 )
 
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", valid("html"))
     out = pages.mapInArrow(run, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return extract_text(table(spark, sf_dir, "pages"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, hash_words, mix, runs, small_batches, stored, table, words_of
+from .common import Scratch, hash_words, mix, runs, small_batches, stored, table, valid, words_of
 from .ppm import crc_mod
 
 #: Words of the longest n-grams.
@@ -405,7 +405,7 @@ def score_documents(docs: DataFrame, held_out, order: int = ORDER, model_path: s
     model_path if there is one, else they go with the rest.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text"), held_out.alias("held"))
     half = F.pmod(F.xxhash64("block"), F.lit(PARTS)).alias("half")
     with Scratch(spark) as scratch:
         blocks = scratch.store(docs.mapInArrow(_blocks, _BLOCKS).select("*", half), "katz-blocks", "half")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_ngrams, hash_words, mix, resident, runs, small_batches, stored, table, words_of
+from .common import Scratch, hash_ngrams, hash_words, mix, resident, runs, small_batches, stored, table, valid, words_of
 from .components import connected_components
 
 #: Signature values in a band; even, as a permutation gives two.
@@ -236,46 +236,42 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
       takes no part in linking: component_id null, kept true.
     * Other columns of docs are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     threshold = percent / 100
     bands = n_bands(threshold)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(
-        docs.mapInArrow(_sign(n, bands), "doc_id long, n_shingles long, print binary, bands array<long>, sig binary"),
-        "minhash-signatures",
-    )
-    real = signed.where(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
-    first = stored(real.groupBy("print").agg(F.min("doc_id").alias("rep")), "minhash-sets")
-    reps = real.join(first.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi")
-    reps = reps.select(F.col("doc_id").alias("rep"), "bands", "sig")
-
-    keyed = reps.select(F.explode("bands").alias("key"), "rep")
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    shared = shared.where(F.col("a") < F.col("b")).select("key")
-    members = stored(keyed.join(shared, "key").distinct(), "minhash-buckets")
-    signs = reps.select("rep", "sig")
-    buckets = _blocks(members, "key").join(signs, "rep")
-    alike = _meet(buckets.select("key", "i", "j", "rep", "sig"), "key", _alike(threshold, bands * ROWS))
-
-    groups = connected_components(alike, "minhash-candidates")
-    groups = _blocks(groups.select(F.col("component").alias("g"), F.col("node").alias("rep")), "g")
-    groups = stored(groups, "minhash-groups")
-    if groups.count() <= BROADCAST_ROWS:  # else both sides are shuffled
-        groups = F.broadcast(groups)
-    texts = docs.withColumnRenamed("doc_id", "rep").join(groups, "rep").select("g", "i", "j", "rep", "text")
-    links = _meet(texts, "g", _confirm(n, percent))
-    reached = connected_components(links, "minhash-links").withColumnRenamed("node", "rep")
-
-    named = first.join(reached, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "print").join(named, "print", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        component.alias("component_id"),
-        (component.isNull() | (component == F.col("doc_id"))).alias("kept"),
-    )
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        signed = docs.mapInArrow(_sign(n, bands), "doc_id long, n_shingles long, print binary, bands array<long>, sig binary")
+        signed = scratch.store(signed, "minhash-signatures")
+        real = signed.where(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
+        first = scratch.store(real.groupBy("print").agg(F.min("doc_id").alias("rep")), "minhash-sets")
+        reps = real.join(first.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi")
+        reps = reps.select(F.col("doc_id").alias("rep"), "bands", "sig")
+
+        keyed = reps.select(F.explode("bands").alias("key"), "rep")
+        shared = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+        shared = shared.where(F.col("a") < F.col("b")).select("key")
+        members = scratch.store(keyed.join(shared, "key").distinct(), "minhash-buckets")
+        signs = reps.select("rep", "sig")
+        buckets = _blocks(members, "key").join(signs, "rep")
+        alike = _meet(buckets.select("key", "i", "j", "rep", "sig"), "key", _alike(threshold, bands * ROWS))
+
+        groups = connected_components(alike, scratch, "minhash-candidates")
+        scratch.drop("minhash-buckets")
+        groups = _blocks(groups.select(F.col("component").alias("g"), F.col("node").alias("rep")), "g")
+        groups = scratch.store(groups, "minhash-groups")
+        if groups.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+            groups = F.broadcast(groups)
+        texts = docs.withColumnRenamed("doc_id", "rep").join(groups, "rep").select("g", "i", "j", "rep", "text")
+        links = _meet(texts, "g", _confirm(n, percent))
+        reached = connected_components(links, scratch, "minhash-links").withColumnRenamed("node", "rep")
+
+        named = first.join(reached, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+        out = signed.select("doc_id", "n_shingles", "print").join(named, "print", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        kept = component.isNull() | (component == F.col("doc_id"))
+        return stored(out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")), "minhash-result")
 
 
 def op1_minhash(spark, sf_dir) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, table
+from .common import hash_words, mix, small_batches, table, valid
 
 #: Words of the shortest repeat that counts.
 WINDOW = 8
@@ -182,7 +182,7 @@ def quality_rules(docs: DataFrame, max_covered: int = MAX_COVERED, max_repeat: i
             arrays = [batch.column(0), *(pa.array(c) for c in rows.T)]
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in SCHEMA.split(",")])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text"))
     out = docs.mapInArrow(run, SCHEMA)
     words = F.col("n_words")
     failed = (words < 20) | (100 * F.col("n_repeat_words") > 30 * words)
@@ -191,4 +191,5 @@ def quality_rules(docs: DataFrame, max_covered: int = MAX_COVERED, max_repeat: i
 
 
 def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_rules(table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZERS
-from .common import resident, table
+from .common import resident, small_batches, table, valid
 
 #: How byte-level BPE of this vocabulary cuts a text before merging (a fixed value of the tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as the tokenizer has it (fixed values), and from how many of it on a run is encoded by itself.
+WHITE, LONG_RUN = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 10_000
+_RUN = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
 #: Where a token that crosses boundaries goes: to the section of its first or last byte, to that with
 #: most of its bytes (the first of several), or to all by their shares of its bytes.
 RULES = ("start", "end", "majority", "split")
@@ -80,14 +84,33 @@ def layout(values: list[str | None], split: list[bool]) -> tuple[str, list[tuple
 
 
 def load(source: bytes):
-    """Encoder and the length of each token in bytes, from a file of base64 tokens and ranks."""
+    """Encoder, encoder of white space, and the length of each token in bytes, from a file of base64 tokens and ranks."""
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, source.splitlines()) if a}
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, rank in ranks.items():
         sizes[rank] = len(token)
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
+    encoders = [tiktoken.Encoding("file", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, r"\s+")]
+    return encoders[0], encoders[1], sizes
+
+
+def encode(text: str, encoder, blanks) -> list[int]:
+    """The tokens of a text; its very long runs of white space go to an encoder that needs no look ahead.
+
+    PATTERN takes a run as one piece, but for its last character if something follows: that begins
+    the next piece. So a text can be cut there, and the encoder's stack, which looking ahead in a run
+    takes up, can't run out.
+    """
+    if len(text) < LONG_RUN:
+        return encoder.encode_ordinary(text)
+    out, begin = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += encoder.encode_ordinary(text[begin : run.start()])
+        out += blanks.encode_ordinary(text[run.start() : end])
+        begin = end
+    return out + encoder.encode_ordinary(text[begin:])
 
 
 def count_tokens(docs: DataFrame, fields: list[str], sectioned: list[str], path: str, rule: str = "start") -> DataFrame:
@@ -95,7 +118,7 @@ def count_tokens(docs: DataFrame, fields: list[str], sectioned: list[str], path:
 
     fields are joined in this order; those in sectioned have a section for each line, others one.
     Spans are of characters of the whole document, begin included, end not. The n_tokens of a document
-    add up to its tokens. A null field has no rows, an empty one a section without tokens. Repeated
+    add up to its tokens. What isn't UTF-8 counts as replacement characters. A null field has no rows, an empty one a section without tokens. Repeated
     rows and null doc_ids are counted like any other; other columns are ignored.
     """
     if rule not in RULES:
@@ -105,7 +128,7 @@ def count_tokens(docs: DataFrame, fields: list[str], sectioned: list[str], path:
     split = [f in sectioned for f in fields]
 
     def run(batches):
-        encoder, sizes = resident(f"tokens {path}", lambda: load(shipped.value))
+        encoder, blanks, sizes = resident(f"tokens {path}", lambda: load(shipped.value))
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
@@ -115,10 +138,9 @@ def count_tokens(docs: DataFrame, fields: list[str], sectioned: list[str], path:
                     text, names, begins = layout(values, split)
                     if not names:
                         continue
-                    # Lone surrogates, which no token stands for, become question marks of one byte.
-                    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+                    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
                     at_char = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-                    ends = np.cumsum(sizes[encoder.encode_ordinary(text)])
+                    ends = np.cumsum(sizes[encode(text, encoder, blanks)])
                     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                     chars = np.array(begins, np.int64)
                     counts = allocate(starts, ends, at_char[chars], rule)
@@ -134,11 +156,12 @@ def count_tokens(docs: DataFrame, fields: list[str], sectioned: list[str], path:
                     [c.split()[0] for c in SCHEMA.split(", ")],
                 )
 
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f).cast("string").alias(f) for f in fields)]
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), *map(valid, fields)]
     return docs.select(*columns).mapInArrow(run, SCHEMA)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    small_batches(spark)
     path = path or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
     out = count_tokens(table(spark, sf_dir, "documents"), ["source", "lang", "text"], ["text"], path)
     return out.withColumn("n_tokens", F.col("n_tokens").cast("long"))

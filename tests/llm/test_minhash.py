@@ -1,9 +1,11 @@
 import itertools
+import re
 
 import numpy as np
+import pytest
 
-from itemlab.llm import minhash
-from itemlab.llm.components import connected_components
+from itemlab.llm import components, minhash
+from itemlab.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, n_shingles string"
 
@@ -76,7 +78,39 @@ def test_signature_estimates_similarity():
     assert np.abs(agree.mean(0) - 800 / 1200).max() < 0.05
 
 
-def test_components(spark):
+@pytest.mark.parametrize("heavy", [100, 1])
+def test_components(spark, monkeypatch, heavy):
+    monkeypatch.setattr(components, "HEAVY", heavy)
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (103, 101), (5, 5), (None, 3)]
-    got = dict(connected_components(spark.createDataFrame(chain, "u long, v long")).collect())
-    assert got == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100, 103: 100}
+    hub = [(500, k) for k in range(600, 800)] + [(900, k) for k in range(601, 800, 2)]
+    with Scratch(spark) as scratch:
+        edges = spark.createDataFrame(chain + hub, "u long, v long")
+        got = dict(components.connected_components(edges, scratch).collect())
+        assert components.connected_components(edges.limit(0), scratch, "none").count() == 0
+    assert got == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100, 103: 100} | {k: 500 for k in [500, 900, *range(600, 800)]}
+
+
+def test_whole_table(spark):
+    """All pairs of the distinct texts that share a shingle, by sets of words themselves rather than of hashes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    sets, holders = {}, {}
+    for r in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""))
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for s in sets[r.doc_id]:
+            holders.setdefault(s, []).append(r.doc_id)
+    pairs = {(a, b) for ids in holders.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    label = {d: d for d in sets}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((root(a), root(b)))
+            label[y] = x
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.op1_minhash(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}

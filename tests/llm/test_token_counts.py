@@ -22,6 +22,10 @@ def encoder():
     return tc.load(open(PATH, "rb").read())[0]
 
 
+def whole(text):
+    return tc.encode(text, *tc.load(open(PATH, "rb").read())[:2])
+
+
 def brute(encoder, fields, rule):
     """Tokens of each section, byte by byte."""
     present = [(k, v) for k, v in enumerate(fields) if v is not None]
@@ -82,3 +86,24 @@ def test_whole_table(spark, encoder):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     got = tc.op3_token_counts(spark, "/root/testdata/sf0.001").groupBy("doc_id").sum("n_tokens").collect()
     assert dict(map(tuple, got)) == {d.doc_id: len(encoder.encode_ordinary(f"{d.source}\n{d.lang}\n{d.text}")) for d in docs}
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\u3000", " \t", "\r\n", " \xa0"])
+def test_long_runs_are_encoded_as_a_whole(encoder, monkeypatch, run):
+    """Cut at runs that the encoder itself can still take."""
+    monkeypatch.setattr(tc, "LONG_RUN", 5)
+    monkeypatch.setattr(tc, "_RUN", tc.re.compile(f"[{tc.WHITE}]{{5,}}"))
+    for text in (run * 9, f"a{run * 9}", f"{run * 9}b", f"it's{run * 9}we'll{run * 8}12 {run * 7}- end{run}", f"a{run * 40} {run * 9}!"):
+        assert whole(text) == encoder.encode_ordinary(text)
+
+
+def test_very_long_texts(spark):
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "x" + " " * 2_000_000 + "y", "w" * 1_000_000, "7" * 1_000_000, "=" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = tc.count_tokens(df, ["text"], [], PATH).collect()
+    assert sorted(r.doc_id for r in got) == list(range(6)) and all(r.n_tokens > 1000 for r in got)
+
+
+def test_invalid_bytes(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text")
+    assert tc.count_tokens(df, ["text"], [], PATH).first().n_tokens == len(whole("a\ufffdb"))
