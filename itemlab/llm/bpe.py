@@ -10,19 +10,17 @@ from the end of the word gives its ids, without a merge loop.
 from __future__ import annotations
 
 import json
-import os
 import unicodedata
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import resident, small_batches, table
+from .common import resident, small_batches, table, valid
 
-#: Folder of the public vocabulary files; a parameter of the operator.
-TOKENIZERS = "/opt/tokenizers"
 #: Words of which a Python worker remembers the encoding, twice: beyond that it forgets the older half.
 REMEMBERED = 70_000
 #: Pairs of tokens of which a Python worker remembers whether they are compatible.
@@ -34,6 +32,11 @@ _END = 256  # added to the last byte of a word
 _COMMON = regex.compile("[\x00-՗ -⁰]*+")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the package of public tokenizers has a file; operators take any path."""
+    return str(public_tokenizers.path(name))
+
+
 def pieces(text: str):
     """The text in pieces of about PIECE characters, each but the first beginning with a blank.
 
@@ -289,7 +292,6 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """
     with open(path, encoding="utf-8") as f:
         source = f.read()
-    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(source)  # one vocabulary file, a few MB
 
     def run(batches):
@@ -303,7 +305,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "ids", "decoded"],
                 )
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text"))
     return docs.mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
@@ -317,5 +319,6 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    path = path or os.path.join(TOKENIZERS, "word_bpe_49k.json")
+    small_batches(spark)
+    path = path or tokenizer_path("word_bpe_49k.json")
     return digests(encode_documents(table(spark, sf_dir, "documents"), path))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_ngrams, hash_words, resident, small_batches, table
+from .common import hash_ngrams, hash_words, resident, small_batches, table, valid
 
 #: Words of a seed; items of fewer words aren't looked for.
 SEED = 3
@@ -148,7 +148,6 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     which is held against all documents.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     benchmark = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_CHARS))
@@ -168,7 +167,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             return pa.array(found, pa.list_(kind))
 
         # Else a filter on the matches would be pushed below them with a second call.
-        out = out.withColumn("matches", F.concat("matches", F.arrow_udf(_one(run), _MATCHES).asNondeterministic()("text")))
+        out = out.withColumn("matches", F.concat("matches", F.arrow_udf(_one(run), _MATCHES).asNondeterministic()(valid("text"))))
     return out
 
 
@@ -187,4 +186,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -81,9 +81,9 @@ def _sign(n: int, bands: int):
                 keys.append(key.view(np.int64))
                 sigs.append(sig.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "print", "bands", "sig"],
+                ["doc_id", "text_hash", "n_shingles", "print", "bands", "sig"],
             )
 
     return run
@@ -222,7 +222,7 @@ def _confirm(n: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of docs (``doc_id, text``).
+    """``doc_id, n_shingles, component_id, kept, text_hash`` for each row of docs (``doc_id, text``).
 
     Documents are linked where 100 * intersection >= percent * union of their sets of n-word
     shingles; component_id is the smallest doc_id that links reach, kept marks that document.
@@ -232,15 +232,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
     * Buckets of a band, and candidate groups, of more than BLOCK members are compared block against
       block; no bucket, group or candidate is capped.
     * A null, empty or wordless text has an empty set (n_shingles 0), is linked with nothing and kept.
+    * text_hash, Spark's xxhash64 of the text, tells rows apart that have one doc_id and different texts.
     * Rows that repeat a doc_id with one text are each returned, with equal columns. A null doc_id
       takes no part in linking: component_id null, kept true.
     * Other columns of docs are ignored; an empty table gives an empty result.
     """
     threshold = percent / 100
     bands = n_bands(threshold)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), valid("text"), F.xxhash64("text").alias("text_hash"))
     with Scratch(docs.sparkSession) as scratch:
-        signed = docs.mapInArrow(_sign(n, bands), "doc_id long, n_shingles long, print binary, bands array<long>, sig binary")
+        signed = docs.mapInArrow(_sign(n, bands), "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>, sig binary")
         signed = scratch.store(signed, "minhash-signatures")
         real = signed.where(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
         first = scratch.store(real.groupBy("print").agg(F.min("doc_id").alias("rep")), "minhash-sets")
@@ -266,10 +267,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
         reached = connected_components(links, scratch, "minhash-links").withColumnRenamed("node", "rep")
 
         named = first.join(reached, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-        out = signed.select("doc_id", "n_shingles", "print").join(named, "print", "left")
+        out = signed.select("doc_id", "text_hash", "n_shingles", "print").join(named, "print", "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         kept = component.isNull() | (component == F.col("doc_id"))
-        return stored(out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept")), "minhash-result")
+        out = out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
+        return stored(out, "minhash-result")
 
 
 def op1_minhash(spark, sf_dir) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import has_letter, resident, small_batches, table
+from .common import has_letter, resident, small_batches, table, valid
 
 #: Bytes of the longest context.
 ORDER = 3
@@ -127,12 +127,11 @@ def training_counts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                     [pa.array([lang] * len(codes)), pa.array(codes), pa.array(n)], ["lang", "code", "n"]
                 )
 
-    return chosen.select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return chosen.select("lang", valid("text")).mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 def fit(labelled: DataFrame, order: int = ORDER) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Counts by language, on the driver; their size is bounded by the sample's bounds."""
-    small_batches(labelled.sparkSession)
     rows = training_counts(labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()), order).toArrow()
     langs = rows.column("lang").to_numpy(zero_copy_only=False)
     codes, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
@@ -147,7 +146,6 @@ def predict(docs: DataFrame, counts: dict, order: int = ORDER) -> DataFrame:
     nothing was learned, is ``und`` with score 0 and bits_per_byte null.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     if not counts:
         return docs.withColumns(
             {"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")}
@@ -171,7 +169,7 @@ def predict(docs: DataFrame, counts: dict, order: int = ORDER) -> DataFrame:
     # Else a filter on the result would be pushed below it with a second call.
     kernel = F.arrow_udf(run, "struct<lang: string, score: double, bits: double>").asNondeterministic()
     letter = has_letter(F.col("text"))
-    out = docs.withColumn("__ppm", kernel(F.when(letter, F.col("text"))))
+    out = docs.withColumn("__ppm", kernel(F.when(letter, valid("text"))))
     return out.withColumns(
         {
             "lang_pred": F.when(letter, F.col("__ppm.lang")).otherwise(F.lit("und")),
@@ -199,6 +197,7 @@ def identify_languages(docs: DataFrame, held_out) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify_languages(docs, crc_mod(4) == 2)
     return out.select("doc_id", "held_out", "lang_pred", "score")

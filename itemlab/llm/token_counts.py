@@ -8,7 +8,6 @@ and are joined with the sections' spans; a token that crosses a boundary goes wh
 from __future__ import annotations
 
 import base64
-import os
 import re
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import TOKENIZERS
+from .bpe import tokenizer_path
 from .common import resident, small_batches, table, valid
 
 #: How byte-level BPE of this vocabulary cuts a text before merging (a fixed value of the tokenizer).
@@ -162,6 +161,6 @@ def count_tokens(docs: DataFrame, fields: list[str], sectioned: list[str], path:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     small_batches(spark)
-    path = path or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
+    path = path or tokenizer_path("byte_bpe_50k.tiktoken")
     out = count_tokens(table(spark, sf_dir, "documents"), ["source", "lang", "text"], ["text"], path)
     return out.withColumn("n_tokens", F.col("n_tokens").cast("long"))

@@ -1,5 +1,4 @@
 import hashlib
-import os
 import random
 
 import numpy as np
@@ -7,7 +6,7 @@ import pytest
 
 from itemlab.llm import bpe
 
-PATH = os.path.join(bpe.TOKENIZERS, "word_bpe_49k.json")
+PATH = bpe.tokenizer_path("word_bpe_49k.json")
 
 
 @pytest.fixture(scope="module")

@@ -1,11 +1,10 @@
-import os
 
 import numpy as np
 import pytest
 
 from itemlab.llm import token_counts as tc
 
-PATH = os.path.join(tc.TOKENIZERS, "byte_bpe_50k.tiktoken")
+PATH = tc.tokenizer_path("byte_bpe_50k.tiktoken")
 ROWS = [
     (1, "src", "first line\nsecond  line\n\n\nlast é中😀", "x"),
     (2, None, "one", "x"),
