@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import resident, small_batches, stored, table
+from .common import Scratch, resident, scratch_path, small_batches, stored, table, valid
 
 #: Key of the surrogates; a secret of the caller in production.
 KEY = b"surrogate-key"
@@ -27,36 +27,49 @@ KEY = b"surrogate-key"
 BROADCAST_ROWS = 500_000
 #: Characters before a number in which a word for cards makes it one, though its check digit is wrong.
 CARD_REACH = 64
-#: From this attempt on a surrogate is longer than its form, so that small ranges can't run out.
+#: From this attempt on a surrogate is longer than its form, or of a wider range, so that small ranges can't run out.
 WIDEN = 12
 
-#: Given names (fixed values), by gender and script.
+#: Given names that are recognised and drawn from, by gender and script; an own choice of frequent ones.
 NAMES = {
     ("f", "latin"): "Anna Maria Laura Julia Emma Sophie Claire Camille Elena Carmen Lucia Ingrid Katrin Petra Susan Linda Karen"
-    " Jennifer Jessica Sarah Emily Olivia Alice Helen Nancy Margaret Elizabeth Barbara Isabel Marta".split(),
+    " Jennifer Jessica Sarah Emily Olivia Alice Helen Nancy Margaret Elizabeth Barbara Isabel Marta Ana Sofia Rosa Giulia Chloé Léa"
+    " Heike Astrid Fatima Aisha Priya Yuki Mei Amara".split(),
     ("m", "latin"): "James John Robert Michael David William Richard Thomas Charles Daniel Matthew Andrew Peter Paul George"
-    " Kevin Brian Edward Hans Klaus Stefan Pierre Jean Antoine Carlos Miguel Pablo Javier Luis Diego".split(),
+    " Kevin Brian Edward Hans Klaus Stefan Pierre Jean Antoine Carlos Miguel Pablo Javier Luis Diego José Juan Jorge Mateo Marco Luca"
+    " Jürgen Uwe Lars Sven Mohammed Ahmed Omar Raj Wei Hiroshi Kofi".split(),
     ("f", "cyrillic"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Екатерина Юлия".split(),
     ("m", "cyrillic"): "Иван Алексей Дмитрий Сергей Андрей Михаил Николай Павел Виктор Олег".split(),
 }
-#: Family names to draw from (fixed values), by script; Cyrillic ones in -а for women.
+#: Family names to draw from, by script; Cyrillic ones in -а for women.
 FAMILIES = {
     "latin": "Abbott Barker Carter Dalton Ellison Fisher Garner Harlow Irving Jarvis Keller Lawson Mercer Norton Osborne"
     " Palmer Quinn Ramsey Sutton Turner Upton Vaughn Walton Yates Weber Richter Moreau Laurent Navarro Ortega".split(),
     "cyrillic": "Белов Волков Громов Зайцев Климов Лебедев Морозов Орлов Соколов Титов".split(),
 }
-#: Titles that say the gender of the name after them (fixed values).
-TITLES = {"f": "Mrs Ms Miss Madame Mme Frau Señora Sra Signora".split(), "m": "Mr Monsieur Herr Señor Sr Signor".split()}
+#: Titles before a name, by the gender they say; n: none.
+TITLES = {
+    "f": "Mrs Ms Miss Madame Mme Mlle Frau Señora Sra Doña Signora Госпожа".split(),
+    "m": "Mr Monsieur Herr Señor Sr Don Signor Господин".split(),
+    "n": "Dr Prof Professor Doctor Docteur Доктор Профессор".split(),
+}
+#: What comes before a full name in a letter or an introduction.
+GREETINGS = frozenset("Dear Hello Hallo Liebe Lieber Bonjour Cher Chère Hola Estimado Estimada Querido Querida Уважаемый Уважаемая".split())
+INTRODUCTIONS = (
+    "name is ", "name: ", "signed by ", "written by ", "contact ", "sincerely, ", "sincerely,\n", "regards, ", "regards,\n", "ich heiße ",
+    "name ist ", "je m'appelle ", "me llamo ", "nombre es ", "меня зовут ",
+)
 
 _GENDER = {n: (g, s) for (g, s), names in NAMES.items() for n in names}
 _TITLE = {t: g for g, titles in TITLES.items() for t in titles}
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ]+"
 _CAPITAL = rf"{_CAPITAL}(?:-{_CAPITAL})*"
 
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_LOCAL, _DOMAIN = re.compile(r"[^\W_][\w.%+-]{0,63}\Z"), re.compile(r"[^\W_][\w-]*(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 _NUMBER = re.compile(
     r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))"
     r"|(?P<mac>(?<![\w:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:]))"
+    r"|(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{6,39}(?![\w:]|\.\d))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)|\d{1,5})(?:[ .-]?\d{2,5}){1,4}(?!\w)"
@@ -70,15 +83,19 @@ _SECRET = re.compile(
     r"|(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)(?P<quote>[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[^\s\"',;&<>#]{6,})",
     re.S,
 )
-_HINT = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|PRIVATE KEY|(?i:passw|pwd|token|secret|api[_-]?key|access[_-]?key)")
+_HINTS = "akia asia ghp_ gho_ ghu_ ghs_ ghr_ sk- xoxa- xoxb- xoxp- passw pwd token secret apikey api_key api-key accesskey access_key access-key".split()
 #: First digits of card numbers: Mastercard's second range, and those of American Express, Diners, JCB, Visa, Mastercard, Maestro, Discover.
 _BRAND = re.compile(r"222[1-9]|22[3-9]|2[3-6]|27[01]|2720|[3-6]")
 _CARD_WORD = re.compile(r"(?i:\b(?:(?:credit|debit|kredit|bank)?(?:card|karte|carte|tarjeta)s?n?|visa|mastercard|amex|maestro)\b)")
 _WORD = re.compile(r"\w")
-_PERSON = re.compile(
-    rf"\b(?P<title>{'|'.join(_TITLE)})\b\.?[ ](?P<titled>{_CAPITAL}(?:[ ]{_CAPITAL})?)"
-    rf"|\b(?P<given>{'|'.join(_GENDER)})[ ](?P<family>{_CAPITAL})"
-)
+_CAPITALISED = re.compile(_CAPITAL)  # what is beside it is looked at afterwards, as looking behind would slow the search
+_TITLED, _NEXT = re.compile(rf"\.?[ ]({_CAPITAL}(?:[ ]{_CAPITAL})?)(?!\w)"), re.compile(rf"[ ]({_CAPITAL})(?!\w)")
+_PEM = re.compile(r"(-----BEGIN [A-Z ]*-----)(.*)(-----END [A-Z ]*-----)", re.S)
+#: Networks of a special kind, which a surrogate shares with its address.
+_SPECIAL = [ipaddress.ip_network(x) for x in (
+    "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.88.99.0/24 192.168.0.0/16"
+    " 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4 2001:db8::/32 fe80::/10 fc00::/7 ff00::/8"
+).split()]
 
 
 def card(digits: str, text: str, begin: int) -> bool:
@@ -91,32 +108,33 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     if not text:
         return []
     found = []
-    if "@" in text:
-        found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
-    if _HINT.search(text):
+    at = text.find("@")
+    while at >= 0:
+        local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
+        if local and domain:
+            found.append((local.start(), domain.end(), "email", text[local.start() : domain.end()].lower()))
+        at = text.find("@", at + 1)
+    lower = text.lower()
+    if any(map(lower.__contains__, _HINTS)) or "PRIVATE KEY" in text:
         for m in _SECRET.finditer(text):
             group = "value" if m.lastgroup == "value" else m.lastgroup
             found.append((m.start(group), m.end(group), "secret", m[group]))
     if any(map(text.__contains__, "0123456789")):
         for m in _NUMBER.finditer(text):
             kind, raw = m.lastgroup, m[0]
-            if kind == "ip" and any(int(x) > 255 for x in raw.split(".")):
+            if kind in ("ip", "ip6"):
+                if (canon := address(raw)) is not None:
+                    found.append((m.start(), m.end(), "ip", canon))
                 continue
             if kind == "phone" and sum(map(str.isdigit, raw)) > 15:
                 continue
             if kind == "card" and not card(re.sub(r"\D", "", raw), text, m.start()):
                 continue
-            canon = raw if kind == "ip" else re.sub(r"[^0-9A-Za-z]", "", raw)
+            canon = re.sub(r"[^0-9A-Za-z]", "", raw)
             if kind == "phone" and raw.startswith("+1") and len(canon) == 11:
                 canon = canon[1:]  # the national number, as it is written without the country
             found.append((m.start(), m.end(), kind, canon.lower() if kind == "mac" else canon))
-    for m in _PERSON.finditer(text):
-        if m["given"]:
-            gender, script = _GENDER[m["given"]]
-            found.append((m.start(), m.end(), f"name:{gender}:{script}", f"{m['given']} {m['family']}"))
-        else:
-            script = "cyrillic" if re.match("[А-ЯЁ]", m["titled"]) else "latin"
-            found.append((*m.span("titled"), f"name:{_TITLE[m['title']]}:{script}", m["titled"]))
+    found += people(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out = []
     for x in found:
@@ -125,21 +143,79 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     return resolved(text, out) if any(kind.startswith("name:") for _, _, kind, _ in out) else out
 
 
+def address(raw: str) -> str | None:
+    """An IP address in one form; None for what isn't one, or says nothing of anybody."""
+    try:
+        ip = ipaddress.ip_address(".".join(str(int(x)) for x in raw.split(".")) if "." in raw else raw)
+    except ValueError:
+        return None
+    if ip.is_unspecified or ip.is_loopback or ip.version == 6 and not any(map(str.isdigit, raw)):
+        return None
+    return str(ip)
+
+
+def people(text: str) -> list[tuple[int, int, str, str]]:
+    """Names after titles, of known given names, and full names after greetings and introductions."""
+    out, done = [], 0
+    for m in _CAPITALISED.finditer(text):
+        begin, end = m.span()
+        if begin < done or begin and _WORD.match(text, begin - 1) or _WORD.match(text, end):
+            continue
+        word, family = m[0], None
+        if word in _TITLE:
+            if name := _TITLED.match(text, m.end()):
+                out.append((*name.span(1), _name_kind(name[1], _TITLE[word]), name[1]))
+                done = name.end()
+            continue
+        if word in _GENDER or text[end : end + 1] == " ":
+            family = _NEXT.match(text, end)
+        if not family:
+            continue
+        name = f"{word} {family[1]}"
+        if word in _GENDER:
+            out.append((m.start(), family.end(), _name_kind(name, "n"), name))
+            done = family.end()
+        elif word in GREETINGS:
+            second = _NEXT.match(text, family.end())
+            if second and family[1] not in _TITLE and family[1] not in _GENDER:
+                name = f"{family[1]} {second[1]}"
+                out.append((family.start(1), second.end(), _name_kind(name, "n"), name))
+                done = second.end()
+        elif text[max(0, m.start() - 16) : m.start()].lower().endswith(INTRODUCTIONS):
+            out.append((m.start(), family.end(), _name_kind(name, "n"), name))
+            done = family.end()
+    return out
+
+
+def _name_kind(name: str, gender: str) -> str:
+    """Type of a name: the gender of a known given name, else that of the title before it."""
+    script = "cyrillic" if re.match("[А-ЯЁ]", name) else "latin"
+    given = name.split(" ", 1)[0]
+    return f"name:{_GENDER[given][0] if ' ' in name and given in _GENDER else gender}:{script}"
+
+
 def resolved(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """found with each mention of a person under the full name, and with the bare repeats of the names' parts.
 
-    A title and family name is the last full name of that gender and family before it, or the first after
-    it; a bare given or family name after a name is the last one before it that has it.
+    A title and family name is the last full name of that family before it, or the first after it, whose
+    gender isn't another; a bare given or family name after a name is the last one before it that has it.
+    A full name is of the gender that one of its mentions says.
     """
-    full: dict[tuple[str, str], list[tuple[int, str]]] = {}
+    gender, full = {}, {}
+    for _, _, kind, canon in found:
+        if kind.startswith("name:") and " " in canon and not kind.startswith("name:n"):
+            gender.setdefault(canon, kind)
+    found = [(b, e, gender.get(canon, kind) if kind.startswith("name:") else kind, canon) for b, e, kind, canon in found]
     for begin, _, kind, canon in found:
         if kind.startswith("name:") and " " in canon:
-            full.setdefault((kind, canon.split(" ", 1)[1]), []).append((begin, canon))
+            full.setdefault(canon.split(" ", 1)[1], []).append((begin, kind, canon))
     out, parts = [], {}
     for begin, end, kind, canon in found:
         if kind.startswith("name:"):
-            if same := full.get((kind, canon)):
-                canon = same[max(0, bisect.bisect(same, (begin,)) - 1)][1]
+            if " " not in canon:
+                same = [x for x in full.get(canon, ()) if x[1] == kind or "n" in (x[1][5], kind[5])]
+                if same:
+                    _, kind, canon = same[max(0, bisect.bisect(same, (begin,)) - 1)]
             for part in canon.split(" ", 1):
                 parts.setdefault(part, []).append((begin, kind, canon))
         out.append((begin, end, kind, canon))
@@ -189,6 +265,9 @@ class Draw:
             elif "а" <= c.lower() <= "я":
                 new = chr(1072 + self.below(32))
                 out.append(new.upper() if c.isupper() else new)
+            elif c.isalpha():
+                near = [x for x in map(chr, range(ord(c) & ~31, (ord(c) | 31) + 1)) if x.isalpha() and x.islower() == c.islower()]
+                out.append(near[self.below(len(near))])
             else:
                 out.append(c)
         return "".join(out)
@@ -216,17 +295,21 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         other = Draw(key, "domain", domain)  # the same for all addresses there
         return f"{draw.alike(local)}{extra}@{'.'.join([other.alike(x) for x in labels[:-1]] + labels[-1:])}"
     if kind == "ip":
-        address = ipaddress.ip_address(".".join(str(int(x)) for x in canon.split(".")))
-        if address.is_private:
-            parts = canon.split(".")
-            keep = 1 if parts[0] == "10" else 2
-            return ".".join(parts[:keep] + [str(1 + draw.below(254)) for _ in range(4 - keep)])
+        old = ipaddress.ip_address(canon)
+        special = [x for x in _SPECIAL if old in x]
+        wide = attempt // WIDEN  # first the form's own range, then private or public IPv6 of 120 bits
+        if special and not wide:
+            return str(special[0][draw.below(special[0].num_addresses)])
+        if special:
+            return str(ipaddress.ip_network("fd00::/8")[draw.below(1 << 60) << 60 | draw.below(1 << 60)])
         while True:
-            new = ".".join(str(1 + draw.below(223 if k == 0 else 254)) for k in range(4))
-            if ipaddress.ip_address(new).is_global:
-                return new
+            v6 = old.version == 6 or wide
+            new = ipaddress.ip_address((0x20 << 120 | draw.below(1 << 61) << 60 | draw.below(1 << 60)) if v6 else draw.below(224 << 24))
+            if new.is_global and not new.is_multicast:
+                return str(new)
     if kind == "mac":
-        return canon[:1] + "".join("0123456789abcdef"[draw.below(16)] for _ in canon[1:])
+        longer = "ffff" if attempt >= WIDEN else ""  # an address of eight bytes
+        return canon[:1] + "".join("0123456789abcdef"[draw.below(16)] for _ in canon[1:] + longer)
     if kind == "card":
         body = draw.alike(canon, 4 if canon[0] == "2" else 1)  # the brand stays
         if luhn(canon) == 0:
@@ -249,7 +332,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
     if kind.startswith("name:"):
         _, gender, script = kind.split(":")
         own = canon.split(" ", 1)  # not to be drawn: parts of a name are replaced by themselves, too
-        given = [x for x in NAMES[gender, script] if x != own[0]]
+        given = [x for g in ("f", "m") if gender in (g, "n") for x in NAMES[g, script] if x != own[0]]
         families = [x for x in FAMILIES[script] if own[-1] not in (x, x + "а")]
         family = families[draw.below(len(families))]
         if attempt >= 3:  # lists are short: a second family name, then more
@@ -259,10 +342,8 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         return f"{given[draw.below(len(given))]} {family}" if " " in canon else family
     if kind == "secret":
         fixed = len(re.match(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-)?", canon)[0])
-        if canon.startswith("-----BEGIN"):
-            head, _, body = canon.partition("-----\n")
-            body, _, tail = body.rpartition("\n-----")
-            return f"{head}-----\n{draw.alike(body)}{extra}\n-----{tail}"
+        if pem := _PEM.fullmatch(canon):
+            return f"{pem[1]}{draw.alike(pem[2])}{extra}{pem[3]}"
         return draw.alike(canon, fixed) + extra
     return draw.alike(canon) + extra
 
@@ -307,14 +388,15 @@ def inventory(docs: DataFrame) -> DataFrame:
             kinds, canons = ([x[k] for x in sorted(found)] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(canons, pa.string())], ["kind", "canon"])
 
-    return docs.select("text").mapInArrow(run, "kind string, canon string").distinct()
+    return docs.select(valid("text")).mapInArrow(run, "kind string, canon string").distinct()
 
 
-def redrawn(found: DataFrame, key: bytes) -> DataFrame:
+def redrawn(found: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
     """``kind, canon, attempt`` of the entities whose first surrogate is taken.
 
     A round gives each entity without a surrogate the draw of the next attempt, unless an entity or a
     settled surrogate of the type is that; of several with one draw the first by canonical form gets it.
+    From WIDEN attempts on the range of draws is so large that nearly all succeed, so rounds are few.
     """
 
     def kernel(kinds: pa.Array, canons: pa.Array, attempts: pa.Array) -> pa.Array:
@@ -324,25 +406,28 @@ def redrawn(found: DataFrame, key: bytes) -> DataFrame:
     draw = F.arrow_udf(kernel, "string")
     spark = found.sparkSession
     group = F.split_part("kind", F.lit(":"), F.lit(1))  # a name of one gender may not become another's
-    found = stored(found.withColumn("type", group), "pii-entities")
-    taken = found.select("type", F.col("canon").alias("new"))
-    open_, settled, attempt = found, None, 0
-    while True:
+    found = scratch.store(found.withColumn("type", group), "pii-entities")
+    schema = "type string, new string, kind string, canon string, attempt int"
+    settled = scratch_path(spark, "pii-settled")
+    scratch.paths["pii-settled"] = settled
+    open_, attempt = found, 0
+    while not open_.isEmpty():
         drawn = open_.withColumn("attempt", F.lit(attempt)).withColumn("new", draw("kind", "canon", "attempt"))
-        drawn = stored(drawn, "pii-drawn")
+        drawn = scratch.store(drawn, f"pii-drawn-{attempt}")
+        taken = found.select("type", F.col("canon").alias("new"))
+        if attempt:
+            taken = taken.union(spark.read.schema(schema).parquet(settled).select("type", "new"))
         free = drawn.join(taken.distinct(), ["type", "new"], "left_anti")
         first = free.groupBy("type", "new").agg(F.min(F.struct("canon", "kind")).alias("own"))
-        won = stored(first.select("type", "new", "own.kind", "own.canon", F.lit(attempt).alias("attempt")), "pii-settled")
-        if attempt:
-            settled = won if settled is None else settled.union(won)
-        open_ = stored(open_.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), "pii-open")
-        if open_.isEmpty():
-            break
-        taken = taken.union(won.select("type", "new"))
+        won = first.select("type", "new", "own.kind", "own.canon", F.lit(attempt).alias("attempt"))
+        won.write.mode("append").parquet(settled)
+        won = spark.read.schema(schema).parquet(settled).where(F.col("attempt") == attempt)
+        open_ = scratch.store(open_.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), f"pii-open-{attempt}")
+        scratch.drop(f"pii-drawn-{attempt}", *([f"pii-open-{attempt - 1}"] if attempt else []))
         attempt += 1
-    if settled is None:
+    if not attempt:
         return spark.createDataFrame([], "kind string, canon string, attempt int")
-    return settled.select("kind", "canon", "attempt")
+    return spark.read.schema(schema).parquet(settled).where("attempt > 0").select("kind", "canon", "attempt")
 
 
 _RESULT = "struct<text: string, n: long, kinds: map<string, long>>"
@@ -355,8 +440,8 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     is an entity of the documents. Null and empty texts, and texts without personal data, stay as they
     are. Repeated rows are treated alike; other columns stay, but for those two, which are replaced.
     """
-    small_batches(docs.sparkSession)
-    exceptions = stored(redrawn(inventory(docs), key), "pii-attempts")
+    with Scratch(docs.sparkSession) as scratch:
+        exceptions = stored(redrawn(inventory(docs), key, scratch), "pii-attempts")
     name, shipped, own = uuid.uuid4().hex, None, F.lit(None).cast("map<string, int>")
     if exceptions.count() <= BROADCAST_ROWS:
         rows = exceptions.toArrow()
@@ -377,7 +462,7 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         kind = pa.struct([("text", pa.string()), ("n", pa.int64()), ("kinds", pa.map_(pa.string(), pa.int64()))])
         return pa.array(out, kind)
 
-    out = docs.withColumn("__pii", F.arrow_udf(kernel, _RESULT)("text", own))
+    out = docs.withColumn("__pii", F.arrow_udf(kernel, _RESULT)(valid("text"), own))
     added = {"text": F.col("__pii.text"), "n_entities": F.col("__pii.n"), "entity_types": F.col("__pii.kinds")}
     return out.withColumns(added).drop("__pii", "__attempts")
 
@@ -390,7 +475,7 @@ def _joined(docs: DataFrame, exceptions: DataFrame) -> DataFrame:
         return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("canon", pa.string())])))
 
     docs = docs.withColumn("__doc", F.xxhash64("text"))
-    listed = F.explode(F.arrow_udf(kernel, "array<struct<kind: string, canon: string>>")("text"))
+    listed = F.explode(F.arrow_udf(kernel, "array<struct<kind: string, canon: string>>")(valid("text")))
     pairs = docs.select("__doc", listed.alias("e")).select("__doc", "e.kind", "e.canon").distinct()
     pairs = pairs.join(exceptions, ["kind", "canon"])
     entry = F.struct(F.concat("kind", F.lit("\0"), "canon").alias("k"), F.col("attempt").cast("int").alias("v"))
@@ -399,6 +484,7 @@ def _joined(docs: DataFrame, exceptions: DataFrame) -> DataFrame:
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     types = F.array_join(F.array_sort(F.map_keys("entity_types")), ",")
     return docs.select("doc_id", "text", "n_entities", types.alias("entity_types"))
