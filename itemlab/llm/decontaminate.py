@@ -27,13 +27,22 @@ THRESHOLD = 0.5
 #: Characters of test items that are held in memory and broadcast at once; more are taken in blocks.
 BLOCK_CHARS = 20_000_000
 
-_WORD = re.compile(r"\w+")
+#: Scripts without spaces between words (Thai to Lao, Tibetan to Myanmar, Khmer, kana, Han and their extensions): a character is a word.
+_DENSE = "\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_PLAIN, _WORD, _HAS_DENSE = re.compile(r"\w+"), re.compile(rf"[^\W{_DENSE}]+|(?:(?=[{_DENSE}])\w)"), re.compile(f"[{_DENSE}]")
 _MATCHES = "array<struct<item_id: long, score: double, first_word: int, last_word: int>>"
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the lower-cased words (runs of letters, digits and underscores)."""
-    return hash_words([w.encode("utf-8", "surrogatepass") for w in _WORD.findall(text.lower())]) if text else np.empty(0, np.uint64)
+    """Hashes of the lower-cased words: runs of letters, digits and underscores, single characters of dense scripts."""
+    if not text:
+        return np.empty(0, np.uint64)
+    word = _PLAIN
+    try:
+        text.encode("latin-1")  # quicker than to look for characters beyond it
+    except UnicodeEncodeError:
+        word = _WORD if _HAS_DENSE.search(text) else _PLAIN
+    return hash_words([w.encode("utf-8", "surrogatepass") for w in word.findall(text.lower())])
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -154,8 +163,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     out = docs.withColumn("matches", F.array().cast(_MATCHES))
     for k in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else benchmark
-        rows = part.collect()
-        items = Items([r.item_id for r in rows], [r.text for r in rows])
+        rows = part.toArrow()
+        items = Items(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())
         if not len(items.seeds):
             continue
         name, shipped = uuid.uuid4().hex, spark.sparkContext.broadcast(items)

@@ -17,8 +17,8 @@ from .common import hash_words, mix, small_batches, table, valid
 
 #: Words of the shortest repeat that counts.
 WINDOW = 8
-#: A text is kept if repeats cover at most so many percent of its words ...
-MAX_COVERED = 30
+#: A text is kept if repeats cover at most so many percent of its words' characters ...
+MAX_COVERED = 25
 #: ... and none is longer than so many words.
 MAX_REPEAT = 50
 #: Words that are sorted at once; a longer text is sorted alone.
@@ -26,7 +26,7 @@ CHUNK = 400_000
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " n_maximal_repeats long, covered_words long, longest_repeat long"
+    " n_maximal_repeats long, covered_chars long, longest_repeat long"
 )
 
 
@@ -161,7 +161,8 @@ def measure(texts: list[str | None]) -> np.ndarray:
             # Windows found twice or more lie in a repeat, and a repeat consists of such windows.
             out[begin:end, 4] = np.bincount(doc[at] - begin, minlength=end - begin)
             np.add.at(out[:, 5], doc[places], 1)
-            out[begin:end, 6] = out[begin:end, 4]
+            chars = [len(words[k].decode("utf-8", "surrogatepass")) for k in np.flatnonzero(at)]
+            out[begin:end, 6] = np.bincount(doc[at] - begin, chars, end - begin).astype(np.int64)
             np.maximum.at(out[:, 7], doc[starts], lengths)
         begin = end
     return out
@@ -171,8 +172,8 @@ def quality_rules(docs: DataFrame, max_covered: int = MAX_COVERED, max_repeat: i
     """The columns of SCHEMA with ``base_failed`` and ``kept`` for each row of docs (``doc_id, text``).
 
     base_failed: under 20 words, or over 30 percent of them in windows of WINDOW words found twice or
-    more. kept: not base_failed, at most max_covered percent of the words in maximal repeats, none of
-    which is longer than max_repeat words. A null or empty text has no words and fails. Repeated rows
+    more. kept: not base_failed, at most max_covered percent of the words' characters in maximal repeats
+    (the union of their spans), none of which is longer than max_repeat words. A null or empty text has no words and fails. Repeated rows
     and null doc_ids are measured like any other; other columns are ignored.
     """
 
@@ -186,7 +187,7 @@ def quality_rules(docs: DataFrame, max_covered: int = MAX_COVERED, max_repeat: i
     out = docs.mapInArrow(run, SCHEMA)
     words = F.col("n_words")
     failed = (words < 20) | (100 * F.col("n_repeat_words") > 30 * words)
-    fine = (100 * F.col("covered_words") <= max_covered * words) & (F.col("longest_repeat") <= max_repeat)
+    fine = (100 * F.col("covered_chars") <= max_covered * F.col("word_chars")) & (F.col("longest_repeat") <= max_repeat)
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine)
 
 

@@ -122,3 +122,31 @@ def test_bound_holds():
         most = items.in_common(a, np.arange(50))
         assert most.tolist() == [int(np.isin(b, a).sum()) for b in items.words]
         assert all(dc.align(a, b)[0] <= dc.MATCH * m for b, m in zip(items.words, most, strict=True))
+
+
+def test_items_of_repeated_words():
+    items = dc.Items([1, 2], ["ha " * 10, "a b c " * 8])
+    for k, text in ((1, "ha " * 10), (2, "a b c " * 8)):
+        found = items.matches(f"x y z {text} q", 0.5)
+        assert [(m["item_id"], m["score"], m["first_word"]) for m in found] == [(k, 1.0, 3)]
+    assert not items.matches("ha ha ha b", 0.5)
+
+
+def test_scripts_without_spaces():
+    item = "富士山は日本で一番高い山であり、多くの人が毎年登ります"
+    items = dc.Items([7], [item])
+    assert len(items.words[0]) > 20
+    edited = item.replace("毎年", "夏に")
+    assert [m["item_id"] for m in items.matches(f"前書き。{edited}。後書き", 0.5)] == [7]
+    assert not items.matches("まったく別の文章がここにあります", 0.5)
+
+
+def test_many_items():
+    """Tens of thousands of items, of which one is copied with edits."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 20_000, (30_000, 30))
+    items = dc.Items(list(range(30_000)), [" ".join(f"w{x}" for x in row) for row in words])
+    copy = [f"w{x}" for x in words[12_345]]
+    copy[7], copy[20] = "other", "words"
+    noise = [f"w{x}" for x in rng.integers(0, 20_000, 2000)]
+    assert [m["item_id"] for m in items.matches(" ".join(noise + copy + noise), 0.5)] == [12_345]

@@ -11,7 +11,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(text, window=8):
-    """Base columns, and covered words, longest repeat and number of maximal repeats by trying all substrings."""
+    """Base columns, and covered characters, longest repeat and number of maximal repeats by trying all substrings."""
     text = text or ""
     words = WORD.findall(text)
     n = len(words)
@@ -33,7 +33,7 @@ def brute(text, window=8):
             right = {words[i + size] if i + size < n else None for i in found}
             maximal += (len(left) > 1) and (len(right) > 1)
     symbols = len(re.findall(r"[#*$%&|<>]", text))
-    return [n, sum(map(len, words)), symbols, dup, len(at), maximal, len(at), longest]
+    return [n, sum(map(len, words)), symbols, dup, len(at), maximal, sum(len(words[k]) for k in at), longest]
 
 
 def texts():
@@ -81,3 +81,18 @@ def test_rows(spark):
         assert not (r.kept and r.base_failed)
     assert next(r for r in got if r.doc_id == 99).kept
     assert repetition.quality_rules(df.limit(0)).count() == 0
+
+
+def test_limits_decide(spark):
+    """Few words that are long, within the base's limit of words, and one long repeat."""
+    plain = [f"p{k}" for k in range(100)]
+    long = [f"{'long' * 9}{k}" for k in range(12)]
+    rows = [
+        (1, " ".join(plain + long + plain[:1] + long)),  # 24 of 125 words, most of the characters
+        (2, " ".join([f"q{k}" for k in range(300)] + plain[:51] + ["x"] + plain[:51])),
+        (3, " ".join([f"q{k}" for k in range(300)] + plain[:50] + ["x"] + plain[:50])),
+    ]
+    got = {r.doc_id: r for r in repetition.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].base_failed for k in (1, 2, 3)] == [False] * 3
+    assert [got[k].kept for k in (1, 2, 3)] == [False, False, True]
+    assert [got[k].longest_repeat for k in (1, 2, 3)] == [12, 51, 50]
