@@ -48,6 +48,7 @@ class Tables:
         part = self.read("part").where("p_size <= 40").groupBy(F.col("p_size").alias("syllabus_topic_id"))
         return part.agg(
             F.min("p_name").alias("title"),
+            F.concat(F.lit("T"), F.col("p_size")).alias("topic_code"),
             F.array_join(F.array_sort(F.collect_set(F.lower("p_type"))), ", ").alias("keywords"),
             F.min("p_brand").alias("discipline_name"),
         )
@@ -104,7 +105,7 @@ SQL = {
     "questions": """questions AS (SELECT p_partkey AS question_id, p_name || ' ' || p_type AS question_text,
   CASE WHEN p_partkey % 50 <> 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 80.0::DOUBLE ELSE 100.0::DOUBLE END END AS max_score,
   CASE WHEN p_size <= 40 THEN p_size END AS syllabus_topic_id FROM part)""",
-    "topics": """topics AS (SELECT p_size AS syllabus_topic_id, min(p_name) AS title,
+    "topics": """topics AS (SELECT p_size AS syllabus_topic_id, min(p_name) AS title, 'T' || p_size AS topic_code,
   array_to_string(list_sort(list(DISTINCT lower(p_type))), ', ') AS keywords, min(p_brand) AS discipline_name
   FROM part WHERE p_size <= 40 GROUP BY p_size)""",
     "profiles": """profiles AS (SELECT o_orderkey AS student_id, n_name AS nationality_group

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a topic (fixed values).
-STOP_WORDS = ["и", "в", "на", "с", "по", "для", "из", "что", "как", "это", "the", "and", "for", "with", "from", "that", "this",
-              "are", "was", "not"]
+STOP_WORDS = ["и", "в", "на", "с", "для", "по", "из", "к", "а", "the", "and", "of", "to", "in", "for", "with", "on", "at", "from", "by"]
 
 
 def tokens(text: Column, min_length: int = 2, stop: list[str] | None = None) -> Column:

@@ -12,9 +12,7 @@ from ..functions.text import STOP_WORDS, coverage, tfidf, tokens
 
 def _attempts(facts: DataFrame) -> DataFrame:
     rows = facts.where(F.col("question_id").isNotNull())
-    return rows.groupBy("import_id", "question_id").agg(
-        F.avg("received_score").alias("mean"), F.count("received_score").alias("attempts"), F.countDistinct("student_id").alias("students")
-    )
+    return rows.groupBy("import_id", "question_id").agg(F.avg("received_score").alias("mean"), F.countDistinct("student_id").alias("students"))
 
 
 def _topic_text():
@@ -22,28 +20,42 @@ def _topic_text():
 
 
 def questions_for_analysis(facts: DataFrame, questions: DataFrame, topics: DataFrame) -> DataFrame:
-    """Linked questions of each import with mean and students."""
-    linked = questions.join(F.broadcast(topics.select("syllabus_topic_id", "title")), "syllabus_topic_id")
+    """Linked questions of each import with their topics, mean (0 without scores) and students."""
+    linked = questions.join(topics.select("syllabus_topic_id", "title", "discipline_name"), "syllabus_topic_id")
     own = _attempts(facts).join(linked, "question_id")
-    return own.select("import_id", "question_id", "title", rounded(F.col("mean"), 2).alias("avg_score"), "students")
+    mean = rounded(F.coalesce("mean", F.lit(0.0)), 2)
+    return own.select("import_id", "question_id", "syllabus_topic_id", "title", "discipline_name", mean.alias("avg_score"), "students")
 
 
 def keyword_coverage(questions: DataFrame, topics: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
-    rows = questions.join(F.broadcast(topics), "syllabus_topic_id")
-    share = coverage(tokens(_topic_text(), c.min_token_length), tokens(F.col("question_text"), c.min_token_length))
+    rows = questions.join(topics, "syllabus_topic_id")
+    of = lambda text: tokens(text, c.min_token_length, STOP_WORDS)
+    share = coverage(of(_topic_text()), of(F.col("question_text")))
     return rows.select("question_id", rounded(100 * share, 1).alias("keyword_coverage"))
 
 
+def pair_cosine(a: str, b: str):
+    """Cosine of two token arrays under the weights of these two texts alone, tf * ln(2 / df); 0 where one has no weight."""
+    tf = lambda tokens_, w: F.size(F.filter(tokens_, lambda x: x == w)) / F.size(tokens_)
+    df = lambda w: F.array_contains(a, w).cast("int") + F.array_contains(b, w).cast("int")
+    of = lambda tokens_: lambda w: tf(F.col(tokens_), w) * F.log(F.lit(2.0) / df(w))
+    total = lambda words, f: F.aggregate(words, F.lit(0.0), lambda acc, w: acc + f(w))
+    dot = total(F.array_intersect(a, b), lambda w: of(a)(w) * of(b)(w))
+    norm = F.sqrt(total(F.array_distinct(a), lambda w: of(a)(w) * of(a)(w)) * total(F.array_distinct(b), lambda w: of(b)(w) * of(b)(w)))
+    return F.when(norm > 0, dot / norm).otherwise(0.0)
+
+
 def text_similarity(questions: DataFrame, topics: DataFrame, mode: str = "corpus") -> DataFrame:
     """``question_id, similarity``: cosine of a question with its topic.
 
     corpus: idf over all question and topic texts. faithful: idf over the two texts alone, ln(2 / df),
-    under which words in common weigh nothing, so that it is always 0.
+    under which words in common weigh nothing.
     """
-    linked = questions.join(F.broadcast(topics.select("syllabus_topic_id")), "syllabus_topic_id").select("question_id", "syllabus_topic_id")
-    if mode == "faithful":
-        return linked.select("question_id", F.lit(0.0).alias("similarity"))
     of = lambda text: tokens(text, 2, STOP_WORDS)
+    if mode == "faithful":
+        rows = questions.join(topics, "syllabus_topic_id").select("question_id", of(F.col("question_text")).alias("a"), of(_topic_text()).alias("b"))
+        return rows.select("question_id", pair_cosine("a", "b").alias("similarity"))
+    linked = questions.join(topics.select("syllabus_topic_id"), "syllabus_topic_id").select("question_id", "syllabus_topic_id")
     docs = questions.select(F.concat(F.lit("q"), "question_id").alias("id"), of(F.col("question_text")).alias("tokens"))
     docs = docs.union(topics.select(F.concat(F.lit("t"), "syllabus_topic_id"), of(_topic_text())))
     weights = tfidf(docs)
@@ -72,7 +84,7 @@ def alignment(
     value = F.col("combined_score")
     level = F.when(value < c.alignment_low, "low").when(value < c.alignment_medium, "medium").otherwise("high")
     return rows.select(
-        "import_id", "question_id", "title", rounded(F.col("similarity"), 3).alias("text_similarity"),
+        "import_id", "question_id", "syllabus_topic_id", "title", "discipline_name", rounded(F.col("similarity"), 3).alias("text_similarity"),
         rounded(F.col("semantic"), 3).alias("semantic_similarity"), "combined_score", level.alias("alignment_level"),
         F.col("avg_score").alias("average_score"), F.col("students").alias("student_attempts"),
     )
@@ -81,29 +93,37 @@ def alignment(
 def validation(
     facts: DataFrame, questions: DataFrame, topics: DataFrame, semantic: DataFrame | None = None, c: Coefficients = DEFAULT
 ) -> DataFrame:
-    """Every question of each import: statistics, coverage, alignment, and what is wrong with it."""
-    maximum = F.coalesce(F.nullif("max_score", F.lit(0.0)), F.lit(c.default_maximum))
-    rows = _attempts(facts).join(questions, "question_id")
-    rows = rows.join(keyword_coverage(questions, topics, c), "question_id", "left")
-    aligned = alignment(facts, questions, topics, semantic, c)
-    rows = rows.join(aligned.select("import_id", "question_id", "combined_score", "semantic_similarity"), ["import_id", "question_id"], "left")
-    tried = F.col("attempts") > 0
+    """The linked questions of each import: statistics, coverage, alignment, and what is wrong with them.
+
+    Attempts are distinct students; a question without scores has the mean 0, one without a maximum
+    the default one. NO_EMBEDDINGS: semantic (``question_id, semantic``) has nothing on the question.
+    """
+    maximum = F.coalesce("max_score", F.lit(c.default_maximum))
+    mean = F.coalesce("mean", F.lit(0.0))
+    linked = questions.join(topics.select("syllabus_topic_id", "title", "topic_code"), "syllabus_topic_id")
+    rows = _attempts(facts).join(linked, "question_id").join(keyword_coverage(questions, topics, c), "question_id")
+    aligned = alignment(facts, questions, topics, semantic, c).select("import_id", "question_id", F.col("combined_score").alias("aligned"))
+    rows = rows.join(aligned, ["import_id", "question_id"], "left")
+    if semantic is None:
+        rows = rows.withColumn("semantic", F.lit(None).cast("double"))
+    else:
+        rows = rows.join(semantic.select("question_id", "semantic"), "question_id", "left")
+    tried = F.col("students") > 0
     issues = F.array_compact(
         F.array(
-            F.when(F.col("syllabus_topic_id").isNull(), "UNLINKED"),
-            F.when(tried & (F.col("mean") < c.validation_low * maximum), "LOW_AVG"),
-            F.when(tried & (F.col("mean") > c.validation_high * maximum), "HIGH_AVG"),
-            F.when(F.col("attempts") < c.validation_attempts, "FEW_ATTEMPTS"),
-            F.lit(None).cast("string") if semantic is None else F.when(F.col("semantic_similarity").isNull(), "NO_EMBEDDINGS"),
+            F.when(tried & (mean < c.validation_low * maximum), "LOW_AVG"),
+            F.when(tried & (mean > c.validation_high * maximum), "HIGH_AVG"),
+            F.when(F.col("students") < c.validation_attempts, "FEW_ATTEMPTS"),
+            F.when(F.col("semantic").isNull(), "NO_EMBEDDINGS"),
         )
     )
     zero = lambda name: F.coalesce(name, F.lit(0.0))
-    combined = 0.3 * zero("keyword_coverage") + 0.4 * 100 * zero("combined_score") + 0.3 * 100 * zero("semantic_similarity")
+    combined = 0.3 * zero("keyword_coverage") + 0.4 * 100 * zero("aligned") + 0.3 * 100 * zero("semantic")
     return rows.select(
-        "import_id", "question_id", zero("keyword_coverage").alias("keyword_coverage"),
-        rounded(100 * zero("combined_score"), 1).alias("tfidf_score"), rounded(combined, 1).alias("combined_score"),
-        rounded(F.col("mean"), 2).alias("avg_score"), "attempts", F.array_join(issues, ",").alias("issues"),
-        F.when(F.size(issues) > 0, "warning").otherwise("ok").alias("status"),
+        "import_id", "question_id", "title", "topic_code", zero("keyword_coverage").alias("keyword_coverage"),
+        rounded(100 * zero("aligned"), 1).alias("tfidf_score"), rounded(100 * zero("semantic"), 1).alias("semantic_similarity"),
+        rounded(combined, 1).alias("combined_score"), rounded(mean, 2).alias("avg_score"), F.col("students").alias("attempts"),
+        F.array_join(issues, ",").alias("issues"), F.when(F.size(issues) > 0, "warning").otherwise("ok").alias("status"),
     )
 
 
@@ -113,22 +133,23 @@ def validate_one(facts: DataFrame, questions: DataFrame, topics: DataFrame, ques
     return validation(facts.where(of), questions.where(of), topics, None, c)
 
 
-#: Words of medication in a question (fixed values, Russian).
-MEDICATION = r"(?iU)\b(препарат|лекарств|доз|мг|таблет|инъекц)"
+#: Words of doses and drugs in a question (fixed values, Russian).
+DOSES = r"(?iU)\b(мг|мкг|доз|дозиров|препарат)"
 
 
 def rubric_compliance(questions: DataFrame, rubrics: DataFrame) -> DataFrame:
-    """Questions (``question_id, question_text, rubric_id``) against their rubrics (``rubric_id, title, criteria_text``).
+    """Questions (``question_id, question_text, rubric_id``) against their rubrics (``rubric_id, title, criteria_text, dose_theme_note``).
 
-    overlap counts the rubric's lines whose first twenty characters are in the question.
+    overlap counts the rubric's lines whose first twenty characters are in the question. DOSES_STRESSED:
+    the rubric has a note on doses, and the question doesn't speak of any.
     """
-    rows = questions.join(F.broadcast(rubrics), "rubric_id")
-    text = F.lower(F.coalesce("question_text", F.lit("")))
-    lines = F.filter(F.transform(F.split("criteria_text", r"\R+"), lambda x: F.trim(x)), lambda x: x != "")
-    overlap = F.size(F.filter(lines, lambda x: text.contains(F.lower(F.substring(x, 1, 20)))))
+    rows = questions.join(rubrics, "rubric_id")
+    question = F.coalesce("question_text", F.lit(""))
+    lines = F.filter(F.transform(F.split(F.coalesce("criteria_text", F.lit("")), r"\R+"), lambda x: F.trim(x)), lambda x: x != "")
+    overlap = F.size(F.filter(lines, lambda x: F.lower(question).contains(F.lower(F.substring(x, 1, 20)))))
+    noted = F.coalesce("dose_theme_note", F.lit("")) != ""
     issues = F.array(
-        F.when(F.length("question_text") <= 40, "SHORT_TEXT"),
-        F.when(text.rlike(MEDICATION), "MENTIONS_MEDICATION"),
-        F.when(overlap == 0, "NO_CRITERIA_IN_TEXT"),
+        F.when(F.length(question) <= 40, "SHORT_TEXT"),
+        F.when(noted & ~question.rlike(DOSES), "DOSES_STRESSED"),
     )
     return rows.select("question_id", F.col("title").alias("rubric_title"), overlap.alias("overlap"), F.array_join(F.array_compact(issues), ",").alias("issues"))

@@ -12,24 +12,34 @@ from ..functions.stats import percent_change, rounded
 
 
 def import_figures(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("import_id").agg(
-        F.count("*").alias("rows"),
+    """Each import's figures, of the rows that have a score."""
+    return facts.where(F.col("received_score").isNotNull()).groupBy("import_id").agg(
         F.countDistinct("question_id").alias("questions"),
         F.countDistinct("student_id").alias("students"),
-        F.countDistinct("discipline_name").alias("disciplines"),
-        F.avg("received_score").alias("mean"),
+        F.count("*").alias("attempts"),
+        rounded(F.avg("received_score"), 1).alias("avg_score"),
     )
 
 
 def overview(facts: DataFrame) -> DataFrame:
-    """Each import's figures with their change against the import before it, and the estimated size."""
-    rows = import_figures(facts)  # a row for each import
-    before = Window.orderBy("import_id")
-    out = rows.select("import_id", "rows", "questions", "students", "disciplines", rounded(F.col("mean"), 2).alias("avg_score"))
-    for name in ("questions", "students"):
+    """Each import's figures with their change against the import before it; the last row is the current one."""
+    before = Window.orderBy("import_id")  # a row for each import
+    out = import_figures(facts)
+    for name in ("questions", "students", "attempts", "avg_score"):
         change, up = percent_change(F.col(name), F.lag(name).over(before))
         out = out.withColumn(f"{name}_change", change).withColumn(f"{name}_up", up)
-    return out.withColumn("size_mb", F.greatest(F.lit(0.1), rounded(F.col("rows") * 0.0005, 1)))
+    return out
+
+
+def overview_totals(facts: DataFrame, imports: DataFrame, questions: DataFrame, users: DataFrame) -> DataFrame:
+    """One row: imports (``rows_imported``) with rows, estimated megabytes, linked questions, users."""
+    one = lambda rows, x: rows.agg(x)
+    size = F.greatest(F.lit(0.1), rounded(F.count("*") * 0.0005, 1)).alias("data_processed")
+    parts = [
+        one(imports, F.count_if(F.col("rows_imported") > 0).alias("total_documents")), one(facts, size),
+        one(questions, F.count("syllabus_topic_id").alias("active_questions")), one(users, F.count("*").alias("team_members")),
+    ]
+    return reduce(DataFrame.crossJoin, parts)  # one row each
 
 
 def tally(rows: DataFrame, section: str, flag: str) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 #: Header names of the columns of exam results, in order of preference (fixed values).
 ALIASES = {
-    "question_id": ["question_id", "Question ID", "ID вопроса"],
-    "student_id": ["student_id", "Student ID", "ID студента"],
-    "course": ["course", "Course", "Курс"],
-    "score_after": ["score_after_appeal", "Score after appeal", "Балл после апелляции"],
-    "score_before": ["score_before_appeal", "Score before appeal", "Балл до апелляции"],
-    "score_discipline": ["discipline_score", "Discipline score", "Балл по дисциплине"],
-    "discipline": ["discipline", "Discipline", "Дисциплина"],
+    "question_id": ["ID вопроса", "ID тематики", "ID fråga", "question_id"],
+    "student_id": ["ID студента", "ID student", "student_id"],
+    "course": ["Курс", "Kurs", "course_number"],
+    "score_after": ["Оценка после апелляции", "Bedömning efter överklagande", "score_after_appeal"],
+    "score_before": ["Оценка до апелляции", "Bedömning före överklagande", "score_before_appeal"],
+    "score_discipline": ["Оценка за дисциплину", "Bedömning för disciplin", "discipline_score"],
+    "discipline": ["Дисциплина", "Disciplin", "discipline_name"],
 }
 
 
@@ -66,6 +66,25 @@ def exam_results(rows: DataFrame, default_course: int = 3) -> DataFrame:
     return out.withColumn("is_kept", F.col("question_id").isNotNull() | F.col("student_id").isNotNull())
 
 
+def exam_tables(typed: DataFrame, import_id: int, default_course: int = 3, default_maximum: float = 100.0) -> dict[str, DataFrame]:
+    """What an import adds to each of its tables: results, questions, students, works and topics.
+
+    A row for each new key; whether the key exists already is the target's business
+    (``store.insert_ignore``). A zero id is none, as is an empty one.
+    """
+    kept = typed.where("is_kept").withColumn("import_id", F.lit(import_id))
+    real = lambda c: F.col(c).isNotNull() & (F.col(c) != 0)
+    questions = kept.where(real("question_id")).select("question_id").distinct()
+    works = kept.where(real("question_id") & real("student_id")).select("import_id", "student_id", "question_id").distinct()
+    return {
+        "results": kept.drop("is_kept"),
+        "questions": questions.select("question_id", F.lit("").alias("question_text"), F.lit(default_maximum).alias("max_score")),
+        "students": kept.where(real("student_id")).groupBy("student_id").agg(F.min(F.coalesce("course_number", F.lit(default_course))).alias("course_number")),
+        "works": works.select(F.concat_ws("_", "student_id", "question_id").alias("work_id"), "student_id", "question_id", "import_id"),
+        "topics": auto_topics(typed, default_course),
+    }
+
+
 def import_counts(typed: DataFrame) -> DataFrame:
     return typed.agg(
         F.count("*").alias("rows_total"), F.count_if("is_kept").alias("rows_imported"), F.count_if(~F.col("is_kept")).alias("rows_rejected"),
@@ -74,10 +93,11 @@ def import_counts(typed: DataFrame) -> DataFrame:
     )
 
 
-def auto_topics(typed: DataFrame) -> DataFrame:
+def auto_topics(typed: DataFrame, course: int = 3) -> DataFrame:
     """A topic for each discipline, its code made of the name."""
     names = typed.where("is_kept AND discipline_name IS NOT NULL").select("discipline_name").distinct()
-    return names.select("discipline_name", F.concat(F.lit("AUTO_"), F.md5("discipline_name")).alias("topic_code"), F.col("discipline_name").alias("title"))
+    code = F.concat(F.lit("AUTO_"), F.md5("discipline_name"))
+    return names.select("discipline_name", F.lit(course).alias("course_number"), code.alias("topic_code"), F.col("discipline_name").alias("title"))
 
 
 def weight(text: Column) -> Column:

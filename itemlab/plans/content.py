@@ -25,9 +25,12 @@ def query(sql: str | None = None):
     return add
 
 
+STOPPED = "['и', 'в', 'на', 'с', 'для', 'по', 'из', 'к', 'а', 'the', 'and', 'of', 'to', 'in', 'for', 'with', 'on', 'at', 'from', 'by']"
+
+
 def tokens_sql(text: str, least: int = 2, stop: bool = False) -> str:
     words = f"string_split_regex(regexp_replace(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+')"
-    more = " AND NOT list_contains([" + ", ".join(f"'{w}'" for w in texts.STOP_WORDS) + "], w)" if stop else ""
+    more = f" AND NOT list_contains({STOPPED}, w)" if stop else ""
     return f"[w FOR w IN {words} IF length(w) > {least}{more}]"
 
 
@@ -46,7 +49,7 @@ def top_tokens(t: Tables):
 
 
 COVERAGE = f"""covered AS (SELECT question_id,
-  list_distinct({tokens_sql("title || ' ' || keywords")}) AS a, list_distinct({tokens_sql('question_text')}) AS b
+  list_distinct({tokens_sql("title || ' ' || keywords", 2, True)}) AS a, list_distinct({tokens_sql('question_text', 2, True)}) AS b
   FROM questions JOIN topics USING (syllabus_topic_id)),
 coverage AS (SELECT question_id, {r('''100 * CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0
   ELSE len(list_intersect(a, b))::DOUBLE / len(a) END''', 1)} AS keyword_coverage FROM covered)"""
@@ -57,7 +60,19 @@ def keyword_coverage(t: Tables):
     return aligned.keyword_coverage(t.questions(), t.topics())
 
 
-@query(with_tables("questions", "topics") + "SELECT question_id, 0.0::DOUBLE AS similarity FROM questions JOIN topics USING (syllabus_topic_id)")
+PAIRED = f"""pairs AS (SELECT question_id, unnest([0, 1]) AS side, unnest([{tokens_sql('question_text', 2, True)},
+  {tokens_sql("title || ' ' || keywords", 2, True)}]) AS tokens FROM questions JOIN topics USING (syllabus_topic_id)),
+paired AS (SELECT question_id, side, token, count(*) / any_value(n) * ln(2.0::DOUBLE / count(DISTINCT side) OVER (PARTITION BY question_id, token)) AS w
+  FROM (SELECT question_id, side, len(tokens)::DOUBLE AS n, unnest(tokens) AS token FROM pairs) GROUP BY question_id, side, token),
+norms AS (SELECT question_id, sum(w * w) FILTER (WHERE side = 0) * sum(w * w) FILTER (WHERE side = 1) AS n FROM paired GROUP BY 1),
+dots AS (SELECT question_id, sum(a.w * b.w) AS dot FROM paired a JOIN paired b USING (question_id, token) WHERE a.side = 0 AND b.side = 1 GROUP BY 1)"""
+
+
+@query(
+    with_tables("questions", "topics", more=PAIRED)
+    + """SELECT question_id, CASE WHEN n > 0 THEN coalesce(dot, 0) / sqrt(n) ELSE 0 END AS similarity
+FROM questions JOIN topics USING (syllabus_topic_id) LEFT JOIN norms USING (question_id) LEFT JOIN dots USING (question_id)"""
+)
 def tfidf_pair_faithful(t: Tables):
     return aligned.text_similarity(t.questions(), t.topics(), "faithful")
 
@@ -70,8 +85,7 @@ weights AS (SELECT id, token, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS wei
 similar_texts AS (SELECT question_id, coalesce(sum(a.weight * b.weight), 0) AS similarity
   FROM questions JOIN topics USING (syllabus_topic_id) LEFT JOIN weights a ON a.id = 'q' || question_id
   LEFT JOIN weights b ON b.id = 't' || syllabus_topic_id AND b.token = a.token GROUP BY 1)"""
-ATTEMPTS = """attempts AS (SELECT import_id, question_id, avg(received_score) AS mean, count(received_score) AS attempts,
-  count(DISTINCT student_id) AS students FROM facts GROUP BY 1, 2)"""
+ATTEMPTS = """attempts AS (SELECT import_id, question_id, avg(received_score) AS mean, count(DISTINCT student_id) AS students FROM facts GROUP BY 1, 2)"""
 
 
 @query(with_tables("questions", "topics", more=TFIDF) + f"SELECT question_id, {r('similarity', 4)} AS similarity FROM similar_texts")
@@ -84,14 +98,14 @@ def tfidf_corpus(t: Tables):
 
 @query(
     with_tables("facts", "questions", "topics", more=ATTEMPTS)
-    + f"""SELECT import_id, question_id, title, {r('mean', 2)} AS avg_score, students FROM attempts
+    + f"""SELECT import_id, question_id, syllabus_topic_id, title, discipline_name, {r('mean', 2)} AS avg_score, students FROM attempts
 JOIN questions USING (question_id) JOIN topics USING (syllabus_topic_id)"""
 )
 def alignment_base(t: Tables):
     return aligned.questions_for_analysis(t.facts(), t.questions(), t.topics())
 
 
-ALIGNED = f"""aligned AS (SELECT import_id, question_id, title, {r('similarity', 3)} AS text_similarity, 0.0::DOUBLE AS semantic_similarity,
+ALIGNED = f"""aligned AS (SELECT import_id, question_id, syllabus_topic_id, title, discipline_name, {r('similarity', 3)} AS text_similarity, 0.0::DOUBLE AS semantic_similarity,
   {r('0.6::DOUBLE * similarity', 3)} AS combined_score, {r('mean', 2)} AS average_score, students AS student_attempts
   FROM attempts JOIN questions USING (question_id) JOIN topics USING (syllabus_topic_id) JOIN similar_texts USING (question_id))"""
 
@@ -106,16 +120,13 @@ def syllabus_alignment(t: Tables):
 
 @query(
     with_tables("facts", "questions", "topics", more=",\n".join([ATTEMPTS, TFIDF, ALIGNED, COVERAGE]))
-    + f"""SELECT import_id, question_id, keyword_coverage, tfidf_score, combined_score, avg_score, attempts, issues,
-  CASE WHEN issues <> '' THEN 'warning' ELSE 'ok' END AS status FROM (
-  SELECT a.import_id, a.question_id, coalesce(keyword_coverage, 0) AS keyword_coverage, {r('100 * coalesce(combined_score, 0)', 1)} AS tfidf_score,
-    {r('0.3::DOUBLE * coalesce(keyword_coverage, 0) + 0.4::DOUBLE * 100 * coalesce(combined_score, 0)', 1)} AS combined_score, {r('mean', 2)} AS avg_score, attempts,
-    concat_ws(',', CASE WHEN syllabus_topic_id IS NULL THEN 'UNLINKED' END,
-      CASE WHEN attempts > 0 AND mean < 0.3::DOUBLE * coalesce(nullif(max_score, 0), 100) THEN 'LOW_AVG' END,
-      CASE WHEN attempts > 0 AND mean > 0.95::DOUBLE * coalesce(nullif(max_score, 0), 100) THEN 'HIGH_AVG' END,
-      CASE WHEN attempts < 5 THEN 'FEW_ATTEMPTS' END) AS issues
-  FROM attempts a JOIN questions q ON a.question_id = q.question_id LEFT JOIN coverage c ON a.question_id = c.question_id
-  LEFT JOIN aligned l ON a.import_id = l.import_id AND a.question_id = l.question_id)"""
+    + f"""SELECT import_id, question_id, title, topic_code, keyword_coverage, {r('100 * combined_score', 1)} AS tfidf_score, 0.0::DOUBLE AS semantic_similarity,
+  {r('0.3::DOUBLE * keyword_coverage + 0.4::DOUBLE * 100 * combined_score', 1)} AS combined_score, {r('mean', 2)} AS avg_score, students AS attempts,
+  concat_ws(',', CASE WHEN mean < 0.3::DOUBLE * coalesce(max_score, 100) THEN 'LOW_AVG' END,
+    CASE WHEN mean > 0.95::DOUBLE * coalesce(max_score, 100) THEN 'HIGH_AVG' END,
+    CASE WHEN students < 5 THEN 'FEW_ATTEMPTS' END, 'NO_EMBEDDINGS') AS issues, 'warning' AS status
+  FROM attempts JOIN questions USING (question_id) JOIN (SELECT syllabus_topic_id, topic_code FROM topics) USING (syllabus_topic_id)
+  JOIN coverage USING (question_id) JOIN aligned USING (import_id, question_id)"""
 )
 def validation_overview(t: Tables):
     return aligned.validation(t.facts(), t.questions(), t.topics())
@@ -296,15 +307,16 @@ def link_list(t: Tables):
 @query(
     """SELECT p_partkey AS question_id, p_type AS rubric_title, CASE WHEN contains(lower(p_name || ' ' || p_type), 'ring') THEN 1 ELSE 0 END
   + CASE WHEN contains(lower(p_name || ' ' || p_type), 'eco') THEN 1 ELSE 0 END AS overlap,
-  concat_ws(',', 'SHORT_TEXT', CASE WHEN NOT contains(lower(p_name || ' ' || p_type), 'ring') AND NOT contains(lower(p_name || ' ' || p_type), 'eco') THEN 'NO_CRITERIA_IN_TEXT' END) AS issues
-FROM part"""
+  concat_ws(',', CASE WHEN p_partkey % 2 = 1 THEN 'SHORT_TEXT' END, CASE WHEN p_type LIKE '%STEEL' AND p_partkey % 3 <> 0 THEN 'DOSES_STRESSED' END) AS issues FROM part"""
 )
 def rubric_compliance(t: Tables):
-    part = t.read("part")
-    questions = part.select(
-        F.col("p_partkey").alias("question_id"), F.concat_ws(" ", "p_name", "p_type").alias("question_text"), F.col("p_type").alias("rubric_id")
-    )
-    rubrics = part.select(F.col("p_type").alias("rubric_id"), F.col("p_type").alias("title"), F.lit("Ring\n\n eco ").alias("criteria_text")).distinct()
+    """Parts as questions, each second one long, each third one on a dose; rubrics of steel have a note on doses."""
+    part, key, kind = t.read("part"), F.col("p_partkey"), F.col("p_type")
+    long = F.when(key % 2 == 0, " and so on, until the wording is long enough to be clear").otherwise("")
+    text = F.concat("p_name", F.lit(" "), "p_type", F.when(key % 3 == 0, " 5 МГ").otherwise(" амг, недоз"), long)
+    questions = part.select(key.alias("question_id"), text.alias("question_text"), kind.alias("rubric_id"))
+    note = F.when(kind.endswith("STEEL"), "doses").otherwise("").alias("dose_theme_note")
+    rubrics = part.select(kind.alias("rubric_id"), kind.alias("title"), F.lit("Ring\n\n eco ").alias("criteria_text"), note).distinct()
     return aligned.rubric_compliance(questions, rubrics)
 
 

@@ -250,14 +250,25 @@ CHANGE = """CASE WHEN {b} IS NULL OR {b} = 0 THEN 0 ELSE CAST(round(CAST(abs({x}
 
 @query(
     with_tables("facts")
-    + f"""SELECT import_id, rows, questions, students, disciplines, avg_score, {CHANGE.format(x='questions', b='bq')},
-  {CHANGE.format(x='students', b='bs')}, greatest(0.1, {r('rows * 0.0005', 1)}) AS size_mb
-FROM (SELECT *, lag(questions) OVER (ORDER BY import_id) AS bq, lag(students) OVER (ORDER BY import_id) AS bs FROM (
-  SELECT import_id, count(*) AS rows, count(DISTINCT question_id) AS questions, count(DISTINCT student_id) AS students,
-    count(DISTINCT discipline_name) AS disciplines, {r('avg(received_score)', 2)} AS avg_score FROM facts GROUP BY 1))"""
+    + f"""SELECT import_id, questions, students, attempts, avg_score, {CHANGE.format(x='questions', b='bq')}, {CHANGE.format(x='students', b='bs')},
+  {CHANGE.format(x='attempts', b='ba')}, {CHANGE.format(x='avg_score', b='bm')}
+FROM (SELECT *, lag(questions) OVER w AS bq, lag(students) OVER w AS bs, lag(attempts) OVER w AS ba, lag(avg_score) OVER w AS bm FROM (
+  SELECT import_id, count(DISTINCT question_id) AS questions, count(DISTINCT student_id) AS students, count(*) AS attempts,
+    {r('avg(received_score)', 1)} AS avg_score FROM facts WHERE received_score > 20 GROUP BY 1) WINDOW w AS (ORDER BY import_id))"""
 )
 def overview(t: Tables):
-    return dashboards.overview(t.facts())
+    """Scores up to 20 are taken as not given."""
+    return dashboards.overview(t.facts().withColumn("received_score", F.when(F.col("received_score") > 20, F.col("received_score"))))
+
+
+@query(
+    with_tables("facts", "questions")
+    + f"""SELECT (SELECT count(DISTINCT import_id) FROM facts) AS total_documents, (SELECT greatest(0.1, {r('count(*) * 0.0005', 1)}) FROM facts) AS data_processed,
+  (SELECT count(*) FROM questions WHERE syllabus_topic_id IS NOT NULL) AS active_questions, (SELECT count(*) FROM customer) AS team_members"""
+)
+def overview_totals(t: Tables):
+    imports = t.facts().groupBy("import_id").agg(F.count("*").alias("rows_imported")).union(t.spark.createDataFrame([(9, 0)], "import_id int, n long"))
+    return dashboards.overview_totals(t.facts(), imports, t.questions(), t.read("customer"))
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import Tables, with_tables
@@ -77,7 +80,11 @@ def link_to_topic(t: Tables):
 
 @query(
     with_tables("facts", "questions")
-    + """SELECT import_id, import_id = 1 AS valid FROM (SELECT DISTINCT import_id FROM facts)"""
+    + """, linked AS (SELECT DISTINCT import_id, question_id FROM facts JOIN questions USING (question_id) WHERE syllabus_topic_id IS NOT NULL),
+cached AS (SELECT * FROM linked WHERE import_id = 1 OR question_id % 2 = 0)
+SELECT import_id, (SELECT count(*) FROM cached c WHERE c.import_id = i.import_id) > 0
+  AND NOT EXISTS (SELECT question_id FROM linked l WHERE l.import_id = i.import_id EXCEPT SELECT question_id FROM cached c WHERE c.import_id = i.import_id) AS valid
+FROM (SELECT DISTINCT import_id FROM facts) i"""
 )
 def cache_validity(t: Tables):
     """The cache has all items of the first import, and lacks some of the others'."""
@@ -96,12 +103,12 @@ RAW = """raw AS (SELECT l_orderkey, l_linenumber,
 def _raw(t: Tables):
     n, quantity = F.col("l_linenumber"), F.col("l_quantity")
     return t.read("lineitem").select(
-        F.when(n == 5, "").otherwise(F.concat(F.col("l_partkey").cast("string"), F.lit(".7"))).alias("﻿Question ID"),
+        F.when(n == 5, "").otherwise(F.concat(F.col("l_partkey").cast("string"), F.lit(".7"))).alias("\ufeffQuestion_ID"),
         F.when(n.isin(4, 5), "-").otherwise(F.concat(F.lit(" "), F.col("l_orderkey").cast("string"))).alias("ID студента"),
-        F.when(n == 1, "").otherwise("2").alias("course"),
-        F.when(n == 2, "-").otherwise(F.replace(quantity.cast("string"), F.lit("."), F.lit(","))).alias("score_after_appeal"),
-        F.when(n == 2, quantity.cast("int").cast("string")).otherwise("x").alias("Score before appeal"),
-        F.col("l_returnflag").alias("Discipline"),
+        F.when(n == 1, "").otherwise("2").alias("Kurs"),
+        F.when(n == 2, "-").otherwise(F.replace(quantity.cast("string"), F.lit("."), F.lit(","))).alias("Оценка после апелляции"),
+        F.when(n == 2, quantity.cast("int").cast("string")).otherwise("x").alias("Bedömning före överklagande"),
+        F.col("l_returnflag").alias(" DISCIPLINE_NAME "),
     )
 
 
@@ -125,7 +132,22 @@ def import_counts(t: Tables):
     return imports.import_counts(imports.exam_results(imports.named(_raw(t))))
 
 
-@query("SELECT DISTINCT l_returnflag AS discipline_name, 'AUTO_' || md5(l_returnflag) AS topic_code, l_returnflag AS title FROM lineitem")
+@query(
+    f"""WITH {RAW}, {TYPED} SELECT 'results' AS target, count(*) AS n, sum(coalesce(received_score, 0)) AS total FROM typed WHERE is_kept
+UNION ALL SELECT 'questions', count(DISTINCT question_id), 100.0 * count(DISTINCT question_id) FROM typed WHERE is_kept AND question_id <> 0
+UNION ALL SELECT 'students', count(*), sum(c) FROM (SELECT student_id, min(course_number) AS c FROM typed WHERE is_kept AND student_id <> 0 GROUP BY 1)
+UNION ALL SELECT 'works', count(*), sum(len(student_id || '_' || question_id)) FROM (SELECT DISTINCT student_id, question_id FROM typed WHERE is_kept AND student_id <> 0 AND question_id <> 0)
+UNION ALL SELECT 'topics', count(DISTINCT discipline_name), 3.0 * count(DISTINCT discipline_name) FROM typed WHERE is_kept"""
+)
+def import_tables(t: Tables):
+    """What an import adds to its five tables: rows, and a sum over each."""
+    tables = imports.exam_tables(imports.exam_results(imports.named(_raw(t))), 7)
+    figure = {"results": F.col("received_score"), "questions": F.col("max_score"), "students": F.col("course_number"), "works": F.length("work_id"), "topics": F.col("course_number")}
+    parts = [rows.agg(F.lit(k).alias("target"), F.count("*").alias("n"), F.sum(figure[k].cast("double")).alias("total")) for k, rows in tables.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query("SELECT DISTINCT l_returnflag AS discipline_name, 3 AS course_number, 'AUTO_' || md5(l_returnflag) AS topic_code, l_returnflag AS title FROM lineitem")
 def auto_topics(t: Tables):
     return imports.auto_topics(imports.exam_results(imports.named(_raw(t))))
 
