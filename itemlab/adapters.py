@@ -63,7 +63,7 @@ class Tables:
         """Criteria are event types, with weights."""
         names = self.read("events").select(F.col("event_type").alias("name")).distinct()
         return names.select(
-            F.crc32(F.col("name").cast("binary")).alias("criteria_id"), "name", (20.0 + F.length("name")).alias("weight_percent")
+            (F.ascii("name") * 1000 + F.length("name")).alias("criteria_id"), "name", (20.0 + F.length("name")).alias("weight_percent")
         )
 
     def details(self) -> DataFrame:
@@ -71,7 +71,7 @@ class Tables:
         return self.read("events").select(
             F.col("event_id"),
             F.concat_ws("_", F.col("user_id").cast("string"), (F.col("event_id") % 97).cast("string")).alias("work_id"),
-            F.crc32(F.col("event_type").cast("binary")).alias("criteria_id"),
+            (F.ascii("event_type") * 1000 + F.length("event_type")).alias("criteria_id"),
             value.cast("double").alias("score"),
         )
 
@@ -88,12 +88,20 @@ class Tables:
         return docs.select(
             F.col("doc_id").alias("answer_id"),
             (F.col("doc_id") % 3 + 1).cast("int").alias("import_id"),
+            F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("work_id"),
             F.col("lang").alias("language"),
             F.col("text").alias("answer_text"),
             (F.col("n_chars") % 101).cast("double").alias("final_score"),
             F.coalesce(F.col("toxic") * 15.0, F.lit(0.0)).alias("plagiarism_penalty"),
         )
 
+    def imports(self) -> DataFrame:
+        """The log of imports: one for each return flag, and one without rows."""
+        rows = self.facts().groupBy("import_id").agg(F.count("*").alias("rows_imported"))
+        rows = rows.select("import_id", F.concat(F.lit("results_"), "import_id", F.lit(".csv")).alias("source_filename"), F.lit("exam_results_upload").alias("import_type"), "rows_imported")
+        empty = self.spark.createDataFrame([(9, "empty.csv", "exam_results_upload", 0)], rows.schema)
+        return rows.union(empty)
+
 
 #: The same tables for SQL, as common table expressions.
 SQL = {
@@ -108,16 +116,18 @@ SQL = {
     "topics": """topics AS (SELECT p_size AS syllabus_topic_id, min(p_name) AS title, 'T' || p_size AS topic_code,
   array_to_string(list_sort(list(DISTINCT lower(p_type))), ', ') AS keywords, min(p_brand) AS discipline_name
   FROM part WHERE p_size <= 40 GROUP BY p_size)""",
+    "imports": """imports AS (SELECT import_id, 'results_' || import_id || '.csv' AS source_filename, 'exam_results_upload' AS import_type,
+  count(*) AS rows_imported FROM facts GROUP BY 1 UNION ALL SELECT 9, 'empty.csv', 'exam_results_upload', 0)""",
     "profiles": """profiles AS (SELECT o_orderkey AS student_id, n_name AS nationality_group
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""",
-    "criteria": """criteria AS (SELECT name AS criteria_key, name, 20.0 + length(name) AS weight_percent
+    "criteria": """criteria AS (SELECT ascii(name) * 1000 + length(name) AS criteria_id, name AS criteria_key, name, 20.0 + length(name) AS weight_percent
   FROM (SELECT DISTINCT event_type AS name FROM events))""",
     "details": """details AS (SELECT event_id, user_id || '_' || event_id % 97 AS work_id, event_type AS criteria_key,
   floor(value) AS score FROM events)""",
     "works": """works AS (SELECT work_id, CAST(split_part(work_id, '_', 1) AS BIGINT) AS student_id,
   CAST(split_part(work_id, '_', 2) AS BIGINT) AS question_id,
   CAST(CAST(split_part(work_id, '_', 2) AS BIGINT) % 3 + 1 AS INT) AS import_id FROM (SELECT DISTINCT work_id FROM details))""",
-    "answers": """answers AS (SELECT d.doc_id AS answer_id, CAST(d.doc_id % 3 + 1 AS INT) AS import_id, lang AS language,
+    "answers": """answers AS (SELECT d.doc_id AS answer_id, CAST(d.doc_id % 3 + 1 AS INT) AS import_id, 'w' || d.doc_id AS work_id, lang AS language,
   text AS answer_text, CAST(n_chars % 101 AS DOUBLE) AS final_score, coalesce(toxic * 15.0, 0.0)::DOUBLE AS plagiarism_penalty
   FROM documents d LEFT JOIN labels l USING (doc_id))""",
 }

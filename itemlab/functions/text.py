@@ -74,7 +74,27 @@ def similar_text(a: Column, b: Column) -> Column:
     return F.arrow_udf(kernel, "double")(a, b)
 
 
-def length_bound(a: Column, b: Column) -> Column:
-    """No similarity of two texts is above this, given only their lengths in bytes."""
-    x, y = (F.octet_length(F.regexp_replace(F.trim(F.lower(t)), r"\s+", " ")) for t in (a, b))
-    return F.when(x + y > 0, 200.0 * F.least(x, y) / (x + y)).otherwise(0.0)
+def similar_to(others: list[str], least: float):
+    """For mapInArrow over ``text``: the text, each of others at least so similar to it in percent, and how similar."""
+    import numpy as np
+
+    def counts(texts: list[str]) -> np.ndarray:
+        raw = (np.frombuffer(normalised(x).encode("utf-8", "replace"), np.uint8) for x in texts)
+        return np.array([np.bincount(x, minlength=256) for x in raw], np.int64).reshape(-1, 256)
+
+    def run(batches):
+        own = counts(others)
+        sizes = own.sum(1)
+        for batch in batches:
+            out: list[tuple] = []
+            texts = [t for t in batch.column(0).to_pylist() if t]
+            for text, have in zip(texts, counts(texts), strict=True):
+                bound = 200 * np.minimum(own, have).sum(1) / np.maximum(1, sizes + have.sum())
+                near = ((text, others[k], _similar(text, others[k])) for k in np.flatnonzero(bound >= least - 0.06))
+                out += [x for x in near if x[2] >= least]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))],
+                ["question_text", "rejected_text", "similarity"],
+            )
+
+    return run

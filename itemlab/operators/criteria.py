@@ -12,9 +12,8 @@ def scoped(rows: DataFrame, import_id: int | None) -> DataFrame:
     """The rows of an import, or all rows if it has none."""
     if import_id is None:
         return rows
-    inside = rows.where(F.col("import_id") == import_id)
-    there = inside.agg((F.count("*") > 0).alias("__some"))
-    return rows.join(F.broadcast(there), (F.col("import_id") == import_id) | ~F.col("__some")).drop("__some")  # one row
+    inside = rows.where(F.col("import_id") == import_id)  # reaches the scan
+    return rows if inside.isEmpty() else inside
 
 
 def criteria_performance(details: DataFrame, criteria: DataFrame, works: DataFrame, import_id: int | None = None) -> DataFrame:
@@ -26,7 +25,7 @@ def criteria_performance(details: DataFrame, criteria: DataFrame, works: DataFra
     mean = F.col("mean")
     level = F.when(mean >= 85, "excellent").when(mean >= 70, "good").when(mean >= 50, "satisfactory").otherwise("poor")
     return rows.select(
-        "name", "weight_percent", rounded(mean, 2).alias("avg_score"), "evaluations", "min_score", "max_score",
+        "criteria_id", "name", "weight_percent", rounded(mean, 2).alias("avg_score"), "evaluations", "min_score", "max_score",
         rounded(F.col("std"), 2).alias("std_score"), level.alias("performance_level"),
     )
 

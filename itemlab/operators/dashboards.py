@@ -59,13 +59,47 @@ def pass_fail(facts: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
     )
 
 
-def link_list(facts: DataFrame, questions: DataFrame, topics: DataFrame, placeholder: str = r"(?i)^\s*(question|вопрос)\s+[0-9]+\s*$") -> DataFrame:
-    """Questions with real text of each import, with discipline and topic if linked."""
-    own = facts.groupBy("import_id", "question_id").agg(F.max("discipline_name").alias("discipline"))
+#: Texts that stand for a question's missing one.
+PLACEHOLDER = r"(?i)^\s*(question|вопрос)\s+[0-9]+\s*$"
+
+
+def link_list(facts: DataFrame, questions: DataFrame, topics: DataFrame, placeholder: str = PLACEHOLDER, by_import: bool = True) -> DataFrame:
+    """Questions with real text of each import, or of all together, with discipline and topic if linked."""
+    own = facts.groupBy(*(["import_id"] if by_import else []), "question_id").agg(F.max("discipline_name").alias("discipline"))
     text = F.col("question_text")
     real = questions.where(text.isNotNull() & (F.trim(text) != "") & ~text.rlike(placeholder))
-    rows = own.join(real, "question_id").join(F.broadcast(topics.select("syllabus_topic_id", "title")), "syllabus_topic_id", "left")
-    return rows.select("import_id", "question_id", "question_text", "discipline", "title", F.col("title").isNotNull().alias("is_linked"))
+    rows = own.join(real, "question_id").join(topics.select("syllabus_topic_id", "title"), "syllabus_topic_id", "left")
+    columns = [c for c in ("import_id", "question_id", "question_text", "discipline", "title") if c in rows.columns]
+    return rows.select(*columns, F.col("title").isNotNull().alias("is_linked"))
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """Of each import: questions, linked and unlinked ones."""
+    return links.groupBy("import_id").agg(
+        F.count("*").alias("questions"), F.count_if("is_linked").alias("linked"), F.count_if(~F.col("is_linked")).alias("unlinked")
+    )
+
+
+def filtered(rows: DataFrame, text: str = "", columns: list[str] | None = None, **equal) -> DataFrame:
+    """Rows one of whose columns contains the text, whatever its case, and that have these values; "all" is any."""
+    if text:
+        rows = rows.where(reduce(lambda a, b: a | b, (F.contains(F.lower(F.col(c).cast("string")), F.lower(F.lit(text))) for c in columns or rows.columns)))
+    for name, value in equal.items():
+        if value != "all":
+            rows = rows.where(F.col(name) == value)
+    return rows
+
+
+def by_severity(rows: DataFrame, flag: str = "flag") -> DataFrame:
+    """Too hard before too easy before the others."""
+    rank = F.when(F.col(flag) == "too_hard", 3).when(F.col(flag) == "too_easy", 2).otherwise(1)
+    return rows.orderBy(F.desc(rank), "import_id", "question_id")
+
+
+def previous_imports(imports: DataFrame) -> DataFrame:
+    """``import_id, previous_id``: the last import created before each one."""
+    before = Window.orderBy("created_at", "import_id")  # a row for each import
+    return imports.select("import_id", F.lag("import_id").over(before).alias("previous_id"))
 
 
 def audit_report(logs: DataFrame, users: DataFrame, n: int = 100) -> DataFrame:
@@ -81,7 +115,31 @@ def audit_totals(logs: DataFrame, as_of) -> DataFrame:
 
 def user_report(users: DataFrame, roles: DataFrame) -> DataFrame:
     """Users with their roles, the newest first."""
-    return users.join(F.broadcast(roles), "role_id", "left").orderBy(F.desc("user_id")).select("user_id", "user_name", "role_name", "is_active")
+    return users.join(roles, "role_id", "left").orderBy(F.desc("user_id")).select("user_id", "user_name", "role_name", "is_active")
+
+
+def user_totals(report: DataFrame, superadmin: str = "superadmin") -> DataFrame:
+    """One row: users, active ones, and those with the highest role."""
+    return report.agg(
+        F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.count_if(F.col("role_name") == superadmin).alias("superadmins")
+    )
+
+
+def import_statistics(facts: DataFrame, topics: DataFrame, imports: DataFrame) -> DataFrame:
+    """One row: rows, distinct questions, students and disciplines, topics with and without an upload, imports."""
+    rows = facts.agg(
+        F.count("*").alias("rows"), F.countDistinct("question_id").alias("questions"), F.countDistinct("student_id").alias("students"),
+        F.countDistinct("discipline_name").alias("disciplines"),
+    )
+    topic = topics.agg(F.count("*").alias("topics"), F.countDistinct("discipline_name").alias("topic_disciplines"))
+    return reduce(DataFrame.crossJoin, [rows, topic, imports.agg(F.count("*").alias("imports"))])  # one row each
+
+
+def topic_list(topics: DataFrame, uploaded: DataFrame | None = None, n: int = 100) -> DataFrame:
+    """Topics by id; with uploaded (``discipline_name``) the first n of those whose discipline has a syllabus."""
+    if uploaded is None:
+        return topics.orderBy("syllabus_topic_id")
+    return topics.join(uploaded.select("discipline_name").distinct(), "discipline_name", "left_semi").orderBy("syllabus_topic_id").limit(n)
 
 
 def latest_import(imports: DataFrame, filename: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..coefficients import DEFAULT, Coefficients
 from ..functions.stats import rounded
-from ..functions.text import STOP_WORDS, length_bound, preview, similar_text, tfidf, tokens
+from ..functions.text import STOP_WORDS, preview, similar_to, tfidf, tokens
 from ..functions.vectors import cosine
+from .store import settled
 
 
 def text_classes(texts: DataFrame) -> DataFrame:
@@ -24,37 +27,72 @@ def similar_texts(texts: DataFrame, threshold: float = DEFAULT.duplicate) -> tup
     """Pairs ``id_a, id_b, similarity`` of classes with a tf-idf cosine above threshold, and ``id, class_id``.
 
     With tokens in one order for all, the rarest first, what is left of a vector behind its prefix is
-    shorter than the threshold. A pair above it so shares a token of both prefixes; only these are joined.
+    shorter than the threshold. A pair above it so shares a token of both prefixes; only these are
+    joined. Weights and prefixes are stored once.
     """
-    from pyspark.sql import Window
-
-    classes = text_classes(texts)
+    classes = settled(text_classes(texts))
     heads = classes.where(F.col("id") == F.col("class_id")).select("id")
     docs = texts.join(heads, "id").select("id", tokens(F.col("text"), 2, STOP_WORDS).alias("tokens"))
-    weights = tfidf(docs)
-    order = Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order), F.lit(0.0))
-    prefix = weights.withColumn("before", before).where(1 - F.col("before") >= threshold * threshold - 1e-9)
+    weights = settled(tfidf(docs))
+    prefix = settled(_prefixes(weights, threshold))
     a, b = prefix.select(F.col("id").alias("id_a"), "token"), prefix.select(F.col("id").alias("id_b"), "token")
     pairs = a.join(b, "token").where("id_a < id_b").select("id_a", "id_b").distinct()
+    found = _cosines(pairs, weights).where(F.col("s") > threshold)
+    return found.select("id_a", "id_b", rounded(F.col("s"), 3).alias("similarity")), classes
+
+
+def _prefixes(weights: DataFrame, threshold: float) -> DataFrame:
+    """The rarest tokens of each vector, behind which the rest of it is shorter than the threshold."""
+    order = Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order), F.lit(0.0))
+    return weights.withColumn("before", before).where(1 - F.col("before") >= threshold * threshold - 1e-9).select("id", "token")
+
+
+def _cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
+    """``id_a, id_b, s``: the dot products of these pairs of vectors; no row without a token in common."""
     left = pairs.join(weights.select(F.col("id").alias("id_a"), "token", F.col("weight").alias("wa")), "id_a")
     both = left.join(weights.select(F.col("id").alias("id_b"), "token", F.col("weight").alias("wb")), ["id_b", "token"])
-    found = both.groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
-    found = found.where(F.col("s") > threshold).select("id_a", "id_b", rounded(F.col("s"), 3).alias("similarity"))
-    return found, classes
+    return both.groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
+
+
+def rejected_before(questions: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
+    """Questions that resemble rejected ones by tf-idf (``question_id, question_text, is_rejected, rejection_reason``)."""
+    docs = questions.where(F.col("question_text").isNotNull()).select(
+        F.col("question_id").alias("id"), tokens(F.col("question_text"), 2, STOP_WORDS).alias("tokens")
+    )
+    weights = settled(tfidf(docs))
+    side = settled(_prefixes(weights, c.rejected_duplicate).join(questions.select(F.col("question_id").alias("id"), "is_rejected"), "id"))
+    a = side.where("is_rejected").select(F.col("id").alias("id_a"), "token")
+    b = side.where("NOT is_rejected").select(F.col("id").alias("id_b"), "token")
+    found = _cosines(a.join(b, "token").select("id_a", "id_b").distinct(), weights).where(F.col("s") > c.rejected_duplicate)
+    reasons = questions.select(F.col("question_id").alias("id_a"), "rejection_reason")
+    return found.join(reasons, "id_a").select(
+        F.col("id_a").alias("rejected_question_id"), F.col("id_b").alias("current_question_id"), F.col("rejection_reason").alias("rejected_reason"),
+        rounded(F.col("s"), 3).alias("similarity"),
+    )
+
+
+#: Characters of rejected texts that are held against all questions at once; more are taken in blocks.
+BLOCK_CHARS = 4_000_000
 
 
 def rejected_similarity(questions: DataFrame, rejected: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
     """Questions that resemble rejected ones, by matching bytes in percent.
 
-    Equal texts are compared once. Pairs that the lengths alone rule out aren't compared.
+    The rejected texts are a list that people write; it is held against the distinct questions in
+    blocks. No pair matches more bytes than their counts of each byte have in common, which spares
+    the comparison of most.
     """
     left = questions.select("question_text").distinct()
-    right = rejected.select("rejected_text").distinct()
-    bound = length_bound(F.col("question_text"), F.col("rejected_text"))
-    pairs = left.join(right, bound >= c.similar_row)
-    pairs = pairs.withColumn("similarity", similar_text(F.col("question_text"), F.col("rejected_text")))
-    pairs = pairs.where(F.col("similarity") >= c.similar_row)
+    right = rejected.where(F.col("rejected_text").isNotNull()).select("rejected_text").distinct()
+    size = right.agg(F.sum(F.length("rejected_text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    parts = []
+    for k in range(blocks):
+        block = right.where(F.pmod(F.xxhash64("rejected_text"), F.lit(blocks)) == k) if blocks > 1 else right
+        texts = [r.rejected_text for r in block.collect()]  # a block of bounded size
+        parts.append(left.mapInArrow(similar_to(texts, c.similar_row), "question_text string, rejected_text string, similarity double"))
+    pairs = reduce(DataFrame.union, parts)
     pairs = pairs.join(questions.select("question_id", "question_text"), "question_text")
     pairs = pairs.join(rejected.select("rejected_id", "rejected_text"), "rejected_text")
     alert = F.when(F.col("similarity") >= c.similar_alert, "high").otherwise("medium")

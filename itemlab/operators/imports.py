@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import upsert
+
 #: Header names of the columns of exam results, in order of preference (fixed values).
 ALIASES = {
     "question_id": ["ID вопроса", "ID тематики", "ID fråga", "question_id"],
@@ -120,13 +122,54 @@ def criteria(rows: DataFrame) -> DataFrame:
     return out.withColumn("is_kept", F.coalesce(good, F.lit(False)))
 
 
-def evaluation_details(rows: DataFrame, known: DataFrame) -> DataFrame:
+#: Header names of the columns of criteria, in order of preference (fixed values).
+CRITERIA = {
+    "criteria_id": ["ID критерия"],
+    "kazakh": ["Наименование критерия на казахском"],
+    "russian": ["Наименование критерия на русском"],
+    "english": ["Наименование критерия на английском"],
+    "weight": ["Доля от оценки (в %)", "Доля"],
+}
+
+
+def criteria_columns(rows: DataFrame) -> DataFrame:
+    """The columns of criteria by their names, or by position where neither the Russian nor the English name is a header.
+
+    By position the weight is the fifth column, in a table of fewer the third.
+    """
+    columns = rows.columns
+    if any(name in columns for kind in ("russian", "english") for name in CRITERIA[kind]):
+        found = {kind: next((n for n in names if n in columns), None) for kind, names in CRITERIA.items()}
+    else:
+        at = {kind: k for k, kind in enumerate(CRITERIA)} | {"weight": 4 if len(columns) > 4 else 2}
+        found = {kind: columns[k] if k < len(columns) else None for kind, k in at.items()}
+    return rows.select(*((F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(kind) for kind, c in found.items()))
+
+
+def upserted(existing: DataFrame, new: DataFrame, key: list[str], seq: str) -> DataFrame:
+    """existing with the inserted rows of new (those with outcome inserted), the last of each key by seq."""
+    return upsert(existing, new.where("outcome = 'inserted'").drop("outcome"), key, seq)
+
+
+def missing_works(answers: DataFrame, works: DataFrame) -> DataFrame:
+    """Work rows for the inserted answers of unknown works: the student is the id's leading number, the question 0."""
+    new = answers.where("outcome = 'inserted'").select("work_id").distinct().join(works.select("work_id"), "work_id", "left_anti")
+    student = F.coalesce(F.regexp_extract("work_id", r"^\s*([+-]?[0-9]+)", 1).try_cast("long"), F.lit(0))
+    return new.select("work_id", student.alias("student_id"), F.lit(0).cast("long").alias("question_id"))
+
+
+def score_cascade(before: Column, after: Column, discipline: Column) -> Column:
+    """The first that is a number of the score before appeal, after it, and of the discipline."""
+    return F.coalesce(number(before), number(after), number(discipline))
+
+
+def evaluation_details(rows: DataFrame, known: DataFrame, also: list[str] | None = None) -> DataFrame:
     """``work_id, criteria_id, score`` typed, with outcome inserted, invalid (unknown criterion) or skipped."""
     typed = rows.select(
         given(F.col("work_id")).alias("work_id"), whole(F.col("criteria_id")).alias("criteria_id"),
-        F.coalesce(number(F.col("score")), F.lit(0.0)).alias("score"),
+        F.coalesce(number(F.col("score")), F.lit(0.0)).alias("score"), *(also or []),
     )
-    typed = typed.join(F.broadcast(known.select("criteria_id").distinct().withColumn("__known", F.lit(True))), "criteria_id", "left")
+    typed = typed.join(known.select("criteria_id").distinct().withColumn("__known", F.lit(True)), "criteria_id", "left")
     skipped = F.col("work_id").isNull() | F.col("criteria_id").isNull() | (F.col("score") < 0) | (F.col("score") > 100)
     outcome = F.when(skipped, "skipped").when(F.col("__known").isNull(), "invalid").otherwise("inserted")
     return typed.withColumn("outcome", outcome).drop("__known")

@@ -22,17 +22,17 @@ def classify(metrics: DataFrame, rules: DataFrame, conditions: DataFrame, action
     """``question_id, categories, flags, messages`` of the rules that fire, in the order of rules.
 
     A rule fires if it is active, has a condition and all its conditions hold. Rules are a handful of
-    rows that users write, so they are broadcast to the metrics.
+    rows that users write; Spark broadcasts them if they are as small as that.
     """
     long = metrics.select("question_id", *(F.col(m).cast("double").alias(m) for m in METRICS))
     long = long.unpivot("question_id", METRICS, "metric_name", "value")
     active = rules.where("is_active").join(conditions, "rule_id")
-    checked = long.join(F.broadcast(active), "metric_name")
+    checked = long.join(active, "metric_name")
     checked = checked.withColumn("ok", holds(F.col("value"), F.col("operator"), F.col("value_from"), F.col("value_to")))
     needed = active.groupBy("rule_id").agg(F.count("*").alias("needed"))
     fired = checked.groupBy("question_id", "rule_id", "rule_order").agg(F.count_if("ok").alias("held"))
-    fired = fired.join(F.broadcast(needed), "rule_id").where("held = needed")
-    done = fired.join(F.broadcast(actions), "rule_id")
+    fired = fired.join(needed, "rule_id").where("held = needed")
+    done = fired.join(actions, "rule_id")
     order = F.struct("rule_order", "rule_id", "action_id", "action_type", "action_value", "action_message")
     done = done.groupBy("question_id").agg(F.array_sort(F.collect_list(order)).alias("a"))
     values = lambda kind: F.transform(F.filter("a", lambda x: x["action_type"] == kind), lambda x: x["action_value"])

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import rounded
 from ..functions.vectors import nearest
 
 #: Letters and words before a number that name an entity (fixed values).
@@ -36,16 +37,70 @@ def _entity(rows: DataFrame, kind: str, key: str, content: str, *meta: str) -> D
         F.lit(kind).alias("entity_type"),
         F.col(key).cast("long").alias("entity_id"),
         F.substring(F.col(content).cast("string"), 1, 200).alias("content"),
-        F.to_json(F.struct(*meta)).alias("meta") if meta else F.lit("{}").alias("meta"),
+        F.to_json(F.struct(*meta), {"ignoreNullFields": "false"}).alias("meta") if meta else F.lit("{}").alias("meta"),
     )
 
 
-def by_id(sources: dict[str, tuple[DataFrame, str, str]], number: int, kind: str | None = None) -> DataFrame:
-    """The entities of a number, in all sources or one; sources: kind to rows, key and content column."""
+def entity_sources(
+    facts: DataFrame, questions: DataFrame, topics: DataFrame, imports: DataFrame, rules: DataFrame, criteria: DataFrame,
+    answers: DataFrame, validation: DataFrame | None = None, alignment: DataFrame | None = None,
+) -> dict[str, tuple]:
+    """For by_id: what each kind of entity is found by and shown with.
+
+    All are lazy; a filter on a key reaches the tables through the joins and groups. validation and
+    alignment (``question_id`` with ``status`` and ``alignment_level``) are of any import.
+    """
+    scored = facts.where(F.col("received_score").isNotNull())
+    score = F.col("received_score")
+    topic = topics.select("syllabus_topic_id", F.col("discipline_name").alias("discipline"), F.col("title").alias("topic"))
+    question = questions.join(topic, "syllabus_topic_id", "left")
+    for rows, own, name in ((validation, "status", "validation_status"), (alignment, "alignment_level", "alignment_level")):
+        if rows is None:
+            question = question.withColumn(name, F.lit(None).cast("string"))
+        else:
+            question = question.join(rows.groupBy("question_id").agg(F.min(own).alias(name)), "question_id", "left")
+    figures = scored.groupBy("question_id").agg(rounded(F.avg(score), 1).alias("avg_score"), F.count("*").alias("attempts"))
+    question = question.join(figures, "question_id", "left").fillna(0, ["attempts"])
+    student = scored.groupBy("student_id").agg(
+        rounded(F.avg(score), 2).alias("avg"), F.min(score).alias("min"), F.max(score).alias("max"), F.count("*").alias("n_items")
+    )
+    exam = facts.groupBy("exam_id").agg(F.countDistinct("student_id").alias("students"), F.count("*").alias("attempts"))
+    label = lambda rows, word, key: rows.withColumn("label", F.concat(F.lit(f"{word} #"), F.col(key).cast("string")))
+    return {
+        "question": (question, "question_id", "question_text", "discipline", "topic", "validation_status", "alignment_level", "avg_score", "attempts"),
+        "topic": (topics.withColumn("discipline", F.col("discipline_name")), "syllabus_topic_id", "title", "discipline"),
+        "student": (label(student, "Студент", "student_id"), "student_id", "label", "avg", "min", "max", "n_items"),
+        "import": (imports.select("*", F.col("import_type").alias("type"), F.col("rows_imported").alias("rows")), "import_id", "source_filename", "type", "rows"),
+        "exam": (label(exam, "Экзамен", "exam_id"), "exam_id", "label", "students", "attempts"),
+        "rule": (rules.withColumn("active", F.col("is_active")), "rule_id", "rule_name", "active"),
+        "criteria": (criteria.withColumn("weight", F.col("weight_percent")), "criteria_id", "name", "weight"),
+        "answer": (
+            answers.select("*", F.col("language").alias("lang"), F.col("final_score").alias("score"), F.col("plagiarism_penalty").alias("penalty")),
+            "answer_id", "answer_text", "work_id", "lang", "score", "penalty",
+        ),
+    }
+
+
+def word_sources(
+    questions: DataFrame, topics: DataFrame, imports: DataFrame, rules: DataFrame, criteria: DataFrame, answers: DataFrame
+) -> dict[str, tuple]:
+    """For by_words: the kinds of entity in order, their keys, and the columns that are searched."""
+    names = topics.where(F.col("discipline_name").isNotNull()).select("discipline_name").distinct()
+    names = names.withColumn("discipline_id", F.crc32(F.col("discipline_name").cast("binary")))
+    return {
+        "question": (questions, "question_id", ["question_text"]), "topic": (topics, "syllabus_topic_id", ["title", "keywords"]),
+        "discipline": (names, "discipline_id", ["discipline_name"]), "import": (imports, "import_id", ["source_filename", "import_type"]),
+        "rule": (rules, "rule_id", ["rule_name"]), "criteria": (criteria, "criteria_id", ["name"]),
+        "answer": (answers, "answer_id", ["answer_text", "work_id"]),
+    }
+
+
+def by_id(sources: dict[str, tuple], number: int, kind: str | None = None) -> DataFrame:
+    """The entities of a number, in all sources or one; sources: kind to rows, key, content column and columns of meta."""
     chosen = {k: v for k, v in sources.items() if kind is None or k == kind}
-    parts = [_entity(rows.where(F.col(key) == number), k, key, content) for k, (rows, key, content) in chosen.items()]
+    parts = [_entity(rows.where(F.col(key) == number), k, key, content, *meta) for k, (rows, key, content, *meta) in chosen.items()]
     if not parts:
-        any_rows, key, content = next(iter(sources.values()))
+        any_rows, key, content, *_ = next(iter(sources.values()))
         return _entity(any_rows.limit(0), kind or "", key, content)
     return reduce(DataFrame.unionByName, parts)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -65,3 +68,79 @@ def cache_is_valid(cached: DataFrame, expected: DataFrame) -> DataFrame:
     b = expected.groupBy("import_id").agg(F.countDistinct("question_id").alias("expected"))
     both = b.join(a, "import_id", "left")
     return both.select("import_id", (F.coalesce("cached", F.lit(0)) == F.col("expected")).alias("valid"))
+
+
+def append_partition(rows: DataFrame, path: str, by: str = "import_id") -> None:
+    """Adds rows to the table; those of earlier imports stay."""
+    rows.write.mode("append").partitionBy(by).parquet(path)
+
+
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Writes the table beside its place and puts it there once it is whole, so that readers never see a part.
+
+    rows may read the table itself.
+    """
+    spark = rows.sparkSession
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    rows.write.parquet(new)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(new), at(path))
+    fs.delete(at(old), True)
+
+
+def write_csv(rows: DataFrame, path: str, separator: str = ";") -> None:
+    rows.write.mode("overwrite").option("header", True).option("sep", separator).csv(path)
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """``json``: each row as an object, nulls included."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def ensure_tables(spark: SparkSession, schemas: dict[str, str]) -> list[str]:
+    """Creates the tables that the catalog lacks, empty; their names."""
+    missing = [name for name in schemas if not spark.catalog.tableExists(name)]
+    for name in missing:
+        spark.createDataFrame([], schemas[name]).write.saveAsTable(name)
+    return missing
+
+
+def rows_of(spark: SparkSession, sql: str, **parameters) -> DataFrame:
+    """The rows of a query with named parameters, which are values and never SQL."""
+    return spark.sql(sql, args=parameters)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows, written once in the folder of spark.checkpoint.dir and read again, for several uses.
+
+    A local session without that folder gets a temporary one.
+    """
+    spark = rows.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        place = spark.sparkContext.getCheckpointDir()
+    path = f"{place.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def link_and_invalidate(questions: DataFrame, chosen: DataFrame, topic_id: int, caches: dict[str, DataFrame], import_id: int):
+    """The linked questions, how many changed, and the caches without the import; an empty choice is an error."""
+    keys = chosen.select("question_id").distinct()
+    if keys.isEmpty():
+        raise ValueError("no question is chosen")
+    hit = questions.join(keys, "question_id", "left_semi")
+    changed = hit.where(~F.col("syllabus_topic_id").eqNullSafe(F.lit(topic_id))).count()
+    left = {name: rows.where(F.col("import_id") != import_id) for name, rows in caches.items()}
+    return linked(questions, chosen, topic_id), changed, left
+
+
+def rebuilt(cache: DataFrame, fresh: DataFrame, import_id: int) -> DataFrame:
+    """The cache with the import's rows replaced by fresh ones."""
+    return cache.where(F.col("import_id") != import_id).unionByName(fresh.where(F.col("import_id") == import_id).select(*cache.columns))

@@ -27,7 +27,7 @@ def student_risk(facts: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
     """Systemic risk: a low mean and a total under the import's median; spot risk: a single low item."""
     rows = _per_student(facts)
     medians = rows.groupBy("import_id").agg(F.median("total").alias("median"))
-    rows = rows.join(F.broadcast(medians), "import_id")  # a row for each import
+    rows = rows.join(medians, "import_id")
     mean = F.col("mean")
     systemic = (mean < c.systemic_average) & (F.col("total") < F.col("median"))
     spot = (F.col("least") < c.spot_minimum) & (mean > max(c.systemic_average + 15, 60))

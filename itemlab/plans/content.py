@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import Tables, with_tables
@@ -208,6 +211,33 @@ def similar_questions(t: Tables):
     return duplicates.similar_texts(t.read("documents").select(F.col("doc_id").alias("id"), "text"))[0]
 
 
+PARTS_TFIDF = f"""docs AS (SELECT question_id AS id, {tokens_sql('question_text', 2, True)} AS tokens FROM questions),
+counts AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(tokens) AS token FROM docs) GROUP BY 1, 2),
+weighted AS (SELECT id, token, tf * (ln((1 + (SELECT count(*) FROM docs)) / (1.0::DOUBLE + count(*) OVER (PARTITION BY token))) + 1) AS w FROM counts),
+weights AS (SELECT id, token, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM weighted)"""
+
+
+@query(
+    with_tables("questions", more=PARTS_TFIDF)
+    + f"""SELECT a.id AS rejected_question_id, b.id AS current_question_id, 'reason ' || a.id % 3 AS rejected_reason, {r('sum(a.weight * b.weight)', 3)} AS similarity
+FROM weights a JOIN weights b USING (token) WHERE a.id % 40 = 0 AND b.id % 40 <> 0 GROUP BY a.id, b.id HAVING sum(a.weight * b.weight) > 0.7"""
+)
+def rejected_before(t: Tables):
+    """Each fortieth question is a rejected one."""
+    key = F.col("question_id")
+    rows = t.questions().withColumns({"is_rejected": key % 40 == 0, "rejection_reason": F.concat(F.lit("reason "), (key % 3).cast("string"))})
+    return duplicates.rejected_before(rows)
+
+
+@query(
+    with_tables("questions", more=PARTS_TFIDF)
+    + f"""SELECT {r('coalesce(sum(a.weight * b.weight), 0)', 3)} AS similarity, coalesce(sum(a.weight * b.weight), 0) > 0.85 AS is_potential_duplicate
+FROM weights a JOIN weights b USING (token) WHERE a.id = 3 AND b.id = 7"""
+)
+def compare_two_questions(t: Tables):
+    return duplicates.compare_two(t.questions().select(F.col("question_id").alias("id"), F.col("question_text").alias("text")), 3, 7)
+
+
 def _rules(t: Tables):
     s = t.spark
     rows = s.createDataFrame(
@@ -249,37 +279,47 @@ def rules_nested(t: Tables):
     return rows.select("rule_id", "rule_name", *(F.greatest(size(c), F.lit(0)).alias(f"n_{c}") for c in ("conditions", "actions")))
 
 
+HIT = "contains(lower({}), 'er')"
+
+
 @query(
-    with_tables("questions", "topics")
-    + """SELECT entity_type, entity_id, content FROM (
-  (SELECT 0 AS o, 'question' AS entity_type, question_id AS entity_id, question_text AS content FROM questions WHERE contains(lower(question_text), 'widget') ORDER BY 3 LIMIT 10)
-  UNION ALL (SELECT 1, 'topic', syllabus_topic_id::BIGINT, title FROM topics WHERE contains(lower(title), 'widget') OR contains(lower(keywords), 'widget') ORDER BY 3 LIMIT 10)
-  UNION ALL (SELECT 2, 'document', doc_id, substr(text, 1, 200) FROM documents WHERE contains(lower(text), 'widget') ORDER BY 3 LIMIT 10)) ORDER BY o, entity_id LIMIT 10"""
+    with_tables("facts", "questions", "topics", "imports", "criteria", "answers")
+    + f"""SELECT entity_type, entity_id, content FROM (
+  (SELECT 0 AS o, 'question' AS entity_type, question_id AS entity_id, substr(question_text, 1, 200) AS content FROM questions WHERE {HIT.format('question_text')} ORDER BY 3 LIMIT 2)
+  UNION ALL (SELECT 1, 'topic', syllabus_topic_id::BIGINT, title FROM topics WHERE {HIT.format('title')} OR {HIT.format('keywords')} ORDER BY 3 LIMIT 2)
+  UNION ALL (SELECT 2, 'discipline', NULL, discipline_name FROM (SELECT DISTINCT discipline_name FROM topics) WHERE {HIT.format('discipline_name')} LIMIT 2)
+  UNION ALL (SELECT 3, 'import', import_id, source_filename FROM imports WHERE {HIT.format('source_filename')} OR {HIT.format('import_type')} ORDER BY 3 LIMIT 2)
+  UNION ALL (SELECT 4, 'rule', 1, 'er rule')
+  UNION ALL (SELECT 5, 'criteria', criteria_id, name FROM criteria WHERE {HIT.format('name')} ORDER BY 3 LIMIT 2)
+  UNION ALL (SELECT 6, 'answer', answer_id, substr(answer_text, 1, 200) FROM answers WHERE {HIT.format('answer_text')} OR {HIT.format('work_id')} ORDER BY 3 LIMIT 2))"""
 )
 def search_keyword(t: Tables):
-    """The ten best hits of a search, a top-k report."""
-    sources = {
-        "question": (t.questions(), "question_id", ["question_text"]),
-        "topic": (t.topics(), "syllabus_topic_id", ["title", "keywords"]),
-        "document": (t.read("documents"), "doc_id", ["text"]),
-    }
-    return searching.by_words(sources, "widget", 10).select("entity_type", "entity_id", "content")
+    """The two first hits of a search in each of seven kinds of entity, a top-k report."""
+    rules_ = t.spark.createDataFrame([(1, "er rule", True), (2, "plain", True)], "rule_id int, rule_name string, is_active boolean")
+    sources = searching.word_sources(t.questions(), t.topics(), t.imports(), rules_, t.criteria(), t.answers())
+    parts = [searching.by_words({kind: source}, "er", 2) for kind, source in sources.items()]
+    number = F.when(F.col("entity_type") != "discipline", F.col("entity_id"))  # a checksum of the name, which SQL lacks
+    return reduce(DataFrame.unionAll, parts).select("entity_type", number.alias("entity_id"), "content")
 
 
 @query(
-    with_tables("questions", "topics")
-    + """SELECT 'question' AS entity_type, question_id AS entity_id, question_text AS content FROM questions WHERE question_id = 12
-UNION ALL SELECT 'topic', syllabus_topic_id::BIGINT, title FROM topics WHERE syllabus_topic_id = 12
-UNION ALL SELECT 'student', c_custkey, c_name FROM customer WHERE c_custkey = 12"""
+    with_tables("facts", "questions", "topics", "imports", "criteria", "answers")
+    + f"""SELECT 'question' AS entity_type, question_id AS entity_id, question_text AS content, to_json({{'discipline': discipline_name, 'topic': title,
+    'validation_status': NULL, 'alignment_level': NULL, 'avg_score': a, 'attempts': n}})::VARCHAR AS meta FROM questions LEFT JOIN topics USING (syllabus_topic_id)
+  LEFT JOIN (SELECT question_id, {r('avg(received_score)', 1)} AS a, count(*) AS n FROM facts GROUP BY 1) USING (question_id) WHERE question_id = 2
+UNION ALL SELECT 'topic', syllabus_topic_id::BIGINT, title, to_json({{'discipline': discipline_name}})::VARCHAR FROM topics WHERE syllabus_topic_id = 2
+UNION ALL SELECT 'student', student_id, 'Студент #' || student_id, to_json({{'avg': {r('avg(received_score)', 2)}, 'min': min(received_score), 'max': max(received_score),
+    'n_items': count(*)}})::VARCHAR FROM facts WHERE student_id = 2 GROUP BY student_id
+UNION ALL SELECT 'import', import_id, source_filename, to_json({{'type': import_type, 'rows': rows_imported}})::VARCHAR FROM imports WHERE import_id = 2
+UNION ALL SELECT 'exam', exam_id, 'Экзамен #' || exam_id, to_json({{'students': count(DISTINCT student_id), 'attempts': count(*)}})::VARCHAR FROM facts WHERE exam_id = 2 GROUP BY exam_id
+UNION ALL SELECT 'rule', 2, 'easy', '{{"active":true}}'
+UNION ALL SELECT 'answer', answer_id, substr(answer_text, 1, 200), to_json({{'work_id': work_id, 'lang': language, 'score': final_score, 'penalty': plagiarism_penalty}})::VARCHAR
+  FROM answers WHERE answer_id = 2"""
 )
 def search_by_id(t: Tables):
-    """What has the number 12."""
-    sources = {
-        "question": (t.questions(), "question_id", "question_text"),
-        "topic": (t.topics(), "syllabus_topic_id", "title"),
-        "student": (t.read("customer"), "c_custkey", "c_name"),
-    }
-    return searching.search("12", sources, {}).select("entity_type", "entity_id", "content")
+    """What has the number 2, in eight kinds of entity."""
+    sources = searching.entity_sources(t.facts(), t.questions(), t.topics(), t.imports(), _rules(t)[0], t.criteria(), t.answers())
+    return searching.search("2", sources, {}).select("entity_type", "entity_id", "content", "meta")
 
 
 @query(
@@ -304,6 +344,30 @@ def link_list(t: Tables):
     return dashboards.link_list(t.facts(), t.questions(), t.topics())
 
 
+LINKS = """links AS (SELECT import_id, question_id, syllabus_topic_id IS NOT NULL AS is_linked FROM (SELECT DISTINCT import_id, question_id FROM facts)
+  JOIN questions USING (question_id) WHERE contains(lower(question_text), 'e'))"""
+
+
+@query(
+    with_tables("facts", "questions", more=LINKS)
+    + """SELECT import_id, count(*) AS questions, count(*) FILTER (WHERE is_linked) AS linked, count(*) FILTER (WHERE NOT is_linked) AS unlinked FROM links GROUP BY 1"""
+)
+def link_counts(t: Tables):
+    """Of the questions with an e in their text."""
+    links = dashboards.link_list(t.facts(), t.questions(), t.topics())
+    return dashboards.link_counts(dashboards.filtered(links, "E", ["question_text"]))
+
+
+@query(
+    with_tables("facts", "questions", "topics")
+    + """SELECT question_id, question_text, discipline, title, title IS NOT NULL AS is_linked FROM (SELECT question_id, max(discipline_name) AS discipline FROM facts GROUP BY 1)
+  JOIN questions USING (question_id) LEFT JOIN (SELECT syllabus_topic_id, title FROM topics) USING (syllabus_topic_id) WHERE title IS NULL"""
+)
+def link_list_unscoped(t: Tables):
+    """Unlinked questions, whatever their imports."""
+    return dashboards.filtered(dashboards.link_list(t.facts(), t.questions(), t.topics(), by_import=False), is_linked=False)
+
+
 @query(
     """SELECT p_partkey AS question_id, p_type AS rubric_title, CASE WHEN contains(lower(p_name || ' ' || p_type), 'ring') THEN 1 ELSE 0 END
   + CASE WHEN contains(lower(p_name || ' ' || p_type), 'eco') THEN 1 ELSE 0 END AS overlap,

@@ -203,9 +203,9 @@ LEVEL = "CASE WHEN avg(score) >= 85 THEN 'excellent' WHEN avg(score) >= 70 THEN
 
 @query(
     with_tables("criteria", "details", "works")
-    + f"""SELECT name, weight_percent::DOUBLE AS weight_percent, {r('avg(score)', 2)} AS avg_score, count(*) AS evaluations, min(score) AS min_score,
+    + f"""SELECT criteria_id, name, weight_percent::DOUBLE AS weight_percent, {r('avg(score)', 2)} AS avg_score, count(*) AS evaluations, min(score) AS min_score,
   max(score) AS max_score, {r('coalesce(stddev_samp(score), 0)', 2)} AS std_score, {LEVEL} AS performance_level
-FROM details JOIN works USING (work_id) JOIN criteria USING (criteria_key) WHERE import_id = 2 GROUP BY name, weight_percent"""
+FROM details JOIN works USING (work_id) JOIN criteria USING (criteria_key) WHERE import_id = 2 GROUP BY criteria_id, name, weight_percent"""
 )
 def criteria_performance(t: Tables):
     return criteria.criteria_performance(t.details(), t.criteria(), t.works(), 2)
@@ -213,9 +213,9 @@ def criteria_performance(t: Tables):
 
 @query(
     with_tables("criteria", "details", "works")
-    + f"""SELECT name, weight_percent::DOUBLE AS weight_percent, {r('avg(score)', 2)} AS avg_score, count(*) AS evaluations, min(score) AS min_score,
+    + f"""SELECT criteria_id, name, weight_percent::DOUBLE AS weight_percent, {r('avg(score)', 2)} AS avg_score, count(*) AS evaluations, min(score) AS min_score,
   max(score) AS max_score, {r('coalesce(stddev_samp(score), 0)', 2)} AS std_score, {LEVEL} AS performance_level
-FROM details JOIN works USING (work_id) JOIN criteria USING (criteria_key) GROUP BY name, weight_percent"""
+FROM details JOIN works USING (work_id) JOIN criteria USING (criteria_key) GROUP BY criteria_id, name, weight_percent"""
 )
 def criteria_performance_unscoped(t: Tables):
     """An import without evaluations: all of them count."""
@@ -267,8 +267,7 @@ def overview(t: Tables):
   (SELECT count(*) FROM questions WHERE syllabus_topic_id IS NOT NULL) AS active_questions, (SELECT count(*) FROM customer) AS team_members"""
 )
 def overview_totals(t: Tables):
-    imports = t.facts().groupBy("import_id").agg(F.count("*").alias("rows_imported")).union(t.spark.createDataFrame([(9, 0)], "import_id int, n long"))
-    return dashboards.overview_totals(t.facts(), imports, t.questions(), t.read("customer"))
+    return dashboards.overview_totals(t.facts(), t.imports(), t.questions(), t.read("customer"))
 
 
 @query(

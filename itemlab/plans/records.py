@@ -93,6 +93,121 @@ def cache_validity(t: Tables):
     return store.cache_is_valid(cached, linked)
 
 
+@query(
+    with_tables("facts", "questions")
+    + """SELECT 'changed' AS what, count(*) AS n FROM questions WHERE question_id % 10 = 0 AND syllabus_topic_id IS DISTINCT FROM 7
+UNION ALL SELECT 'linked to 7', count(*) FROM questions WHERE question_id % 10 = 0 OR syllabus_topic_id = 7
+UNION ALL SELECT 'cached', count(*) FROM (SELECT DISTINCT import_id, question_id FROM facts) WHERE import_id <> 2"""
+)
+def link_and_invalidate(t: Tables):
+    """Each tenth question linked to a topic; the second import's cache goes."""
+    rows, cache = t.questions(), t.facts().select("import_id", "question_id").distinct()
+    after, changed, caches = store.link_and_invalidate(rows, rows.where("question_id % 10 = 0"), 7, {"validation": cache}, 2)
+    parts = [
+        t.spark.createDataFrame([("changed", changed)], "what string, n long"),
+        after.where("syllabus_topic_id = 7").agg(F.lit("linked to 7").alias("what"), F.count("*").alias("n")),
+        caches["validation"].agg(F.lit("cached").alias("what"), F.count("*").alias("n")),
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query(
+    with_tables("facts")
+    + """SELECT import_id, question_id, CASE WHEN import_id = 2 THEN 'new' ELSE 'old' END AS status FROM (SELECT DISTINCT import_id, question_id FROM facts)
+WHERE import_id <> 2 OR question_id % 2 = 0"""
+)
+def cache_rebuilt(t: Tables):
+    rows = t.facts().select("import_id", "question_id").distinct()
+    fresh = rows.where("question_id % 2 = 0").withColumn("status", F.lit("new"))
+    return store.rebuilt(rows.withColumn("status", F.lit("old")), fresh, 2)
+
+
+@query(
+    """SELECT CASE WHEN n_nationkey > 0 THEN n_nationkey END AS criteria_id, n_name AS name_kazakh, CASE WHEN n_nationkey % 2 = 0 THEN 'ru ' || n_name ELSE n_name END AS name_russian,
+  n_name AS name_english, n_regionkey * 10 + 0.5::DOUBLE AS weight_percent, n_nationkey > 0 AND n_regionkey > 0 AS is_kept
+FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation)"""
+)
+def import_criteria(t: Tables):
+    """Nations as a table of criteria without known headers; the weight is below half a percent for the first region."""
+    key = F.col("n_nationkey")
+    weight = F.concat((F.col("n_regionkey") * 10).cast("string"), F.lit(",5 %"))
+    rows = t.read("nation").select(
+        F.when(key > 0, key.cast("string")).otherwise("-").alias("a"), F.col("n_name").alias("b"), F.when(key % 2 == 0, F.concat(F.lit("ru "), "n_name")).otherwise(" - ").alias("c"),
+        F.lit("").alias("d"), F.when(F.col("n_regionkey") > 0, weight).otherwise("-0,5").alias("e"),
+    )
+    out = imports.criteria(imports.criteria_columns(rows))
+    return out.withColumn("weight_percent", F.abs("weight_percent"))
+
+
+@query(
+    """SELECT user_id || '' AS work_id, ascii(event_type) * 1000 + length(event_type) AS criteria_id, max_by(value, event_id) AS score FROM events
+WHERE value BETWEEN 0 AND 100 AND event_type <> 'error' GROUP BY 1, 2 UNION ALL SELECT 'kept', 1, 5.0"""
+)
+def import_details_upserted(t: Tables):
+    """The last score of each user's event as the evaluation of a work."""
+    rows = t.read("events").select(
+        F.col("user_id").cast("string").alias("work_id"), (F.ascii("event_type") * 1000 + F.length("event_type")).cast("string").alias("criteria_id"),
+        F.col("value").cast("string").alias("score"), "event_id",
+    )
+    new = imports.evaluation_details(rows, t.criteria().where("name <> 'error'"), ["event_id"])
+    existing = t.spark.createDataFrame([("kept", 1, 5.0)], "work_id string, criteria_id long, score double")
+    return imports.upserted(existing, new, ["work_id", "criteria_id"], "event_id")
+
+
+@query(
+    """SELECT 'w' || doc_id AS work_id, 0::BIGINT AS student_id, 0::BIGINT AS question_id FROM documents WHERE doc_id % 3 = 1 AND doc_id % 4 <> 0
+UNION ALL SELECT doc_id || '_1', doc_id, 0 FROM documents WHERE doc_id % 3 = 2 AND doc_id % 4 <> 0"""
+)
+def import_answers_works(t: Tables):
+    """Works that answers name and that aren't known: each third document's is, each fourth has no answer."""
+    key = F.col("doc_id")
+    name = F.when(key % 3 == 2, F.concat(key.cast("string"), F.lit("_1"))).otherwise(F.concat(F.lit("w"), key.cast("string")))
+    docs = t.read("documents").select(key, name.alias("work_id"))
+    answers = docs.withColumn("outcome", F.when(key % 4 == 0, "invalid").otherwise("inserted"))
+    return imports.missing_works(answers, docs.where("doc_id % 3 = 0"))
+
+
+@query(
+    with_tables("facts", "topics", "imports")
+    + """SELECT * FROM (SELECT count(*) AS rows, count(DISTINCT question_id) AS questions, count(DISTINCT student_id) AS students, count(DISTINCT discipline_name) AS disciplines FROM facts),
+  (SELECT count(*) AS topics, count(DISTINCT discipline_name) AS topic_disciplines FROM topics), (SELECT count(*) AS imports FROM imports)"""
+)
+def import_statistics(t: Tables):
+    return dashboards.import_statistics(t.facts(), t.topics(), t.imports())
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE c_acctbal > 0) AS active, count(*) FILTER (WHERE n_name = 'CHINA') AS superadmins FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def user_totals(t: Tables):
+    return dashboards.user_totals(QUERIES["user_report"](t.spark, t.dir), "CHINA")
+
+
+@query(
+    with_tables("topics")
+    + """SELECT syllabus_topic_id, title FROM topics WHERE discipline_name IN (SELECT p_brand FROM part WHERE p_partkey % 7 = 0) ORDER BY 1 LIMIT 100"""
+)
+def topic_list(t: Tables):
+    uploaded = t.read("part").where("p_partkey % 7 = 0").select(F.col("p_brand").alias("discipline_name"))
+    return dashboards.topic_list(t.topics(), uploaded).select("syllabus_topic_id", "title")
+
+
+@query(
+    with_tables("facts")
+    + """SELECT import_id, lag(import_id) OVER (ORDER BY created_at) AS previous_id FROM (SELECT DISTINCT import_id, -import_id AS created_at FROM facts)"""
+)
+def previous_imports(t: Tables):
+    return dashboards.previous_imports(t.facts().select("import_id", (-F.col("import_id")).alias("created_at")).distinct())
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_quantity WHEN l_linenumber = 2 THEN l_tax WHEN l_linenumber = 3 THEN l_discount END::DOUBLE AS score FROM lineitem"""
+)
+def score_cascade(t: Tables):
+    """Scores before and after appeal that are words for later lines, and of the discipline."""
+    n, word = F.col("l_linenumber"), F.lit("none")
+    own = lambda k, c: F.when(n == k, F.col(c).cast("string")).otherwise(word)
+    return t.read("lineitem").select("l_orderkey", n, imports.score_cascade(own(1, "l_quantity"), own(2, "l_tax"), own(3, "l_discount")).alias("score"))
+
+
 #: Line items as an imported file: strings with empty cells, dashes, decimal commas, fractions of ids.
 RAW = """raw AS (SELECT l_orderkey, l_linenumber,
   CASE WHEN l_linenumber = 5 THEN '' ELSE l_partkey || '.7' END AS question_id, CASE WHEN l_linenumber IN (4, 5) THEN '-' ELSE ' ' || l_orderkey END AS student_id,
@@ -158,7 +273,7 @@ FROM events GROUP BY 1"""
 )
 def import_details(t: Tables):
     rows = t.read("events").select(
-        F.col("user_id").cast("string").alias("work_id"), F.crc32(F.col("event_type").cast("binary")).cast("string").alias("criteria_id"),
+        F.col("user_id").cast("string").alias("work_id"), (F.ascii("event_type") * 1000 + F.length("event_type")).cast("string").alias("criteria_id"),
         F.col("value").cast("string").alias("score"),
     )
     known = t.criteria().where("name <> 'error'")
