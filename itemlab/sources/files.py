@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Cells that a repeated cell of a spreadsheet stands for, at most: more are formatting of empty columns.
-MAX_REPEAT = 1000
+#: What stands for the text of a PDF in which nothing is legible (a fixed value).
+NO_PDF_TEXT = "PDF text not extracted (library required)"
 
 
 def sniff(head: str) -> str:
@@ -22,6 +22,12 @@ def sniff(head: str) -> str:
     return max(";,\t", key=lambda c: (head.count(c), c == ";"))
 
 
+def read_semicolons(spark: SparkSession, path: str) -> DataFrame:
+    """A file with a header whose separator is the semicolon, or the comma if the header has none."""
+    head = spark.read.text(path).limit(1).collect()
+    return read_delimited(spark, path, ";" if head and ";" in head[0].value else ",")
+
+
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """A file with a header; cells are trimmed, blank rows left out, a byte order mark is no part of the first name."""
     if separator is None:
@@ -84,12 +90,13 @@ def ods_rows(content: bytes) -> list[list[str]]:
     out = []
     for row in (e for e in (tables[0].iter() if tables else ()) if _local(e.tag) == "table-row"):
         cells: list[str] = []
+        empty = 0  # cells since the last filled one; those at the end are only formatting
         for c in (e for e in row if _local(e.tag) in ("table-cell", "covered-table-cell")):
             repeat = next((int(v) for k, v in c.attrib.items() if _local(k) == "number-columns-repeated"), 1)
             text = " ".join("".join(p.itertext()) for p in c if _local(p.tag) == "p").strip()
-            cells += [text] * min(repeat, MAX_REPEAT)
-        while cells and not cells[-1]:
-            cells.pop()
+            if text:
+                cells += [""] * empty + [text] * repeat
+            empty = 0 if text else empty + repeat
         out.append(cells)
     return out
 
@@ -141,9 +148,9 @@ def doc_text(content: bytes) -> str:
 
 
 def pdf_text(content: bytes) -> str:
-    """The first string literal of each line, where streams aren't compressed."""
-    found = (re.search(r"\(([^()]*)\)", line) for line in content.decode("latin-1").splitlines())
-    return "\n".join(m[1] for m in found if m and m[1].strip())
+    """The first string literal of each line, where streams aren't compressed; NO_PDF_TEXT if there is none."""
+    found = (re.search(r"\((.*?)\)", line) for line in content.decode("latin-1").split("\n"))
+    return " ".join(m[1] for m in found if m).strip() or NO_PDF_TEXT
 
 
 def plain_text(content: bytes) -> str:

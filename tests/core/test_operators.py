@@ -151,8 +151,7 @@ def test_vectors(spark, monkeypatch):
 
 def test_texts(spark):
     df = spark.createDataFrame([("Hello  World", "hello world"), ("abcd", "wxyz"), ("", "a"), ("abc", "ab")], "a string, b string")
-    both = df.select(text.similar_text(F.col("a"), F.col("b")).alias("s"), text.length_bound(F.col("a"), F.col("b")).alias("m")).collect()
-    assert [r.s for r in both] == [100.0, 0.0, 0.0, 80.0] and all(r.s <= r.m + 0.05 for r in both)
+    assert [r.s for r in df.select(text.similar_text(F.col("a"), F.col("b")).alias("s")).collect()] == [100.0, 0.0, 0.0, 80.0]
     texts = spark.createDataFrame([(1, "alpha beta gamma"), (2, "Beta, alpha gamma!"), (3, "alpha beta gamma delta"), (4, ""), (5, None)], "id long, text string")
     pairs, classes = duplicates.similar_texts(texts, 0.7)
     assert dict(map(tuple, classes.select("id", "class_id").collect())) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
@@ -170,12 +169,48 @@ def test_statistics(spark):
 
 def test_validation_issues(spark):
     rows = facts(spark, [(1, s, 1, 99.0) for s in range(5)] + [(1, s, 2, 10.0) for s in range(4)] + [(1, 1, 3, None)])
-    qs = questions(spark, [(1, 100.0, "alpha beta", 1), (2, 100.0, "gamma", None), (3, 100.0, "delta", 1)])
-    topics = spark.createDataFrame([(1, "alpha", "beta, other")], "syllabus_topic_id int, title string, keywords string")
-    got = by(alignment.validation(rows, qs, topics, c=Coefficients()).collect(), "question_id")
-    assert [got[k].issues for k in (1, 2, 3)] == ["HIGH_AVG", "UNLINKED,LOW_AVG,FEW_ATTEMPTS", "FEW_ATTEMPTS"]
-    assert alignment.validate_one(rows, qs, topics, 2).first().issues == "UNLINKED,LOW_AVG,FEW_ATTEMPTS"
-    assert got[1].keyword_coverage == pytest.approx(66.7)
+    qs = questions(spark, [(1, 100.0, "alpha beta for", 1), (2, 100.0, "gamma", None), (3, None, "delta", 1)])
+    schema = "syllabus_topic_id int, title string, keywords string, topic_code string, discipline_name string"
+    topics = spark.createDataFrame([(1, "alpha for", "beta, other", "T1", "d")], schema)
+    semantic = spark.createDataFrame([(1, 0.5)], "question_id int, semantic double")
+    got = by(alignment.validation(rows, qs, topics, semantic, Coefficients()).collect(), "question_id")
+    assert set(got) == {1, 3}  # linked ones
+    assert [got[k].issues for k in (1, 3)] == ["HIGH_AVG", "LOW_AVG,FEW_ATTEMPTS,NO_EMBEDDINGS"]
+    assert (got[1].attempts, got[3].attempts, got[3].avg_score, got[1].topic_code) == (5, 1, 0.0, "T1")
+    assert alignment.validate_one(rows, qs, topics, 1).first().issues == "HIGH_AVG,NO_EMBEDDINGS"
+    assert got[1].keyword_coverage == pytest.approx(66.7)  # "for" is no token
+
+
+def test_rejected_similarity_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK_CHARS", 200)
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name", "p_type").collect()
+    qs = [(r.p_partkey, f"{r.p_name} {r.p_type}") for r in part] + [(9001, None), (9002, ""), (9003, "Ж " * 9)]
+    rejected = [(r.p_partkey, r.p_type) for r in part[:30]] + [(1, None), (2, "Ж ж"), (3, "")]
+    got = duplicates.rejected_similarity(spark.createDataFrame(qs, "question_id long, question_text string"),
+        spark.createDataFrame(rejected, "rejected_id long, rejected_text string"))
+    all_pairs = [(q, x, text._similar(a, b)) for q, a in qs for x, b in rejected if a and b]
+    want = [(q, x, s, "high" if s >= 55 else "medium") for q, x, s in all_pairs if s >= 35]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) < len(all_pairs)
+
+
+def test_store_edges(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "import_id int, x string")
+    store.append_partition(rows, path)
+    store.append_partition(rows.where("import_id = 1"), path)
+    assert spark.read.parquet(path).count() == 3
+    store.replace_table(spark.read.parquet(path).where("import_id = 1"), path)
+    assert spark.read.parquet(path).count() == 2 and len([p for p in tmp_path.iterdir() if p.name.startswith("t")]) == 1
+    assert {r.json for r in store.as_json(rows).collect()} == {'{"import_id":1,"x":"a"}', '{"import_id":2,"x":null}'}
+    store.write_csv(rows, str(tmp_path / "c"))
+    assert spark.read.csv(str(tmp_path / "c"), sep=";", header=True).count() == 2
+    assert store.rows_of(spark, "SELECT :a || 'x' AS v", a="' OR 1").first().v == "' OR 1x"
+
+
+def test_criteria_by_name_or_position(spark):
+    named = spark.createDataFrame([("1", "к", "р", "10")], ["ID критерия", "Наименование критерия на казахском", "Наименование критерия на русском", "Доля"])
+    assert tuple(imports.criteria_columns(named).first()) == ("1", "к", "р", None, "10")
+    assert tuple(imports.criteria_columns(spark.createDataFrame([("1", "к", "7")], ["a", "b", "c"])).first()) == ("1", "к", "7", None, "7")
 
 
 def test_tallies_add_up(spark):

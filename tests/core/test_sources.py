@@ -44,7 +44,7 @@ def test_documents(spark, tmp_path):
     (tmp_path / "d.pdf").write_bytes(b"%PDF\nBT (Hello) Tj ET\nBT (World) Tj\n")
     (tmp_path / "e.docx").write_bytes(b"broken")
     got = {r.path[-6:]: r.text for r in files.read_documents(spark, str(tmp_path)).collect()}
-    assert got == {"a.docx": "One & two\na\tb", "/b.odt": "Head\nBody", "/c.txt": "Вопрос\nдва", "/d.pdf": "Hello\nWorld", "e.docx": None}
+    assert got == {"a.docx": "One & two\na\tb", "/b.odt": "Head\nBody", "/c.txt": "Вопрос\nдва", "/d.pdf": "Hello World", "e.docx": None}
 
 
 def one(spark, function, *texts):
@@ -76,3 +76,20 @@ def test_topics(spark):
     assert got[0].keywords == "title,topic,second,line"
     assert [t.title for t in none] == ["X - Main Course"]
     assert [tuple(t) for t in auto] == [("BIO_AUTO", "Bio - Main Course", "here,nothing")]
+
+
+def test_filled_cells_are_repeated_beyond_a_thousand():
+    cells = "".join(f'<table-cell number-columns-repeated="{n}">{x}</table-cell>' for n, x in ((1500, ""), (1200, "<p>x</p>"), (9000, "")))
+    got = files.ods_rows(archive(content=f"<doc><table><table-row>{cells}</table-row></table></doc>"))[0]
+    assert len(got) == 2700 and got[1500:] == ["x"] * 1200 and not any(got[:1500])
+
+
+def test_pdf_without_text():
+    assert files.pdf_text(b"%PDF\nnothing") == files.NO_PDF_TEXT
+
+
+def test_semicolons_before_commas(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b;c\n1,2,3;4\n")
+    (tmp_path / "b.csv").write_text("a,b\n1,2\n")
+    assert files.read_semicolons(spark, str(tmp_path / "a.csv")).columns == ["a,b", "c"]
+    assert files.read_semicolons(spark, str(tmp_path / "b.csv")).columns == ["a", "b"]
