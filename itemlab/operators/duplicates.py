@@ -16,36 +16,48 @@ from .store import settled
 
 def text_classes(texts: DataFrame) -> DataFrame:
     """``id, class_id`` of ``id, text``: texts with the same tokens are of one class, named by its least id."""
-    key = F.array_join(F.array_sort(tokens(F.col("text"), 2, STOP_WORDS)), " ")
-    rows = texts.select("id", F.sha2(key, 256).alias("key"), (key == "").alias("empty"))
+    key = F.array_join(F.sort_array(tokens(F.col("text"), 2, STOP_WORDS)), " ")
+    rows = texts.select("id", F.sha2(key, 256).alias("key"))
     least = rows.groupBy("key").agg(F.min("id").alias("class_id"))
     rows = rows.join(least, "key")
-    return rows.select("id", F.when(F.col("empty"), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    empty = F.col("key") == F.sha2(F.lit(""), 256)
+    return rows.select("id", F.when(empty, F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def similar_texts(texts: DataFrame, threshold: float = DEFAULT.duplicate) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``id_a, id_b, similarity`` of classes with a tf-idf cosine above threshold, and ``id, class_id``.
+#: What two prefixes must have in common of a cosine above the threshold; their rests give less than what is missing.
+GAIN = 0.15
 
-    With tokens in one order for all, the rarest first, what is left of a vector behind its prefix is
-    shorter than the threshold. A pair above it so shares a token of both prefixes; only these are
-    joined. Weights and prefixes are stored once.
-    """
+
+def similar_texts(texts: DataFrame, threshold: float = DEFAULT.duplicate) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``id_a, id_b, similarity`` of classes with a tf-idf cosine above threshold, and ``id, class_id``."""
     classes = settled(text_classes(texts))
     heads = classes.where(F.col("id") == F.col("class_id")).select("id")
     docs = texts.join(heads, "id").select("id", tokens(F.col("text"), 2, STOP_WORDS).alias("tokens"))
     weights = settled(tfidf(docs))
     prefix = settled(_prefixes(weights, threshold))
-    a, b = prefix.select(F.col("id").alias("id_a"), "token"), prefix.select(F.col("id").alias("id_b"), "token")
-    pairs = a.join(b, "token").where("id_a < id_b").select("id_a", "id_b").distinct()
-    found = _cosines(pairs, weights).where(F.col("s") > threshold)
+    found = _cosines(_candidates(prefix, prefix), weights).where(F.col("s") > threshold)
     return found.select("id_a", "id_b", rounded(F.col("s"), 3).alias("similarity")), classes
 
 
 def _prefixes(weights: DataFrame, threshold: float) -> DataFrame:
-    """The rarest tokens of each vector, behind which the rest of it is shorter than the threshold."""
+    """The rarest tokens of each vector, behind which the rest of it is shorter than threshold - GAIN.
+
+    With tokens in one order for all, no token behind the end of the shorter of two prefixes adds to
+    the dot product more than that rest's length; so the prefixes themselves must give GAIN at least.
+    """
     order = Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order), F.lit(0.0))
-    return weights.withColumn("before", before).where(1 - F.col("before") >= threshold * threshold - 1e-9).select("id", "token")
+    rest = max(0.0, threshold - GAIN)
+    return weights.withColumn("before", before).where(1 - F.col("before") >= rest * rest - 1e-9).select("id", "token", "weight")
+
+
+def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``id_a, id_b`` of prefixes that have enough in common."""
+    a = left.select(F.col("id").alias("id_a"), "token", F.col("weight").alias("wa"))
+    b = right.select(F.col("id").alias("id_b"), "token", F.col("weight").alias("wb"))
+    pairs = a.join(b, "token").where("id_a < id_b" if left is right else "id_a <> id_b")
+    shared = pairs.groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
+    return shared.where(F.col("s") >= GAIN - 1e-9).select("id_a", "id_b")
 
 
 def _cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -62,9 +74,8 @@ def rejected_before(questions: DataFrame, c: Coefficients = DEFAULT) -> DataFram
     )
     weights = settled(tfidf(docs))
     side = settled(_prefixes(weights, c.rejected_duplicate).join(questions.select(F.col("question_id").alias("id"), "is_rejected"), "id"))
-    a = side.where("is_rejected").select(F.col("id").alias("id_a"), "token")
-    b = side.where("NOT is_rejected").select(F.col("id").alias("id_b"), "token")
-    found = _cosines(a.join(b, "token").select("id_a", "id_b").distinct(), weights).where(F.col("s") > c.rejected_duplicate)
+    pairs = _candidates(side.where("is_rejected"), side.where("NOT is_rejected"))
+    found = _cosines(pairs, weights).where(F.col("s") > c.rejected_duplicate)
     reasons = questions.select(F.col("question_id").alias("id_a"), "rejection_reason")
     return found.join(reasons, "id_a").select(
         F.col("id_a").alias("rejected_question_id"), F.col("id_b").alias("current_question_id"), F.col("rejection_reason").alias("rejected_reason"),
