@@ -72,12 +72,19 @@ def sha1_base32(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
+#: Lengths from here on don't fit into the extra field of a member.
+LENGTH_LIMIT = 1 << 32
+
+
 def member(record: bytes, level: int = 6) -> bytes:
-    """A gzip member with its own and the record's length in the extra field ``sl``."""
+    """A gzip member with its own and the record's length in the extra field ``sl``, if they fit into it."""
     press = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = press.compress(record) + press.flush()
     size = 24 + len(body) + 8
-    head = struct.pack("<4BIBBH2sHII", 31, 139, 8, 4, 0, 0, 255, 12, b"sl", 8, size & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+    if max(size, len(record)) < LENGTH_LIMIT:
+        head = struct.pack("<4BIBBH2sHII", 31, 139, 8, 4, 0, 0, 255, 12, b"sl", 8, size, len(record))
+    else:
+        head = struct.pack("<4BIBB", 31, 139, 8, 0, 0, 0, 255)
     return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 

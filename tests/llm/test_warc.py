@@ -106,3 +106,12 @@ def test_pushed_filters(spark):
     assert list(reader.pushFilters(given)) == given[2:]
     assert not reader.wanted({"warc-type": "revisit"})
     assert reader.wanted({"warc-type": "revisit", "warc-refers-to": "x"})
+
+
+def test_lengths_that_do_not_fit_are_left_out(monkeypatch):
+    import gzip
+
+    assert warc.member(b"x" * 500)[12:14] == b"sl" and gzip.decompress(warc.member(b"x" * 500)) == b"x" * 500
+    monkeypatch.setattr(warc, "LENGTH_LIMIT", 400)
+    raw = warc.member(b"x" * 500)
+    assert raw[3] == 0 and gzip.decompress(raw) == b"x" * 500
