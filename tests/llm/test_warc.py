@@ -109,8 +109,6 @@ def test_pushed_filters(spark):
 
 
 def test_lengths_that_do_not_fit_are_left_out(monkeypatch):
-    import gzip
-
     assert warc.member(b"x" * 500)[12:14] == b"sl" and gzip.decompress(warc.member(b"x" * 500)) == b"x" * 500
     monkeypatch.setattr(warc, "LENGTH_LIMIT", 400)
     raw = warc.member(b"x" * 500)
