@@ -63,7 +63,7 @@ def test_edges_of_input(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "A  b"), (6, "a b c"), (7, "word " * 50_000),
             (7, "word " * 50_000), (None, "a b"), (8, "\xa0 a b")]
     df = spark.createDataFrame([(d, t, None, None) for d, t in rows], SCHEMA)
-    got = sorted((tuple(r) for r in minhash.near_duplicates(df, 85).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in minhash.near_duplicates(df, 85).collect()), key=str)
     assert got == sorted(
         [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True),
          (7, 1, 7, True), (7, 1, 7, True), (None, 1, None, True), (8, 1, 8, True)], key=str)
