@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..coefficients import DEFAULT, Coefficients
 from ..functions.stats import percent_change, rounded
+from . import alignment, criteria, items, students
 
 
 def import_figures(facts: DataFrame) -> DataFrame:
@@ -51,6 +52,48 @@ def tallies(sections: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, (tally(rows, s, flag) for s, (rows, flag) in sections.items()))
 
 
+#: Badges of the sections' flags (fixed values); other flags have the badge beside them.
+BADGES = {
+    "validation": ({"ok": "success", "warning": "warning"}, "danger"), "quality": ({"normal": "success", "too_easy": "warning"}, "danger"),
+    "correlation": ({"ok": "success"}, "warning"), "students": ({"ok": "success", "systemic": "danger"}, "warning"),
+    "semantic": ({"high": "success", "medium": "warning"}, "danger"), "criteria": ({}, "success"),
+}
+
+
+def section_tables(
+    facts: DataFrame, questions: DataFrame, topics: DataFrame, details: DataFrame, criteria_: DataFrame, works: DataFrame, answers: DataFrame,
+    semantic: DataFrame | None = None, import_id: int | None = None, c: Coefficients = DEFAULT,
+) -> dict[str, DataFrame]:
+    """The seven sections' rows, each with ``flag`` and ``badge``; those of items, students and texts have all imports.
+
+    Criteria and answers are of import_id, as far as it has any.
+    """
+    flagged = {
+        "validation": (alignment.validation(facts, questions, topics, semantic, c), "status"),
+        "quality": (items.item_quality(facts, questions, c), "flag"),
+        "correlation": (items.item_total_correlation(facts, c), "flag"),
+        "students": (students.student_risk(facts, c), "pattern_type"),
+        "semantic": (alignment.alignment(facts, questions, topics, semantic, c), "alignment_level"),
+        "criteria": (criteria.criteria_performance(details, criteria_, works, import_id), "performance_level"),
+    }
+    out = {}
+    for section, (rows, column) in flagged.items():
+        known, other = BADGES[section]
+        badge = reduce(lambda x, kv, column=column: F.when(F.col(column) == kv[0], kv[1]).otherwise(x), known.items(), F.lit(other))
+        out[section] = rows.withColumns({"badge": badge, "flag": F.col(column)})
+    rate = F.col("plagiarism_rate")
+    out["answers"] = criteria.answers_by_language(answers, import_id).withColumns(
+        {"badge": F.when(rate > 10, "danger").when(rate > 5, "warning").otherwise("success"), "flag": F.when(rate > 10, "high").otherwise("low")}
+    )
+    return out
+
+
+def section_tallies(sections: dict[str, DataFrame]) -> DataFrame:
+    """Numbers of rows by section, flag and badge."""
+    parts = (rows.groupBy(F.lit(name).alias("section"), "flag", "badge").agg(F.count("*").alias("n")) for name, rows in sections.items())
+    return reduce(DataFrame.unionByName, parts)
+
+
 def pass_fail(facts: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
     rows = facts.where(F.col("received_score").isNotNull())
     passed = F.count_if(F.col("received_score") >= c.pass_mark)

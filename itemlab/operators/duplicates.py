@@ -25,7 +25,7 @@ def text_classes(texts: DataFrame) -> DataFrame:
 
 
 #: What two prefixes must have in common of a cosine above the threshold; their rests give less than what is missing.
-GAIN = 0.15
+GAIN = 0.05
 
 
 def similar_texts(texts: DataFrame, threshold: float = DEFAULT.duplicate) -> tuple[DataFrame, DataFrame]:

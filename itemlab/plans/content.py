@@ -13,7 +13,7 @@ from ..functions import vectors
 from ..operators import alignment as aligned
 from ..operators import dashboards, duplicates, items, rules
 from ..operators import search as searching
-from .exam import METRICS, index_sql, r
+from .exam import LEVEL, MEANS, METRICS, PER_STUDENT, QUALITY, RISK, TOTAL, index_sql, r
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -135,6 +135,27 @@ def validation_overview(t: Tables):
     return aligned.validation(t.facts(), t.questions(), t.topics())
 
 
+@query(
+    with_tables("facts", "questions", "topics", "criteria", "details", "works", "answers",
+        more=",\n".join([MEANS, QUALITY, TOTAL, PER_STUDENT, RISK, ATTEMPTS, TFIDF, ALIGNED]))
+    + f"""SELECT section, flag, badge, count(*) AS n FROM (
+  SELECT 'validation' AS section, 'warning' AS flag, 'warning' AS badge FROM aligned
+  UNION ALL SELECT 'quality', flag, CASE flag WHEN 'normal' THEN 'success' WHEN 'too_easy' THEN 'warning' ELSE 'danger' END FROM quality
+  UNION ALL SELECT 'correlation', CASE WHEN abs(r) < 0.12 THEN 'low_corr' ELSE 'ok' END, CASE WHEN abs(r) < 0.12 THEN 'warning' ELSE 'success' END FROM correlated
+  UNION ALL SELECT 'students', pattern_type, CASE pattern_type WHEN 'ok' THEN 'success' WHEN 'systemic' THEN 'danger' ELSE 'warning' END FROM risk
+  UNION ALL SELECT 'semantic', CASE WHEN combined_score < 0.15 THEN 'low' WHEN combined_score < 0.4 THEN 'medium' ELSE 'high' END,
+    CASE WHEN combined_score < 0.15 THEN 'danger' WHEN combined_score < 0.4 THEN 'warning' ELSE 'success' END FROM aligned
+  UNION ALL SELECT 'criteria', {LEVEL}, 'success' FROM details JOIN works USING (work_id) JOIN criteria USING (criteria_key) GROUP BY criteria_id
+  UNION ALL SELECT 'answers', CASE WHEN rate > 10 THEN 'high' ELSE 'low' END, CASE WHEN rate > 10 THEN 'danger' WHEN rate > 5 THEN 'warning' ELSE 'success' END
+    FROM (SELECT 100.0 * count(*) FILTER (WHERE plagiarism_penalty > 0) / count(*) AS rate FROM answers GROUP BY language)) GROUP BY 1, 2, 3"""
+)
+def section_badges(t: Tables):
+    """Rows of all seven sections by flag and badge."""
+    return dashboards.section_tallies(
+        dashboards.section_tables(t.facts(), t.questions(), t.topics(), t.details(), t.criteria(), t.works(), t.answers())
+    )
+
+
 @query(
     """SELECT doc_id, keyword_coverage, CASE WHEN length(text) < 15 THEN 'short' WHEN keyword_coverage < 0.2 THEN 'weak' ELSE 'ok' END AS quality_hint
 FROM (SELECT doc_id, text, CAST(round(CAST(len([k FOR k IN keys IF contains(lower(text), lower(k))])::DOUBLE / len(keys) AS DECIMAL(18,6)), 3) AS DOUBLE)
