@@ -118,7 +118,8 @@ class SuffixAutomaton:
 class WordBpe:
     """Encoder of one tokenizer file (``BPE`` with an end-of-word suffix over byte-level letters)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         spec = json.loads(source)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -276,13 +277,13 @@ class WordBpe:
         if known is None:
             ids = self.encode_word(word.encode("utf-8", "surrogateescape"))
             known = np.array(ids, "<u4").tobytes(), " ".join(map(self.text_of.__getitem__, ids))
-        if len(self.words) >= REMEMBERED:
+        if len(self.words) >= self.remembered:
             self.words, self.older = {}, self.words
         self.words[word] = known
         return known
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, ids, decoded`` of each row's whole text with the tokenizer file at path.
 
     ids holds the token ids as little-endian unsigned 32-bit integers, decoded the tokens' texts with
@@ -295,7 +296,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(source)  # one vocabulary file, a few MB
 
     def run(batches):
-        encoder = resident(f"bpe {path}", lambda: WordBpe(shipped.value))
+        encoder = resident(f"bpe {path} {remembered}", lambda: WordBpe(shipped.value, remembered))
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
@@ -321,4 +322,4 @@ def digests(encoded: DataFrame) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     small_batches(spark)
     path = path or tokenizer_path("word_bpe_49k.json")
-    return digests(encode_documents(table(spark, sf_dir, "documents"), path))
+    return digests(encode_documents(table(spark, sf_dir, "documents"), path, 2 * REMEMBERED))  # alone in its workers
