@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _ranked(rows: DataFrame, key: list[str], *order) -> DataFrame:
+def first_rows(rows: DataFrame, key: list[str], order: list) -> DataFrame:
+    """The first row, by order, of each key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: list[str], seq: str) -> DataFrame:
     """The existing rows and the first new row, by seq, of each key that isn't there."""
-    first = _ranked(new, key, F.col(seq)).join(existing.select(*key), key, "left_anti")
+    first = first_rows(new, key, [seq]).join(existing.select(*key), key, "left_anti")
     return existing.unionByName(first.select(*existing.columns))
 
 
@@ -24,7 +25,7 @@ def upsert(existing: DataFrame, new: DataFrame, key: list[str], seq: str) -> Dat
     columns = existing.columns
     both = existing.select(*columns, F.lit(0).alias("__new"), F.lit(None).cast(new.schema[seq].dataType).alias("__seq"))
     both = both.unionByName(new.select(*columns, F.lit(1).alias("__new"), F.col(seq).alias("__seq")))
-    return _ranked(both, key, F.desc("__new"), F.desc("__seq")).select(*columns)
+    return first_rows(both, key, [F.desc("__new"), F.desc("__seq")]).select(*columns)
 
 
 def update(existing: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
@@ -113,21 +114,22 @@ def rows_of(spark: SparkSession, sql: str, **parameters) -> DataFrame:
     return spark.sql(sql, args=parameters)
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """The rows, written once in the folder of spark.checkpoint.dir and read again, for several uses.
-
-    A local session without that folder gets a temporary one.
-    """
-    spark = rows.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; a local session without that folder gets a temporary one."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         place = spark.sparkContext.getCheckpointDir()
-    path = f"{place.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows, written once in the shared folder and read again, for several uses."""
+    path = shared_path(rows.sparkSession, "settled")
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def link_and_invalidate(questions: DataFrame, chosen: DataFrame, topic_id: int, caches: dict[str, DataFrame], import_id: int):

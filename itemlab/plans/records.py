@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..adapters import Tables, with_tables
 from ..coefficients import resolve_overrides
 from ..operators import dashboards, imports, items, store
+from ..operators.commits import Store
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -215,7 +216,7 @@ RAW = """raw AS (SELECT l_orderkey, l_linenumber,
   CASE WHEN l_linenumber = 2 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) ELSE 'x' END AS score_before, l_returnflag AS discipline FROM lineitem)"""
 
 
-def _raw(t: Tables):
+def _raw(t: Tables, *also: str):
     n, quantity = F.col("l_linenumber"), F.col("l_quantity")
     return t.read("lineitem").select(
         F.when(n == 5, "").otherwise(F.concat(F.col("l_partkey").cast("string"), F.lit(".7"))).alias("\ufeffQuestion_ID"),
@@ -223,17 +224,17 @@ def _raw(t: Tables):
         F.when(n == 1, "").otherwise("2").alias("Kurs"),
         F.when(n == 2, "-").otherwise(F.replace(quantity.cast("string"), F.lit("."), F.lit(","))).alias("Оценка после апелляции"),
         F.when(n == 2, quantity.cast("int").cast("string")).otherwise("x").alias("Bedömning före överklagande"),
-        F.col("l_returnflag").alias(" DISCIPLINE_NAME "),
-    )
+        F.col("l_returnflag").alias(" DISCIPLINE_NAME "), *also,
+    )
 
 
 TYPED = """typed AS (SELECT CASE WHEN l_linenumber <> 5 THEN CAST(split_part(question_id, '.', 1) AS BIGINT) END AS question_id,
-  CASE WHEN l_linenumber NOT IN (4, 5) THEN l_orderkey END AS student_id, CASE WHEN l_linenumber = 1 THEN 3 ELSE 2 END AS course_number,
+  CASE WHEN l_linenumber NOT IN (4, 5) THEN l_orderkey END AS student_id, CASE WHEN l_linenumber <> 1 THEN 2 END AS course_number,
   CAST(CASE WHEN l_linenumber = 2 THEN score_before ELSE replace(score_after, ',', '.') END AS DOUBLE) AS received_score, discipline AS discipline_name,
-  l_linenumber <> 5 AS is_kept FROM raw)"""
+  l_linenumber <> 5 AS is_kept, l_orderkey * 10 + l_linenumber AS seq FROM raw)"""
 
 
-@query(f"WITH {RAW}, {TYPED} SELECT * FROM typed")
+@query(f"WITH {RAW}, {TYPED} SELECT * EXCLUDE (seq) FROM typed")
 def import_typed(t: Tables):
     rows = imports.exam_results(imports.named(_raw(t)))
     return rows.select("question_id", "student_id", "course_number", "received_score", "discipline_name", "is_kept")
@@ -247,24 +248,66 @@ def import_counts(t: Tables):
     return imports.import_counts(imports.exam_results(imports.named(_raw(t))))
 
 
+#: What the tables hold after the imports of rows ``file, seq, ...`` one after the other: of each key the first row of the first file.
+AFTER_IMPORTS = """
+first_of AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY file, seq) AS of_question, row_number() OVER (PARTITION BY student_id ORDER BY file, seq) AS of_student,
+  row_number() OVER (PARTITION BY student_id, question_id ORDER BY file, seq) AS of_work FROM kept)
+SELECT 'results' AS target, student_id::VARCHAR AS a, question_id::VARCHAR AS b, discipline_name AS c, course_number, received_score AS score, file AS import_id FROM kept
+UNION ALL SELECT kind, question_id::VARCHAR, NULL, '', NULL, 100.0, NULL FROM first_of, (VALUES ('questions single'), ('hier_questions single_choice')) k(kind) WHERE question_id <> 0 AND of_question = 1
+UNION ALL SELECT 'students', student_id::VARCHAR, NULL, NULL, coalesce(course_number, 3), NULL, NULL FROM first_of WHERE student_id <> 0 AND of_student = 1
+UNION ALL SELECT 'works', student_id || '_' || question_id, question_id::VARCHAR, discipline_name, coalesce(course_number, 3), NULL, file FROM first_of WHERE student_id <> 0 AND question_id <> 0 AND of_work = 1
+UNION ALL SELECT DISTINCT 'topics', 'AUTO_' || md5(discipline_name), discipline_name, lower(discipline_name), 3, NULL::DOUBLE, NULL::BIGINT FROM kept
+UNION ALL SELECT 'log', 'results_' || file || '.csv', count(*)::VARCHAR, count(*) FILTER (WHERE NOT is_kept)::VARCHAR, NULL, count(*) FILTER (WHERE is_kept), file FROM files GROUP BY file"""
+
+
+def _imported(t: Tables, *files: str):
+    """The rows of all tables after the imports of the lines that each condition selects."""
+    tables = Store(t.spark, store.shared_path(t.spark, "imports"), imports.EXAM_TABLES)
+    for k, condition in enumerate(files, 1):
+        rows = _raw(t, "l_orderkey", "l_linenumber").where(condition)
+        rows = rows.withColumn("order", F.col("l_orderkey") * 10 + F.col("l_linenumber")).drop("l_orderkey", "l_linenumber")
+        imports.import_exam(tables, rows, f"results_{k}.csv", "csv", order="order")
+    none = F.lit(None)
+    columns = {
+        "results": ("results", "student_id", "question_id", "discipline_name", "course_number", "received_score", "import_id"),
+        "questions": (F.concat(F.lit("questions "), "question_type"), "question_id", none, "question_text", none, "max_score", none),
+        "hier_questions": (F.concat(F.lit("hier_questions "), "question_type"), "question_id", none, "question_text", none, "max_score", none),
+        "students": ("students", "student_id", none, none, "course_number", none, none),
+        "works": ("works", "work_id", "question_id", "discipline_name", "course_number", none, "import_id"),
+        "topics": ("topics", "topic_code", "title", "keywords", "course_number", none, none),
+        "log": ("log", "source_filename", "rows_total", "rows_rejected", none, "rows_imported", "import_id"),
+    }
+    kinds = {"target": "string", "a": "string", "b": "string", "c": "string", "course_number": "int", "score": "double", "import_id": "long"}
+    parts = []
+    for name, (target, *values) in columns.items():
+        target = F.lit(target) if isinstance(target, str) else target
+        values = [F.col(v) if isinstance(v, str) else v for v in values]
+        parts.append(tables.read(name).select(*(v.cast(kind).alias(c) for (c, kind), v in zip(kinds.items(), [target, *values], strict=True))))
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query(f"WITH {RAW}, {TYPED}, files AS (SELECT 1::BIGINT AS file, * FROM typed), kept AS (SELECT * FROM files WHERE is_kept), {AFTER_IMPORTS}")
+def import_tables(t: Tables):
+    """What an import of exam results makes of its empty tables."""
+    return _imported(t, "true")
+
+
 @query(
-    f"""WITH {RAW}, {TYPED} SELECT 'results' AS target, count(*) AS n, sum(coalesce(received_score, 0)) AS total FROM typed WHERE is_kept
-UNION ALL SELECT 'questions', count(DISTINCT question_id), 100.0 * count(DISTINCT question_id) FROM typed WHERE is_kept AND question_id <> 0
-UNION ALL SELECT 'students', count(*), sum(c) FROM (SELECT student_id, min(course_number) AS c FROM typed WHERE is_kept AND student_id <> 0 GROUP BY 1)
-UNION ALL SELECT 'works', count(*), sum(len(student_id || '_' || question_id)) FROM (SELECT DISTINCT student_id, question_id FROM typed WHERE is_kept AND student_id <> 0 AND question_id <> 0)
-UNION ALL SELECT 'topics', count(DISTINCT discipline_name), 3.0 * count(DISTINCT discipline_name) FROM typed WHERE is_kept"""
+    f"""WITH {RAW}, {TYPED}, files AS (SELECT 1::BIGINT AS file, * FROM typed WHERE (seq // 10) % 3 <> 0 AND seq % 10 > 1
+  UNION ALL SELECT 2::BIGINT AS file, * FROM typed WHERE (seq // 10) % 3 <> 1), kept AS (SELECT * FROM files WHERE is_kept), {AFTER_IMPORTS}"""
 )
-def import_tables(t: Tables):
-    """What an import adds to its five tables: rows, and a sum over each."""
-    tables = imports.exam_tables(imports.exam_results(imports.named(_raw(t))), 7)
-    figure = {"results": F.col("received_score"), "questions": F.col("max_score"), "students": F.col("course_number"), "works": F.length("work_id"), "topics": F.col("course_number")}
-    parts = [rows.agg(F.lit(k).alias("target"), F.count("*").alias("n"), F.sum(figure[k].cast("double")).alias("total")) for k, rows in tables.items()]
-    return reduce(DataFrame.unionAll, parts)
+def import_twice(t: Tables):
+    """The tables after two imports with students, questions and works in common."""
+    return _imported(t, "l_orderkey % 3 <> 0 AND l_linenumber > 1", "l_orderkey % 3 <> 1")
 
 
-@query("SELECT DISTINCT l_returnflag AS discipline_name, 3 AS course_number, 'AUTO_' || md5(l_returnflag) AS topic_code, l_returnflag AS title FROM lineitem")
+@query(
+    """SELECT DISTINCT l_returnflag AS discipline_name, 3 AS course_number, 'AUTO_' || md5(l_returnflag) AS topic_code, l_returnflag AS title, lower(l_returnflag) AS keywords
+FROM lineitem"""
+)
 def auto_topics(t: Tables):
-    return imports.auto_topics(imports.exam_results(imports.named(_raw(t))))
+    rows = imports.exam_results(imports.named(_raw(t))).withColumn("seq", F.lit(0))
+    return imports.auto_topics(rows.where("is_kept")).drop("seq")
 
 
 @query(
@@ -280,6 +323,29 @@ def import_details(t: Tables):
     return imports.evaluation_details(rows, known).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH sent AS (SELECT 1 AS file, event_id, user_id, event_type, value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 2, event_id, user_id, event_type, value FROM events WHERE event_id % 3 = 0),
+judged AS (SELECT *, CASE WHEN value < 0 OR value > 100 THEN 'skipped' WHEN event_type = 'error' THEN 'invalid' ELSE 'inserted' END AS outcome FROM sent)
+SELECT 'evaluation' AS target, user_id || '' AS a, (ascii(event_type) * 1000 + length(event_type)) || '' AS b, max_by(value, file * 1000000000000 + event_id) AS score FROM judged
+WHERE outcome = 'inserted' GROUP BY 2, 3
+UNION ALL SELECT 'count ' || file, outcome, NULL, count(*) FROM judged GROUP BY file, outcome
+UNION ALL SELECT 'log', file || '.csv', count(*) || '', count(*) FILTER (WHERE outcome = 'inserted') FROM judged GROUP BY file"""
+)
+def import_evaluations(t: Tables):
+    """Two imports of evaluations, the second over the first: the table, the observed counters and the log."""
+    tables = Store(t.spark, store.shared_path(t.spark, "evaluations"), imports.EVALUATION_TABLES)
+    rows = t.read("events").select(
+        F.col("user_id").cast("string").alias("work_id"), (F.ascii("event_type") * 1000 + F.length("event_type")).cast("string").alias("criteria_id"),
+        F.col("value").cast("string").alias("score"), "event_id",
+    )
+    known = t.criteria().where("name <> 'error'")
+    counts = [imports.import_evaluations(tables, rows.where(f"event_id % {k + 1} = 0"), known, f"{k}.csv", "event_id") for k in (1, 2)]
+    counters = [(f"count {k}", name, None, float(n)) for k, c in enumerate(counts, 1) for name, n in c.items() if name != "total" and n]
+    log = tables.read("log").select(F.lit("log"), "source_filename", F.col("rows_total").cast("string"), F.col("rows_imported").cast("double"))
+    out = tables.read("evaluations").select(F.lit("evaluation").alias("target"), F.col("work_id").alias("a"), F.col("criteria_id").cast("string").alias("b"), "score")
+    return out.union(t.spark.createDataFrame(counters, out.schema)).union(log)
+
+
 @query(
     """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'invalid' WHEN doc_id % 5 = 0 THEN 'decode_error' ELSE 'inserted' END AS outcome,
   CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN NULL ELSE text END AS answer_text FROM documents"""

@@ -127,6 +127,13 @@ def columns_of(cells: DataFrame, names: list[str]) -> DataFrame:
     return cells.select("path", "row", *(F.col("cells").getItem(n).alias(n) for n in names))
 
 
+def read_spreadsheet(spark: SparkSession, path: str) -> DataFrame:
+    """``row`` and a column for each name in the header of one .xlsx or .ods file."""
+    cells = read_spreadsheets(spark, path)
+    names = [r.name for r in cells.where("row = 1").select(F.explode(F.map_keys("cells")).alias("name")).collect()]
+    return cells.select("row", *(F.col("cells").getItem(n).alias(n) for n in names))
+
+
 def _markup(xml: str, breaks: str, tabs: str) -> str:
     text = re.sub(breaks, "\n", re.sub(tabs, "\t", xml))
     return html.unescape(re.sub(r"<[^>]+>", "", text)).strip()
