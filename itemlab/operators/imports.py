@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import read_delimited, read_spreadsheet
 from .commits import Commit, Store
+from .ranks import numbered
 from .store import upsert
 
 #: Header names of the columns of exam results, in order of preference (fixed values).
@@ -308,7 +309,4 @@ def import_answers(tables: Store, rows: DataFrame, filename: str, order: str) ->
 
 def by_position(left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str], within: list[str]) -> DataFrame:
     """The n-th row of left with the n-th of right in each group; what is left over has no partner and goes."""
-    from pyspark.sql import Window
-
-    number_ = lambda df, order: df.withColumn("position", F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
-    return number_(left, left_order).join(number_(right, right_order), [*within, "position"])
+    return numbered(left, within, left_order).join(numbered(right, within, right_order), [*within, "position"])

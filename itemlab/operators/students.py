@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..coefficients import DEFAULT, Coefficients
 from ..functions.stats import rounded
+from .ranks import exact_median
+from .store import settled
 
 STUDENT = ["import_id", "student_id"]
 
@@ -25,9 +27,8 @@ def _per_student(facts: DataFrame) -> DataFrame:
 
 def student_risk(facts: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
     """Systemic risk: a low mean and a total under the import's median; spot risk: a single low item."""
-    rows = _per_student(facts)
-    medians = rows.groupBy("import_id").agg(F.median("total").alias("median"))
-    rows = rows.join(medians, "import_id")
+    rows = settled(_per_student(facts))
+    rows = rows.join(exact_median(rows, "import_id", "total"), "import_id")
     mean = F.col("mean")
     systemic = (mean < c.systemic_average) & (F.col("total") < F.col("median"))
     spot = (F.col("least") < c.spot_minimum) & (mean > max(c.systemic_average + 15, 60))
