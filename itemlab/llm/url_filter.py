@@ -1,8 +1,8 @@
 """URL filters: listed rules first, then the reputation of hosts.
 
 A host's share of bad pages is learned from labelled ones. Few labels say little, so the share is
-shrunk towards that of the registered domain, this towards its suffix's, and this towards all
-pages': at each level the prior is a beta distribution around the level above, whose strength is
+shrunk towards that of the rest of its registered domain, this towards that of the rest of its
+suffix, and this towards that of all other pages: at each level the prior is a beta distribution around the level above, whose strength is
 fitted to how much the shares differ at that level. A host is blocked if the lower bound of its
 posterior share is above what is allowed.
 """
@@ -87,7 +87,7 @@ def _strength(children: DataFrame, parent: str) -> float:
 def reputations(hosts: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     """hosts (``host, n, bad``: labelled pages, bad ones) with ``mean`` and ``bound`` of the posterior share of bad pages.
 
-    Hosts of no label have their domain's prior. Without any label at all mean and bound are null.
+    Hosts of no label have the prior, of their domain. Without any label at all mean and bound are null.
     """
     hosts = with_domains(hosts)
     labelled = hosts.where(F.col("n") > 0)
@@ -99,16 +99,19 @@ def reputations(hosts: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     s_suffix = _strength(suffixes.withColumn("all", F.lit(1)), "all")
     s_domain, s_host = _strength(domains, "suffix"), _strength(labelled, "domain")
 
-    shrunk = lambda prior, s: (F.col("bad") + F.lit(s) * prior) / (F.col("n") + F.lit(s))
-    share = F.lit(total[1] / total[0])
-    suffixes = suffixes.select("suffix", shrunk(share, s_suffix).alias("of_suffix"))
-    domains = domains.join(suffixes, "suffix").select("suffix", "domain", shrunk(F.col("of_suffix"), s_domain).alias("of_domain"))
-    out = hosts.join(domains, ["suffix", "domain"], "left").join(suffixes, "suffix", "left")
-    prior = F.coalesce("of_domain", "of_suffix", share)
+    # what is above a level without the level's own pages, so that none of them counts twice
+    shrunk = lambda bad, n, s, prior: (bad + F.lit(s) * prior) / (n + F.lit(s))
+    n, bad = F.lit(total[0]), F.lit(total[1])
+    others = F.when(n > F.col("s_n"), (bad - F.col("s_bad")) / F.nullif(n - F.col("s_n"), F.lit(0))).otherwise(bad / n)
+    suffixes = suffixes.select("suffix", F.col("n").alias("s_n"), F.col("bad").alias("s_bad")).withColumn("others", others)
+    domains = domains.select("suffix", "domain", F.col("n").alias("d_n"), F.col("bad").alias("d_bad"))
+    out = hosts.join(domains, ["suffix", "domain"], "left").join(suffixes, "suffix", "left").na.fill(0, ["d_n", "d_bad", "s_n", "s_bad"])
+    of_suffix = shrunk(F.col("s_bad") - F.col("d_bad"), F.col("s_n") - F.col("d_n"), s_suffix, F.coalesce("others", bad / n))
+    prior = shrunk(F.col("d_bad") - F.col("bad"), F.col("d_n") - F.col("n"), s_domain, of_suffix)
     a, size = F.col("bad") + F.lit(s_host) * prior, F.col("n") + F.lit(s_host)
     mean = a / size
     bound = mean - F.lit(deviations) * F.sqrt(mean * (1 - mean) / (size + 1))
-    return out.withColumns({"mean": mean, "bound": bound}).drop("of_domain", "of_suffix")
+    return out.withColumns({"mean": mean, "bound": bound}).drop("d_n", "d_bad", "s_n", "s_bad", "others")
 
 
 def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -217,13 +220,15 @@ WITH rules(rule_host, start, verdict) AS (VALUES {_RULE_ROWS}
 ), labelled AS (SELECT * FROM named WHERE n > 0
 ), domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM labelled GROUP BY ALL
 ), suffixes AS (SELECT suffix, 1 AS one, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix
-), share AS (SELECT sum(bad) / sum(n) AS share FROM suffixes
+), share AS (SELECT sum(n) AS all_n, sum(bad) AS all_bad FROM suffixes
 ), {_strength_sql("s_suffix", "suffixes", "one")}, {_strength_sql("s_domain", "domains", "suffix")}, {_strength_sql("s_host", "labelled", "domain")}
-, of_suffix AS (SELECT suffix, (bad + s * share) / (n + s) AS mean FROM suffixes, share, s_suffix
-), of_domain AS (SELECT d.suffix, domain, (bad + s * o.mean) / (n + s) AS mean FROM domains d JOIN of_suffix o ON d.suffix = o.suffix, s_domain
-), means AS (
-  SELECT host, n + s AS size, (h.bad + s * coalesce(d.mean, x.mean, share)) / (n + s) AS mean
-  FROM named h LEFT JOIN of_domain d ON h.suffix = d.suffix AND h.domain = d.domain LEFT JOIN of_suffix x ON h.suffix = x.suffix, share, s_host
+, joined AS (
+  SELECT h.host, h.n, h.bad, coalesce(d.n, 0) AS d_n, coalesce(d.bad, 0) AS d_bad, coalesce(x.n, 0) AS s_n, coalesce(x.bad, 0) AS s_bad, all_n, all_bad
+  FROM named h LEFT JOIN domains d ON h.suffix = d.suffix AND h.domain = d.domain LEFT JOIN suffixes x ON h.suffix = x.suffix, share
+), of_suffix AS (
+  SELECT j.*, (s_bad - d_bad + s * CASE WHEN all_n > s_n THEN (all_bad - s_bad) / (all_n - s_n) ELSE all_bad / all_n END) / (s_n - d_n + s) AS suffix_mean FROM joined j, s_suffix
+), of_domain AS (SELECT o.*, (d_bad - bad + s * suffix_mean) / (d_n - n + s) AS prior FROM of_suffix o, s_domain
+), means AS (SELECT host, n + s AS size, (bad + s * prior) / (n + s) AS mean FROM of_domain, s_host
 ), method AS (
   SELECT host, CASE WHEN mean - {DEVIATIONS} * sqrt(mean * (1 - mean) / (size + 1)) > {MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict FROM means
 ), fits AS (
