@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a topic (fixed values).
@@ -44,12 +45,12 @@ def tfidf(docs: DataFrame) -> DataFrame:
     """
     counts = docs.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n"))
-    df = counts.groupBy("token").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     df = df.crossJoin(F.broadcast(n))  # one row
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
     rows = counts.join(df.select("token", "df", idf.alias("idf")), "token").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.join(norms, "id").select("id", "token", (F.col("w") / F.col("norm")).alias("weight"), "df")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return rows.select("id", "token", (F.col("w") / norm).alias("weight"), "df")
 
 
 def normalised(text: str | None) -> str:
@@ -74,27 +75,37 @@ def similar_text(a: Column, b: Column) -> Column:
     return F.arrow_udf(kernel, "double")(a, b)
 
 
-def similar_to(others: list[str], least: float):
-    """For mapInArrow over ``text``: the text, each of others at least so similar to it in percent, and how similar."""
-    import numpy as np
-
-    def counts(texts: list[str]) -> np.ndarray:
-        raw = (np.frombuffer(normalised(x).encode("utf-8", "replace"), np.uint8) for x in texts)
-        return np.array([np.bincount(x, minlength=256) for x in raw], np.int64).reshape(-1, 256)
-
-    def run(batches):
-        own = counts(others)
-        sizes = own.sum(1)
-        for batch in batches:
-            out: list[tuple] = []
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            for text, have in zip(texts, counts(texts), strict=True):
-                bound = 200 * np.minimum(own, have).sum(1) / np.maximum(1, sizes + have.sum())
-                near = ((text, others[k], _similar(text, others[k])) for k in np.flatnonzero(bound >= least - 0.06))
-                out += [x for x in near if x[2] >= least]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))],
-                ["question_text", "rejected_text", "similarity"],
-            )
-
-    return run
+def common_subsequence(a: bytes, b: bytes) -> int:
+    """Length of the longest common subsequence, a bit of one number for each byte of a."""
+    places: dict[int, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | (1 << k)
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+def byte_counts(texts: list[bytes]) -> np.ndarray:
+    return np.array([np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in texts], np.int64).reshape(-1, 256)
+
+
+def similar_among(left: list[str], right: list[str], least: float):
+    """``k, m, similarity`` of the pairs of left and right at least so similar in percent.
+
+    What matches is a common subsequence and no more than the bytes both have; pairs whose bound is under least are spared the
+    comparison, first by counts of bytes, then by the subsequence.
+    """
+    x, y = ([normalised(t).encode("utf-8", "replace") for t in texts] for texts in (left, right))
+    a, b = byte_counts(x), byte_counts(y)
+    sizes = b.sum(1)
+    for k in range(len(x)):
+        bound = 200 * np.minimum(a[k], b).sum(1) / np.maximum(1, a[k].sum() + sizes)
+        for m in np.flatnonzero(bound >= least - 0.06):
+            if not x[k] or not y[m] or 200 * common_subsequence(x[k], y[m]) / (len(x[k]) + len(y[m])) < least - 0.06:
+                continue
+            s = _similar(left[k], right[m])
+            if s >= least:
+                yield k, int(m), s

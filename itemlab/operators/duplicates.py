@@ -2,80 +2,160 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..coefficients import DEFAULT, Coefficients
 from ..functions.stats import rounded
-from ..functions.text import STOP_WORDS, preview, similar_to, tfidf, tokens
+from ..functions.text import STOP_WORDS, preview, similar_among, tfidf, tokens
 from ..functions.vectors import cosine
 from .store import settled
 
 
-def text_classes(texts: DataFrame) -> DataFrame:
-    """``id, class_id`` of ``id, text``: texts with the same tokens are of one class, named by its least id."""
-    key = F.array_join(F.sort_array(tokens(F.col("text"), 2, STOP_WORDS)), " ")
-    rows = texts.select("id", F.sha2(key, 256).alias("key"))
+def _counted(lists: pa.Array) -> pa.Array:
+    """Each list of tokens as a list of ``token, tf``, every token once."""
+    begins = lists.offsets.to_numpy()
+    values = lists.values.to_numpy(zero_copy_only=False)
+    found = [np.unique(values[a:b], return_counts=True) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    ends = np.cumsum([0, *(len(t) for t, _ in found)]).astype(np.int32)
+    columns = [np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in (0, 1)]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(c) for c in columns], ["token", "tf"]))
+
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    """``id, terms, key`` of ``id, text``, made once by all tasks: a file's one row group would be one task's work.
+
+    terms are the distinct tokens with their counts. Tokens are told apart by 64 bits, keys by 256.
+    """
+    rows = texts.select("id", "text").repartition(F.xxhash64("id")).select("id", tokens(F.col("text"), 2, STOP_WORDS).alias("words"))
+    key = F.sha2(F.array_join(F.sort_array("words"), " "), 256)
+    terms = F.arrow_udf(_counted, "array<struct<token: bigint, tf: bigint>>")(F.transform("words", lambda w: F.xxhash64(w)))
+    return settled(rows.select("id", terms.alias("terms"), key.alias("key")))
+
+
+def _rests(vectors: pa.Array) -> pa.Array:
+    """Lists of ``df, token, w`` as unit vectors ``token, weight, rest``, the rarest token first.
+
+    rest is the length of what follows, the token included.
+    """
+    begins = vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+    flat = vectors.flatten()
+    df, token, w = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("df", "token", "w"))
+    owner = np.repeat(np.arange(len(vectors)), np.diff(begins))
+    order = np.lexsort((token, df, owner))
+    token, w = token[order], w[order].copy()
+    rest = np.empty(len(w))
+    for a, b in zip(begins[:-1], begins[1:], strict=True):
+        w[a:b] /= np.sqrt((w[a:b] * w[a:b]).sum())
+        rest[a:b] = np.sqrt(np.cumsum((w[a:b] * w[a:b])[::-1])[::-1])
+    return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.StructArray.from_arrays([pa.array(token), pa.array(w), pa.array(rest)], ["token", "weight", "rest"]))
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    """``id, v``: the tf-idf vector of each row ``id, terms`` as an array ``token, weight, rest``, the rarest token first."""
+    n = rows.agg(F.count("*").alias("n"))
+    df = rows.select(F.explode("terms.token").alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    parts = rows.select("id", F.inline("terms")).join(df.select("token", "df", idf.alias("idf")), "token")
+    whole = parts.groupBy("id").agg(F.collect_list(F.struct("df", "token", (F.col("tf") * F.col("idf")).alias("w"))).alias("v"))
+    return settled(whole.select("id", F.arrow_udf(_rests, "array<struct<token: bigint, weight: double, rest: double>>")("v").alias("v")))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
     least = rows.groupBy("key").agg(F.min("id").alias("class_id"))
-    rows = rows.join(least, "key")
+    rows = rows.select("id", "key").join(least, "key")
     empty = F.col("key") == F.sha2(F.lit(""), 256)
     return rows.select("id", F.when(empty, F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
+def text_classes(texts: DataFrame) -> DataFrame:
+    """``id, class_id`` of ``id, text``: texts with the same tokens are of one class, named by its least id."""
+    return _classes(_keyed(texts))
+
+
 #: What two prefixes must have in common of a cosine above the threshold; their rests give less than what is missing.
 GAIN = 0.05
+#: Postings of a token that meet in one task; those of more frequent tokens are met block against block.
+POSTINGS = 2048
 
 
 def similar_texts(texts: DataFrame, threshold: float = DEFAULT.duplicate) -> tuple[DataFrame, DataFrame]:
     """Pairs ``id_a, id_b, similarity`` of classes with a tf-idf cosine above threshold, and ``id, class_id``."""
-    classes = settled(text_classes(texts))
+    rows = _keyed(texts)
+    classes = settled(_classes(rows))
     heads = classes.where(F.col("id") == F.col("class_id")).select("id")
-    docs = texts.join(heads, "id").select("id", tokens(F.col("text"), 2, STOP_WORDS).alias("tokens"))
-    weights = settled(tfidf(docs))
-    prefix = settled(_prefixes(weights, threshold))
-    found = _cosines(_candidates(prefix, prefix), weights).where(F.col("s") > threshold)
+    vectors = _vectors(rows.join(heads, "id", "left_semi"))
+    prefix = settled(_prefixes(vectors, threshold))
+    found = _cosines(settled(_candidates(prefix, prefix, threshold)), vectors).where(F.col("s") > threshold)
     return found.select("id_a", "id_b", rounded(F.col("s"), 3).alias("similarity")), classes
 
 
-def _prefixes(weights: DataFrame, threshold: float) -> DataFrame:
-    """The rarest tokens of each vector, behind which the rest of it is shorter than threshold - GAIN.
+def _prefixes(vectors: DataFrame, threshold: float) -> DataFrame:
+    """``id, token, weight, rest``: the rarest tokens of each vector, down to a rest of threshold - GAIN.
 
     With tokens in one order for all, no token behind the end of the shorter of two prefixes adds to
     the dot product more than that rest's length; so the prefixes themselves must give GAIN at least.
     """
-    order = Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order), F.lit(0.0))
-    rest = max(0.0, threshold - GAIN)
-    return weights.withColumn("before", before).where(1 - F.col("before") >= rest * rest - 1e-9).select("id", "token", "weight")
+    least = max(0.0, threshold - GAIN) - 1e-9
+    return vectors.select("id", F.inline(F.filter("v", lambda x: x["rest"] >= least)))
+
 
+def _blocks(postings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Postings in pairs of blocks ``i <= j`` of their token, so that any two of a token meet."""
+    rows = postings.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.select("id", "token", "weight", "rest", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-def _candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``id_a, id_b`` of prefixes that have enough in common."""
-    a = left.select(F.col("id").alias("id_a"), "token", F.col("weight").alias("wa"))
-    b = right.select(F.col("id").alias("id_b"), "token", F.col("weight").alias("wb"))
-    pairs = a.join(b, "token").where("id_a < id_b" if left is right else "id_a <> id_b")
-    shared = pairs.groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
-    return shared.where(F.col("s") >= GAIN - 1e-9).select("id_a", "id_b")
 
+def _candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """``id_a, id_b`` of the vectors whose prefixes allow a cosine above the threshold.
 
-def _cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``id_a, id_b, s``: the dot products of these pairs of vectors; no row without a token in common."""
-    left = pairs.join(weights.select(F.col("id").alias("id_a"), "token", F.col("weight").alias("wa")), "id_a")
-    both = left.join(weights.select(F.col("id").alias("id_b"), "token", F.col("weight").alias("wb")), ["id_b", "token"])
-    return both.groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))
+    Two bounds must hold. All that two vectors share follows the first token they share, so the lengths of what
+    follows it in both give a product of the threshold at least. And their prefixes share GAIN. The tokens of one
+    vector only are no index entries; those of very many are met in blocks, a pair of blocks at a time.
+    """
+    same = left is right
+    both = left if same else left.unionByName(right)
+    count = both.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = count.select("token", F.ceil(F.col("n") / POSTINGS).cast("int").alias("parts"))
+    left = settled(_blocks(left, sizes))
+    right = left if same else settled(_blocks(right, sizes))
+    a = left.select("token", "i", "j", F.col("id").alias("id_a"), F.col("weight").alias("wa"), F.col("rest").alias("ra"), F.col("own").alias("oa"))
+    b = right.select("token", "i", "j", F.col("id").alias("id_b"), F.col("weight").alias("wb"), F.col("rest").alias("rb"), F.col("own").alias("ob"))
+    apart = (F.col("oa") != F.col("ob")) | (F.col("i") == F.col("j"))  # a block meets itself once
+    pairs = a.join(b, ["token", "i", "j"]).where(apart & (F.col("id_a") < F.col("id_b") if same else F.col("id_a") != F.col("id_b")))
+    shared = pairs.groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.max(F.col("ra") * F.col("rb")).alias("reach"))
+    return shared.where((F.col("s") >= GAIN - 1e-9) & (F.col("reach") >= threshold - 1e-9)).select("id_a", "id_b")
+
+
+def _dot(x: pa.Array, y: pa.Array) -> pa.Array:
+    """Dot products of sparse vectors, lists of ``token, weight, rest``."""
+    out = np.zeros(len(x))
+    (tx, wx, bx), (ty, wy, by) = ((v.flatten().field("token").to_numpy(zero_copy_only=False), v.flatten().field("weight").to_numpy(), v.offsets.to_numpy() - v.offsets[0].as_py()) for v in (x, y))
+    for k in range(len(x)):
+        a, b = slice(bx[k], bx[k + 1]), slice(by[k], by[k + 1])
+        _, i, j = np.intersect1d(tx[a], ty[b], assume_unique=True, return_indices=True)
+        out[k] = wx[a][i] @ wy[b][j]
+    return pa.array(out)
+
+
+def _cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``id_a, id_b, s``: the dot products of these pairs of vectors."""
+    both = pairs.join(vectors.select(F.col("id").alias("id_a"), F.col("v").alias("va")), "id_a").join(vectors.select(F.col("id").alias("id_b"), F.col("v").alias("vb")), "id_b")
+    return both.select("id_a", "id_b", F.arrow_udf(_dot, "double")("va", "vb").alias("s"))
 
 
 def rejected_before(questions: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
     """Questions that resemble rejected ones by tf-idf (``question_id, question_text, is_rejected, rejection_reason``)."""
-    docs = questions.where(F.col("question_text").isNotNull()).select(
-        F.col("question_id").alias("id"), tokens(F.col("question_text"), 2, STOP_WORDS).alias("tokens")
-    )
-    weights = settled(tfidf(docs))
-    side = settled(_prefixes(weights, c.rejected_duplicate).join(questions.select(F.col("question_id").alias("id"), "is_rejected"), "id"))
-    pairs = _candidates(side.where("is_rejected"), side.where("NOT is_rejected"))
-    found = _cosines(pairs, weights).where(F.col("s") > c.rejected_duplicate)
+    docs = questions.where(F.col("question_text").isNotNull()).select(F.col("question_id").alias("id"), F.col("question_text").alias("text"))
+    vectors = _vectors(_keyed(docs))
+    side = settled(_prefixes(vectors, c.rejected_duplicate).join(questions.select(F.col("question_id").alias("id"), "is_rejected"), "id"))
+    pairs = settled(_candidates(side.where("is_rejected").drop("is_rejected"), side.where("NOT is_rejected").drop("is_rejected"), c.rejected_duplicate))
+    found = _cosines(pairs, vectors).where(F.col("s") > c.rejected_duplicate)
     reasons = questions.select(F.col("question_id").alias("id_a"), "rejection_reason")
     return found.join(reasons, "id_a").select(
         F.col("id_a").alias("rejected_question_id"), F.col("id_b").alias("current_question_id"), F.col("rejection_reason").alias("rejected_reason"),
@@ -83,27 +163,53 @@ def rejected_before(questions: DataFrame, c: Coefficients = DEFAULT) -> DataFram
     )
 
 
-#: Characters of rejected texts that are held against all questions at once; more are taken in blocks.
-BLOCK_CHARS = 4_000_000
+#: Texts of either side that meet in one task.
+TEXTS = 512
 
 
-def rejected_similarity(questions: DataFrame, rejected: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
-    """Questions that resemble rejected ones, by matching bytes in percent.
+def _banded(texts: DataFrame, ratio: float, also_near: bool) -> DataFrame:
+    """``text, band, block``: bands of lengths, whose bounds grow by ratio; also_near: in the bands beside the own one, too."""
+    size = F.octet_length(F.encode("text", "UTF-8"))
+    band = F.floor(F.log(F.greatest(size, F.lit(1))) / math.log(ratio)).cast("int")
+    return texts.withColumn("band", F.explode(F.array(*(band + k for k in ((-1, 0, 1) if also_near else (0,))))))
+
+
+def _dealt(texts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The texts of each band in blocks of TEXTS or so."""
+    sizes = texts.groupBy("band").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias(f"n_{name}"))
+    return texts.join(sizes, "band").withColumn(name, F.pmod(F.xxhash64("text"), f"n_{name}").cast("int")), sizes
+
 
-    The rejected texts are a list that people write; it is held against the distinct questions in
-    blocks. No pair matches more bytes than their counts of each byte have in common, which spares
-    the comparison of most.
+def similar_by_bytes(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``left_text, right_text, similarity`` of the texts (``text``, distinct, not null) at least so similar in percent.
+
+    No more can match than the shorter text has, so lengths of a pair differ by a bounded ratio: texts meet those of their own and
+    the neighbouring bands of lengths, a block of one side and a block of the other in a task, and nothing passes through the driver.
     """
-    left = questions.select("question_text").distinct()
-    right = rejected.where(F.col("rejected_text").isNotNull()).select("rejected_text").distinct()
-    size = right.agg(F.sum(F.length("rejected_text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_CHARS))
-    parts = []
-    for k in range(blocks):
-        block = right.where(F.pmod(F.xxhash64("rejected_text"), F.lit(blocks)) == k) if blocks > 1 else right
-        texts = [r.rejected_text for r in block.collect()]  # a block of bounded size
-        parts.append(left.mapInArrow(similar_to(texts, c.similar_row), "question_text string, rejected_text string, similarity double"))
-    pairs = reduce(DataFrame.union, parts)
+    # 200 * shorter / (shorter + longer) >= least, with room for rounding and for letters whose cases differ in length
+    ratio = (200 - (least - 1)) / (least - 1)
+    plain = lambda t: t.select("text", F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " "))).alias("plain")).withColumnsRenamed({"text": "own", "plain": "text"})
+    a, n_a = _dealt(_banded(plain(left), ratio, False), "i")
+    b, n_b = _dealt(_banded(plain(right), ratio, True), "j")
+    a = a.join(n_b, "band").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_j") - 1)))
+    b = b.join(n_a, "band").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = x.column("own").to_pylist(), y.column("own").to_pylist()
+        found = list(similar_among(x, y, least))
+        columns = [[x[k] for k, _, _ in found], [y[m] for _, m, _ in found], [s for _, _, s in found]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)], ["left_text", "right_text", "similarity"])
+
+    keys = ["band", "i", "j"]
+    met = a.select(*keys, "own").groupBy(*keys).cogroup(b.select(*keys, "own").groupBy(*keys))
+    return met.applyInArrow(compare, "left_text string, right_text string, similarity double")
+
+
+def rejected_similarity(questions: DataFrame, rejected: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
+    """Questions that resemble rejected ones, by matching bytes in percent."""
+    distinct = lambda rows, name: rows.where(F.col(name).isNotNull()).select(F.col(name).alias("text")).distinct()
+    pairs = similar_by_bytes(distinct(questions, "question_text"), distinct(rejected, "rejected_text"), c.similar_row)
+    pairs = pairs.withColumnsRenamed({"left_text": "question_text", "right_text": "rejected_text"})
     pairs = pairs.join(questions.select("question_id", "question_text"), "question_text")
     pairs = pairs.join(rejected.select("rejected_id", "rejected_text"), "rejected_text")
     alert = F.when(F.col("similarity") >= c.similar_alert, "high").otherwise("medium")

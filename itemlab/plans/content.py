@@ -11,7 +11,7 @@ from ..adapters import Tables, with_tables
 from ..functions import text as texts
 from ..functions import vectors
 from ..operators import alignment as aligned
-from ..operators import dashboards, duplicates, items, rules
+from ..operators import dashboards, duplicates, items, rules, store
 from ..operators import search as searching
 from .exam import LEVEL, MEANS, METRICS, PER_STUDENT, QUALITY, RISK, TOTAL, index_sql, r
 
@@ -209,6 +209,20 @@ def vector_topk(t: Tables):
     return found.withColumn("similarity", rounded(F.col("similarity"), 4))
 
 
+@query(
+    f"""SELECT b.vec_id AS id, {r(PAIR, 4)} AS similarity FROM (SELECT embedding FROM embeddings WHERE vec_id = 7) a, embeddings b
+ORDER BY {PAIR} DESC, b.vec_id LIMIT 25"""
+)
+def vector_index(t: Tables):
+    """The vectors nearest to one of them, by an index whose cells are pruned."""
+    from ..functions.stats import rounded
+
+    rows = t.read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    query_vector = [float(x) for x in rows.where("id = 7").first().vector]
+    found = vectors.VectorIndex(rows, store.shared_path(t.spark, "vectors")).nearest(query_vector, 25)
+    return found.select("id", rounded(F.col("similarity"), 4).alias("similarity"))
+
+
 SAME = f"""keyed AS (SELECT doc_id AS id, array_to_string(list_sort({tokens_sql('text', 2, True)}), ' ') AS k FROM documents)"""
 
 

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,7 +185,7 @@ def test_validation_issues(spark):
 
 
 def test_rejected_similarity_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(duplicates, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(duplicates, "TEXTS", 7)
     part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name", "p_type").collect()
     qs = [(r.p_partkey, f"{r.p_name} {r.p_type}") for r in part] + [(9001, None), (9002, ""), (9003, "Ж " * 9)]
     rejected = [(r.p_partkey, r.p_type) for r in part[:30]] + [(1, None), (2, "Ж ж"), (3, "")]
@@ -193,6 +196,64 @@ def test_rejected_similarity_against_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) < len(all_pairs)
 
 
+def test_cosine_join_in_blocks(spark, monkeypatch):
+    """A token of all texts, met in blocks, gives the pairs of all pairs."""
+    rng = random.Random(4)
+    texts = [(k, " ".join(["common", *rng.choices([f"word{j}" for j in range(12)], k=rng.randint(1, 8))])) for k in range(150)] + [(900, ""), (901, None), (902, "the of")]
+    df = spark.createDataFrame(texts, "id long, text string")
+
+    def pairs():
+        return sorted((r.id_a, r.id_b, r.similarity) for r in duplicates.similar_texts(df, 0.7)[0].collect())
+
+    plain = pairs()
+    monkeypatch.setattr(duplicates, "POSTINGS", 5)
+    assert pairs() == plain and len(plain) > 100
+    weights = {}
+    heads = {r.class_id for r in duplicates.text_classes(df).collect()}
+    docs = df.where(F.col("id").isin(list(heads))).select("id", text.tokens(F.col("text"), 2, text.STOP_WORDS).alias("tokens"))
+    for r in text.tfidf(docs).collect():
+        weights.setdefault(r.id, {})[r.token] = r.weight
+    dot = lambda a, b: sum(w * b.get(t, 0.0) for t, w in a.items())
+    want = {(a, b) for a in weights for b in weights if a < b and dot(weights[a], weights[b]) > 0.7}
+    assert {(a, b) for a, b, _ in plain} == want
+
+
+def clustered(n, centres=20, dim=16, width=0.02):
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(centres, dim))
+    return [(k, (middle[k % centres] + width * rng.normal(size=dim)).tolist()) for k in range(n)]
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_vector_pairs_are_pruned_and_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rows = clustered(600) + [(1000, [0.0] * 16), (1001, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    m = np.array([v for _, v in rows[:600]])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for threshold in (0.99, 0.5, 0.0):
+        got = sorted((r.id_a, r.id_b) for r in vectors.similar_pairs(df, threshold).collect())
+        assert got == [(a, b) for a, b in zip(*np.nonzero(np.triu(m @ m.T > threshold, 1)), strict=True)]
+    met = vectors.met(df.where("id < 1000"), 0.99).groupBy("cell", "i", "j").agg(F.count_if("guest").alias("g"), F.count_if(~F.col("guest")).alias("h"), F.count_if("own = j AND NOT guest").alias("b")).collect()
+    compared = sum(r.g * r.h if r.i < 0 else (r.h * r.h / 2 if r.i == r.j else (r.h - r.b) * r.b) for r in met)
+    assert compared < 0.3 * 600 * 599 / 2
+
+
+def test_vector_index_is_exact_and_skips_cells(spark, tmp_path):
+    rows = clustered(500) + [(1000, [0.0] * 16), (1001, None)]
+    index = vectors.VectorIndex(spark.createDataFrame(rows, "id long, vector array<double>"), str(tmp_path / "v"))
+    m = np.array([v for _, v in rows[:500]])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    for k, query in ((5, rows[3][1]), (60, rows[4][1]), (500, rows[0][1]), (700, rows[0][1]), (3, [1.0] + [0.0] * 15)):
+        s = m @ (np.array(query) / np.linalg.norm(query))
+        want = sorted(range(500), key=lambda x, s=s: (-s[x], x))[:k]
+        assert sorted(r.id for r in index.nearest(query, k).collect()) == sorted(want)
+    near = index.within(rows[3][1], 0.3)
+    read = index.rows().where(F.col("cell").isin(near)).count()
+    assert 25 <= read < 0.3 * 500
+    assert "PartitionFilters: [cell" in index.nearest(rows[3][1], 5)._jdf.queryExecution().executedPlan().toString().replace("isnotnull(", "").replace("#", " ") or len(near) < len(index.cells)
+
+
 def test_store_edges(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = spark.createDataFrame([(1, "a"), (2, None)], "import_id int, x string")
