@@ -28,6 +28,8 @@ class Coefficients:
     semantic_weight: float = 0.4
     alignment_low: float = 0.15
     alignment_medium: float = 0.4
+    coverage_medium: float = 0.33
+    coverage_high: float = 0.67
     validation_low: float = 0.3
     validation_high: float = 0.95
     validation_attempts: int = 5

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..coefficients import DEFAULT, Coefficients
 from ..functions.stats import percent_change, rounded
 from . import alignment, criteria, items, students
+from .store import settled
 
 
 def import_figures(facts: DataFrame) -> DataFrame:
@@ -102,6 +103,80 @@ def pass_fail(facts: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
     )
 
 
+def _facts_by(facts: DataFrame) -> DataFrame:
+    """``import_id, level, question_id, student_id, mean, least, students, n, passed``: of questions, students and imports, in one scan of the facts.
+
+    level is 1 for a question's row, 2 for a student's, 3 for an import's.
+    """
+    rows = facts.where(F.col("received_score").isNotNull())
+    passed = F.count_if(F.col("received_score") >= DEFAULT.pass_mark).alias("passed")
+    cells = rows.groupBy("import_id", "question_id", "student_id").agg(F.sum("received_score").alias("total"), F.min("received_score").alias("least"), F.count("*").alias("n"), passed)
+    levels = cells.groupingSets([["import_id", "question_id"], ["import_id", "student_id"], ["import_id"]], "import_id", "question_id", "student_id")
+    return levels.agg(
+        F.grouping_id("import_id", "question_id", "student_id").alias("level"), (F.sum("total") / F.sum("n")).alias("mean"),
+        F.min("least").alias("least"), F.count("student_id").alias("students"), F.sum("n").alias("n"), F.sum("passed").alias("passed"),
+    )
+
+
+def dashboard_charts(
+    facts: DataFrame, questions: DataFrame, validated: DataFrame, aligned: DataFrame, answers: DataFrame, works: DataFrame, c: Coefficients = DEFAULT
+) -> DataFrame:
+    """``import_id, chart, series, label, value``: the charts of each import with scores.
+
+    * ``quality``: questions that are easy, normal and hard; ``correlation``: attempts that pass and fail; ``studentRisk``:
+      students by their mean and lowest score; ``criteria``: shares of these in percent.
+    * ``validation``: by the cached status (validated: ``import_id, status, keyword_coverage``); where an import has
+      none cached, questions with few students or a mean near an end of their scale count as warnings.
+    * ``semantic``: by the cached level (aligned: ``import_id, alignment_level``), or else by bands of the cached coverage.
+    * ``plagiarism``: mean score and share of penalties by language, of the import's answers (by works) or, without any, of all.
+    """
+    by = settled(_facts_by(facts))
+    scale = questions.select("question_id", "max_score", F.lit(True).alias("known"))
+    of_questions = by.where("level = 1").join(scale, "question_id", "left")
+    top = F.when(F.col("max_score") != 0, F.col("max_score")).otherwise(c.default_maximum)
+    ratio = F.when(top > 0, F.col("mean") / top).otherwise(0.0)
+    kind = F.when(ratio >= c.easy, "easy").when(ratio <= c.hard, "hard").otherwise("normal")
+    limit = F.coalesce("max_score", F.lit(c.default_maximum))
+    doubtful = F.col("known") & ((F.col("students") < c.validation_attempts) | (F.col("mean") < limit * c.validation_low) | (F.col("mean") > limit * c.validation_high))
+    tally = lambda rows, label: rows.groupBy("import_id", label.alias("label")).agg(F.count("*").alias("n"))
+    quality = tally(of_questions, kind)
+    risk = F.when(F.col("mean") < c.systemic_average, "systemic").when(F.col("least") < c.spot_minimum, "spot").otherwise("ok")
+    students_ = tally(by.where("level = 2"), risk)
+    totals = by.where("level = 3")
+    passing = totals.select("import_id", F.inline(F.array(F.struct(F.lit("pass").alias("label"), F.col("passed").alias("n")), F.struct(F.lit("fail").alias("label"), (F.col("n") - F.col("passed")).alias("n")))))
+
+    cached = tally(validated, F.when(F.col("status") == "ok", "ok").otherwise("warning"))
+    judged = tally(of_questions, F.when(F.coalesce(doubtful, F.lit(False)), "warning").otherwise("ok"))
+    validation_ = cached.unionByName(judged.join(cached.select("import_id").distinct(), "import_id", "left_anti"))
+    levels = tally(aligned, F.col("alignment_level"))
+    cover = F.coalesce("keyword_coverage", F.lit(0.0))
+    bands = tally(validated, F.when(cover >= c.coverage_high, "high").when(cover >= c.coverage_medium, "medium").otherwise("low"))
+    semantic = levels.unionByName(bands.join(levels.select("import_id").distinct(), "import_id", "left_anti"))
+
+    everyone = totals.select("import_id")
+    full = lambda rows, labels: everyone.select("import_id", F.explode(F.array(*(F.lit(x) for x in labels))).alias("label")).join(rows, ["import_id", "label"], "left").fillna(0, ["n"])
+    parts = {"quality": full(quality, ["easy", "normal", "hard"]), "correlation": passing, "studentRisk": full(students_, ["ok", "systemic", "spot"]), "validation": full(validation_, ["ok", "warning"])}
+    shares = {"quality": None, "correlation": "pass", "studentRisk": "ok"}
+    whole = Window.partitionBy("import_id")  # a few labels each
+    share = F.coalesce(rounded(100 * F.col("n") / F.nullif(F.sum("n").over(whole), F.lit(0)), 1), F.lit(0.0)).alias("value")
+    of = []
+    for name, only in shares.items():
+        rows = parts[name].select("import_id", "label", share)
+        rows = rows.where(F.col("label") == only) if only else rows
+        of.append(rows.select("import_id", F.lit("criteria").alias("chart"), F.lit("percent").alias("series"), F.concat(F.lit(f"{name} "), "label").alias("label"), "value"))
+    counts = [rows.select("import_id", F.lit(name).alias("chart"), F.lit("count").alias("series"), "label", F.col("n").cast("double").alias("value")) for name, rows in {**parts, "semantic": semantic.join(everyone, "import_id", "left_semi").where(F.col("label").isin("high", "medium", "low"))}.items()]
+
+    told = answers.where(F.col("language").isNotNull())
+    figures = [F.count("*").alias("n"), rounded(F.avg("final_score"), 2).alias("score"), rounded(100 * F.count_if(F.col("plagiarism_penalty") > 0) / F.count("*"), 2).alias("plagiarism")]
+    own = told.drop("import_id").join(works.select("work_id", "import_id"), "work_id").groupBy("import_id", "language").agg(*figures)
+    without = everyone.join(own.select("import_id").distinct(), "import_id", "left_anti")
+    languages = own.join(everyone, "import_id", "left_semi").unionByName(without.crossJoin(told.groupBy("language").agg(*figures)))  # a row for each import and language
+    label = F.concat(F.upper(F.substring("language", 1, 1)), F.expr("substring(language, 2)"))
+    both = F.inline(F.array(F.struct(F.lit("score").alias("series"), F.col("score").alias("value")), F.struct(F.lit("plagiarism").alias("series"), F.col("plagiarism").alias("value"))))
+    spoken = languages.select("import_id", label.alias("label"), both).select("import_id", F.lit("plagiarism").alias("chart"), "series", "label", "value")
+    return reduce(DataFrame.unionByName, [*counts, *of, spoken])
+
+
 #: Texts that stand for a question's missing one.
 PLACEHOLDER = r"(?i)^\s*(question|вопрос)\s+[0-9]+\s*$"
 

@@ -305,3 +305,61 @@ def section_page(t: Tables):
     rows = rows.withColumn("badge", paging.badge(F.col("flag"), ["too_hard"], ["too_easy"]))
     rows = paging.with_badge(rows, ["badge"], "danger")
     return paging.page(paging.ordered(rows, ["import_id", "question_id"], ["difficulty_pct"], "difficulty_pct", True), 1)[0]
+
+
+#: Facts of which some rows have no score, question or student.
+GAPS = """gaps AS (SELECT import_id, CASE WHEN raw_id % 29 <> 0 THEN question_id END AS question_id, CASE WHEN raw_id % 23 <> 0 THEN student_id END AS student_id,
+  CASE WHEN raw_id % 17 <> 0 THEN received_score END AS received_score FROM facts)"""
+#: Cached results of the first import's questions, and of the second's levels; the third has none.
+CACHES = """validated AS (SELECT DISTINCT import_id, question_id, CASE question_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'warning' ELSE 'error' END AS status,
+  CASE WHEN question_id % 10 > 0 THEN question_id % 10 / 10.0::DOUBLE END AS keyword_coverage FROM facts WHERE import_id = 1),
+aligned AS (SELECT DISTINCT import_id, question_id, CASE question_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS alignment_level FROM facts WHERE import_id = 2)"""
+
+
+@query(
+    with_tables("facts", "questions", "answers", more=GAPS + ",\n" + CACHES)
+    + f""", scored AS (SELECT * FROM gaps WHERE received_score IS NOT NULL), ids AS (SELECT DISTINCT import_id FROM scored),
+of_question AS (SELECT s.import_id, s.question_id, avg(received_score) AS mean, count(DISTINCT student_id) AS students FROM scored s GROUP BY 1, 2),
+ratios AS (SELECT o.*, q.question_id IS NOT NULL AS known, max_score, mean / CASE WHEN max_score IS NULL OR max_score = 0 THEN 100 ELSE max_score END AS ratio
+  FROM of_question o LEFT JOIN questions q ON o.question_id = q.question_id),
+quality AS (SELECT import_id, CASE WHEN ratio >= 0.8 THEN 'easy' WHEN ratio <= 0.3 THEN 'hard' ELSE 'normal' END AS label, count(*) AS n FROM ratios GROUP BY 1, 2),
+passing AS (SELECT import_id, 'pass' AS label, count(*) FILTER (WHERE received_score >= 60) AS n FROM scored GROUP BY 1
+  UNION ALL SELECT import_id, 'fail', count(*) FILTER (WHERE received_score < 60) FROM scored GROUP BY 1),
+risks AS (SELECT import_id, CASE WHEN mean < 50 THEN 'systemic' WHEN least < 20 THEN 'spot' ELSE 'ok' END AS label, count(*) AS n
+  FROM (SELECT import_id, student_id, avg(received_score) AS mean, min(received_score) AS least FROM scored GROUP BY 1, 2) GROUP BY 1, 2),
+judged AS (SELECT import_id, CASE WHEN known AND (students < 5 OR mean < coalesce(max_score, 100) * 0.3 OR mean > coalesce(max_score, 100) * 0.95) THEN 'warning' ELSE 'ok' END AS label, count(*) AS n
+  FROM ratios WHERE import_id NOT IN (SELECT import_id FROM validated) GROUP BY 1, 2),
+valid AS (SELECT import_id, CASE WHEN status = 'ok' THEN 'ok' ELSE 'warning' END AS label, count(*) AS n FROM validated GROUP BY 1, 2 UNION ALL SELECT * FROM judged),
+levels AS (SELECT import_id, alignment_level AS label, count(*) AS n FROM aligned GROUP BY 1, 2
+  UNION ALL SELECT import_id, CASE WHEN coalesce(keyword_coverage, 0) >= 0.67 THEN 'high' WHEN coalesce(keyword_coverage, 0) >= 0.33 THEN 'medium' ELSE 'low' END, count(*)
+  FROM validated WHERE import_id NOT IN (SELECT import_id FROM aligned) GROUP BY 1, 2),
+counted AS (
+  SELECT import_id, 'quality' AS chart, label, coalesce(n, 0) AS n FROM (SELECT * FROM ids, (VALUES ('easy'), ('normal'), ('hard')) l(label)) LEFT JOIN quality USING (import_id, label)
+  UNION ALL SELECT import_id, 'correlation', label, n FROM passing
+  UNION ALL SELECT import_id, 'studentRisk', label, coalesce(n, 0) FROM (SELECT * FROM ids, (VALUES ('ok'), ('systemic'), ('spot')) l(label)) LEFT JOIN risks USING (import_id, label)
+  UNION ALL SELECT import_id, 'validation', label, coalesce(n, 0) FROM (SELECT * FROM ids, (VALUES ('ok'), ('warning')) l(label)) LEFT JOIN valid USING (import_id, label)
+  UNION ALL SELECT import_id, 'semantic', label, n FROM levels),
+shares AS (SELECT import_id, chart, label, {r('100.0::DOUBLE * n / sum(n) OVER (PARTITION BY import_id, chart)', 1)} AS value FROM counted),
+told AS (SELECT * FROM answers WHERE language IS NOT NULL),
+spoken AS (SELECT import_id, language, {r('avg(final_score)', 2)} AS score, {r('100.0::DOUBLE * count(*) FILTER (WHERE plagiarism_penalty > 0) / count(*)', 2)} AS copied
+  FROM told WHERE import_id <> 3 GROUP BY 1, 2
+  UNION ALL SELECT 3, language, {r('avg(final_score)', 2)}, {r('100.0::DOUBLE * count(*) FILTER (WHERE plagiarism_penalty > 0) / count(*)', 2)} FROM told GROUP BY 2)
+SELECT import_id, chart, 'count' AS series, label, n::DOUBLE AS value FROM counted
+UNION ALL SELECT import_id, 'criteria', 'percent', chart || ' ' || label, value FROM shares
+  WHERE chart = 'quality' OR (chart = 'correlation' AND label = 'pass') OR (chart = 'studentRisk' AND label = 'ok')
+UNION ALL SELECT import_id, 'plagiarism', 'score', upper(language[1]) || language[2:], score FROM spoken
+UNION ALL SELECT import_id, 'plagiarism', 'plagiarism', upper(language[1]) || language[2:], copied FROM spoken"""
+)
+def dashboard_charts(t: Tables):
+    """The charts of an import with cached validation, one with cached levels, and one without either or answers."""
+    facts = t.facts()
+    gap = lambda k, c: F.when(F.col("raw_id") % k != 0, F.col(c)).alias(c)
+    rows = facts.select("import_id", gap(29, "question_id"), gap(23, "student_id"), gap(17, "received_score"))
+    key = F.col("question_id")
+    cached = facts.select("import_id", "question_id").distinct()
+    status = F.when(key % 3 == 0, "ok").when(key % 3 == 1, "warning").otherwise("error").alias("status")
+    validated = cached.where("import_id = 1").select("import_id", status, F.when(key % 10 > 0, key % 10 / 10).alias("keyword_coverage"))
+    level = F.when(key % 4 == 0, "low").when(key % 4 == 1, "high").otherwise("medium").alias("alignment_level")
+    aligned_ = cached.where("import_id = 2").select("import_id", level)
+    answers = t.answers()
+    return dashboards.dashboard_charts(rows, t.questions(), validated, aligned_, answers, answers.select("work_id", "import_id").where("import_id <> 3"))
