@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..coefficients import DEFAULT, Coefficients
 from ..functions.stats import rounded
 from ..functions.text import STOP_WORDS, coverage, tfidf, tokens
+from ..functions.vectors import cosine
+from .store import settled
 
 
 def _attempts(facts: DataFrame) -> DataFrame:
@@ -58,7 +60,7 @@ def text_similarity(questions: DataFrame, topics: DataFrame, mode: str = "corpus
     linked = questions.join(topics.select("syllabus_topic_id"), "syllabus_topic_id").select("question_id", "syllabus_topic_id")
     docs = questions.select(F.concat(F.lit("q"), "question_id").alias("id"), of(F.col("question_text")).alias("tokens"))
     docs = docs.union(topics.select(F.concat(F.lit("t"), "syllabus_topic_id"), of(_topic_text())))
-    weights = tfidf(docs)
+    weights = settled(tfidf(docs))  # read for questions and for topics
     a = linked.join(weights.withColumnsRenamed({"weight": "wa"}), F.concat(F.lit("q"), "question_id") == F.col("id")).drop("id")
     b = weights.select(F.col("id").alias("topic"), "token", F.col("weight").alias("wb"))
     both = a.join(b, (F.concat(F.lit("t"), "syllabus_topic_id") == F.col("topic")) & (a["token"] == b["token"]))
@@ -66,6 +68,17 @@ def text_similarity(questions: DataFrame, topics: DataFrame, mode: str = "corpus
     return linked.join(dots, "question_id", "left").select("question_id", F.coalesce("dot", F.lit(0.0)).alias("similarity"))
 
 
+def semantic_similarity(questions: DataFrame, topics: DataFrame, of_questions: DataFrame, of_topics: DataFrame) -> DataFrame:
+    """``question_id, semantic``: cosine of the vectors of a question and its topic (``question_id, vector`` and ``syllabus_topic_id, vector``).
+
+    Questions without a topic, or of which either has no vector, have no row: for them there are no embeddings.
+    """
+    rows = questions.join(topics.select("syllabus_topic_id"), "syllabus_topic_id").select("question_id", "syllabus_topic_id")
+    rows = rows.join(of_questions.select("question_id", F.col("vector").alias("a")), "question_id")
+    rows = rows.join(of_topics.select("syllabus_topic_id", F.col("vector").alias("b")), "syllabus_topic_id")
+    return rows.select("question_id", cosine(F.col("a"), F.col("b")).alias("semantic")).where(F.col("semantic").isNotNull())
+
+
 def alignment(
     facts: DataFrame, questions: DataFrame, topics: DataFrame, semantic: DataFrame | None = None,
     c: Coefficients = DEFAULT, mode: str = "corpus",

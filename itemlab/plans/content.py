@@ -108,38 +108,51 @@ def alignment_base(t: Tables):
     return aligned.questions_for_analysis(t.facts(), t.questions(), t.topics())
 
 
-ALIGNED = f"""aligned AS (SELECT import_id, question_id, syllabus_topic_id, title, discipline_name, {r('similarity', 3)} AS text_similarity, 0.0::DOUBLE AS semantic_similarity,
-  {r('0.6::DOUBLE * similarity', 3)} AS combined_score, {r('mean', 2)} AS average_score, students AS student_attempts
-  FROM attempts JOIN questions USING (question_id) JOIN topics USING (syllabus_topic_id) JOIN similar_texts USING (question_id))"""
+PAIR = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
+#: The first vectors are those of questions and of topics; later questions have none.
+SEMANTIC = f"""semantic AS (SELECT question_id, {PAIR} AS semantic FROM questions JOIN topics USING (syllabus_topic_id)
+  JOIN embeddings a ON a.vec_id = question_id JOIN embeddings b ON b.vec_id = syllabus_topic_id)"""
+ALIGNED = f"""{SEMANTIC},
+aligned AS (SELECT import_id, question_id, syllabus_topic_id, title, discipline_name, {r('similarity', 3)} AS text_similarity, {r('coalesce(semantic, 0)', 3)} AS semantic_similarity,
+  {r('0.6::DOUBLE * similarity + 0.4::DOUBLE * coalesce(semantic, 0)', 3)} AS combined_score, {r('mean', 2)} AS average_score, students AS student_attempts, semantic
+  FROM attempts JOIN questions USING (question_id) JOIN topics USING (syllabus_topic_id) JOIN similar_texts USING (question_id) LEFT JOIN semantic USING (question_id))"""
+
+
+def _semantic(t: Tables) -> DataFrame:
+    of = lambda key: t.read("embeddings").select(F.col("vec_id").alias(key), F.col("embedding").alias("vector"))
+    return aligned.semantic_similarity(t.questions(), t.topics(), of("question_id"), of("syllabus_topic_id"))
 
 
 @query(
     with_tables("facts", "questions", "topics", more=",\n".join([ATTEMPTS, TFIDF, ALIGNED]))
-    + "SELECT *, CASE WHEN combined_score < 0.15 THEN 'low' WHEN combined_score < 0.4 THEN 'medium' ELSE 'high' END AS alignment_level FROM aligned"
+    + "SELECT * EXCLUDE (semantic), CASE WHEN combined_score < 0.15 THEN 'low' WHEN combined_score < 0.4 THEN 'medium' ELSE 'high' END AS alignment_level FROM aligned"
 )
 def syllabus_alignment(t: Tables):
-    return aligned.alignment(t.facts(), t.questions(), t.topics())
+    return aligned.alignment(t.facts(), t.questions(), t.topics(), _semantic(t))
 
 
 @query(
     with_tables("facts", "questions", "topics", more=",\n".join([ATTEMPTS, TFIDF, ALIGNED, COVERAGE]))
-    + f"""SELECT import_id, question_id, title, topic_code, keyword_coverage, {r('100 * combined_score', 1)} AS tfidf_score, 0.0::DOUBLE AS semantic_similarity,
-  {r('0.3::DOUBLE * keyword_coverage + 0.4::DOUBLE * 100 * combined_score', 1)} AS combined_score, {r('mean', 2)} AS avg_score, students AS attempts,
+    + f"""SELECT import_id, question_id, title, topic_code, keyword_coverage, {r('100 * combined_score', 1)} AS tfidf_score, {r('100 * coalesce(semantic, 0)', 1)} AS semantic_similarity,
+  {r('0.3::DOUBLE * keyword_coverage + 0.4::DOUBLE * 100 * combined_score + 0.3::DOUBLE * 100 * coalesce(semantic, 0)', 1)} AS combined_score, {r('mean', 2)} AS avg_score, students AS attempts,
   concat_ws(',', CASE WHEN mean < 0.3::DOUBLE * coalesce(max_score, 100) THEN 'LOW_AVG' END,
     CASE WHEN mean > 0.95::DOUBLE * coalesce(max_score, 100) THEN 'HIGH_AVG' END,
-    CASE WHEN students < 5 THEN 'FEW_ATTEMPTS' END, 'NO_EMBEDDINGS') AS issues, 'warning' AS status
+    CASE WHEN students < 5 THEN 'FEW_ATTEMPTS' END, CASE WHEN semantic IS NULL THEN 'NO_EMBEDDINGS' END) AS issues,
+  CASE WHEN semantic IS NOT NULL AND mean BETWEEN 0.3::DOUBLE * coalesce(max_score, 100) AND 0.95::DOUBLE * coalesce(max_score, 100) AND students >= 5 THEN 'ok' ELSE 'warning' END AS status
   FROM attempts JOIN questions USING (question_id) JOIN (SELECT syllabus_topic_id, topic_code FROM topics) USING (syllabus_topic_id)
   JOIN coverage USING (question_id) JOIN aligned USING (import_id, question_id)"""
 )
 def validation_overview(t: Tables):
-    return aligned.validation(t.facts(), t.questions(), t.topics())
+    return aligned.validation(t.facts(), t.questions(), t.topics(), _semantic(t))
 
 
 @query(
     with_tables("facts", "questions", "topics", "criteria", "details", "works", "answers",
         more=",\n".join([MEANS, QUALITY, TOTAL, PER_STUDENT, RISK, ATTEMPTS, TFIDF, ALIGNED]))
     + f"""SELECT section, flag, badge, count(*) AS n FROM (
-  SELECT 'validation' AS section, 'warning' AS flag, 'warning' AS badge FROM aligned
+  SELECT 'validation' AS section, flag, CASE flag WHEN 'ok' THEN 'success' ELSE 'warning' END AS badge FROM (SELECT CASE WHEN semantic IS NOT NULL
+    AND mean BETWEEN 0.3::DOUBLE * coalesce(max_score, 100) AND 0.95::DOUBLE * coalesce(max_score, 100) AND students >= 5 THEN 'ok' ELSE 'warning' END AS flag
+    FROM aligned JOIN attempts USING (import_id, question_id) JOIN questions USING (question_id))
   UNION ALL SELECT 'quality', flag, CASE flag WHEN 'normal' THEN 'success' WHEN 'too_easy' THEN 'warning' ELSE 'danger' END FROM quality
   UNION ALL SELECT 'correlation', CASE WHEN abs(r) < 0.12 THEN 'low_corr' ELSE 'ok' END, CASE WHEN abs(r) < 0.12 THEN 'warning' ELSE 'success' END FROM correlated
   UNION ALL SELECT 'students', pattern_type, CASE pattern_type WHEN 'ok' THEN 'success' WHEN 'systemic' THEN 'danger' ELSE 'warning' END FROM risk
@@ -152,7 +165,7 @@ def validation_overview(t: Tables):
 def section_badges(t: Tables):
     """Rows of all seven sections by flag and badge."""
     return dashboards.section_tallies(
-        dashboards.section_tables(t.facts(), t.questions(), t.topics(), t.details(), t.criteria(), t.works(), t.answers())
+        dashboards.section_tables(t.facts(), t.questions(), t.topics(), t.details(), t.criteria(), t.works(), t.answers(), _semantic(t))
     )
 
 
@@ -178,9 +191,6 @@ def rejected_similarity(t: Tables):
     return duplicates.rejected_similarity(t.questions(), rejected)
 
 
-PAIR = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
-
-
 @query(
     f"""SELECT a.vec_id AS id_a, b.vec_id AS id_b, {r(PAIR, 4)} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
 WHERE {PAIR} > 0.4"""
