@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import io
+import itertools
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -54,71 +55,107 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def xlsx_rows(content: bytes) -> list[list[str]]:
-    """Cells of the first sheet: shared strings, plain or in runs, inline strings, gaps by cell references."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
-            shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in root]
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        if not sheets:
-            return []
-        root = ElementTree.fromstring(z.read(sheets[0]))
-    out = []
-    for row in (e for e in root.iter() if _local(e.tag) == "row"):
-        cells: list[str] = []
-        for c in (e for e in row if _local(e.tag) == "c"):
-            at = column_index(c.get("r", "")) if c.get("r") else len(cells)
-            cells += [""] * (at + 1 - len(cells))
-            value = next((e.text or "" for e in c if _local(e.tag) == "v"), "")
-            if c.get("t") == "s" and value.isdigit() and int(value) < len(shared):
-                value = shared[int(value)]
-            elif c.get("t") == "inlineStr":
-                value = "".join(e.text or "" for e in c.iter() if _local(e.tag) == "t")
-            cells[at] = value.strip()
-        out.append(cells)
-    return out
-
-
-def ods_rows(content: bytes) -> list[list[str]]:
-    """Cells of the first table, repeated ones as often as they say."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ElementTree.fromstring(z.read("content.xml"))
-    tables = [e for e in root.iter() if _local(e.tag) == "table"]
-    out = []
-    for row in (e for e in (tables[0].iter() if tables else ()) if _local(e.tag) == "table-row"):
-        cells: list[str] = []
-        empty = 0  # cells since the last filled one; those at the end are only formatting
-        for c in (e for e in row if _local(e.tag) in ("table-cell", "covered-table-cell")):
-            repeat = next((int(v) for k, v in c.attrib.items() if _local(k) == "number-columns-repeated"), 1)
-            text = " ".join("".join(p.itertext()) for p in c if _local(p.tag) == "p").strip()
-            if text:
-                cells += [""] * empty + [text] * repeat
-            empty = 0 if text else empty + repeat
-        out.append(cells)
-    return out
-
-
-def as_records(rows: list[list[str]]) -> list[dict[str, str]]:
-    """Rows by the names in the first that isn't blank."""
-    rows = [r for r in rows if any(r)]
-    if not rows:
+def _elements(stream, tag: str):
+    """The elements of a name, one after the other, each taken off the tree once it is done with."""
+    open_elements: list[ElementTree.Element] = []
+    for event, e in ElementTree.iterparse(stream, ("start", "end")):
+        if event == "start":
+            open_elements.append(e)
+            continue
+        open_elements.pop()
+        if _local(e.tag) == tag:
+            yield e
+            e.clear()
+            if open_elements:
+                open_elements[-1].remove(e)
+
+
+def _shared_strings(z: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in z.namelist():
         return []
-    header = [h.replace("﻿", "").strip() for h in rows[0]]
-    return [{h: (r[k] if k < len(r) else "") for k, h in enumerate(header) if h} for r in rows[1:]]
+    with z.open("xl/sharedStrings.xml") as stream:
+        return ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in _elements(stream, "si")]
 
 
-def read_spreadsheets(spark: SparkSession, path: str) -> DataFrame:
-    """``path, row, cells`` (a map from header to string) of .xlsx and .ods files; a file is read by one task."""
+def xlsx_rows(content: bytes) -> Iterator[list[str]]:
+    """Cells of the first sheet, a row at a time: shared strings, plain or in runs, inline strings, gaps by cell references."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        if not sheets:
+            return
+        shared = _shared_strings(z)
+        with z.open(sheets[0]) as stream:
+            for row in _elements(stream, "row"):
+                cells: list[str] = []
+                for c in (e for e in row if _local(e.tag) == "c"):
+                    at = column_index(c.get("r", "")) if c.get("r") else len(cells)
+                    cells += [""] * (at + 1 - len(cells))
+                    value = next((e.text or "" for e in c if _local(e.tag) == "v"), "")
+                    if c.get("t") == "s" and value.isdigit() and int(value) < len(shared):
+                        value = shared[int(value)]
+                    elif c.get("t") == "inlineStr":
+                        value = "".join(e.text or "" for e in c.iter() if _local(e.tag) == "t")
+                    cells[at] = value.strip()
+                yield cells
+
+
+def ods_rows(content: bytes) -> Iterator[list[str]]:
+    """Cells of the first table, a row at a time, repeated ones as often as they say."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open("content.xml") as stream:
+        tables = 0
+        open_elements: list[ElementTree.Element] = []
+        for event, e in ElementTree.iterparse(stream, ("start", "end")):
+            if event == "start":
+                open_elements.append(e)
+                continue
+            open_elements.pop()
+            name = _local(e.tag)
+            if name == "table":
+                tables += 1
+            if name != "table-row" or tables:
+                continue
+            cells: list[str] = []
+            empty = 0  # cells since the last filled one; those at the end are only formatting
+            for c in (x for x in e if _local(x.tag) in ("table-cell", "covered-table-cell")):
+                repeat = next((int(v) for k, v in c.attrib.items() if _local(k) == "number-columns-repeated"), 1)
+                text = " ".join("".join(p.itertext()) for p in c if _local(p.tag) == "p").strip()
+                if text:
+                    cells += [""] * empty + [text] * repeat
+                empty = 0 if text else empty + repeat
+            yield cells
+            if open_elements:
+                open_elements[-1].remove(e)
+
+
+def as_records(rows: Iterable[list[str]], columns: list[str] | None = None) -> Iterator[dict[str, str]]:
+    """Rows by the names in the first that isn't blank, or of them those of columns."""
+    rows = (r for r in rows if any(r))
+    header = [h.replace("﻿", "").strip() for h in next(rows, [])]
+    wanted = [(k, h) for k, h in enumerate(header) if h and (columns is None or h in columns)]
+    for r in rows:
+        yield {h: (r[k] if k < len(r) else "") for k, h in wanted}
+
+
+#: Rows of a sheet that leave a task at once.
+SHEET_ROWS = 10_000
+
+
+def read_spreadsheets(spark: SparkSession, path: str, columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """``path, row, cells`` (a map from header to string) of .xlsx and .ods files.
+
+    A file is read by one task, which holds its bytes and shared strings but only a few of its rows; cells of
+    other columns than those named are left out, and reading ends at limit rows of a file.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = as_records((ods_rows if name.lower().endswith(".ods") else xlsx_rows)(content))
-                yield pd.DataFrame({"path": [name] * len(rows), "row": range(1, len(rows) + 1), "cells": rows})
+                rows = as_records((ods_rows if name.lower().endswith(".ods") else xlsx_rows)(content), columns)
+                rows, done = itertools.islice(rows, limit), 0
+                while part := list(itertools.islice(rows, SHEET_ROWS)):
+                    yield pd.DataFrame({"path": [name] * len(part), "row": range(done + 1, done + len(part) + 1), "cells": part})
+                    done += len(part)
 
     return files.mapInPandas(run, "path string, row int, cells map<string,string>")
 
@@ -129,9 +166,9 @@ def columns_of(cells: DataFrame, names: list[str]) -> DataFrame:
 
 def read_spreadsheet(spark: SparkSession, path: str) -> DataFrame:
     """``row`` and a column for each name in the header of one .xlsx or .ods file."""
-    cells = read_spreadsheets(spark, path)
-    names = [r.name for r in cells.where("row = 1").select(F.explode(F.map_keys("cells")).alias("name")).collect()]
-    return cells.select("row", *(F.col("cells").getItem(n).alias(n) for n in names))
+    first = read_spreadsheets(spark, path, limit=1)
+    names = [r.name for r in first.select(F.explode(F.map_keys("cells")).alias("name")).collect()]
+    return read_spreadsheets(spark, path).select("row", *(F.col("cells").getItem(n).alias(n) for n in names))
 
 
 def _markup(xml: str, breaks: str, tabs: str) -> str:

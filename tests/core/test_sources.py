@@ -1,4 +1,5 @@
 import io
+import tracemalloc
 import zipfile
 
 from pyspark.sql import functions as F
@@ -37,6 +38,26 @@ def test_spreadsheets(spark, tmp_path):
     assert files.column_index("AB7") == 27
 
 
+def test_sheets_are_read_a_row_at_a_time(spark, tmp_path, monkeypatch):
+    n = 60_000
+    rows = "".join(f'<row><c r="A{k}"><v>{k}</v></c><c r="B{k}" t="inlineStr"><is><t>text {k}</t></is></c><c r="C{k}"><v>7</v></c></row>' for k in range(n))
+    content = archive(xl__worksheets__sheet1=f'<worksheet><sheetData><row><c t="inlineStr"><is><t>id</t></is></c><c t="inlineStr"><is><t>name</t></is></c><c t="inlineStr"><is><t>c</t></is></c></row>{rows}</sheetData></worksheet>')
+    cells = "".join(f"<table-row><table-cell><p>{k}</p></table-cell><table-cell><p>text {k}</p></table-cell></table-row>" for k in range(n))
+    ods = archive(content=f"<doc><table><table-row><table-cell><p>id</p></table-cell><table-cell><p>name</p></table-cell></table-row>{cells}</table><table><table-row><table-cell><p>other</p></table-cell></table-row></table></doc>")
+    for read, data in ((files.xlsx_rows, content), (files.ods_rows, ods)):
+        tracemalloc.start()
+        assert sum(1 for _ in read(data)) == n + 1
+        assert tracemalloc.get_traced_memory()[1] < 8_000_000  # a tree of all rows takes over ten times that
+        tracemalloc.stop()
+    (tmp_path / "big.xlsx").write_bytes(content)
+    some = files.read_spreadsheets(spark, str(tmp_path), columns=["name"], limit=25)
+    assert [(r.row, r.cells) for r in some.collect()] == [(k + 1, {"name": f"text {k}"}) for k in range(25)]
+    monkeypatch.setattr(files, "SHEET_ROWS", 1000)
+    whole = files.read_spreadsheet(spark, str(tmp_path / "big.xlsx"))
+    assert whole.columns == ["row", "id", "name", "c"] or sorted(whole.columns) == ["c", "id", "name", "row"]
+    assert tuple(whole.agg(F.count("*"), F.sum(F.col("id").cast("long")), F.max("row")).first()) == (n, n * (n - 1) // 2, n)
+
+
 def test_documents(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(archive(word__document="<w:p>One &amp; two</w:p><w:tr><w:tc>a</w:tc><w:tc>b</w:tc></w:tr>"))
     (tmp_path / "b.odt").write_bytes(archive(content="<text:h>Head</text:h><text:p>Body</text:p>"))
@@ -80,7 +101,7 @@ def test_topics(spark):
 
 def test_filled_cells_are_repeated_beyond_a_thousand():
     cells = "".join(f'<table-cell number-columns-repeated="{n}">{x}</table-cell>' for n, x in ((1500, ""), (1200, "<p>x</p>"), (9000, "")))
-    got = files.ods_rows(archive(content=f"<doc><table><table-row>{cells}</table-row></table></doc>"))[0]
+    got = next(files.ods_rows(archive(content=f"<doc><table><table-row>{cells}</table-row></table></doc>")))
     assert len(got) == 2700 and got[1500:] == ["x"] * 1200 and not any(got[:1500])
 
 
