@@ -11,7 +11,7 @@ from ..adapters import Tables, with_tables
 from ..functions import text as texts
 from ..functions import vectors
 from ..operators import alignment as aligned
-from ..operators import dashboards, duplicates, items, rules, store
+from ..operators import caches, dashboards, duplicates, items, rules, store
 from ..operators import search as searching
 from .exam import LEVEL, MEANS, METRICS, PER_STUDENT, QUALITY, RISK, TOTAL, index_sql, r
 
@@ -146,6 +146,32 @@ def validation_overview(t: Tables):
     return aligned.validation(t.facts(), t.questions(), t.topics(), _semantic(t))
 
 
+@query(
+    with_tables("facts", "questions", "topics", more=",\n".join([ATTEMPTS, TFIDF, ALIGNED]))
+    + """SELECT what, import_id, NULL::BIGINT AS question_id, NULL AS value FROM (VALUES ('1 validation', 1), ('1 alignment', 1), ('1 validation', 2), ('1 alignment', 2),
+  ('1 validation', 3), ('1 alignment', 3), ('3 validation', 2), ('3 alignment', 2)) v(what, import_id) WHERE import_id IN (SELECT import_id FROM facts)
+UNION ALL SELECT 'status', import_id, question_id, CASE WHEN semantic IS NOT NULL AND mean BETWEEN 0.3::DOUBLE * coalesce(max_score, 100)
+    AND 0.95::DOUBLE * coalesce(max_score, 100) AND students >= 5 THEN 'ok' ELSE 'warning' END
+  FROM aligned JOIN attempts USING (import_id, question_id) JOIN questions USING (question_id) WHERE import_id = 1
+UNION ALL SELECT 'level', import_id, question_id, CASE WHEN combined_score < 0.15 THEN 'low' WHEN combined_score < 0.4 THEN 'medium' ELSE 'high' END
+  FROM aligned WHERE import_id = 3
+UNION ALL SELECT 'students', 2, question_id, count(DISTINCT student_id)::VARCHAR FROM facts JOIN questions USING (question_id) JOIN topics USING (syllabus_topic_id)
+  WHERE import_id = 2 AND raw_id % 5 <> 0 GROUP BY question_id"""
+)
+def caches_refreshed(t: Tables):
+    """Three refreshes of both caches, of which the second finds nothing changed and the third one import with fewer facts."""
+    path = store.shared_path(t.spark, "caches")
+    validation, alignment = caches.Cache(t.spark, f"{path}/v", caches.VALIDATION), caches.Cache(t.spark, f"{path}/a", caches.ALIGNMENT)
+    facts, semantic = t.facts(), _semantic(t)
+    fewer = facts.where("import_id <> 2 OR raw_id % 5 <> 0")
+    done = [caches.refresh_caches(validation, alignment, rows, t.questions(), t.topics(), semantic) for rows in (facts, facts, fewer)]
+    report = [(f"{k} {name}", i) for k, refreshed in enumerate(done, 1) for name, ids in refreshed.items() for i in ids]
+    none = lambda kind: F.lit(None).cast(kind)
+    out = t.spark.createDataFrame(report, "what string, import_id int").select("what", "import_id", none("long").alias("question_id"), none("string").alias("value"))
+    parts = [("status", validation.rows(1), "status"), ("level", alignment.rows(3), "alignment_level"), ("students", validation.rows(2), "attempts")]
+    return reduce(DataFrame.unionAll, [out, *(rows.select(F.lit(what), "import_id", "question_id", F.col(c).cast("string")) for what, rows, c in parts)])
+
+
 @query(
     with_tables("facts", "questions", "topics", "criteria", "details", "works", "answers",
         more=",\n".join([MEANS, QUALITY, TOTAL, PER_STUDENT, RISK, ATTEMPTS, TFIDF, ALIGNED]))
