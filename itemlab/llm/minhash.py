@@ -27,7 +27,9 @@ MISS = 1e-6
 SLACK = 5.5
 #: Members of a group that meet in one task; larger groups are compared block against block.
 BLOCK = 1024
-#: Rows of candidates' ids (32 bytes each) that are broadcast to the texts at most.
+#: Keys of more members than all have on the average of so many keys are joined by a broadcast; there are fewer than that.
+LARGE_KEYS = 500_000
+#: Rows of candidates' ids (48 bytes each) that are broadcast to the texts at most.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -90,9 +92,16 @@ def _sign(n: int, bands: int):
 
 
 def _blocks(members: DataFrame, key: str) -> DataFrame:
-    """The members of each key in pairs of blocks ``i <= j`` of at most about BLOCK, so that any two meet."""
-    sizes = members.groupBy(key).agg(F.count("*").alias("size"))
-    members = members.join(sizes.where(F.col("size") > 1), key)
+    """The members of each key in pairs of blocks ``i <= j`` of at most about BLOCK, so that any two meet.
+
+    Keys of many members are joined by a broadcast of their sizes, which the number of members bounds; so no task
+    has all members of one.
+    """
+    many = max(BLOCK, -(-members.count() // LARGE_KEYS))
+    sizes = members.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    large = F.broadcast(sizes.where(F.col("size") > many))
+    rest = members.join(large.select(key), key, "left_anti").join(sizes.where(F.col("size") <= many), key)
+    members = members.join(large, key).unionByName(rest)
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", key), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
@@ -227,8 +236,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
     Documents are linked where 100 * intersection >= percent * union of their sets of n-word
     shingles; component_id is the smallest doc_id that links reach, kept marks that document.
 
-    * Equal sets collapse to their smallest doc_id before anything is compared, so that copies of
-      any number cost one row each.
+    * Equal sets collapse before anything is compared, so that copies of any number cost one row
+      each. Texts of one doc_id that differ are sets of their own, each with its links.
     * Buckets of a band, and candidate groups, of more than BLOCK members are compared block against
       block; no bucket, group or candidate is capped.
     * A null, empty or wordless text has an empty set (n_shingles 0), is linked with nothing and kept.
@@ -244,9 +253,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
         signed = docs.mapInArrow(_sign(n, bands), "doc_id long, text_hash long, n_shingles long, print binary, bands array<long>, sig binary")
         signed = scratch.store(signed, "minhash-signatures")
         real = signed.where(F.col("doc_id").isNotNull() & F.col("print").isNotNull())
-        first = scratch.store(real.groupBy("print").agg(F.min("doc_id").alias("rep")), "minhash-sets")
-        reps = real.join(first.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi")
-        reps = reps.select(F.col("doc_id").alias("rep"), "bands", "sig")
+        # sets are numbered by themselves: a doc_id may have several texts
+        who = F.min(F.struct("doc_id", "text_hash")).alias("who")
+        first = real.groupBy("print").agg(who).select("print", "who.doc_id", "who.text_hash", F.monotonically_increasing_id().alias("rep"))
+        first = scratch.store(first, "minhash-sets")
+        reps = real.join(first, ["print", "doc_id", "text_hash"]).select("rep", "bands", "sig")
 
         keyed = reps.select(F.explode("bands").alias("key"), "rep")
         shared = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
@@ -259,14 +270,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame
         groups = connected_components(alike, scratch, "minhash-candidates")
         scratch.drop("minhash-buckets")
         groups = _blocks(groups.select(F.col("component").alias("g"), F.col("node").alias("rep")), "g")
+        groups = groups.join(first.drop("print"), "rep")
         groups = scratch.store(groups, "minhash-groups")
         if groups.count() <= BROADCAST_ROWS:  # else both sides are shuffled
             groups = F.broadcast(groups)
-        texts = docs.withColumnRenamed("doc_id", "rep").join(groups, "rep").select("g", "i", "j", "rep", "text")
+        texts = docs.join(groups, ["doc_id", "text_hash"]).select("g", "i", "j", "rep", "text")
         links = _meet(texts, "g", _confirm(n, percent))
         reached = connected_components(links, scratch, "minhash-links").withColumnRenamed("node", "rep")
 
-        named = first.join(reached, "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+        linked = reached.join(first.select("rep", "doc_id"), "rep")
+        least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+        linked = linked.join(least, "component").select("rep", "least")
+        named = first.join(linked, "rep", "left").select("print", F.coalesce("least", "doc_id").alias("component"))
         out = signed.select("doc_id", "text_hash", "n_shingles", "print").join(named, "print", "left")
         component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         kept = component.isNull() | (component == F.col("doc_id"))

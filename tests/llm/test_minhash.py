@@ -1,8 +1,10 @@
 import itertools
+import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from itemlab.llm import components, minhash
 from itemlab.llm.common import Scratch
@@ -114,3 +116,28 @@ def test_whole_table(spark):
             label[y] = x
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.op1_minhash(spark, "/root/testdata/sf0.01").collect()}
     assert got == {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}
+
+
+def test_two_texts_of_one_doc_id(spark):
+    """A text keeps its links though another text has its doc_id, in any order of rows; so do copies of that."""
+    words = [f"w{k}" for k in range(200)]
+    a, b = " ".join(words), " ".join(f"v{k}" for k in range(200))
+    rows = [(1, a), (2, b), (2, a + " more"), (3, b + " more"), (4, "short text"), (4, a + " other"), (2, b)]
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), percent=85)
+        hashes = {r.h: r.text for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("h")).collect()}
+        found = sorted((r.doc_id, hashes[r.text_hash], r.component_id, r.kept) for r in got.collect())
+        assert found == sorted([(1, a, 1, True), (2, a + " more", 1, False), (4, a + " other", 1, False), (2, b, 2, True), (2, b, 2, True), (3, b + " more", 2, False), (4, "short text", 4, True)])
+
+
+def test_large_keys_are_broadcast(spark, monkeypatch):
+    """With hardly any key small enough to be joined by shuffle the links are the same."""
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k:]])) for k in range(60)] + [(100 + k, " ".join(rng.choices(base, k=80))) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, minhash.near_duplicates(df).collect()))
+    for name, value in (("BLOCK", 8), ("LARGE_KEYS", 10**9)):
+        monkeypatch.setattr(minhash, name, value)
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == plain
+    assert {r[2] for r in plain if r[0] < 60} == {0}
