@@ -342,12 +342,26 @@ def rule_classification(t: Tables):
 
 
 @query(
-    """SELECT * FROM (VALUES (4, 'empty', 0, 0), (3, 'off', 1, 1), (1, 'hard', 2, 2), (5, 'band', 2, 1), (2, 'easy', 1, 1)) v(rule_id, rule_name, n_conditions, n_actions)"""
+    """WITH conditions AS (SELECT s_nationkey AS rule_id, string_agg(s_suppkey || ' ' || CASE WHEN s_suppkey % 2 = 0 THEN '>=' ELSE '<' END || ' ' || s_suppkey % 7, ', ' ORDER BY s_suppkey) AS conditions
+  FROM supplier GROUP BY 1),
+actions AS (SELECT c_nationkey AS rule_id, string_agg(c_custkey || ' ' || c_name, ', ' ORDER BY c_custkey) AS actions FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey % 4 <> 0 GROUP BY 1)
+SELECT n_nationkey AS rule_id, n_name AS rule_name, coalesce(conditions, '') AS conditions, coalesce(actions, '') AS actions
+FROM nation LEFT JOIN conditions c ON n_nationkey = c.rule_id LEFT JOIN actions a ON n_nationkey = a.rule_id"""
 )
 def rules_nested(t: Tables):
-    rows = rules.nested(*_rules(t))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)) if c else None
-    return rows.select("rule_id", "rule_name", *(F.greatest(size(c), F.lit(0)).alias(f"n_{c}") for c in ("conditions", "actions")))
+    """Nations as rules, their suppliers as conditions and some of their customers as actions; a fourth of the rules has no action."""
+    key, supplier = F.col("n_nationkey"), F.col("s_suppkey")
+    rules_ = t.read("nation").select(key.alias("rule_id"), F.col("n_name").alias("rule_name"), key.alias("rule_order"))
+    conditions = t.read("supplier").select(
+        F.col("s_nationkey").alias("rule_id"), supplier.alias("condition_order"), supplier.cast("string").alias("metric_name"),
+        F.when(supplier % 2 == 0, ">=").otherwise("<").alias("operator"), (supplier % 7).alias("value_from"), F.lit(None).cast("long").alias("value_to"),
+    )
+    actions = t.read("customer").where("c_custkey % 3 = 0 AND c_nationkey % 4 <> 0").select(
+        F.col("c_nationkey").alias("rule_id"), F.col("c_custkey").alias("action_id"), F.col("c_name").alias("action_type"), F.lit("").alias("action_value")
+    )
+    text = lambda c, *names: F.array_join(F.transform(F.coalesce(F.col(c), F.array()), lambda x: F.concat_ws(" ", *(x[n] for n in names))), ", ").alias(c)
+    rows = rules.nested(rules_, conditions, actions)
+    return rows.select("rule_id", "rule_name", text("conditions", "metric_name", "operator", "value_from"), text("actions", "action_id", "action_type"))
 
 
 HIT = "contains(lower({}), 'er')"
