@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # What lines of syllabuses say.
@@ -150,3 +150,42 @@ def syllabus_topics(docs: DataFrame, text: str, discipline: str) -> DataFrame:
 
     column = F.arrow_udf(kernel, "array<struct<code: string, title: string, keywords: string>>")
     return docs.withColumn("topics", column(text, discipline))
+
+
+class _Numbered:
+    def eval(self, text: str):
+        yield from enumerate(find_numbered(text), 1)
+
+
+class _Questions:
+    def eval(self, text: str):
+        yield from enumerate(find_questions(text), 1)
+
+
+class _Topics:
+    def eval(self, text: str, discipline: str):
+        for k, entry in enumerate(topic_entries(text, discipline), 1):
+            yield k, entry["code"], entry["title"], entry["keywords"]
+
+
+class _Keywords:
+    def eval(self, text: str, most: int):
+        yield from enumerate(find_keywords(text, most), 1)
+
+
+#: The parsers as table functions: a class with the columns of its rows for each name in SQL.
+TABLE_FUNCTIONS = {
+    "numbered_questions": (_Numbered, "position int, text string"),
+    "syllabus_questions": (_Questions, "position int, text string"),
+    "syllabus_topics": (_Topics, "position int, code string, title string, keywords string"),
+    "text_keywords": (_Keywords, "position int, word string"),
+}
+
+
+def register_parsers(spark: SparkSession) -> None:
+    """Makes the parsers table functions of the session: ``FROM docs, LATERAL numbered_questions(docs.text)``.
+
+    A row leaves for each thing found, in batches of Arrow, without an array of all of them; a text without any has no row.
+    """
+    for name, (parser, columns) in TABLE_FUNCTIONS.items():
+        spark.udtf.register(name, F.udtf(parser, returnType=columns, useArrow=True))

@@ -469,22 +469,37 @@ def rubric_compliance(t: Tables):
     return aligned.rubric_compliance(questions, rubrics)
 
 
-@query(
-    """SELECT p_brand AS discipline, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS position, p_name || chr(10) || p_type AS text FROM part"""
-)
-def question_texts(t: Tables):
-    """Each brand's parts as a text of numbered questions, parsed back."""
-    from pyspark.sql import Window
+NUMBERED = """SELECT p_brand AS discipline, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS position, p_name || chr(10) || p_type AS text FROM part"""
 
-    from ..functions.parsing import numbered_questions
+
+def _numbered(t: Tables) -> DataFrame:
+    """Each brand's parts as a text of numbered questions."""
+    from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     rows = t.read("part").select("p_brand", n.alias("n"), F.concat(n.cast("string"), F.lit(". "), "p_name", F.lit("\n"), "p_type").alias("x"))
-    rows = rows.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]), "\n\n").alias("text"))
-    rows = rows.select(F.col("p_brand").alias("discipline"), F.posexplode(numbered_questions(F.col("text"))))
+    rows = rows.groupBy(F.col("p_brand").alias("discipline"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]), "\n\n").alias("text"))
+
+
+@query(NUMBERED)
+def question_texts(t: Tables):
+    """Numbered questions, parsed back."""
+    from ..functions.parsing import numbered_questions
+
+    rows = _numbered(t).select("discipline", F.posexplode(numbered_questions(F.col("text"))))
     return rows.select("discipline", (F.col("pos") + 1).alias("position"), F.col("col").alias("text"))
 
 
+@query(NUMBERED)
+def question_texts_lateral(t: Tables):
+    """The same by a table function in SQL."""
+    from ..functions.parsing import register_parsers
+
+    register_parsers(t.spark)
+    return t.spark.sql("SELECT d.discipline, q.position, q.text FROM {docs} d, LATERAL numbered_questions(d.text) q", docs=_numbered(t))
+
+
 @query(
     """SELECT p_brand AS discipline, upper(substr(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g'), 1, 6)) || '_T' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS code,
   'topic of ' || p_name || ' ' || p_partkey AS title FROM part"""

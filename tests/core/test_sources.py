@@ -114,3 +114,16 @@ def test_semicolons_before_commas(spark, tmp_path):
     (tmp_path / "b.csv").write_text("a,b\n1,2\n")
     assert files.read_semicolons(spark, str(tmp_path / "a.csv")).columns == ["a,b", "c"]
     assert files.read_semicolons(spark, str(tmp_path / "b.csv")).columns == ["a", "b"]
+
+
+def test_parsers_as_table_functions(spark):
+    """Each table function gives the rows of its array, in SQL with a lateral join."""
+    parsing.register_parsers(spark)
+    texts = ["1. First\nmore\n\n2. Second", "", None, "words words letters"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    sql = lambda call: sorted(tuple(r) for r in spark.sql(f"SELECT d.id, x.* FROM {{docs}} d, LATERAL {call} x", docs=docs).collect())
+    assert sql("numbered_questions(d.body)") == [(0, 1, "First\nmore"), (0, 2, "Second")]
+    assert sql("syllabus_questions(d.body)") == sorted((k, n, q) for k, t in enumerate(texts) for n, q in enumerate(parsing.find_questions(t), 1))
+    assert [r[:3] for r in sql("text_keywords(d.body, 1)") if r[0] == 3] == [(3, 1, "words")]
+    topics = sorted((k, n, *e.values()) for k, t in enumerate(texts) for n, e in enumerate(parsing.topic_entries(t, "Anatomy"), 1))
+    assert sql("syllabus_topics(d.body, 'Anatomy')") == topics
