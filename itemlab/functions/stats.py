@@ -34,8 +34,8 @@ def clamped(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
 
 
-def percent_change(now: Column, before: Column) -> tuple[Column, Column]:
-    """Absolute change in percent of before, and whether it isn't a decrease; 0 and true without a before."""
+def percent_change(now: Column, before: Column, digits: int = 1) -> tuple[Column, Column]:
+    """Absolute change in percent of before, rounded to so many digits, and whether it isn't a decrease; 0 and true without a before."""
     none = before.isNull() | (before == 0)
-    change = F.when(none, 0.0).otherwise(rounded(F.abs(now - before) / F.when(~none, before) * 100, 1))
+    change = F.when(none, 0.0).otherwise(rounded(F.abs(now - before) / F.when(~none, before) * 100, digits))
     return change, F.coalesce(none | (now >= before), F.lit(True))

@@ -23,12 +23,12 @@ def import_figures(facts: DataFrame) -> DataFrame:
     )
 
 
-def overview(facts: DataFrame) -> DataFrame:
-    """Each import's figures with their change against the import before it; the last row is the current one."""
+def overview(facts: DataFrame, digits: int = 1) -> DataFrame:
+    """Each import's figures with their change against the import before it, to so many digits; the last row is the current one."""
     before = Window.orderBy("import_id")  # a row for each import
     out = import_figures(facts)
     for name in ("questions", "students", "attempts", "avg_score"):
-        change, up = percent_change(F.col(name), F.lag(name).over(before))
+        change, up = percent_change(F.col(name), F.lag(name).over(before), digits)
         out = out.withColumn(f"{name}_change", change).withColumn(f"{name}_up", up)
     return out
 

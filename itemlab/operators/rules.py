@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .commits import Store
+
 METRICS = ["avg_score", "difficulty_index", "discrimination_index", "reliability", "total_attempts"]
 
 
@@ -57,3 +59,57 @@ def toggled(rules: DataFrame, rule_id: int) -> DataFrame:
 
 def without(rules: DataFrame, rule_id: int) -> DataFrame:
     return rules.where(F.col("rule_id") != rule_id)
+
+
+#: What a rule that users build may consist of (fixed values).
+BUILDER_METRICS = ["difficulty_index", "discrimination_index", "avg_score", "total_attempts"]
+BUILDER_OPERATORS = [">", "<", ">=", "<=", "between"]
+BUILDER_CATEGORIES = ["too_difficult", "too_easy", "poor_discrimination", "insufficient_attempts"]
+#: The tables of rules, which change together.
+RULE_TABLES = {
+    "rules": "rule_id int, rule_name string, rule_order int, is_active boolean",
+    "conditions": "condition_id int, rule_id int, condition_order int, metric_name string, operator string, value_from double, value_to double",
+    "actions": "action_id int, rule_id int, action_type string, action_value string, action_message string",
+}
+
+
+def _number(text: str | float | None) -> float | None:
+    try:
+        return None if text is None or isinstance(text, str) and "_" in text else float(text)
+    except ValueError:
+        return None
+
+
+def create_rule(
+    tables: Store, name: str, metric: str, operator: str, value_from: str | float, category: str, value_to: str | float | None = None, message: str = "", order: int = 1
+) -> int:
+    """Adds an active rule of one condition and one category, in one commit; its id. What isn't allowed is an error and changes nothing.
+
+    The upper bound counts for between alone; an order below 1 is 1.
+    """
+    if not name.strip():
+        raise ValueError("a rule has a name")
+    for value, allowed, what in ((metric, BUILDER_METRICS, "metric"), (operator, BUILDER_OPERATORS, "operator"), (category, BUILDER_CATEGORIES, "category")):
+        if value not in allowed:
+            raise ValueError(f"{value} is no {what} of rules")
+    low = _number(value_from)
+    if low is None:
+        raise ValueError("a rule has a value to compare with")
+    high = _number(value_to) if operator == "between" else None
+    commit = tables.commit()
+    rows = {
+        "rules": (commit.number, name.strip(), max(1, order), True),
+        "conditions": (commit.number, commit.number, 1, metric, operator, low, high),
+        "actions": (commit.number, commit.number, "set_category", category, message.strip()),
+    }
+    for table, row in rows.items():
+        commit.append(table, tables.spark.createDataFrame([row], RULE_TABLES[table]))
+    commit.publish()
+    return commit.number
+
+
+def active_rules(rules: DataFrame, conditions: DataFrame) -> DataFrame:
+    """The active rules with ``condition_ids``, the ids of their conditions in their order as one string; null without any."""
+    ids = conditions.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("condition_order", "condition_id"))).alias("c"))
+    ids = ids.select("rule_id", F.array_join(F.transform("c", lambda x: x["condition_id"].cast("string")), ",").alias("condition_ids"))
+    return rules.where("is_active").join(ids, "rule_id", "left").orderBy("rule_order", "rule_id")

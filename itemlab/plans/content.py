@@ -13,6 +13,7 @@ from ..functions import vectors
 from ..operators import alignment as aligned
 from ..operators import caches, dashboards, duplicates, items, rules, store
 from ..operators import search as searching
+from ..operators.commits import Store
 from .exam import LEVEL, MEANS, METRICS, PER_STUDENT, QUALITY, RISK, TOTAL, index_sql, r
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -341,6 +342,22 @@ def rule_classification(t: Tables):
     return rows.select("question_id", *(F.array_join(c, ",").alias(c) for c in ("categories", "flags", "messages")))
 
 
+@query(
+    with_tables("facts", "questions", more=index_sql(2) + ",\n" + METRICS)
+    + """, fired AS (SELECT question_id, difficulty_index >= 0.5 AS hard, avg_score BETWEEN 40 AND 60 AS band, total_attempts < 25 AS few FROM metrics)
+SELECT question_id, concat_ws(',', CASE WHEN band THEN 'poor_discrimination' END, CASE WHEN hard THEN 'too_difficult' END, CASE WHEN few THEN 'insufficient_attempts' END) AS categories,
+  concat_ws(',', CASE WHEN hard THEN 'revise' END, CASE WHEN few THEN 'more' END) AS messages FROM fired WHERE hard OR band OR few"""
+)
+def rules_built(t: Tables):
+    """Three rules put into their tables by the builder, and what they say of the questions."""
+    tables = Store(t.spark, store.shared_path(t.spark, "rules"), rules.RULE_TABLES)
+    rules.create_rule(tables, "hard", "difficulty_index", ">=", "0.5", "too_difficult", message="revise", order=2)
+    rules.create_rule(tables, "band", "avg_score", "between", 40, "poor_discrimination", "60")
+    rules.create_rule(tables, " few ", "total_attempts", "<", "25", "insufficient_attempts", "ignored", " more ", 3)
+    rows = rules.classify(items.question_metrics(t.facts(), t.questions()), *(tables.read(name) for name in rules.RULE_TABLES))
+    return rows.select("question_id", *(F.array_join(c, ",").alias(c) for c in ("categories", "messages")))
+
+
 @query(
     """WITH conditions AS (SELECT s_nationkey AS rule_id, string_agg(s_suppkey || ' ' || CASE WHEN s_suppkey % 2 = 0 THEN '>=' ELSE '<' END || ' ' || s_suppkey % 7, ', ' ORDER BY s_suppkey) AS conditions
   FROM supplier GROUP BY 1),

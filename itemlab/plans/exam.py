@@ -248,17 +248,28 @@ CHANGE = """CASE WHEN {b} IS NULL OR {b} = 0 THEN 0 ELSE CAST(round(CAST(abs({x}
   {b} IS NULL OR {b} = 0 OR {x} >= {b} AS {x}_up"""
 
 
-@query(
-    with_tables("facts")
-    + f"""SELECT import_id, questions, students, attempts, avg_score, {CHANGE.format(x='questions', b='bq')}, {CHANGE.format(x='students', b='bs')},
-  {CHANGE.format(x='attempts', b='ba')}, {CHANGE.format(x='avg_score', b='bm')}
+def _overview_sql(change: str) -> str:
+    return with_tables("facts") + f"""SELECT import_id, questions, students, attempts, avg_score, {change.format(x='questions', b='bq')}, {change.format(x='students', b='bs')},
+  {change.format(x='attempts', b='ba')}, {change.format(x='avg_score', b='bm')}
 FROM (SELECT *, lag(questions) OVER w AS bq, lag(students) OVER w AS bs, lag(attempts) OVER w AS ba, lag(avg_score) OVER w AS bm FROM (
   SELECT import_id, count(DISTINCT question_id) AS questions, count(DISTINCT student_id) AS students, count(*) AS attempts,
     {r('avg(received_score)', 1)} AS avg_score FROM facts WHERE received_score > 20 GROUP BY 1) WINDOW w AS (ORDER BY import_id))"""
-)
+
+
+def _over_20(t: Tables):
+    """The facts; scores up to 20 are taken as not given."""
+    return t.facts().withColumn("received_score", F.when(F.col("received_score") > 20, F.col("received_score")))
+
+
+@query(_overview_sql(CHANGE))
 def overview(t: Tables):
-    """Scores up to 20 are taken as not given."""
-    return dashboards.overview(t.facts().withColumn("received_score", F.when(F.col("received_score") > 20, F.col("received_score"))))
+    return dashboards.overview(_over_20(t))
+
+
+@query(_overview_sql(CHANGE.replace("DECIMAL(18,6)), 1)", "DECIMAL(18,6)), 0)")))
+def overview_whole(t: Tables):
+    """Changes in whole percents."""
+    return dashboards.overview(_over_20(t), 0)
 
 
 @query(
