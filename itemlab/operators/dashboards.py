@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..coefficients import DEFAULT, Coefficients
 from ..functions.stats import percent_change, rounded
-from . import alignment, criteria, items, students
+from . import alignment, criteria, items, paging, students
 from .store import settled
 
 
@@ -89,6 +89,36 @@ def section_tables(
     return out
 
 
+#: What each section's rows are told apart by, and the names it may be sorted by with their columns (fixed values); the last two by all their columns.
+SECTION_KEYS = {
+    "validation": ["import_id", "question_id"], "quality": ["import_id", "question_id"], "correlation": ["import_id", "question_id"],
+    "students": ["import_id", "student_id"], "semantic": ["import_id", "question_id"], "criteria": ["criteria_id"], "answers": ["language"],
+}
+SECTION_SORTS = {
+    "validation": {"question_id": "question_id", "syllabus_title": "title", "avg_score": "avg_score", "attempts": "attempts", "status": "status"},
+    "quality": {"question_id": "question_id", "n": "n", "mean_score": "mean_score", "p_correct_proxy": "p_correct", "difficulty_pct": "difficulty_pct", "flag_text": "flag"},
+    "correlation": {"question_id": "question_id", "r": "r", "flag": "flag"},
+    "students": {c: c for c in ("student_id", "avg_item", "min_item", "discipline_total", "pattern_type", "notes")},
+    "semantic": {"question_id": "question_id", "syllabus_title": "title", "discipline_name": "discipline_name", "average_score": "average_score", "alignment_level": "alignment_level"},
+}
+
+
+def section_page(
+    rows: DataFrame, section: str, sort: str | None = None, descending: bool = False, badge: str = "all", number: int = 1, size: int = paging.PAGE
+) -> tuple[DataFrame, int, int]:
+    """A page of a section's rows (of ``section_tables``) with ``position``, the number of all rows, and of pages.
+
+    Rows of one badge, or all; sorted by a name that the section allows, otherwise by its keys, which also settle ties.
+    """
+    sorts = SECTION_SORTS.get(section, {c: c for c in rows.columns})
+    rows = settled(paging.with_badge(rows, ["badge"], badge))  # counted and cut
+    column = sorts.get(sort) if sort else None
+    order = ([F.desc(column) if descending else F.asc(column)] if column else []) + [F.asc(k) for k in SECTION_KEYS[section]]
+    cut, total, pages = paging.page(rows.orderBy(*order), number, size)
+    before = (min(max(1, number), pages) - 1) * size
+    return cut.withColumn("position", F.row_number().over(Window.orderBy(*order)) + before), total, pages  # a page of rows
+
+
 def section_tallies(sections: dict[str, DataFrame]) -> DataFrame:
     """Numbers of rows by section, flag and badge."""
     parts = (rows.groupBy(F.lit(name).alias("section"), "flag", "badge").agg(F.count("*").alias("n")) for name, rows in sections.items())

@@ -196,6 +196,33 @@ def section_badges(t: Tables):
     )
 
 
+@query(
+    with_tables("facts", "questions", "topics", "criteria", "details", "works", "answers",
+        more=",\n".join([MEANS, QUALITY, TOTAL, PER_STUDENT, RISK, ATTEMPTS, TFIDF, ALIGNED]))
+    + """SELECT * FROM (SELECT 'validation' AS section, row_number() OVER (ORDER BY students DESC, import_id, question_id) AS position, import_id || '/' || question_id AS id FROM aligned JOIN attempts USING (import_id, question_id))
+  WHERE position BETWEEN 51 AND 100
+UNION ALL SELECT * FROM (SELECT 'quality', row_number() OVER (ORDER BY difficulty_pct DESC, import_id, question_id) AS position, import_id || '/' || question_id FROM quality WHERE flag = 'too_hard') WHERE position <= 50
+UNION ALL SELECT * FROM (SELECT 'correlation', row_number() OVER (ORDER BY import_id, question_id) AS position, import_id || '/' || question_id FROM correlated) WHERE position <= 50
+UNION ALL SELECT * FROM (SELECT 'students', row_number() OVER (ORDER BY min_item, import_id, student_id) AS position, import_id || '/' || student_id FROM risk) WHERE position <= 50
+UNION ALL SELECT * FROM (SELECT 'semantic', row_number() OVER (ORDER BY title, import_id, question_id) AS position, import_id || '/' || question_id FROM aligned) WHERE position <= 50
+UNION ALL SELECT 'criteria', row_number() OVER (ORDER BY name DESC), (ascii(name) * 1000 + length(name)) || '' FROM criteria WHERE criteria_key IN (SELECT criteria_key FROM details)
+UNION ALL SELECT 'answers', row_number() OVER (ORDER BY n, language), language FROM (SELECT language, count(*) AS n FROM answers GROUP BY 1)"""
+)
+def section_pages(t: Tables):
+    """A page of each section: by allowed names, by one that isn't, of one badge, and the second page."""
+    tables = dashboards.section_tables(t.facts(), t.questions(), t.topics(), t.details(), t.criteria(), t.works(), t.answers(), _semantic(t))
+    wanted = {
+        "validation": {"sort": "attempts", "descending": True, "number": 2}, "quality": {"sort": "difficulty_pct", "descending": True, "badge": "danger"},
+        "correlation": {"sort": "r; DROP", "descending": True}, "students": {"sort": "min_item"}, "semantic": {"sort": "syllabus_title"},
+        "criteria": {"sort": "name", "descending": True}, "answers": {"sort": "total_answers"},
+    }
+    parts = []
+    for section, choice in wanted.items():
+        rows = dashboards.section_page(tables[section], section, **choice)[0]
+        parts.append(rows.select(F.lit(section).alias("section"), "position", F.concat_ws("/", *dashboards.SECTION_KEYS[section]).alias("id")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 @query(
     """SELECT doc_id, keyword_coverage, CASE WHEN length(text) < 15 THEN 'short' WHEN keyword_coverage < 0.2 THEN 'weak' ELSE 'ok' END AS quality_hint
 FROM (SELECT doc_id, text, CAST(round(CAST(len([k FOR k IN keys IF contains(lower(text), lower(k))])::DOUBLE / len(keys) AS DECIMAL(18,6)), 3) AS DOUBLE)
