@@ -4,8 +4,9 @@ The standard library's parser streams a page's events into blocks of text, the l
 Each has a ratio of its characters outside links to its tags; the ratios along the page are smoothed
 by a Gaussian and split by a threshold into content and the rest. Blocks above it are the text, with
 the short ones between them and the title before; an article, or the element that holds most of it,
-is taken whole if most of its characters are above. Tags and names of elements only take away: what
-they mark as something else is part of the lines, but never of the text.
+is taken whole if most of its characters are above. Tags and names of elements take away what they
+mark as something else; those that name a place or a layout (``sidebar``, ``widget``, ``form``) yield
+where the ratios find nearly all of the page's content in their element.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SIGMA = 1.0
 MOST = 0.75
 #: Share of the upper cluster's mean from which a ratio's logarithm counts with it, on pages of almost nothing but text.
 NEAR = 2 / 3
+#: Characters of content for each field from which a form that holds a page's content is a page in a form.
+FIELD = 200
 #: Share of such an element's characters that must be content for it to be kept whole.
 WHOLE = 0.5
 
@@ -42,7 +45,10 @@ UNSEEN = frozenset(
     "script style noscript template head title select option textarea iframe object embed svg math canvas audio video".split()
 )
 #: Elements that are never part of a text.
-NEVER = frozenset("nav footer aside form button dialog menu".split())
+NEVER = frozenset("nav footer button menu".split())
+#: Elements that aren't either, unless they hold the content of the page.
+SELDOM = frozenset("header aside form dialog".split())
+FIELDS = frozenset("input select textarea button label".split())
 #: Names in class, id or role that mark boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies"
@@ -51,6 +57,9 @@ MARKS = frozenset(
     " recommendations share sharing social comment comments commentlist respond reply replies disqus footer"
     " contentinfo pagination pager skip toolbar search login teaser teasers".split()
 )
+#: Those of them that also name a layout or a place of the whole page.
+PLACES = frozenset("banner modal overlay popup promo promotion sidebar complementary widget widgets toolbar search login signup social".split())
+OTHERS = MARKS - PLACES
 #: Names that do so outside the article only, where they may hold its title.
 OUTER = frozenset("header masthead topbar".split())
 #: Words beside such a name that leave its meaning: ``site-footer``, but not ``share-price`` or ``no-sidebar``.
@@ -76,12 +85,14 @@ def marked(attrs, names: frozenset = MARKS) -> bool:
 class Page(HTMLParser):
     """Blocks of a page: ``text``, number of tags, characters in links, the element they are in.
 
-    An element is out (1) if its text is none of the page's main text, or unseen (2) if it makes no blocks.
+    ``mark`` of an element is 1 if a tag or name of a place takes it from the main text, 2 if another one does,
+    3 if it is unseen and makes no blocks, it or one that it is in. ``fields`` counts the fields of a form in it.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.kind, self.out = [-1], ["html"], [0]  # of each element that was opened
+        self.parent, self.kind, self.mark = [-1], ["html"], [0]  # of each element that was opened
+        self.fields = [0]
         self.stack = [0]
         self.blocks: list[tuple[str, int, int, int]] = []
         self.parts: list[str] = []
@@ -97,6 +108,8 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag in FIELDS and ("type", "hidden") not in attrs:
+            self.fields[self.stack[-1]] += 1
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
@@ -107,25 +120,31 @@ class Page(HTMLParser):
             self.flush()
             self.imply(tag)
         above = self.stack[-1]
-        out = self.out[above]
-        if tag in UNSEEN:
-            out = 2
-        elif not out and tag not in ("html", "body", "main"):
-            if tag == "article":  # reader comments are often articles, too
-                away = bool(attrs) and marked(attrs, frozenset(("comment", "comments", "reply", "teaser", "related")))
-            else:
-                away = tag in NEVER or bool(attrs) and marked(attrs)
-                if not away and (tag == "header" or attrs and marked(attrs, OUTER)):
-                    away = not any(self.kind[k] in ("article", "main") for k in self.stack)
-            out = (2 if tag in INLINE else 1) if away else 0
-        if out and not self.out[above] and tag in INLINE and self.parts:
-            self.parts.append(" ")
+        mark = 3 if tag in UNSEEN or self.mark[above] == 3 else self.judge(tag, attrs)
+        if mark and tag in INLINE:
+            if mark < 3 and self.parts:
+                self.parts.append(" ")
+            mark = 3
         if tag == "a":
             self.links += 1
-        self.parent.append(above), self.out.append(out)
+        self.parent.append(above), self.mark.append(mark), self.fields.append(0)
         self.kind.append("main" if ("role", "main") in attrs else tag)
         self.stack.append(len(self.parent) - 1)
 
+    def judge(self, tag, attrs) -> int:
+        """The mark that a tag and its names give."""
+        if tag in ("html", "body", "main"):
+            return 0
+        if tag == "article":  # reader comments are often articles, too
+            return 2 if attrs and marked(attrs, frozenset(("comment", "comments", "reply", "teaser", "related"))) else 0
+        if tag in NEVER or attrs and marked(attrs, OTHERS):
+            return 2
+        if tag in SELDOM and tag != "header" or attrs and marked(attrs):
+            return 1
+        if tag == "header" or attrs and marked(attrs, OUTER):
+            return 0 if any(self.kind[k] in ("article", "main") for k in self.stack) else 1
+        return 0
+
     def imply(self, tag) -> None:
         """Ends a paragraph, list item or cell that the start of tag ends."""
         ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -155,7 +174,7 @@ class Page(HTMLParser):
         return None
 
     def handle_data(self, data):
-        if self.out[self.stack[-1]] == 2:
+        if self.mark[self.stack[-1]] == 3:
             return
         self.parts.append(data)
         if self.links:
@@ -200,22 +219,17 @@ def main_text(html: str | None) -> str:
     size = np.array([len(t) for t, _, _, _ in page.blocks])
     plain = size - np.array([linked for _, _, linked, _ in page.blocks])
     ratio = smoothed(np.log1p(plain / np.array([max(1, tags) for _, tags, _, _ in page.blocks])))
-    own = np.array([not page.out[node] for _, _, _, node in page.blocks])
+    out = outside(page, np.where(ratio >= split_threshold(ratio), plain, 0))
+    own = np.array([not out[node] for _, _, _, node in page.blocks])
     if not own.any():
         return ""
     upper = ratio[ratio >= split_threshold(ratio)].mean()
     content = own & (ratio >= min(split_threshold(ratio), split_threshold(ratio[own]), NEAR * upper))
     weight = np.where(content, plain, 0)
 
-    inside = np.zeros(len(page.parent))  # content characters in each element
-    total = np.zeros(len(page.parent))
-    for (_, _, _, node), w, n in zip(page.blocks, weight, np.where(own, plain, 0), strict=True):
-        inside[node] += w
-        total[node] += n
-    for node in range(len(page.parent) - 1, 0, -1):  # parents come before their children
-        inside[page.parent[node]] += inside[node]
-        total[page.parent[node]] += total[node]
-    named = [k for k in range(len(page.parent)) if page.kind[k] in ("article", "main") and not page.out[k] and inside[k]]
+    inside = characters(page, weight)  # content characters in each element
+    total = characters(page, np.where(own, plain, 0))
+    named = [k for k in range(len(page.parent)) if page.kind[k] in ("article", "main") and not out[k] and inside[k]]
     best = 0
     if named:
         best = max(named, key=lambda k: (inside[k], total[k]))
@@ -230,7 +244,7 @@ def main_text(html: str | None) -> str:
         while more := [k for k in children.get(best, ()) if inside[k] >= MOST * inside[0] and inside[k]]:
             best = more[0]
     whole = [
-        (k == best or page.kind[k] == "article" and not page.out[k]) and inside[k] >= WHOLE * total[k] and inside[k] > 0
+        (k == best or page.kind[k] == "article" and not out[k]) and inside[k] >= WHOLE * total[k] and inside[k] > 0
         for k in range(len(page.parent))
     ]
     for k in range(1, len(whole)):
@@ -248,6 +262,55 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(text for (text, _, _, _), kept in zip(page.blocks, keep, strict=True) if kept)
 
 
+def characters(page: Page, weight: np.ndarray) -> np.ndarray:
+    """The sum of its blocks' weights for each element, those in its children among them."""
+    inside = np.zeros(len(page.parent))
+    for (_, _, _, node), w in zip(page.blocks, weight, strict=True):
+        inside[node] += w
+    for node in range(len(page.parent) - 1, 0, -1):  # parents come before their children
+        inside[page.parent[node]] += inside[node]
+    return inside
+
+
+def outside(page: Page, weight: np.ndarray) -> list[bool]:
+    """Whether each element is none of the main text, by its marks and the blocks' characters above the threshold.
+
+    A mark of a place counts unless the element holds MOST of what no other mark takes away. It counts
+    in any case beside an article that has content without it, and for a form with many fields.
+    """
+
+    def taken(level: int, kept=()) -> list[bool]:
+        out = [False] * len(page.parent)
+        for k in range(1, len(out)):
+            out[k] = out[page.parent[k]] or page.mark[k] >= level and k not in kept
+        return out
+
+    out = taken(1)
+    places = [k for k, mark in enumerate(page.mark) if mark == 1]
+    if not places:
+        return out
+    nodes = [node for _, _, _, node in page.blocks]
+    hard = taken(2)
+    inside = characters(page, np.where([hard[n] for n in nodes], 0, weight))
+    free = characters(page, np.where([out[n] for n in nodes], 0, weight))
+    articles = [int(kind in ("article", "main") and free[k] > 0) for k, kind in enumerate(page.kind)]
+    beside = sum(articles)
+    fields = page.fields[:]
+    for k in range(len(fields) - 1, 0, -1):
+        fields[page.parent[k]] += fields[k]
+    for k in range(1, len(articles)):  # how many of them an element is in
+        articles[k] += articles[page.parent[k]]
+    kept = {
+        k
+        for k in places
+        if inside[k]
+        and inside[k] >= MOST * inside[0]
+        and articles[k] == beside
+        and (page.kind[k] != "form" or inside[k] >= FIELD * fields[k])
+    }
+    return taken(1, kept) if kept else out
+
+
 def gaps(keep: np.ndarray) -> list[tuple[int, int]]:
     """Begin and end of the runs of blocks that aren't kept."""
     edges = np.flatnonzero(np.diff(np.concatenate([[True], keep, [True]]).astype(np.int8)))

@@ -102,6 +102,37 @@ def test_names_of_boilerplate(name):
     assert main_text(f'<article>{P}<div class="{name}"><p>{LONG * 3}</p></div>{P}</article>').split("\n\n") == [LONG.strip()] * 2
 
 
+@pytest.mark.parametrize("before, after", [
+    ("<div class='widget Blog' id='Blog1'>", "</div>"),
+    ("<div class='content sidebar-right'>", "</div>"),
+    ("<form id=aspnet><input type=hidden name=state><input name=q>", "</form>"),
+    ("<form id=aspnet><div class='widget'>", "</div></form>"),
+    ("<main><div class='content sidebar-right'>", "</div></main>"),
+    ("<form><header><h2>Site</h2></header><main>", "</main></form>"),
+    ("<div class='modal page'><article>", "</article></div>"),
+])
+def test_places_that_hold_the_content(before, after):
+    text = f"<h1>Title</h1>{P * 4}"
+    rest = f"<footer><p>{LONG}</p></footer><div class=comments>{P * 9}</div><div class=cookie-notice>{P}</div>"
+    want = ["Title", *[LONG.strip()] * 4]
+    assert main_text(f"<body>{MENU}{before}{text}{after}{rest}</body>").split("\n\n") == want
+    assert main_text(f"<body>{before}{MENU}{text}{rest}{after}</body>").split("\n\n") == want
+
+
+@pytest.mark.parametrize("page", [
+    f"<article><h1>A</h1><p>{LONG}</p></article><div class=sidebar>{P * 9}</div>",
+    f"<main><h1>A</h1><p>{LONG}</p></main><aside>{P * 9}</aside><form>{P * 9}</form>",
+    f"<div><h1>A</h1><p>{LONG}</p></div><div class=widget>{P}</div><div id=sidebar>{P}</div>",
+    f"<div><h1>A</h1><p>{LONG}</p></div><form>{'<p><label>Your name, as it is in your papers</label><input name=x></p>' * 30}</form>",
+])
+def test_places_beside_the_content(page):
+    assert main_text(page) == "A\n\n" + LONG.strip()
+
+
+def test_a_page_of_a_form_alone():
+    assert main_text("<form><p>Sign up for our letter</p><input name=mail><button>Go</button></form>") == ""
+
+
 def test_the_ratios_decide(monkeypatch):
     """Random ratios give other texts, and blocks that they put below the threshold aren't returned."""
     page = f"<body><div>{''.join(f'<p><i>a</i> <b>b</b> <i>{k}</i></p>' for k in range(9))}</div><div>{P * 4}</div></body>"
