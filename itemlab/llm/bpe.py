@@ -10,9 +10,10 @@ from the end of the word gives its ids, without a merge loop.
 from __future__ import annotations
 
 import json
+import re
+import struct
 import unicodedata
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -21,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import resident, small_batches, table, valid
 
-#: Words of which a Python worker remembers the encoding, twice: beyond that it forgets the older half.
+#: Words of which a Python worker remembers the encoding, twice: beyond that it forgets the older half, between two groups.
 REMEMBERED = 70_000
 #: Pairs of tokens of which a Python worker remembers whether they are compatible.
 PAIRS = 200_000
 #: Characters that are split into words at once; longer texts are cut before a blank.
 PIECE = 1 << 15
+#: Characters whose words are encoded together.
+GROUP = 1 << 20
 _END = 256  # added to the last byte of a word
 #: Characters on which this Python's tables and the tokenizer's agree; texts with others are split by it.
 _COMMON = regex.compile("[\x00-՗ -⁰]*+")
@@ -141,9 +144,14 @@ class WordBpe:
         self.automaton = SuffixAutomaton({s: t for t, s in symbols.items()})
         self.alone: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
-        self._pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.ids: dict[str, bytes] = {}  # of the recent words
+        self.decoded: dict[str, str] = {}
+        self.older: tuple[dict[str, bytes], dict[str, str]] = {}, {}
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._pattern = regex.compile(pattern)
+        # The same of ASCII texts, for which the standard library is faster; its own blanks are others.
+        plain = pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9").replace(r"\s", r" \t-\r")
+        self._ascii = self._pattern if "\\p" in plain else re.compile(plain)
         self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
 
     def compatible(self, left: int, right: int) -> bool:
@@ -201,66 +209,91 @@ class WordBpe:
                 return False
         return True
 
-    def encode_word(self, raw: bytes) -> list[int]:
-        """Ids of one word's bytes."""
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each of these words' bytes; what a word begins with like the one before is taken over from that."""
         follow, link, token = self.automaton.next, self.automaton.link, self.automaton.token
         ends, length, compatible = self.automaton.ends, self.automaton.length, self.compatible
         known = self.pairs.get
-        n = len(raw)
-        last, lengths = [-1] * (n + 1), [0] * (n + 1)  # of each prefix the last token and its length
-        state = matched = 0  # the automaton's state, and the length of the text that it stands for
-        for i, symbol in enumerate(raw, 1):
-            if i == n:
-                symbol += _END
-            to = follow[state].get(symbol)
-            while to is None and state:
-                state = link[state]
-                matched = length[state]
-                to = follow[state].get(symbol)
-            if to is not None:
-                state = to
-                matched += 1
-            at = ends[state] if matched == length[state] else ends[link[state]]
-            while at:
-                size, t = length[at], token[at]
-                if size == i:
-                    fits = self.stands_alone(t)
-                elif (before := last[i - size]) >= 0:
-                    fits = known(before << 20 | t)
-                    if fits is None:
-                        fits = compatible(before, t)
-                else:
-                    fits = False
-                if fits:
-                    last[i], lengths[i] = t, size
+        # Of each prefix: the last token and its length, the automaton's state and the length of the text that it stands for.
+        last, lengths, states, matches = [-1], [0], [0], [0]
+        found, before_it = [], b""
+        for raw in words:
+            n = len(raw)
+            i = 0  # the last byte is another symbol, so it is never shared
+            for a, b in zip(before_it[:-1], raw[:-1], strict=False):
+                if a != b:
                     break
-                at = ends[link[at]]
-        out, i = [], n
-        while i > 0:
-            out.append(last[i])
-            i -= lengths[i]
-        return out[::-1]
-
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit numbers, and the decoded text: the tokens' own texts with blanks between."""
-        found = []
-        for k, part in enumerate(self._specials.split(text) if "<|" in text else [text]):
-            if k % 2:
-                found.append((np.uint32(self.special[part]).astype("<u4").tobytes(), part))
-                continue
-            for piece in pieces(part):
-                words = self._split(piece)
-                values = list(map(self.words.get, words))
-                if None in values:
-                    values = [v or self._learn(w) for v, w in zip(values, words, strict=True)]
-                if values:
-                    found.append((b"".join([v[0] for v in values]), " ".join([v[1] for v in values])))
-        return b"".join([v[0] for v in found]), " ".join([v[1] for v in found])
+                i += 1
+            before_it = raw
+            del last[i + 1 :], lengths[i + 1 :], states[i + 1 :], matches[i + 1 :]
+            state, matched = states[i], matches[i]
+            for symbol in raw[i:]:
+                i += 1
+                if i == n:
+                    symbol += _END
+                to = follow[state].get(symbol)
+                while to is None and state:
+                    state = link[state]
+                    matched = length[state]
+                    to = follow[state].get(symbol)
+                if to is not None:
+                    state = to
+                    matched += 1
+                at = ends[state] if matched == length[state] else ends[link[state]]
+                end, size = -1, 0
+                while at:
+                    size, t = length[at], token[at]
+                    if size == i:
+                        fits = self.stands_alone(t)
+                    elif (before := last[i - size]) >= 0:
+                        fits = known(before << 20 | t)
+                        if fits is None:
+                            fits = compatible(before, t)
+                    else:
+                        fits = False
+                    if fits:
+                        end = t
+                        break
+                    at = ends[link[at]]
+                last.append(end), lengths.append(size), states.append(state), matches.append(matched)
+            out = []
+            while n > 0:
+                out.append(last[n])
+                n -= lengths[n]
+            found.append(out[::-1])
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """For each text the ids as little-endian 32-bit numbers, and the decoded text: the tokens' own texts with blanks between."""
+        found: list[tuple[list[bytes], list[str]]] = [([], []) for _ in texts]
+        group, size = [], 0
+        for own, text in zip(found, texts, strict=True):
+            for k, part in enumerate(self._specials.split(text) if text and "<|" in text else [text or ""]):
+                for piece in [part] if k % 2 else pieces(part):
+                    group.append((own, [part] if k % 2 else self._split(piece)))
+                    size += len(piece)
+                    if size > GROUP:
+                        self._finish(group)
+                        group, size = [], 0
+        self._finish(group)
+        return [(b"".join(ids), " ".join(decoded)) for ids, decoded in found]
+
+    def _finish(self, group) -> None:
+        """Adds the encodings of a group's lists of words to their texts."""
+        distinct: set[str] = set()
+        for _, words in group:
+            distinct.update(words)
+        self._learn(distinct)
+        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
+        for own, words in group:
+            if words:
+                own[0].append(b"".join(map(ids, words)))
+                own[1].append(" ".join(map(decoded, words)))
 
     def _split(self, text: str) -> list[str]:
         """Normalised words: canonical composition, lower case letter by letter, no white space."""
         if text.isascii():
-            return self._pattern.findall(text.lower())
+            return self._ascii.findall(text.lower())
         if _COMMON.fullmatch(text):
             return self._pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         if self._splitter is None:
@@ -271,16 +304,24 @@ class WordBpe:
         words = [w for w, _ in self._splitter.pre_tokenizer.pre_tokenize_str(whole)]
         return [bytes(map(self.byte_of.__getitem__, w)).decode("utf-8", "surrogateescape") for w in words]
 
-    def _learn(self, word: str) -> tuple[bytes, str]:
-        """The encoding of a word that isn't among the recent ones; words seen again stay among them."""
-        known = self.words.get(word) or self.older.get(word)
-        if known is None:
-            ids = self.encode_word(word.encode("utf-8", "surrogateescape"))
-            known = np.array(ids, "<u4").tobytes(), " ".join(map(self.text_of.__getitem__, ids))
-        if len(self.words) >= self.remembered:
-            self.words, self.older = {}, self.words
-        self.words[word] = known
-        return known
+    def _learn(self, words: set[str]) -> None:
+        """Puts these words among the recent ones; those that are no older ones either are encoded in order."""
+        if len(self.ids) >= self.remembered:
+            self.older, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+        new = words - self.ids.keys()
+        for source, target in zip(self.older, (self.ids, self.decoded), strict=True):
+            again = new & source.keys()
+            target.update(zip(again, map(source.__getitem__, again), strict=True))
+        new -= self.ids.keys()
+        for special in new & self.special.keys():
+            new.remove(special)
+            self.ids[special], self.decoded[special] = struct.pack("<I", self.special[special]), special
+        ordered = sorted(new)  # of code points, as their bytes are
+        encoded = self.encode_words([word.encode("utf-8", "surrogateescape") for word in ordered])
+        text_of = self.text_of.__getitem__
+        for word, found in zip(ordered, encoded, strict=True):
+            self.ids[word] = struct.pack(f"<{len(found)}I", *found)
+            self.decoded[word] = " ".join(map(text_of, found))
 
 
 def encode_documents(docs: DataFrame, path: str, remembered: int = REMEMBERED) -> DataFrame:
@@ -300,7 +341,7 @@ def encode_documents(docs: DataFrame, path: str, remembered: int = REMEMBERED) -
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                out = [encoder.encode(t) if t else (b"", "") for t in batch.column(1).to_pylist()]
+                out = encoder.encode(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())],
                     ["doc_id", "ids", "decoded"],

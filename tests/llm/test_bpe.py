@@ -18,7 +18,7 @@ def both():
 
 def same(both, text):
     ours, theirs = both
-    ids, decoded = ours.encode(text)
+    [(ids, decoded)] = ours.encode([text])
     want = theirs.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids, "<u4").tolist() == want, text
     assert decoded == theirs.decode(want, skip_special_tokens=False), text
@@ -32,6 +32,21 @@ def test_random_texts(both):
         same(both, text + "<|endoftext|>x" * (k % 50 == 0))
 
 
+def test_many_texts_at_once(both, monkeypatch):
+    rng = random.Random(4)
+    texts = ["", None, *[" ".join("".join(rng.choices("abcdehinort", k=rng.randint(1, 9))) for _ in range(60)) for _ in range(90)]]
+    texts += [t + " <|endoftext|>" + t for t in texts[2:9]]
+    apart = [both[0].encode([t])[0] for t in texts]
+    for text, (ids, _) in zip(texts, apart, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == both[1].encode(text or "", add_special_tokens=False).ids
+    with open(PATH, encoding="utf-8") as f:
+        forgetful = bpe.WordBpe(f.read(), 100)
+    assert forgetful.encode(texts) == apart
+    monkeypatch.setattr(bpe, "GROUP", 700)
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    assert forgetful.encode(texts) == apart
+
+
 def test_tokens_are_found_again(both):
     for token in list(both[1].get_vocab())[::7]:
         same(both, token.replace("</w>", ""))
@@ -56,9 +71,12 @@ def test_edges(spark, both):
 
 
 def test_whole_table(spark, both):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
-    got = {r.doc_id: r for r in bpe.op8_bpe(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in bpe.op8_bpe(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(docs)
     for d in docs:
         ids = both[1].encode(d.text or "", add_special_tokens=False).ids
         assert got[d.doc_id].n_tokens == len(ids)
         assert got[d.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        decoded = both[1].decode(ids, skip_special_tokens=False)
+        assert got[d.doc_id].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
