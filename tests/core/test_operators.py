@@ -162,6 +162,29 @@ def test_texts(spark):
     assert duplicates.compare_two(texts, 1, 2).first().is_potential_duplicate and duplicates.compare_two(texts, 1, 99).count() == 0
 
 
+def test_rejected_before_in_classes(spark):
+    """Copies are members of a class and not pairs; the pairs of all questions follow from both parts."""
+    base = ["alpha beta gamma", "alpha beta gamma delta", "omega psi", "", "the of"]
+    rows = [(k, base[k % 5] if k < 50 else None, k % 4 == 0, f"r{k}") for k in range(51)] + [(90, "alpha beta", None, "none")]
+    got = duplicates.rejected_before(spark.createDataFrame(rows, "question_id long, question_text string, is_rejected boolean, rejection_reason string")).collect()
+    pairs = {(r.rejected_class, r.current_class): r.similarity for r in got if r.part == "pair"}
+    assert len(pairs) == 5  # three texts with words on each side, of which two resemble each other
+    members = [{}, {}]
+    for r in got:
+        if r.part == "member" and r.question_id != 90:
+            members[r.current_class is not None].setdefault(r.current_class if r.rejected_class is None else r.rejected_class, []).append(r.question_id)
+    assert sorted(k for side in members for ids in side.values() for k in ids) == list(range(50))
+    assert all(r.rejected_reason == (f"r{r.question_id}" if r.rejected_class is not None else None) for r in got if r.part == "member")
+    docs = spark.createDataFrame([r[:2] for r in rows if r[1] is not None], "id long, text string")
+    weights = {}
+    for r in text.tfidf(docs.select("id", text.tokens(F.col("text"), 2, text.STOP_WORDS).alias("tokens"))).collect():
+        weights.setdefault(r.id, {})[r.token] = r.weight
+    dot = lambda a, b: sum(w * weights.get(b, {}).get(t, 0.0) for t, w in weights.get(a, {}).items())
+    want = {(a, b) for a in range(0, 50, 4) for b in range(50) if b % 4 and dot(a, b) > 0.7}
+    assert {(a, b) for x, y in pairs for a in members[0][x] for b in members[1][y]} == want
+    assert all(s == pytest.approx(dot(x, y), abs=6e-4) for (x, y), s in pairs.items())
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(2.5,), (1.005,), (-1.005,)], "x double")
     assert [r[0] for r in df.select(stats.rounded(F.col("x"), 2)).collect()] == [2.5, 1.01, -1.01]
