@@ -241,6 +241,18 @@ def test_cosine_join_in_blocks(spark, monkeypatch):
     assert {(a, b) for a, b, _ in plain} == want
 
 
+def test_candidates_of_the_cosine_join_are_few(spark):
+    """Texts that share rare words with many others, and little else, are no candidates, so that few vectors are sent for a check."""
+    rng = random.Random(5)
+    texts = [(k, " ".join([*rng.choices([f"rare{j}" for j in range(30)], k=2), *rng.choices([f"word{j}" for j in range(60)], k=14)])) for k in range(300)]
+    texts += [(1000 + k, t + " word1") for k, t in texts[:40]]
+    vectors = duplicates._vectors(duplicates._keyed(spark.createDataFrame(texts, "id long, text string")))
+    prefix = duplicates._prefixes(vectors, 0.85).cache()
+    candidates = duplicates._candidates(prefix, prefix, 0.85)
+    found = duplicates._cosines(candidates, vectors).where("s > 0.85").count()
+    assert found == 40 and candidates.count() <= 125 * found
+
+
 def clustered(n, centres=20, dim=16, width=0.02):
     rng = np.random.default_rng(6)
     middle = rng.normal(size=(centres, dim))
