@@ -253,6 +253,13 @@ def test_candidates_of_the_cosine_join_are_few(spark):
     assert found == 40 and candidates.count() <= 125 * found
 
 
+def test_text_classes_run_without_python(spark, monkeypatch):
+    """Whole texts aren't sent to Python workers for their classes."""
+    monkeypatch.setattr(F, "arrow_udf", None)
+    rows = duplicates.text_classes(spark.createDataFrame([(1, "alpha beta"), (2, "Beta alpha"), (3, "")], "id long, text string"))
+    assert dict(map(tuple, rows.collect())) == {1: 1, 2: 1, 3: 3}
+
+
 def clustered(n, centres=20, dim=16, width=0.02):
     rng = np.random.default_rng(6)
     middle = rng.normal(size=(centres, dim))
