@@ -53,7 +53,8 @@ def exact_median(rows: DataFrame, group: str, value: str, limit: int = LIMIT) ->
         sketch = F.percentile_approx("v", F.array(*(F.lit(k / 1000) for k in range(1001))), ACCURACY)
         bounds = bounds.groupBy(group).agg(sketch.alias("cuts"), F.first("middle").alias("middle"))
         at = lambda x: F.element_at("cuts", (F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)) * 1000).cast("int") + 1)
-        bounds = bounds.select(group, at(F.col("middle") - SPAN).alias("new_low"), at(F.col("middle") + 2 * SPAN).alias("new_high"))
+        # a row for each group, and written, so that Spark knows how few and doesn't deal the values by group
+        bounds = settled(bounds.select(group, at(F.col("middle") - SPAN).alias("new_low"), at(F.col("middle") + 2 * SPAN).alias("new_high")))
         counts = left.join(bounds, group).groupBy(group).agg(
             F.count_if(F.col("v") < F.col("new_low")).alias("less"), F.count_if(F.col("v").between(F.col("new_low"), F.col("new_high"))).alias("kept"),
             F.first("new_low").alias("new_low"), F.first("new_high").alias("new_high"),
@@ -75,4 +76,4 @@ def exact_median(rows: DataFrame, group: str, value: str, limit: int = LIMIT) ->
     among = rows.select(group, F.col(value).alias("v")).join(rest, group).where(F.col("v").between(F.col("low"), F.col("high")))
     rank = F.row_number().over(Window.partitionBy(group).orderBy("v")) + F.col("under")
     chosen = among.withColumn("rank", rank).where(F.col("rank").between(first, last))
-    return met.unionByName(chosen.groupBy(group).agg(F.avg("v").alias("median")))
+    return settled(met.unionByName(chosen.groupBy(group).agg(F.avg("v").alias("median"))))

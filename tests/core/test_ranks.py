@@ -90,3 +90,9 @@ def test_shuffle_of_pairs_does_not_grow_with_students(spark):
         partial = complete.sortWithinPartitions("exam_id").mapInArrow(reliability._partial, f"exam_id string, {reliability._SUMS}")
         sizes[students] = partial.count()
     assert sizes[200] == sizes[2000] == 4 * 3  # tasks and pairs of blocks
+
+
+def test_median_is_a_written_table(spark):
+    """A row for each group, of known size, so that a join with it doesn't deal all values of a group to one task."""
+    rows = spark.range(100).selectExpr("id % 3 AS g", "id AS v")
+    assert "Join" not in ranks.exact_median(rows, "g", "v")._jdf.queryExecution().optimizedPlan().toString()
