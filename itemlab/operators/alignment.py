@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..coefficients import DEFAULT, Coefficients
 from ..functions.stats import rounded
-from ..functions.text import STOP_WORDS, coverage, tfidf, tokens
+from ..functions.text import STOP_WORDS, frequencies, tokens, weighted
 from ..functions.vectors import cosine
 from .store import settled
 
 
 def _attempts(facts: DataFrame) -> DataFrame:
+    """``import_id, question_id, mean, students``."""
     rows = facts.where(F.col("question_id").isNotNull())
     return rows.groupBy("import_id", "question_id").agg(F.avg("received_score").alias("mean"), F.countDistinct("student_id").alias("students"))
 
@@ -29,11 +30,20 @@ def questions_for_analysis(facts: DataFrame, questions: DataFrame, topics: DataF
     return own.select("import_id", "question_id", "syllabus_topic_id", "title", "discipline_name", mean.alias("avg_score"), "students")
 
 
+def _share(question: Column, c: Coefficients) -> Column:
+    """Share of a topic's distinct tokens (``reference``) that are in the question; 0 if either has none. In percent."""
+    found = F.size(F.array_intersect("reference", tokens(question, c.min_token_length, STOP_WORDS)))
+    return rounded(100 * F.when(F.size("reference") == 0, 0.0).otherwise(found / F.size("reference")), 1)
+
+
+def _with_reference(topics: DataFrame, c: Coefficients) -> DataFrame:
+    """The topics and their distinct tokens, made once for all questions and written, so that Spark knows how few they are."""
+    return settled(topics.withColumn("reference", F.array_distinct(tokens(_topic_text(), c.min_token_length, STOP_WORDS))))
+
+
 def keyword_coverage(questions: DataFrame, topics: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
-    rows = questions.join(topics, "syllabus_topic_id")
-    of = lambda text: tokens(text, c.min_token_length, STOP_WORDS)
-    share = coverage(of(_topic_text()), of(F.col("question_text")))
-    return rows.select("question_id", rounded(100 * share, 1).alias("keyword_coverage"))
+    rows = questions.join(_with_reference(topics, c), "syllabus_topic_id")
+    return rows.select("question_id", _share(F.col("question_text"), c).alias("keyword_coverage"))
 
 
 def pair_cosine(a: str, b: str):
@@ -57,15 +67,18 @@ def text_similarity(questions: DataFrame, topics: DataFrame, mode: str = "corpus
     if mode == "faithful":
         rows = questions.join(topics, "syllabus_topic_id").select("question_id", of(F.col("question_text")).alias("a"), of(_topic_text()).alias("b"))
         return rows.select("question_id", pair_cosine("a", "b").alias("similarity"))
-    linked = questions.join(topics.select("syllabus_topic_id"), "syllabus_topic_id").select("question_id", "syllabus_topic_id")
-    docs = questions.select(F.concat(F.lit("q"), "question_id").alias("id"), of(F.col("question_text")).alias("tokens"))
-    docs = docs.union(topics.select(F.concat(F.lit("t"), "syllabus_topic_id"), of(_topic_text())))
-    weights = settled(tfidf(docs))  # read for questions and for topics
-    a = linked.join(weights.withColumnsRenamed({"weight": "wa"}), F.concat(F.lit("q"), "question_id") == F.col("id")).drop("id")
-    b = weights.select(F.col("id").alias("topic"), "token", F.col("weight").alias("wb"))
-    both = a.join(b, (F.concat(F.lit("t"), "syllabus_topic_id") == F.col("topic")) & (a["token"] == b["token"]))
-    dots = both.groupBy("question_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return linked.join(dots, "question_id", "left").select("question_id", F.coalesce("dot", F.lit(0.0)).alias("similarity"))
+    words = questions.select("question_id", "syllabus_topic_id", of(F.col("question_text")).alias("tokens"))
+    own = settled(topics.select(F.col("syllabus_topic_id").alias("id"), of(_topic_text()).alias("tokens")))
+    known = settled(frequencies(words.select("tokens").union(own.select("tokens"))))
+    of_topics = settled(weighted(own, known)).select(F.col("id").alias("syllabus_topic_id"), "token", "weight")
+    # dealt by question once: what follows stays in place while tokens and topics are small
+    rows = words.join(own.select(F.col("id").alias("syllabus_topic_id")), "syllabus_topic_id").repartition("question_id")
+    rows = rows.select("question_id", "syllabus_topic_id", F.explode_outer("tokens").alias("token"))
+    rows = rows.groupBy("question_id", "syllabus_topic_id", "token").agg(F.count("*").alias("tf"))
+    rows = rows.join(known.select("token", "idf"), "token", "left").join(of_topics, ["syllabus_topic_id", "token"], "left")
+    w = F.col("tf") * F.col("idf")
+    sums = rows.groupBy("question_id").agg(F.sum(w * F.col("weight")).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"))
+    return sums.select("question_id", F.coalesce(F.col("dot") / F.col("norm"), F.lit(0.0)).alias("similarity"))
 
 
 def semantic_similarity(questions: DataFrame, topics: DataFrame, of_questions: DataFrame, of_topics: DataFrame) -> DataFrame:
@@ -79,6 +92,30 @@ def semantic_similarity(questions: DataFrame, topics: DataFrame, of_questions: D
     return rows.select("question_id", cosine(F.col("a"), F.col("b")).alias("semantic")).where(F.col("semantic").isNotNull())
 
 
+def linked_texts(
+    questions: DataFrame, topics: DataFrame, semantic: DataFrame | None = None, c: Coefficients = DEFAULT, mode: str = "corpus"
+) -> DataFrame:
+    """Linked questions with their topics: what alignment and validation look at besides the facts, the same for all imports.
+
+    ``question_id, max_score, similarity, keyword_coverage, semantic`` (null: no vectors) and the topic's columns.
+    """
+    topics = _with_reference(topics, c)
+    of_topic = [x for x in ("title", "topic_code", "discipline_name") if x in topics.columns]
+    of_question = [x for x in ("max_score",) if x in questions.columns]
+    rows = questions.select("question_id", "question_text", "syllabus_topic_id", *of_question)
+    rows = rows.join(topics.select("syllabus_topic_id", "reference", *of_topic), "syllabus_topic_id")
+    rows = rows.select("question_id", "syllabus_topic_id", *of_topic, *of_question, _share(F.col("question_text"), c).alias("keyword_coverage"))
+    rows = rows.join(text_similarity(questions, topics, mode), "question_id")
+    if semantic is None:
+        return rows.withColumn("semantic", F.lit(None).cast("double"))
+    return rows.join(semantic.select("question_id", "semantic"), "question_id", "left")
+
+
+def _combined(c: Coefficients) -> Column:
+    semantic = F.coalesce(F.nanvl("semantic", F.lit(0.0)), F.lit(0.0))
+    return rounded(c.text_weight * F.col("similarity") + c.semantic_weight * semantic, 3)
+
+
 def alignment(
     facts: DataFrame, questions: DataFrame, topics: DataFrame, semantic: DataFrame | None = None,
     c: Coefficients = DEFAULT, mode: str = "corpus",
@@ -87,19 +124,18 @@ def alignment(
 
     semantic: ``question_id, semantic``; without it, as without an embedding service, it is 0.
     """
-    rows = questions_for_analysis(facts, questions, topics).join(text_similarity(questions, topics, mode), "question_id")
-    if semantic is None:
-        rows = rows.withColumn("semantic", F.lit(0.0))
-    else:
-        rows = rows.join(semantic.select("question_id", "semantic"), "question_id", "left").fillna(0.0, ["semantic"])
-    rows = rows.withColumn("combined", c.text_weight * F.col("similarity") + c.semantic_weight * F.col("semantic"))
-    rows = rows.withColumn("combined_score", rounded(F.col("combined"), 3))
+    return alignment_of(_attempts(facts), linked_texts(questions, topics, semantic, c, mode), c)
+
+
+def alignment_of(attempts: DataFrame, texts: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
+    """alignment from each import's questions (``import_id, question_id, mean, students``) and linked_texts."""
+    rows = attempts.join(texts, "question_id").withColumn("combined_score", _combined(c))
     value = F.col("combined_score")
     level = F.when(value < c.alignment_low, "low").when(value < c.alignment_medium, "medium").otherwise("high")
     return rows.select(
         "import_id", "question_id", "syllabus_topic_id", "title", "discipline_name", rounded(F.col("similarity"), 3).alias("text_similarity"),
-        rounded(F.col("semantic"), 3).alias("semantic_similarity"), "combined_score", level.alias("alignment_level"),
-        F.col("avg_score").alias("average_score"), F.col("students").alias("student_attempts"),
+        rounded(F.coalesce(F.nanvl("semantic", F.lit(0.0)), F.lit(0.0)), 3).alias("semantic_similarity"), "combined_score", level.alias("alignment_level"),
+        rounded(F.coalesce("mean", F.lit(0.0)), 2).alias("average_score"), F.col("students").alias("student_attempts"),
     )
 
 
@@ -111,16 +147,14 @@ def validation(
     Attempts are distinct students; a question without scores has the mean 0, one without a maximum
     the default one. NO_EMBEDDINGS: semantic (``question_id, semantic``) has nothing on the question.
     """
+    return validation_of(_attempts(facts), linked_texts(questions, topics, semantic, c), c)
+
+
+def validation_of(attempts: DataFrame, texts: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
+    """validation from each import's questions (``import_id, question_id, mean, students``) and linked_texts."""
     maximum = F.coalesce("max_score", F.lit(c.default_maximum))
     mean = F.coalesce("mean", F.lit(0.0))
-    linked = questions.join(topics.select("syllabus_topic_id", "title", "topic_code"), "syllabus_topic_id")
-    rows = _attempts(facts).join(linked, "question_id").join(keyword_coverage(questions, topics, c), "question_id")
-    aligned = alignment(facts, questions, topics, semantic, c).select("import_id", "question_id", F.col("combined_score").alias("aligned"))
-    rows = rows.join(aligned, ["import_id", "question_id"], "left")
-    if semantic is None:
-        rows = rows.withColumn("semantic", F.lit(None).cast("double"))
-    else:
-        rows = rows.join(semantic.select("question_id", "semantic"), "question_id", "left")
+    rows = attempts.join(texts, "question_id").withColumn("aligned", _combined(c))
     tried = F.col("students") > 0
     issues = F.array_compact(
         F.array(

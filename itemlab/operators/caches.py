@@ -7,8 +7,9 @@ it was made of; a refresh computes the imports whose fingerprints differ, and on
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..coefficients import DEFAULT, Coefficients
@@ -16,19 +17,36 @@ from . import alignment
 from .store import settled, write_partition
 
 
-def _hashed(rows: DataFrame) -> F.Column:
-    return F.xxhash64(*(F.col(c) for c in sorted(rows.columns))).cast("decimal(38,0)")
+def _hashed(rows: DataFrame) -> Column:
+    return F.xxhash64(*(F.col(c) for c in sorted(rows.columns)))
 
 
-def fingerprints(facts: DataFrame, questions: DataFrame, topics: DataFrame) -> DataFrame:
-    """``import_id, fingerprint`` of each import: of its facts, their questions, and these questions' topics, in any order of rows."""
-    own = facts.groupBy("import_id").agg(F.count("*").alias("n"), F.sum(_hashed(facts)).alias("facts"))
-    of_topics = topics.select("syllabus_topic_id", _hashed(topics).alias("topic"))
-    of_questions = questions.select("question_id", "syllabus_topic_id", _hashed(questions).alias("question")).join(of_topics, "syllabus_topic_id", "left")
-    linked = facts.select("import_id", "question_id").distinct().join(of_questions, "question_id")
-    linked = linked.groupBy("import_id").agg(F.sum("question").alias("questions"), F.sum("topic").alias("topics"))
-    out = own.join(linked, "import_id", "left")
-    return out.select("import_id", F.sha2(F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("n", "facts", "questions", "topics"))), 256).alias("fingerprint"))
+def _added(name: str) -> Column:
+    """Sums of hashes as decimals, which are exact for any number of rows."""
+    return F.sum(F.col(name).cast("decimal(38,0)")).alias(name)
+
+
+def by_question(facts: DataFrame) -> DataFrame:
+    """``import_id, question_id, mean, students, n, high, low``: all that a refresh takes from the facts, in one scan.
+
+    n rows whose hashes' halves add up to high and low, which are longs.
+    """
+    rows = facts.withColumn("__hash", _hashed(facts))
+    return rows.groupBy("import_id", "question_id").agg(
+        F.avg("received_score").alias("mean"), F.countDistinct("student_id").alias("students"), F.count("*").alias("n"),
+        F.sum(F.shiftright("__hash", 32)).alias("high"), F.sum(F.col("__hash").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+    )
+
+
+def fingerprints(own: DataFrame, questions: DataFrame, topics: DataFrame) -> DataFrame:
+    """``import_id, fingerprint`` of each import: of its facts (own is by_question of them), their questions, and these questions' topics, in any order of rows."""
+    of_topics = topics.select("syllabus_topic_id", _hashed(topics).alias("topics"))
+    of_questions = questions.select("question_id", "syllabus_topic_id", _hashed(questions).alias("questions")).join(of_topics, "syllabus_topic_id", "left")
+    linked = own.select("import_id", "question_id").join(of_questions, "question_id")
+    linked = linked.groupBy("import_id").agg(_added("questions"), _added("topics"))
+    out = own.groupBy("import_id").agg(F.sum("n").alias("n"), _added("high"), _added("low")).join(linked, "import_id", "left")
+    parts = (F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("n", "high", "low", "questions", "topics"))
+    return out.select("import_id", F.sha2(F.concat_ws(" ", *parts), 256).alias("fingerprint"))
 
 
 class Cache:
@@ -75,9 +93,12 @@ def refresh_caches(
     validation: Cache, aligned: Cache, facts: DataFrame, questions: DataFrame, topics: DataFrame, semantic: DataFrame | None = None, c: Coefficients = DEFAULT
 ) -> dict[str, list[int]]:
     """Brings the cache of validation up to date, then that of alignment; the imports that each of them computed."""
-    now = settled(fingerprints(facts, questions, topics))
-    of = lambda ids: facts.where(F.col("import_id").isin(ids))
+    topics = settled(topics)  # a row for each topic
+    own = settled(by_question(facts))
+    now = settled(fingerprints(own, questions, topics))
+    texts = cache(lambda: settled(alignment.linked_texts(questions, topics, semantic, c)))  # once for both, if anything is stale
+    of = lambda ids: own.where(F.col("import_id").isin(ids))
     return {
-        "validation": validation.refresh(now, lambda ids: alignment.validation(of(ids), questions, topics, semantic, c)),
-        "alignment": aligned.refresh(now, lambda ids: alignment.alignment(of(ids), questions, topics, semantic, c)),
+        "validation": validation.refresh(now, lambda ids: alignment.validation_of(of(ids), texts(), c)),
+        "alignment": aligned.refresh(now, lambda ids: alignment.alignment_of(of(ids), texts(), c)),
     }
