@@ -67,14 +67,18 @@ def section_tables(
 ) -> dict[str, DataFrame]:
     """The seven sections' rows, each with ``flag`` and ``badge``; those of items, students and texts have all imports.
 
-    Criteria and answers are of import_id, as far as it has any.
+    Criteria and answers are of import_id, as far as it has any. The facts are read once, and written with the columns that students and
+    correlations need; items' figures and the comparison of texts are made once for all sections.
     """
+    facts = settled(facts.select("import_id", "question_id", "student_id", "received_score"))
+    own = settled(items.figures(facts, c))
+    texts = settled(alignment.linked_texts(questions, settled(topics), semantic, c))
     flagged = {
-        "validation": (alignment.validation(facts, questions, topics, semantic, c), "status"),
-        "quality": (items.item_quality(facts, questions, c), "flag"),
+        "validation": (alignment.validation_of(own, texts, c), "status"),
+        "quality": (items.quality_of(own, questions, c), "flag"),
         "correlation": (items.item_total_correlation(facts, c), "flag"),
         "students": (students.student_risk(facts, c), "pattern_type"),
-        "semantic": (alignment.alignment(facts, questions, topics, semantic, c), "alignment_level"),
+        "semantic": (alignment.alignment_of(own, texts, c), "alignment_level"),
         "criteria": (criteria.criteria_performance(details, criteria_, works, import_id), "performance_level"),
     }
     out = {}

@@ -19,15 +19,24 @@ def _maximum(c: Coefficients) -> Column:
     return F.coalesce(F.nullif("max_score", F.lit(0.0)), F.lit(c.default_maximum))
 
 
-def _means(facts: DataFrame, questions: DataFrame, c: Coefficients) -> DataFrame:
-    """Attempts, mean, deviation, share of passes and share of the maximum of each item."""
+def figures(facts: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
+    """``import_id, question_id, n, mean, std, passed, students``: attempts with a score, their mean, deviation and share of passes, and all students."""
     score = F.col("received_score")
-    own = scored(facts).groupBy(*ITEM).agg(
-        F.count("*").alias("n"),
+    return facts.where(F.col("question_id").isNotNull()).groupBy(*ITEM).agg(
+        F.count(score).alias("n"),
         F.avg(score).alias("mean"),
         F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("std"),
-        F.avg(F.when(score >= c.pass_mark, 1.0).otherwise(0.0)).alias("passed"),
+        F.avg(F.when(score >= c.pass_mark, 1.0).when(score.isNotNull(), 0.0)).alias("passed"),
+        F.countDistinct("student_id").alias("students"),
     )
+
+
+def _means(facts: DataFrame, questions: DataFrame, c: Coefficients) -> DataFrame:
+    """Attempts, mean, deviation, share of passes and share of the maximum of each item."""
+    return _with_ratio(figures(scored(facts), c).drop("students"), questions, c)
+
+
+def _with_ratio(own: DataFrame, questions: DataFrame, c: Coefficients) -> DataFrame:
     own = own.join(questions.select("question_id", "max_score"), "question_id", "left")
     maximum = _maximum(c)
     return own.withColumn("ratio", F.when(maximum > 0, F.col("mean") / maximum).otherwise(0.0))
@@ -35,8 +44,13 @@ def _means(facts: DataFrame, questions: DataFrame, c: Coefficients) -> DataFrame
 
 def item_quality(facts: DataFrame, questions: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
     """Easy, hard and normal items by the share of the maximum that is reached; the unrounded mean decides."""
+    return quality_of(figures(scored(facts), c), questions, c)
+
+
+def quality_of(own: DataFrame, questions: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
+    """item_quality from figures; items without scores have none."""
     flag = F.when(F.col("ratio") >= c.easy, "too_easy").when(F.col("ratio") <= c.hard, "too_hard").otherwise("normal")
-    return _means(facts, questions, c).select(
+    return _with_ratio(own.where("n > 0"), questions, c).select(
         *ITEM,
         "n",
         rounded(F.col("mean"), 2).alias("mean_score"),

@@ -27,7 +27,7 @@ def _per_student(facts: DataFrame) -> DataFrame:
 
 def student_risk(facts: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
     """Systemic risk: a low mean and a total under the import's median; spot risk: a single low item."""
-    rows = settled(_per_student(facts))
+    rows = settled(_per_student(facts).drop("kinds"))
     rows = rows.join(exact_median(rows, "import_id", "total"), "import_id")
     mean = F.col("mean")
     systemic = (mean < c.systemic_average) & (F.col("total") < F.col("median"))

@@ -1,7 +1,7 @@
 """How often the facts are read: not once for each result that needs them."""
 
 from itemlab.adapters import Tables
-from itemlab.operators import caches
+from itemlab.operators import caches, dashboards
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +27,12 @@ def test_a_refresh_reads_the_facts_once(spark, tmp_path):
     assert seen.value == rows
     assert caches.refresh_caches(v, a, facts, t.questions(), t.topics()) == {"validation": [], "alignment": []}
     assert seen.value == 2 * rows
+
+
+def test_the_sections_read_the_facts_once(spark):
+    t = Tables(spark, SF)
+    facts, seen = counted(spark, t.facts())
+    sections = dashboards.section_tables(facts, t.questions(), t.topics(), t.details(), t.criteria(), t.works(), t.answers())
+    for name in ("validation", "quality", "correlation", "students", "semantic"):
+        assert sections[name].count() > 0
+    assert seen.value == t.facts().count()
