@@ -137,17 +137,24 @@ def pass_fail(facts: DataFrame, c: Coefficients = DEFAULT) -> DataFrame:
     )
 
 
-def _facts_by(facts: DataFrame) -> DataFrame:
+#: Facts that a task groups, about: what it holds doesn't grow with the input, nor with the size of files' splits or the shuffle's partitions.
+FACTS_A_TASK = 100_000
+
+
+def _facts_by(facts: DataFrame, a_task: int = FACTS_A_TASK) -> DataFrame:
     """``import_id, level, question_id, student_id, mean, least, students, n, passed``: of questions, students and imports, in one scan of the facts.
 
     level is 1 for a question's row, 2 for a student's, 3 for an import's.
     """
-    rows = facts.where(F.col("received_score").isNotNull())
+    cell = ["import_id", "question_id", "student_id"]
+    rows = settled(facts.where(F.col("received_score").isNotNull()).select(*cell, "received_score"))
+    # most cells are a row, so nothing is gained by adding up before they are dealt out
+    rows = rows.repartition(rows.count() // a_task + 1, *cell)
     passed = F.count_if(F.col("received_score") >= DEFAULT.pass_mark).alias("passed")
-    cells = rows.groupBy("import_id", "question_id", "student_id").agg(F.sum("received_score").alias("total"), F.min("received_score").alias("least"), F.count("*").alias("n"), passed)
-    levels = cells.groupingSets([["import_id", "question_id"], ["import_id", "student_id"], ["import_id"]], "import_id", "question_id", "student_id")
+    cells = rows.groupBy(*cell).agg(F.sum("received_score").alias("total"), F.min("received_score").alias("least"), F.count("*").alias("n"), passed)
+    levels = cells.groupingSets([["import_id", "question_id"], ["import_id", "student_id"], ["import_id"]], *cell)
     return levels.agg(
-        F.grouping_id("import_id", "question_id", "student_id").alias("level"), (F.sum("total") / F.sum("n")).alias("mean"),
+        F.grouping_id(*cell).alias("level"), (F.sum("total") / F.sum("n")).alias("mean"),
         F.min("least").alias("least"), F.count("student_id").alias("students"), F.sum("n").alias("n"), F.sum("passed").alias("passed"),
     )
 

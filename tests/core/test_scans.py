@@ -1,5 +1,7 @@
 """How often the facts are read: not once for each result that needs them."""
 
+import re
+
 from itemlab.adapters import Tables
 from itemlab.operators import caches, dashboards
 
@@ -36,3 +38,12 @@ def test_the_sections_read_the_facts_once(spark):
     for name in ("validation", "quality", "correlation", "students", "semantic"):
         assert sections[name].count() > 0
     assert seen.value == t.facts().count()
+
+
+def test_a_task_of_the_charts_groups_a_bounded_number_of_facts(spark):
+    """Whatever the shuffle's partitions are."""
+    facts = Tables(spark, SF).facts()
+    few, many = (dashboards._facts_by(facts, n) for n in (100_000, 500))
+    dealt = lambda rows: max(int(n) for n in re.findall(r"Exchange hashpartitioning\(import_id#\d+, question_id#\d+L?, student_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", rows._jdf.queryExecution().executedPlan().toString()))
+    assert dealt(many) == facts.count() // 500 + 1 > 4
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
